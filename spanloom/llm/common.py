@@ -80,3 +80,8 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         total += n
     if start < len(lengths):
         yield batch.slice(start)
+
+
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """A stored() table, marked for broadcast only if it has at most so many rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= most else df

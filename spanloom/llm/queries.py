@@ -5,18 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanloom.llm import exact_dedup
+from spanloom.llm import exact_dedup, mixing, piece_bpe, token_counts
 from spanloom.llm.common import table
 
 
+def piece_model() -> bytes:
+    """The model file of the public 32k tokenizer; operators take any other path's bytes."""
+    import public_tokenizers
+
+    return piece_bpe.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encoded(table(spark, sf_dir, "documents"), piece_model(), digests=True)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), piece_model())
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+QUERIES = (op1_mixing, op4_sentencepiece, op6_token_counts, op10_exact_dedup)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_exact_dedup,)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup.SQL}
+    return {"op1_mixing": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL}
