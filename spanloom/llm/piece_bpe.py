@@ -29,7 +29,7 @@ from spanloom.llm.common import slices
 
 SPACE = "▁"
 #: Entries that a worker remembers before it starts anew.
-CUTS, PAIRS = 150_000, 200_000
+CUTS, PAIRS = 250_000, 200_000
 LONGEST_CUT = 64
 
 

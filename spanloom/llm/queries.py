@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact_dedup, mixing, piece_bpe, token_counts
+from spanloom.llm import chat, exact_dedup, mixing, piece_bpe, quality_rules, token_counts
 from spanloom.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.verdicts(quality_rules.ledger(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encoded(table(spark, sf_dir, "documents"), piece_model(), digests=True)
 
@@ -30,11 +35,17 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = spark.sql("SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(fixed)
+    return chat.read_digests(chat.formatted(rows.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_mixing, op4_sentencepiece, op6_token_counts, op10_exact_dedup)
+QUERIES = (op1_mixing, op2_quality_rules, op4_sentencepiece, op6_token_counts, op7_chat_formatting, op10_exact_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -42,4 +53,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op1_mixing": mixing.SQL, "op2_quality_rules": quality_rules.SQL, "op7_chat_formatting": chat.SQL, "op10_exact_dedup": exact_dedup.SQL}
