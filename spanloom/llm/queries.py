@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat, exact_dedup, mixing, piece_bpe, quality_rules, token_counts
+from spanloom.llm import chat, exact_dedup, mixing, piece_bpe, quality_knn, quality_rules, token_counts
 from spanloom.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_knn.scored(docs, quality_knn.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encoded(table(spark, sf_dir, "documents"), piece_model(), digests=True)
 
@@ -45,7 +50,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_mixing, op2_quality_rules, op4_sentencepiece, op6_token_counts, op7_chat_formatting, op10_exact_dedup)
+QUERIES = (op1_mixing, op2_quality_rules, op3_quality_classifier, op4_sentencepiece, op6_token_counts, op7_chat_formatting, op10_exact_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
