@@ -85,3 +85,26 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     """A stored() table, marked for broadcast only if it has at most so many rows; else joins shuffle it."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+class Bitmap:
+    """Which keys may be in a set: a bit for each value of the first bits of a key, which must be random bytes."""
+
+    def __init__(self, bits: int, data: object):
+        self.bits, self.data = bits, data  # data: a broadcast of bytes
+
+    def may_have(self, key: bytes) -> bool:
+        slot = int.from_bytes(key[:4], "big") >> (32 - self.bits)
+        return bool(self.data.value[slot >> 3] >> (slot & 7) & 1)
+
+
+def key_bitmap(keys: DataFrame, column: str, most_bits: int = 28) -> Bitmap:
+    """Of a binary column of random bytes. It has 16 bits a key, but never over 2 ** most_bits (32 MB), whatever
+    the number of keys: then more keys pass that are not in the set, and a join on the key decides."""
+    bits = min(most_bits, max(16, (16 * keys.count()).bit_length()))
+    slot = F.shiftright(F.conv(F.hex(F.substring(column, 1, 4)), 16, 10).cast("long"), 32 - bits)
+    rows = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits")).collect()
+    data = bytearray(1 << (bits - 3))
+    for row in rows:  # pages of 4 KB; bit positions count from 1
+        data[row.page << 12 : (row.page << 12) + len(row.bits)] = row.bits
+    return Bitmap(bits, keys.sparkSession.sparkContext.broadcast(bytes(data)))

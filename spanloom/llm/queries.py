@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat, exact_dedup, mixing, piece_bpe, quality_knn, quality_rules, token_counts
+from spanloom.llm import chat, exact_dedup, mixing, piece_bpe, quality_knn, quality_rules, substring_dedup, token_counts
 from spanloom.llm.common import table
 
 
@@ -46,11 +46,15 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_digests(chat.formatted(rows.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_mixing, op2_quality_rules, op3_quality_classifier, op4_sentencepiece, op6_token_counts, op7_chat_formatting, op10_exact_dedup)
+QUERIES = (op1_mixing, op2_quality_rules, op3_quality_classifier, op4_sentencepiece, op6_token_counts, op7_chat_formatting, op8_substring_dedup, op10_exact_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
