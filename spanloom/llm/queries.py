@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat, exact_dedup, mixing, piece_bpe, quality_knn, quality_rules, substring_dedup, token_counts
+from spanloom.llm import chat, exact_dedup, mixing, ngram_join, piece_bpe, quality_knn, quality_rules, substring_dedup, token_counts
 from spanloom.llm.common import table
 
 
@@ -50,11 +50,15 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_mixing, op2_quality_rules, op3_quality_classifier, op4_sentencepiece, op6_token_counts, op7_chat_formatting, op8_substring_dedup, op10_exact_dedup)
+QUERIES = (op1_mixing, op2_quality_rules, op3_quality_classifier, op4_sentencepiece, op6_token_counts, op7_chat_formatting, op8_substring_dedup, op9_ngram_join, op10_exact_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
