@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat, exact_dedup, mixing, ngram_join, piece_bpe, quality_knn, quality_rules, substring_dedup, token_counts
+from spanloom.llm import chat, exact_dedup, mixing, ngram_join, pii, piece_bpe, quality_knn, quality_rules, substring_dedup, token_counts
 from spanloom.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encoded(table(spark, sf_dir, "documents"), piece_model(), digests=True)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), piece_model())
 
@@ -58,7 +62,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_mixing, op2_quality_rules, op3_quality_classifier, op4_sentencepiece, op6_token_counts, op7_chat_formatting, op8_substring_dedup, op9_ngram_join, op10_exact_dedup)
+QUERIES = (op1_mixing, op2_quality_rules, op3_quality_classifier, op4_sentencepiece, op5_pii, op6_token_counts, op7_chat_formatting, op8_substring_dedup, op9_ngram_join, op10_exact_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
