@@ -111,6 +111,6 @@ def register(spark: SparkSession) -> None:
     """The functions under SQL names, as SQL expressions that Catalyst inlines."""
     for name, (arguments, returns, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {returns} RETURN {body}")
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION seq_frame(nt STRING) RETURNS INT RETURN array_position(transform(array(0, 1, 2), f -> length(seq_translate(nt, f)) - length(replace(seq_translate(nt, f), '*', ''))), array_min(transform(array(0, 1, 2), f -> length(seq_translate(nt, f)) - length(replace(seq_translate(nt, f), '*', ''))))) - 1"
-    )
+    stops = [f"(length(seq_translate(nt, {k})) - length(replace(seq_translate(nt, {k}), '*', '')))" for k in range(3)]
+    case = f"CASE WHEN {stops[0]} <= {stops[1]} AND {stops[0]} <= {stops[2]} THEN 0 WHEN {stops[1]} <= {stops[2]} THEN 1 ELSE 2 END"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION seq_frame(nt STRING) RETURNS INT RETURN {case}")

@@ -11,10 +11,11 @@ from spanloom.session import materialised, small
 def python_float(value: Column) -> Column:
     """A double as Python prints it: 1e-30, not 1.0E-30."""
     text = value.cast("string")
-    mantissa, exponent = F.substring_index(text, "E", 1), F.substring_index(text, "E", -1).cast("int")
+    mantissa, exponent = F.substring_index(text, "E", 1), F.substring_index(text, "E", -1).try_cast("int")
     sign = F.when(exponent < 0, "-").otherwise("+")
     short = F.concat(F.regexp_replace(mantissa, r"\.0$", ""), F.lit("e"), sign, F.lpad(F.abs(exponent).cast("string"), 2, "0"))
-    return F.when(F.contains(text, F.lit("E")) & ((exponent < -4) | (exponent >= 16)), short).when(F.contains(text, F.lit("E")), F.format_string("%.1f", value)).otherwise(text)
+    long = F.regexp_replace(F.regexp_replace(value.try_cast("decimal(38,18)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", ".0")
+    return F.when(~F.contains(text, F.lit("E")), text).when((exponent < -4) | (exponent >= 16), short).otherwise(long)
 
 
 def rendered(df: DataFrame) -> DataFrame:
