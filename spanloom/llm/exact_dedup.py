@@ -164,8 +164,9 @@ def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, max_depth: in
     finest = min(max_depth, max(1, (total // bucket_bytes).bit_length() + 4))
     slot = F.shiftrightunsigned("key", 64 - finest).alias("slot")
     weights = np.zeros(1 << finest, np.int64)
-    for row in per_key.groupBy(slot).agg(F.sum("n_bytes").alias("w")).collect() if n_keys else []:  # 2 ** max_depth rows at most
-        weights[row.slot] = row.w
+    if n_keys:
+        by_slot = per_key.groupBy(slot).agg(F.sum("n_bytes").alias("w")).toArrow()  # 2 ** max_depth rows at most, as arrays
+        weights[by_slot["slot"].to_numpy()] = by_slot["w"].to_numpy()
     directory = Directory.grown(weights, bucket_bytes)
 
     known = spark.sparkContext.broadcast(directory)  # 4 bytes a slot
