@@ -14,10 +14,21 @@ from pyspark.sql import functions as F
 #: Separators of words: space and the ASCII controls 9 to 13, which is what bytes.split() splits at.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Python works through an Arrow batch in slices of about this many bytes of text.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Most bytes of a batch that Spark hands to Python, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Keep the batches that go to Python small in bytes, so that a worker's memory is bounded for texts of any length;
+    a size that the session has set itself stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("b") == str(64 << 20):  # Spark's default
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +52,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table of its own in the shared folder and read it back: this cuts its lineage, and what
     was computed outlives any executor."""
     spark = df.sparkSession
+    lean(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

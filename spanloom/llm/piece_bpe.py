@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import slices
+from spanloom.llm.common import lean, slices
 
 SPACE = "▁"
 #: Entries that a worker remembers before it starts anew.
@@ -162,6 +162,7 @@ def n_ids(ids: str) -> int:
 def encoded(docs: DataFrame, model: bytes, ids: bool = True, decoded: bool = True, digests: bool = False) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_tokens and, as asked, ids (array of int) and decoded (string), or the
     hex SHA-256 of either in ids_sha256 and decoded_sha256, made before anything leaves the task."""
+    lean(docs.sparkSession)
     kept = docs.sparkSession.sparkContext.broadcast(model)
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
     columns = [("doc_id", "long", pa.int64()), ("n_tokens", "long", pa.int64())]

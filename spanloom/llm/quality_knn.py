@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import slices, text_bytes
+from spanloom.llm.common import lean, slices, text_bytes
 
 BIGRAMS = 1024
 TERMS = BIGRAMS + 4
@@ -119,6 +119,7 @@ def _blocks(batch: pa.RecordBatch, at: int, model: Model) -> np.ndarray:
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, held_out, score, predicted for each row."""
+    lean(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,6 +135,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
 def good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score at least the threshold, with all their columns; one pass, no join."""
+    lean(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
