@@ -8,11 +8,12 @@ which many unrelated sets share (such as empty ones), if m is 2 * a larger. For
 one-deletion segments and of segments left out are those of least cost, by a model of index rows and of chance
 agreements that takes the number of sets in the band: the more sets, the more selective the segments.
 
-Sets of equal n-grams are one class, known by a 128-bit digest. In the index each set is linked to the first set of
-its entry only. These candidates are verified exactly, on all n-grams; components are found; and only in entries
-that still hold sets of different components all pairs across components are verified too. So no entry is expanded
-into all pairs, and no link between different components is lost. Entries that are long within one task are first
-gathered there under a salted key, so hot entries reach the shuffle already reduced.
+Sets of equal n-grams are one class, known by a 128-bit digest. The sets of an index entry are compared with its hub
+first, the one of them that meets the most others: exactly, on all n-grams. Those outside the hub's component find a
+hub among themselves, and so on for a few turns. Only then, in entries that still hold sets of different components,
+pairs across components are compared too, but for those that their differences from a hub rule out (the triangle
+inequality; a prefix filter on the differences where there are many). So no entry is expanded into all pairs, and no link between different components is lost. Entries that
+are long within one task are first gathered there under a salted key, so hot entries reach the shuffle reduced.
 
 Defined cases: null and empty texts, and texts without words, have no n-grams and link with nothing: each is its own
 component. Texts with fewer words than n have one, the whole. Rows that repeat a text are one class; if all its
@@ -29,10 +30,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Bitmap, key_bitmap, slices, stored, text_bytes
+from spanloom.llm.common import Bitmap, key_bitmap, slices, small, stored, text_bytes
 from spanloom.llm.graph import components
 from spanloom.llm.substring_dedup import _B, Sequences, _mixed
 
@@ -41,7 +42,13 @@ NUMERATOR = 85
 #: The last bits of an index key are 0, or the salt of an entry gathered in one task.
 SALT = (1 << 12) - 1
 #: A task gathers its index in pieces of so many rows; entries of so many rows get a salt.
-PIECE, LONG_ENTRY = 1_000_000, 8
+PIECE, LONG_ENTRY = 500_000, 8
+#: Numbers of segments that a set may leave out.
+LEFT_OUT = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
+#: Hubs that the sets of an entry are compared with, one after the other, before pairs are.
+TURNS = 3
+#: A hub's sets are paired by their edits if more pairs are left than this for each edit.
+EDIT_COST = 2
 _C, _D = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -72,6 +79,15 @@ def set_key(grams: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(grams.tobytes())
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parities of the n-grams by their last bits, one for about each n-gram, as 64-bit words. An n-gram that only one
+    of two sets has flips one, so as many as differ tell how many n-grams do, at least. The two halves of a sketch
+    make, by exclusive or, the one of half the length."""
+    bits = 1 << max(10, (max(len(grams), 1) - 1).bit_length())
+    odd = np.bincount((_mixed(grams * _D) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def short(key: bytes) -> int:
     """A set's id in the index."""
     return int.from_bytes(key[:8], "big", signed=True)
@@ -108,7 +124,7 @@ def _left(mean: float, a: int) -> float:
     return max(out, 0.0) if below >= 0 else 0.0
 
 
-def cost(sets: float, size: float, m: int, doubled: int, a: int, common: float = 0.1, passage: int = 50, pair: float = 50.0) -> float:
+def cost(sets: float, size: float, m: int, doubled: int, a: int, common: float = 0.1, passage: int = 50, pair: float = 10.0) -> float:
     """Index rows, plus `pair` for each chance agreement; `common` of all sets are taken to share a passage."""
     load, single = size / m, m - doubled
     rows = single - a + doubled * (1 + load)
@@ -124,7 +140,9 @@ def allocated(differ: int, sets: float, size: float) -> Scheme:
     if not differ:
         return Scheme(0, 0, 0, 0)
     best = None
-    for a in range(4):
+    for a in LEFT_OUT:
+        if a > differ // 2 + 1:
+            break
         need = differ + 1 + 2 * a
         for part in (0, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 3 / 4, 1):
             m = math.ceil(need / (1 + part))
@@ -282,8 +300,10 @@ def _grams(words: int, bitmap: Bitmap) -> object:
                 yield pa.record_batch([
                     pa.array([short(keys[i]) for i in fresh], pa.int64()),
                     pa.array([keys[i] for i in fresh], pa.binary()),
+                    pa.array([len(sets[i]) for i in fresh], pa.int64()),
+                    pa.array([sketch(sets[i]) for i in fresh], pa.list_(pa.int64())),
                     pa.array([sets[i].view(np.int64) for i in fresh], pa.list_(pa.int64())),
-                ], names=["id", "key", "grams"])
+                ], names=["id", "key", "n", "sketch", "grams"])
 
     return run
 
@@ -291,14 +311,94 @@ def _grams(words: int, bitmap: Bitmap) -> object:
 # The join
 
 
-def verified(pairs: DataFrame, grams: DataFrame, numerator: int) -> DataFrame:
-    """pairs: u, v (ids). Returns a, b: keys of those whose n-grams are similar enough."""
-    left = grams.select(F.col("id").alias("id_u"), F.col("key").alias("a"), F.col("grams").alias("grams_u"))
-    right = grams.select(F.col("id").alias("id_v"), F.col("key").alias("b"), F.col("grams").alias("grams_v"))
-    both = pairs.join(left, F.col("u") == F.col("id_u")).join(right, F.col("v") == F.col("id_v"))
-    shared = F.size(F.array_intersect("grams_u", "grams_v"))
-    union = F.size("grams_u") + F.size("grams_v") - shared
-    return both.filter(100 * shared.cast("long") >= numerator * union.cast("long")).select("a", "b")
+def _halved(words: Column) -> Column:
+    half = F.size(words) / 2
+    return F.zip_with(F.slice(words, F.lit(1), half.cast("int")), F.slice(words, half.cast("int") + 1, half.cast("int")), lambda x, y: x.bitwiseXOR(y))
+
+
+def _least_differ(u: Column, v: Column) -> Column:
+    """From the sketches of two sets: n-grams that at least are in one of both only."""
+    u, v = F.when(F.size(u) > F.size(v), _halved(u)).otherwise(u), F.when(F.size(v) > F.size(u), _halved(v)).otherwise(v)
+    return F.aggregate(F.zip_with(u, v, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+
+
+def _only(grams: DataFrame, *ids: DataFrame) -> DataFrame:
+    """The sets with these ids. A bounded number of ids is broadcast, so that no other n-grams are shuffled."""
+    wanted = ids[0].toDF("only")
+    for more in ids[1:]:
+        wanted = wanted.union(more.toDF("only"))
+    return grams.join(small(stored(wanted.distinct(), "ngram-wanted")), F.col("id") == F.col("only"), "left_semi")
+
+
+def compared(pairs: DataFrame, grams: DataFrame, numerator: int) -> DataFrame:
+    """pairs: u, v (ids). Returns them with the keys a and b of the sets, linked, and bounds of how many n-grams are in
+    one of both only (least, most). Sketches of both sets tell most pairs that are not similar; for the others all
+    n-grams are compared, and the bounds meet."""
+    side = lambda s, k, c: grams.select(F.col("id").alias(f"id_{s}"), F.col("key").alias(k), F.col(c).alias(f"{c}_{s}"), F.col("n").alias(f"n_{s}"))
+    rows = pairs.join(side("u", "a", "sketch"), F.col("u") == F.col("id_u")).join(side("v", "b", "sketch"), F.col("v") == F.col("id_v"))
+    rows = rows.filter(100 * F.least("n_u", "n_v") >= numerator * F.greatest("n_u", "n_v"))
+    rows = stored(rows.select("u", "v", "a", "b", (F.col("n_u") + F.col("n_v")).alias("sum"), _least_differ(F.col("sketch_u"), F.col("sketch_v")).cast("long").alias("least")), "ngram-sketched")
+    may = (100 + numerator) * F.col("least") <= (100 - numerator) * F.col("sum")
+    grams = _only(grams, rows.filter(may).select("u"), rows.filter(may).select("v"))
+    both = rows.filter(may).join(side("u", "a_", "grams").drop("n_u"), F.col("a") == F.col("a_")).join(side("v", "b_", "grams").drop("n_v"), F.col("b") == F.col("b_"))
+    both = both.select("u", "v", "a", "b", "sum", F.size(F.array_intersect("grams_u", "grams_v")).cast("long").alias("shared"))
+    exact = F.col("sum") - 2 * F.col("shared")
+    both = both.select("u", "v", "a", "b", (100 * F.col("shared") >= numerator * (F.col("sum") - F.col("shared"))).alias("linked"), exact.alias("least"), exact.alias("most"))
+    return both.unionByName(rows.filter(~may).select("u", "v", "a", "b", F.lit(False).alias("linked"), "least", F.col("sum").alias("most")))
+
+
+def _crossing(mixed: DataFrame, grams: DataFrame, numerator: int) -> DataFrame:
+    """mixed: hub, id, n, label, first (the weightiest hub of id), least, most (bounds of what id and hub differ by).
+    Pairs u < v of one hub and of different components that may be similar. A pair whose sets have one first hub is
+    looked for at that hub only.
+
+    Where a hub has few such pairs, all are taken that the triangle inequality allows. Where it has more than its sets
+    differ from it (they are edits of the hub), pairs are found by what they edited: let A and B be the differences of
+    two sets from the hub. The sets differ by |A| + |B| - 2 |A and B|, so similar ones share edits. In one order of all
+    edits (what a set has added first, since others seldom have it) a prefix of A must meet one of B (prefix filter)."""
+    share = (100 - numerator) / (100 + numerator)  # similar sets differ by at most this part of the sum of their sizes
+    names = ("id", "n", "label", "first", "least", "most")
+    # A hub all of whose sets have one other first hub has nothing to add.
+    load = mixed.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("k"), F.sum(F.coalesce("least", "n")).alias("edits"), F.min("first").alias("lo"), F.max("first").alias("hi"))
+    load = load.groupBy(F.col("hub").alias("load_hub")).agg(F.sum("k").alias("sets"), F.sum(F.col("k") * F.col("k")).alias("same"), F.sum("edits").alias("edits"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    load = load.filter((F.col("lo") != F.col("hi")) | (F.col("lo") == F.col("load_hub")))
+    load = stored(load.select("load_hub", (F.col("sets") * F.col("sets") - F.col("same") > 2 * F.col("edits") * EDIT_COST).alias("many")), "ngram-load")
+    mixed = mixed.join(load, F.col("hub") == F.col("load_hub")).drop("load_hub")
+    sized = 100 * F.least("n_u", "n_v") >= numerator * F.greatest("n_u", "n_v")
+    here = (F.col("first_u") != F.col("first_v")) | (F.col("first_u") == F.col("hub_u"))
+
+    one, other = (mixed.filter("not many").select(F.col("hub").alias(f"hub_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in names)) for s in ("u", "v"))
+    may = (F.col("hub_u") == F.col("hub_v")) & (F.col("id_u") < F.col("id_v")) & (F.col("label_u") != F.col("label_v")) & sized & here
+    apart = F.greatest(F.col("least_u") - F.col("most_v"), F.col("least_v") - F.col("most_u"))  # what they differ by at least
+    may &= F.coalesce((100 + numerator) * apart <= (100 - numerator) * (F.col("n_u") + F.col("n_v")), F.lit(True))
+    few = one.join(other, may).select("id_u", "id_v")
+
+    heavy = mixed.filter("many").select("hub", "id", "n", "label", "first")
+    own = heavy.filter("id = hub").select(F.col("hub").alias("own_hub"), F.col("label").alias("own_label"))
+    heavy = heavy.filter("id <> hub").join(own, F.col("hub") == F.col("own_hub"))  # the hub itself has been compared with all
+    heavy = stored(heavy, "ngram-heavy")
+    grams = _only(grams, heavy.select("id"), heavy.select("hub"))
+    of = lambda s: grams.select(F.col("id").alias(f"g_{s}"), F.col("grams").alias(f"grams_{s}"))
+    heavy = heavy.join(of("id"), F.col("id") == F.col("g_id")).join(of("hub"), F.col("hub") == F.col("g_hub"))
+    edits = F.concat(F.array_sort(F.array_except("grams_id", "grams_hub")), F.array_sort(F.array_except("grams_hub", "grams_id")))
+    heavy = heavy.select("hub", "id", "n", "label", "first", (F.col("label") != F.col("own_label")).alias("out"), edits.alias("edits"))
+    heavy = stored(heavy.withColumn("excess", F.size("edits") - F.lit(share) * F.col("n")), "ngram-edits")
+    # Similar sets share at least half of the sum of their excesses; the least excess of a partner bounds it for a set.
+    lows = heavy.groupBy(F.col("hub").alias("low_hub")).agg(F.min("excess").alias("low"), F.min(F.when(F.col("out"), F.col("excess"))).alias("low_out"))
+    prefix = lambda low: F.size("edits") - F.greatest(F.ceil((F.col("excess") + F.col(low)) / 2 - 1e-6), F.lit(1)) + 1
+    rows = heavy.join(lows, F.col("hub") == F.col("low_hub")).withColumns({"with_out": prefix("low_out"), "with_any": F.when(F.col("out"), prefix("low")).otherwise(0)})
+    longest = F.greatest(F.coalesce("with_out", F.lit(0)), F.col("with_any"), F.lit(0)).cast("int")
+    rows = rows.select("hub", "id", "n", "label", "first", "out", "excess", F.size("edits").alias("k"), "with_out", "with_any", F.posexplode(F.slice("edits", F.lit(1), longest)).alias("place", "edit"))
+    rows = stored(rows.withColumns({"with_out": F.col("place") < F.coalesce("with_out", F.lit(0)), "with_any": F.col("place") < F.col("with_any")}), "ngram-prefixes")
+    # One of two sets of different components is outside the hub's; it meets sets outside, and sets inside.
+    x = rows.filter("out").select(F.col("hub").alias("hub_u"), F.col("edit").alias("x_edit"), F.col("id").alias("x"), F.col("n").alias("n_u"), F.col("label").alias("label_u"), F.col("first").alias("first_u"), F.col("with_out").alias("x_out"), F.col("with_any").alias("x_any"), F.col("excess").alias("x_excess"), (F.col("k") - F.col("place")).alias("x_left"))
+    y = rows.filter("with_out").select("hub", "edit", F.col("id").alias("y"), F.col("n").alias("n_v"), F.col("label").alias("label_v"), F.col("first").alias("first_v"), F.col("out").alias("y_is_out"), F.col("excess").alias("y_excess"), (F.col("k") - F.col("place")).alias("y_left"))
+    met = (F.col("hub") == F.col("hub_u")) & (F.col("edit") == F.col("x_edit")) & (F.col("label_u") != F.col("label_v")) & sized & here
+    met &= (F.col("y_is_out") & F.col("x_out") & (F.col("x") < F.col("y"))) | (~F.col("y_is_out") & F.col("x_any"))
+    # If this is the first edit that they share, they share no more than what is left from here.
+    met &= F.least("x_left", "y_left") >= (F.col("x_excess") + F.col("y_excess")) / 2 - 1e-6
+    found = x.join(y, met).select(F.least("x", "y").alias("id_u"), F.greatest("x", "y").alias("id_v"))
+    return few.union(found).distinct().select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
 
 
 def ngram_join(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR) -> DataFrame:
@@ -310,56 +410,81 @@ def ngram_join(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR)
 
     entries = docs.select("text").mapInArrow(_index(words, plan), "entry long, id long")
     stars = entries.withColumn("head", F.min("id").over(Window.partitionBy("entry"))).filter("id <> head")
-    stars = stored(stars.select("entry", F.col("id").alias("u"), F.col("head").alias("v")), "ngram-stars")
-
-    sizes = sets.filter("n > 0").groupBy("id").agg(F.min("n").alias("n"))
-    alike = lambda p: p.filter(100 * F.least("n_u", "n_v") >= numerator * F.greatest("n_u", "n_v"))
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(sizes.select(F.col("id").alias("id_u"), F.col("n").alias("n_u")), F.col("u") == F.col("id_u"))
-        pairs = pairs.join(sizes.select(F.col("id").alias("id_v"), F.col("n").alias("n_v")), F.col("v") == F.col("id_v"))
-        return alike(pairs).select("u", "v")
-
-    tested = stored(sized(stars.select("u", "v").distinct()), "ngram-pairs")
-    inside = stars.select(F.col("u").alias("m_id")).union(stars.select("v")).distinct()
-    inside = stored(inside.join(sets, F.col("m_id") == F.col("id")).select("m_id", "digest").distinct(), "ngram-members")
-    grams = docs.select("text").mapInArrow(_grams(words, key_bitmap(inside, "digest")), "id long, key binary, grams array<long>")
-    grams = grams.join(inside.select("m_id").distinct(), F.col("id") == F.col("m_id"), "left_semi")
+    stars = stars.select(F.col("entry").bitwiseAND(F.lit(~SALT)).alias("entry"), F.array("id", "head").alias("ids"))
+    members = stored(stars.select("entry", F.explode("ids").alias("id")).distinct(), "ngram-members")
+    near = stored(members.select("id").distinct().join(sets, "id").select("id", "n", "key", "digest").distinct(), "ngram-near")
+    grams = docs.select("text").mapInArrow(_grams(words, key_bitmap(near, "digest")), "id long, key binary, n long, sketch array<long>, grams array<long>")
+    grams = grams.join(near.select(F.col("key").alias("near_key")).distinct(), F.col("key") == F.col("near_key"), "left_semi")
     grams = stored(grams.dropDuplicates(["key"]), "ngram-grams")
-    links = stored(verified(tested, grams, numerator), "ngram-links")
-
-    # Entries whose sets are not all of one component yet: all pairs across components.
+    sizes = near.groupBy("id").agg(F.min("n").alias("n"))
+
+    # Sets that meet the most others are the hubs of their entries: of near copies mostly what they were made from.
+    members = members.join(sizes, "id")
+    width = members.groupBy(F.col("entry").alias("w_entry")).agg(F.count(F.lit(1)).alias("width"))
+    width = stored(width, "ngram-width")  # as a table, so that the join below can split a hot entry
+    weight = members.join(width, F.col("entry") == F.col("w_entry")).groupBy(F.col("id").alias("w_id")).agg(F.sum("width").alias("weight"))
+    members = stored(members.join(weight, F.col("id") == F.col("w_id")).select("entry", "id", "n", "weight"), "ngram-weighed")
+    active, links, tested, label_of = members, None, None, None
+    for turn in range(TURNS):
+        hub = active.groupBy(F.col("entry").alias("h_entry")).agg(F.max(F.struct("weight", "id", "n")).alias("hub"))
+        hub = stored(hub.select("h_entry", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "ngram-hubs")
+        pairs = active.join(hub, F.col("entry") == F.col("h_entry")).filter((F.col("id") != F.col("hub")) & (100 * F.least("n", "hub_n") >= numerator * F.greatest("n", "hub_n")))
+        pairs = pairs.select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct()
+        if turn:
+            pairs = pairs.join(tested.select(F.col("u").alias("t_u"), F.col("v").alias("t_v")), (F.col("u") == F.col("t_u")) & (F.col("v") == F.col("t_v")), "left_anti")
+            pairs = pairs.join(tested.select(F.col("u").alias("t_v"), F.col("v").alias("t_u")), (F.col("u") == F.col("t_u")) & (F.col("v") == F.col("t_v")), "left_anti")
+        found = stored(compared(pairs, grams, numerator), "ngram-compared")
+        if turn and not found.filter("linked").head(1):
+            tested = tested.unionByName(found)
+            break
+        tested = found if tested is None else tested.unionByName(found)
+        links = tested.filter("linked").select("a", "b")
+        labels = components(links)
+        label_of = near.select("id", "key").distinct().join(labels, F.col("key") == F.col("node"), "left")
+        label_of = stored(label_of.select(F.col("id").alias("l_id"), F.coalesce("label", "key").alias("label")), "ngram-labels")
+        # Sets that are not in their hub's component go on, and look for a hub among themselves.
+        apart = active.join(hub, F.col("entry") == F.col("h_entry")).join(label_of, F.col("id") == F.col("l_id")).withColumnRenamed("label", "own").drop("l_id")
+        apart = apart.join(label_of, F.col("hub") == F.col("l_id")).filter("own <> label")
+        active = stored(apart.select("entry", "id", "n", "weight"), "ngram-apart")
+        if not active.head(1):
+            break
+
+    # What is left: entries with several components. All pairs across them, but for those that sets known to differ
+    # from a hub rule out: two sets differ at least by as much as their differences from a third one do.
+    mixed = members.join(label_of, F.col("id") == F.col("l_id"))
+    several = mixed.groupBy(F.col("entry").alias("s_entry")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("s_entry")
+    several = stored(several, "ngram-several")
+    mixed = mixed.join(several, F.col("entry") == F.col("s_entry"))
+    hub = mixed.groupBy(F.col("entry").alias("h_entry")).agg(F.max(F.struct("weight", "id")).alias("hub"))
+    mixed = mixed.join(hub, F.col("entry") == F.col("h_entry"))
+    # Entries with one hub are looked at together: a pair counts once for a hub, not once for an entry.
+    mixed = mixed.select("hub", "id", "n", "label").distinct()
+    first = mixed.groupBy(F.col("id").alias("f_id")).agg(F.max("hub").alias("first"))
+    mixed = mixed.join(first, F.col("id") == F.col("f_id")).select(F.col("hub.id").alias("hub"), "id", "n", "label", F.col("first.id").alias("first"))
+    far = tested.select(F.col("u").alias("f_u"), F.col("v").alias("f_v"), "least", "most").distinct()
+    mixed = mixed.join(far, (F.col("id") == F.col("f_u")) & (F.col("hub") == F.col("f_v")), "left")
+    off = [F.when(F.col("id") == F.col("hub"), 0).otherwise(F.col(c)).alias(c) for c in ("least", "most")]
+    mixed = stored(mixed.select("hub", "id", "n", "label", "first", *off), "ngram-mixed")
+    if mixed.head(1):
+        crossing = stored(_crossing(mixed, grams, numerator), "ngram-crossing")
+        done = tested.select(F.least("u", "v").alias("t_u"), F.greatest("u", "v").alias("t_v")).distinct()
+        crossing = crossing.join(done, (F.col("u") == F.col("t_u")) & (F.col("v") == F.col("t_v")), "left_anti")
+        more = stored(compared(crossing, grams, numerator).filter("linked").select("a", "b"), "ngram-more")
+        if more.head(1):
+            links = links.union(more)
     labels = components(links)
-    ids = sets.filter("n > 0").select("id", "key").distinct()
-    labelled = stored(ids.join(labels, F.col("key") == F.col("node"), "left").select("id", F.coalesce("label", "key").alias("label"), "key"), "ngram-labels")
-    of = lambda s: labelled.select(F.col("id").alias(f"id_{s}"), F.col("label").alias(f"label_{s}"))
-    entry = F.col("entry").bitwiseAND(F.lit(~SALT)).alias("entry")
-    open_ = stars.join(of("u"), F.col("u") == F.col("id_u")).join(of("v"), F.col("v") == F.col("id_v")).filter("label_u <> label_v")
-    open_ = stored(open_.select(entry).distinct().withColumnRenamed("entry", "open"), "ngram-open")
-    if open_.count():
-        members = stars.select(entry, F.col("u").alias("id")).union(stars.select(entry, F.col("v"))).distinct()
-        members = members.join(open_, F.col("entry") == F.col("open")).select("entry", "id")
-        members = members.join(of("u"), F.col("id") == F.col("id_u")).join(sizes.withColumnRenamed("id", "id_n"), F.col("id") == F.col("id_n"))
-        members = stored(members.select("entry", "id", F.col("label_u").alias("label"), "n"), "ngram-mixed")
-        other = members.select(F.col("entry").alias("entry_v"), F.col("id").alias("v"), F.col("label").alias("label_v"), F.col("n").alias("n_v"))
-        crossing = members.withColumnsRenamed({"id": "u", "label": "label_u", "n": "n_u"}).join(
-            other, (F.col("entry") == F.col("entry_v")) & (F.col("u") < F.col("v")) & (F.col("label_u") != F.col("label_v")) & (100 * F.least("n_u", "n_v") >= numerator * F.greatest("n_u", "n_v"))
-        )
-        done = tested.select(F.least("u", "v").alias("t_u"), F.greatest("u", "v").alias("t_v"))
-        crossing = crossing.select("u", "v").distinct().join(done, (F.col("u") == F.col("t_u")) & (F.col("v") == F.col("t_v")), "left_anti")
-        more = stored(verified(crossing, grams, numerator), "ngram-more")
-        if more.count():
-            labels = components(links.union(more))
 
     rows = sets.join(labels, F.col("key") == F.col("node"), "left")
     group = F.when(F.col("n") > 0, F.coalesce("label", "key"))
     rows = rows.select("doc_id", "n", group.alias("label"))
     lowest = rows.filter("label is not null").groupBy(F.col("label").alias("l_label")).agg(F.min("doc_id").alias("lowest"))
+    lowest = stored(lowest, "ngram-lowest")
     rows = rows.join(lowest, F.col("label") == F.col("l_label"), "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, with all their columns."""
+    """The rows of docs whose doc_id is the smallest of its component, with all their columns. Rows that share a doc_id
+    stay together, and rows without one stay."""
     found = ngram_join(docs, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("other_id")).distinct()
     return docs.join(found, docs["doc_id"] == found["other_id"], "left_anti")
