@@ -33,15 +33,16 @@ def translate(nt: Column, frame: Column | int = 0) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(rest, F.lit("(?s).{3}"), F.lit(0)), _residue), "")
 
 
-def stops(nt: Column, frame: Column | int) -> Column:
-    aa = translate(nt, frame)
-    return F.length(aa) - F.length(F.replace(aa, F.lit("*"), F.lit("")))
+def stops(nt: Column, frame: int) -> Column:
+    """Stop codons of a sequence from an offset."""
+    rest = F.upper(F.substring(nt, F.lit(frame + 1), F.greatest(F.length(nt), F.lit(1))))
+    codons = F.regexp_extract_all(rest, F.lit("(?s).{3}"), F.lit(0))
+    return F.size(F.filter(codons, lambda c: c.isin(*(c for c, a in codon_table().items() if a == "*"))))
 
 
 def coding_frame(nt: Column) -> Column:
-    """The offset with the fewest stops, the first of equals."""
-    s0, s1, s2 = (stops(nt, k) for k in range(3))
-    return F.when((s0 <= s1) & (s0 <= s2), 0).when(s1 <= s2, 1).otherwise(2)
+    """The offset with the fewest stops, the first of equals; each frame is looked at once."""
+    return F.array_min(F.array(*(F.struct(stops(nt, k).alias("stops"), F.lit(k).alias("frame")) for k in range(3))))["frame"]
 
 
 def reverse_complement(nt: Column) -> Column:
