@@ -113,11 +113,11 @@ def candidates(index: Index, reads: list[np.ndarray], most: int, least_seeds: in
         post = np.repeat(index.first[slot] - (np.cumsum(count) - count), count) + np.arange(total)
         target = index.target[post]
         shared = np.bincount(target, minlength=n_targets)
-        few = min(4 * most, n_targets)
+        few = min(2 * most + 2, n_targets)
         bar = np.partition(shared, n_targets - few)[n_targets - few]
         names = np.flatnonzero(shared >= max(bar, least_seeds))
-        if len(names) > 4 * few:  # many equals
-            names = names[np.argsort(-shared[names], kind="stable")[: 4 * few]]
+        if len(names) > 2 * few:  # many equals
+            names = names[np.argsort(-shared[names], kind="stable")[: 2 * few]]
         wanted = np.zeros(n_targets, bool)
         wanted[names] = True
         keep = wanted[target]
@@ -125,8 +125,8 @@ def candidates(index: Index, reads: list[np.ndarray], most: int, least_seeds: in
         for t in names:
             own = diagonal[target == t]
             bands = own // BAND
-            cells, sizes = np.unique(bands, return_counts=True)
-            near = own[np.abs(bands - cells[sizes.argmax()]) <= 2]
+            first = int(bands.min())
+            near = own[np.abs(bands - first - np.bincount(bands - first).argmax()) <= 2]
             if len(near) >= least_seeds:
                 found.append((r % groups if groups else r, -len(near), int(t), r, int(near.min()), int(near.max())))
     found.sort()
