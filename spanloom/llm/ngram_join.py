@@ -48,7 +48,7 @@ LEFT_OUT = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384,
 #: Hubs that the sets of an entry are compared with, one after the other, before pairs are.
 TURNS = 3
 #: A hub's sets are paired by their edits if more pairs are left than this for each edit.
-EDIT_COST = 2
+EDIT_COST = 32
 _C, _D = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -352,8 +352,8 @@ def _crossing(mixed: DataFrame, grams: DataFrame, numerator: int) -> DataFrame:
     Pairs u < v of one hub and of different components that may be similar. A pair whose sets have one first hub is
     looked for at that hub only.
 
-    Where a hub has few such pairs, all are taken that the triangle inequality allows. Where it has more than its sets
-    differ from it (they are edits of the hub), pairs are found by what they edited: let A and B be the differences of
+    Where a hub has few such pairs, all are taken that the triangle inequality and the sketches allow. Where it has far
+    more than its sets have edits (differences from the hub), pairs are found by what they edited: let A and B be the differences of
     two sets from the hub. The sets differ by |A| + |B| - 2 |A and B|, so similar ones share edits. In one order of all
     edits (what a set has added first, since others seldom have it) a prefix of A must meet one of B (prefix filter)."""
     share = (100 - numerator) / (100 + numerator)  # similar sets differ by at most this part of the sum of their sizes
@@ -367,10 +367,12 @@ def _crossing(mixed: DataFrame, grams: DataFrame, numerator: int) -> DataFrame:
     sized = 100 * F.least("n_u", "n_v") >= numerator * F.greatest("n_u", "n_v")
     here = (F.col("first_u") != F.col("first_v")) | (F.col("first_u") == F.col("hub_u"))
 
-    one, other = (mixed.filter("not many").select(F.col("hub").alias(f"hub_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in names)) for s in ("u", "v"))
+    direct = mixed.filter("not many").join(grams.select(F.col("id").alias("g_id"), "sketch"), F.col("id") == F.col("g_id"))
+    one, other = (direct.select(F.col("hub").alias(f"hub_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in (*names, "sketch"))) for s in ("u", "v"))
     may = (F.col("hub_u") == F.col("hub_v")) & (F.col("id_u") < F.col("id_v")) & (F.col("label_u") != F.col("label_v")) & sized & here
     apart = F.greatest(F.col("least_u") - F.col("most_v"), F.col("least_v") - F.col("most_u"))  # what they differ by at least
     may &= F.coalesce((100 + numerator) * apart <= (100 - numerator) * (F.col("n_u") + F.col("n_v")), F.lit(True))
+    may &= (100 + numerator) * _least_differ(F.col("sketch_u"), F.col("sketch_v")).cast("long") <= (100 - numerator) * (F.col("n_u") + F.col("n_v"))
     few = one.join(other, may).select("id_u", "id_v")
 
     heavy = mixed.filter("many").select("hub", "id", "n", "label", "first")
