@@ -1,9 +1,10 @@
 """Search and gapped alignment of batches of reads against a bounded set of targets.
 
 The targets' k-mers are an index of sorted arrays that is broadcast; its size is checked first. A batch of reads is
-looked up at once: shared k-mers are counted by read, strand, target and band of diagonals, and the best few
-targets of each read go on. These are aligned together, row by row of a banded local alignment with affine gaps,
-all pairs of the batch in one array; the traceback steps through all of them at once.
+looked up at once: shared k-mers are counted by read, strand, target and band of diagonals, and the best
+targets of each read and strand go on, with all ties. These are scored together, row by row of a banded local alignment
+with affine gaps, many pairs in one array; the best pair of each read is aligned again with its path, and the traceback
+steps through many of them at once.
 
 Scores are ours: match, mismatch and gap costs as parameters, bits and E-values by Karlin-Altschul with published
 constants for these costs. Residues of other letters than the alphabet match nothing.
@@ -11,6 +12,7 @@ constants for these costs. Residues of other letters than the alphabet match not
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -95,12 +97,12 @@ class Index:
 BAND, MARGIN = 16, 12
 
 
-def candidates(index: Index, reads: list[np.ndarray], most: int, least_seeds: int = 1, groups: int | None = None) -> tuple[np.ndarray, ...]:
-    """Of coded reads: arrays of read, target, lowest and highest diagonal of the best targets, `most` for each read, or
-    for all reads of equal number modulo `groups`. Shared k-mers are counted by target first; for the few targets with
-    the most of them the densest band of diagonals counts, with those next to it. Ties go to the smaller target."""
-    n, n_targets = len(LETTERS[index.scoring.alphabet]), len(index.ids)
-    found: list[tuple] = []
+def candidates(index: Index, reads: list[np.ndarray], most: int, least_seeds: int = 1) -> tuple[np.ndarray, ...]:
+    """Of coded reads: arrays of read, target, lowest and highest diagonal of the best targets, by read and target. What
+    counts are the k-mers shared in the densest band of diagonals and the two on either side of it. The `most` targets
+    with the most go on, with all that equal the last of them."""
+    n = len(LETTERS[index.scoring.alphabet])
+    out: list[tuple] = []
     for r, codes in enumerate(reads if len(index.value) else []):
         at, value = packed_kmers(codes, index.scoring.k, n)
         slot = np.minimum(np.searchsorted(index.value, value), len(index.value) - 1)
@@ -108,35 +110,94 @@ def candidates(index: Index, reads: list[np.ndarray], most: int, least_seeds: in
         at, slot = at[hit], slot[hit]
         count = index.count[slot]
         total = int(count.sum())
-        if total < least_seeds:
+        if total < max(least_seeds, 1):
             continue
         post = np.repeat(index.first[slot] - (np.cumsum(count) - count), count) + np.arange(total)
-        target = index.target[post]
-        shared = np.bincount(target, minlength=n_targets)
-        few = min(2 * most + 2, n_targets)
-        bar = np.partition(shared, n_targets - few)[n_targets - few]
-        names = np.flatnonzero(shared >= max(bar, least_seeds))
-        if len(names) > 2 * few:  # many equals
-            names = names[np.argsort(-shared[names], kind="stable")[: 2 * few]]
-        wanted = np.zeros(n_targets, bool)
-        wanted[names] = True
-        keep = wanted[target]
-        target, diagonal = target[keep], index.at[post[keep]] - np.repeat(at, count)[keep]
-        for t in names:
-            own = diagonal[target == t]
-            bands = own // BAND
-            first = int(bands.min())
-            near = own[np.abs(bands - first - np.bincount(bands - first).argmax()) <= 2]
-            if len(near) >= least_seeds:
-                found.append((r % groups if groups else r, -len(near), int(t), r, int(near.min()), int(near.max())))
-    found.sort()
-    taken: dict[int, int] = {}
-    out = []
-    for owner, _, t, r, low, high in found:
-        if taken.get(owner, 0) < most:
-            taken[owner] = taken.get(owner, 0) + 1
-            out.append((r, t, low, high))
-    return tuple(np.array(c, np.int64) for c in (zip(*out) if out else ((), (), (), ())))
+        zero = -(-len(codes) // BAND) * BAND  # no diagonal is below minus this
+        key = np.sort((index.target[post].astype(np.int64) << 32) + (index.at[post] - np.repeat(at, count) + zero))
+        cell = key // BAND
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        size, owner = np.diff(first, append=total), key[first] >> 32
+        start = np.flatnonzero(np.diff(owner, prepend=-1))
+        full = np.flatnonzero(size == np.repeat(np.maximum.reduceat(size, start), np.diff(start, append=len(owner))))
+        dense = cell[first[full[np.searchsorted(full, start)]]]
+        left, right = np.searchsorted(cell, dense - 2), np.searchsorted(cell, dense + 3)
+        near = right - left
+        bar = max(least_seeds, np.partition(near, -most)[-most] if len(near) > most else 0)
+        keep = near >= bar
+        diagonal = (key & 0xFFFFFFFF) - zero
+        target = owner[start][keep]
+        out.append((np.full(len(target), r), target, diagonal[left[keep]], diagonal[right[keep] - 1]))
+    return tuple(np.concatenate(c).astype(np.int64) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+
+
+def widths(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Diagonals that each pair is aligned over, in steps, so that pairs of one width can go together."""
+    return -(-(high - low + 2 * MARGIN + 1) // BAND) * BAND
+
+
+def chunks(reads: list[np.ndarray], read: np.ndarray, low: np.ndarray, high: np.ndarray, cells: int, pairs: int = 2048) -> Iterator[np.ndarray]:
+    """Numbers of pairs that have one width and similar lengths, at most so many pairs or cells at once."""
+    lengths, wide = np.array([len(reads[r]) for r in read], np.int64), widths(low, high)
+    order = np.lexsort((lengths, wide))
+    for part in np.split(order, np.flatnonzero(np.diff(wide[order])) + 1) if len(order) else []:
+        done = len(part)
+        while done:
+            n = min(pairs, done, max(1, cells // max(1, int(lengths[part[done - 1]] * wide[part[0]]))))
+            yield part[done - n : done]
+            done -= n
+
+
+def scores(index: Index, reads: list[np.ndarray], read: np.ndarray, target: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The scores of align(), without paths. Outside a target or read nothing matches, so scores only fall there."""
+    out = np.zeros(len(read), np.int32)
+    for part in chunks(reads, read, low, high, 1 << 28):
+        out[part] = _scores(index, reads, read[part], target[part], low[part] - MARGIN, int(widths(low[part[:1]], high[part[:1]])[0]))
+    return out
+
+
+def _scores(index: Index, reads: list[np.ndarray], read: np.ndarray, target: np.ndarray, base: np.ndarray, width: int) -> np.ndarray:
+    s, other = index.scoring, len(LETTERS[index.scoring.alphabet])
+    names, which = np.unique(read, return_inverse=True)
+    rows = max(len(reads[r]) for r in names)
+    q = np.full((len(names), rows), other + 1, np.uint8)
+    for i, r in enumerate(names):
+        q[i, : len(reads[r])] = np.where(reads[r] < other, reads[r], other + 1)
+    q = np.ascontiguousarray(q[which].T)
+    j = base + np.arange(rows + width)[:, None]
+    t = np.where((j >= 0) & (j < index.lengths[target]), index.padded[target, np.clip(j, 0, index.padded.shape[1] - 1)], other).astype(np.uint8)
+    group = None
+    if s.related != s.mismatch:
+        kinds = np.arange(other + 2, dtype=np.uint8) + 100
+        for g, letters in enumerate(GROUPS):
+            kinds[[LETTERS[s.alphabet].index(x) for x in letters]] = g
+        group = kinds[q], kinds[t]
+    kind = np.int16 if (rows + width) * max(s.match, s.gap_extend) < 16_000 else np.int32
+    match, related, mismatch, opening, extend = (kind(x) for x in (s.match, s.related, s.mismatch, s.gap_open, s.gap_extend))
+    ext = (np.arange(width) * s.gap_extend).astype(kind)[:, None]
+    shape = (width, len(read))
+    h, best = np.zeros(shape, kind), np.zeros(shape, kind)
+    f = np.full((width + 1, len(read)), -16_000, kind)  # the last row stays
+    above = np.zeros((width + 1, len(read)), kind)
+    for i in range(rows):
+        step = (t[i : i + width] == q[i]) * kind(match - (mismatch if group is None else related))
+        if group is not None:
+            step += (group[1][i : i + width] == group[0][i]) * kind(related - mismatch)
+        step += mismatch
+        step += h
+        above[:-1] = h
+        np.maximum(above[1:] - opening, f[1:] - extend, out=f[:-1])
+        np.maximum(step, f[:-1], out=step)
+        np.maximum(step, 0, out=step)
+        run = step + ext
+        by = 1
+        while by < width:  # running maximum over the diagonals
+            run[by:] = np.maximum(run[by:], run[:-by])
+            by *= 2
+        h = step
+        np.maximum(h[1:], run[:-1] - (ext[:-1] + opening), out=h[1:])
+        np.maximum(best, h, out=best)
+    return best.max(0).astype(np.int32)
 
 
 @dataclass
@@ -159,7 +220,7 @@ def align(index: Index, reads: list[np.ndarray], read: np.ndarray, target: np.nd
     pairs = len(read)
     lengths = np.array([len(reads[r]) for r in read], np.int64)
     rows = int(lengths.max(initial=0))
-    width = int((high - low).max(initial=0)) + 2 * MARGIN + 1
+    width = int(widths(low, high).max(initial=BAND))
     base = low - MARGIN
     q = np.full((pairs, rows), other, np.uint8)
     for i, r in enumerate(read):

@@ -62,7 +62,7 @@ class Options:
     seqtype: str = "nt"
     both_strands: bool = True
     map_d: bool = True
-    most: int = 3  # targets of a read that are aligned, over both strands
+    most: int = 50  # targets of a read that are aligned, on each strand, besides ties with the last of them
     evalue: float = 1e-3
     min_seeds: int = 3
     scoring: aligner.Scoring | None = None
@@ -106,35 +106,37 @@ def placed(targets: Targets, options: Options, rows: list[dict]) -> list[dict]:
     n = len(rows)
     if options.seqtype == "nt" and options.both_strands:
         codes = codes + [_COMPLEMENT[c][::-1] for c in codes]
-    read, target, low, high = aligner.candidates(index, codes, options.most, options.min_seeds, n)
-    a = aligner.align(index, codes, read, target, low, high)
-    bits = s.bits(a.score.astype(float))
+    read, target, low, high = aligner.candidates(index, codes, options.most, options.min_seeds)
+    score = aligner.scores(index, codes, read, target, low, high)
+    order = np.lexsort((read >= n, target, -score, read % n)) if n else read  # targets are in the order of their names
+    order = order[np.diff(read[order] % n, prepend=-1) > 0] if n else read
     total = float(index.lengths.sum())
-    evalue = np.array([len(codes[r]) for r in read], float) * total * np.exp2(-bits) if len(read) else np.zeros(0)
+    bits = s.bits(score.astype(float))
+    evalue = np.array([len(codes[r]) for r in read], float) * total * np.exp2(-bits)
+    order = order[(score[order] > 0) & (evalue[order] <= options.evalue)]
     best: dict[int, tuple] = {}
-    for i in range(len(read)):
-        if a.score[i] > 0 and evalue[i] <= options.evalue:
-            r = int(read[i])
-            key = (-bits[i], index.ids[target[i]], r >= n, i)
-            best[r % n] = min(best.get(r % n, key), key)
+    for part in aligner.chunks(codes, read[order], low[order], high[order], 1 << 26):
+        pairs = order[part]
+        a = aligner.align(index, codes, read[pairs], target[pairs], low[pairs], high[pairs])
+        best.update((int(read[p]) % n, (a, i, p)) for i, p in enumerate(pairs))
     out = []
     for k, row in enumerate(rows):
         new = {"rid": row["rid"], "read_id": row["read_id"], "sequence": row["sequence"] or ""}
         if k in best:
-            i = best[k][3]
-            rev, t = best[k][2], int(target[i])
+            a, i, p = best[k]
+            rev, t = bool(read[p] >= n), int(target[p])
             q = reverse_complement(new["sequence"]) if rev else new["sequence"]
             locus, v_call, j_call, starts, ends, v_last, j_first = targets.rows[t]
             qaln, taln, cigar = aligner.strings(a, i, q, targets.sequences[t])
             qpos, tpos = aligner.positions(a, i)
             spans = projection.extents(qpos, tpos, starts, ends)
-            point = lambda p, qpos=qpos, tpos=tpos: projection.project_point(qpos, tpos, p) or None
+            point = lambda x, qpos=qpos, tpos=tpos: projection.project_point(qpos, tpos, x) or None
             v_end, j_start = point(v_last or 0), point(j_first or 0)
             tstart = int(a.tstart[i])
             same = sum(x == y for x, y in zip(qaln.upper(), taln.upper()))
             new |= {
                 "sequence": q, "locus": locus, "v_call": v_call, "j_call": j_call, "target": index.ids[t], "rev": rev,
-                "score": int(a.score[i]), "bits": float(bits[i]), "evalue": float(evalue[i]), "pident": 100.0 * same / len(qaln),
+                "score": int(a.score[i]), "bits": float(bits[p]), "evalue": float(evalue[p]), "pident": 100.0 * same / len(qaln),
                 "qstart": int(a.qstart[i]), "qend": int(a.qend[i]), "tstart": tstart, "tend": int(a.tend[i]), "cigar": cigar, "qaln": qaln, "taln": taln,
                 "starts": [x and x[0] for x in spans], "ends": [x and x[1] for x in spans], "v_end": v_end, "j_start": j_start,
                 "frame_point": point(tstart + (starts[0] - tstart) % 3), "d": [],

@@ -137,3 +137,20 @@ def test_sinks(spark, tmp_path):
         sinks.merge(spark, str(tmp_path / "none_*"), str(tmp_path / "m"))
     values = spark.createDataFrame([(1e-30,), (0.5,), (100.0,), (1.5e-7,), (12345678.0,), (1e16,)], "x double")
     assert [r.x for r in sinks.rendered(values).collect()] == [str(v) for v in (1e-30, 0.5, 100.0, 1.5e-7, 12345678.0, 1e16)]
+
+
+def scaffold_rows(spark, rows):
+    """A reference of scaffold id, V, J and call, with regions as V has them."""
+    starts, ends = [1, 25, 37, 58, 70, 94, 100], [24, 36, 57, 69, 93, 99, 104]
+    rows = [(i, "IGH", call, "J" + i, v + j, starts, ends, len(v), len(v) + 1) for i, v, j, call in rows]
+    return annotate.Reference(spark.createDataFrame(rows, "scaffold_id string, locus string, v_call string, j_call string, sequence string, starts array<int>, ends array<int>, v_sequence_end int, j_sequence_start int"))
+
+
+def test_targets_that_seeds_do_not_tell_apart_are_all_aligned(spark):
+    r = random.Random(11)
+    js = sorted({"".join(r.choice("ACGT") for _ in range(10)) for _ in range(120)}, key=lambda _: r.random())
+    own = scaffold_rows(spark, [(f"s{i:03d}", V, j, "V") for i, j in enumerate(js)])
+    wanted = [3, 40, 77, 119]
+    got = run(spark, own, [V + js[i] for i in wanted] + [annotate.reverse_complement(V + js[i]) for i in wanted])
+    assert [x["j_call"] for x in got] == [f"Js{i:03d}" for i in wanted] * 2
+    assert {x["rev_comp"] for x in got[:4]} == {"F"} and {x["rev_comp"] for x in got[4:]} == {"T"}

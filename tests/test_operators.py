@@ -107,3 +107,28 @@ def test_banded_alignment_agrees_with_the_full_one(scoring):
 def test_no_targets_no_candidates():
     index = aligner.Index([], [], aligner.Scoring())
     assert all(len(x) == 0 for x in aligner.candidates(index, [aligner.Scoring().codes("ACGTACGTACGTACGT")], 2))
+
+
+@pytest.mark.parametrize("scoring", [aligner.Scoring(), aligner.Scoring.aa()])
+def test_scores_without_paths_are_those_of_alignments(scoring):
+    random.seed(3)
+    letters = aligner.LETTERS[scoring.alphabet]
+    targets = ["".join(random.choice(letters) for _ in range(random.randint(40, 90))) for _ in range(12)]
+    targets += [t[:30] + "X" + t[34:] for t in targets]
+    index = aligner.Index([f"t{i:02d}" for i in range(24)], targets, scoring)
+    reads = ["".join(c if random.random() > 0.06 else random.choice([*letters, "", "X", "AC"]) for c in random.choice(targets)) for _ in range(60)]
+    codes = [scoring.codes(r) for r in reads]
+    pairs = aligner.candidates(index, codes, 50)
+    assert len(pairs[0]) > 60
+    got = aligner.scores(index, codes, *pairs)
+    for i in range(len(got)):
+        assert got[i] == aligner.align(index, codes, *(x[i : i + 1] for x in pairs)).score[0]
+
+
+def test_all_ties_with_the_last_target_are_candidates():
+    random.seed(4)
+    v, w = ("".join(random.choice("ACGT") for _ in range(40)) for _ in range(2))
+    index = aligner.Index([f"t{i:02d}" for i in range(90)], [v] * 30 + [w] * 60, aligner.Scoring())
+    read, target, _, _ = aligner.candidates(index, [aligner.Scoring().codes(v + w[:30])], 50)
+    assert list(target) == list(range(90)) and set(read) == {0}
+    assert list(aligner.candidates(index, [aligner.Scoring().codes(v + w[:30])], 1)[1]) == list(range(30))
