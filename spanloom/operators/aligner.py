@@ -75,14 +75,14 @@ def packed_kmers(codes: np.ndarray, k: int, n_letters: int) -> tuple[np.ndarray,
 
 
 class Index:
-    """k-mers of the targets, sorted."""
+    """k-mers of the targets, sorted; none without `seeds`, where candidates are known."""
 
-    def __init__(self, ids: list[str], sequences: list[str], scoring: Scoring):
+    def __init__(self, ids: list[str], sequences: list[str], scoring: Scoring, seeds: bool = True):
         self.ids, self.scoring = ids, scoring
         self.codes = [scoring.codes(s) for s in sequences]
         self.lengths = np.array([len(c) for c in self.codes], np.int64)
         n = len(LETTERS[scoring.alphabet])
-        parts = [packed_kmers(c, scoring.k, n) for c in self.codes]
+        parts = [packed_kmers(c, scoring.k, n) for c in self.codes] if seeds else []
         which = np.repeat(np.arange(len(parts)), [len(p) for p, _ in parts])
         at, value = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in (0, 1))
         order = np.argsort(value, kind="stable")

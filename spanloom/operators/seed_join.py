@@ -16,10 +16,12 @@ def postings(rows: DataFrame, key: str, sequence: str, k: int) -> DataFrame:
     return rows.select(key, F.explode(F.sequence(F.lit(1), F.length(sequence) - k + 1)).alias("pos"), sequence).select(key, "pos", F.substring(F.col(sequence), F.col("pos"), F.lit(k)).alias("kmer"))
 
 
-def seeds(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+def seeds(queries: DataFrame, targets: DataFrame, k: int, letters: str | None = None) -> DataFrame:
     """queries: query, sequence; targets: target, sequence. Rows of query, target, diagonal (target minus query
-    position) and n, how many k-mers they share on it."""
+    position) and n, how many k-mers they share on it; with `letters`, only k-mers of these."""
     q = postings(queries, "query", "sequence", k)
+    if letters is not None:
+        q = q.filter(F.col("kmer").rlike(f"^[{letters}]+$"))
     t = postings(targets, "target", "sequence", k).select("target", F.col("pos").alias("t_pos"), F.col("kmer").alias("t_kmer"))
     pairs = q.join(t, F.col("kmer") == F.col("t_kmer"))
     return pairs.groupBy("query", "target", (F.col("t_pos") - F.col("pos")).alias("diagonal")).agg(F.count(F.lit(1)).alias("n"))
@@ -32,6 +34,20 @@ def top(found: DataFrame, most: int) -> DataFrame:
     return one.withColumn("rank", rank).filter(F.col("rank") <= most).select("query", "target", "best.n", "best.diagonal", "rank")
 
 
+def banded(found: DataFrame, most: int, least: int, band: int) -> DataFrame:
+    """query, target, n, low, high: how many k-mers each query and target share in the densest band of diagonals (the
+    first of equals) and the two on either side of it, and the lowest and highest diagonal of these. For each query the
+    `most` targets with the most, if `least` at least, and all that tie with the last of them."""
+    cells = found.groupBy("query", "target", F.floor(F.col("diagonal") / band).alias("band")).agg(F.sum("n").alias("n"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
+    dense = F.max_by("band", F.struct(F.col("n"), -F.col("band"))).alias("dense")
+    rows = cells.groupBy("query", "target").agg(dense, F.collect_list(F.struct("band", "n", "low", "high")).alias("cells"))
+    near = F.filter("cells", lambda c: F.abs(c["band"] - F.col("dense")) <= 2)
+    rows = rows.select("query", "target", near.alias("near"))
+    rows = rows.select("query", "target", F.aggregate("near", F.lit(0).cast("long"), lambda a, c: a + c["n"]).alias("n"), F.array_min("near.low").alias("low"), F.array_max("near.high").alias("high"))
+    rank = F.rank().over(Window.partitionBy("query").orderBy(F.desc("n")))
+    return rows.filter(F.col("n") >= least).withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+
+
 def best_hits(hits: DataFrame, key: str = "rid") -> DataFrame:
     """For each query the hit with the most bits (null last); ties go to the smaller target."""
     order = F.struct(F.col("bits").isNull(), -F.col("bits"), F.col("target"))

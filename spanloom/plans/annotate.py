@@ -19,6 +19,8 @@ from spanloom.sources import seqfiles, sinks
 #: Residues of all scaffolds up to which their index is broadcast; beyond it seeds are found by a shuffled join.
 BROADCAST_RESIDUES = 64_000_000
 BATCH = 1000
+#: What a task needs of a scaffold besides its name and sequence.
+FIELDS = ("locus", "v_call", "j_call", "starts", "ends", "v_sequence_end", "j_sequence_start")
 
 
 @dataclass
@@ -99,18 +101,19 @@ def reverse_complement(s: str) -> str:
     return bytes(c if c in b"ACGT" else 78 for c in raw).decode()
 
 
-def placed(targets: Targets, options: Options, rows: list[dict]) -> list[dict]:
-    """Best hits of reads, with everything projected. The bits decide, then the target's name, then the forward strand."""
+def placed(targets: Targets, options: Options, rows: list[dict], total: float | None = None, found: tuple[np.ndarray, ...] | None = None) -> list[dict]:
+    """Best hits of reads, with everything projected. The bits decide, then the target's name, then the forward strand.
+    Where the targets are a part of the reference only: total, the residues of all of it, and found, as candidates()."""
     s, index = targets.index.scoring, targets.index
     codes = [s.codes((r["sequence"] or "").upper()) for r in rows]
     n = len(rows)
     if options.seqtype == "nt" and options.both_strands:
         codes = codes + [_COMPLEMENT[c][::-1] for c in codes]
-    read, target, low, high = aligner.candidates(index, codes, options.most, options.min_seeds)
+    read, target, low, high = aligner.candidates(index, codes, options.most, options.min_seeds) if found is None else found
     score = aligner.scores(index, codes, read, target, low, high)
     order = np.lexsort((read >= n, target, -score, read % n)) if n else read  # targets are in the order of their names
     order = order[np.diff(read[order] % n, prepend=-1) > 0] if n else read
-    total = float(index.lengths.sum())
+    total = float(index.lengths.sum()) if total is None else total
     bits = s.bits(score.astype(float))
     evalue = np.array([len(codes[r]) for r in read], float) * total * np.exp2(-bits)
     order = order[(score[order] > 0) & (evalue[order] <= options.evalue)]
@@ -148,20 +151,13 @@ def placed(targets: Targets, options: Options, rows: list[dict]) -> list[dict]:
     return out
 
 
-def _targets(reference: Reference, options: Options) -> Targets | None:
-    """The scaffolds, if few enough to send to every task."""
-    scaffolds = reference.scaffolds.select("scaffold_id", "sequence", "locus", "v_call", "j_call", "starts", "ends", "v_sequence_end", "j_sequence_start")
-    scaffolds = materialised(scaffolds, "scaffolds")  # building them can cost more than the search
-    size = scaffolds.agg(F.sum(F.length("sequence"))).first()[0] or 0
-    if size > BROADCAST_RESIDUES:
-        return None
-    rows = sorted(scaffolds.collect())
-    index = aligner.Index([r[0] for r in rows], [r[1].upper() for r in rows], options.scores())
+def _lines(reference: Reference, options: Options) -> dict[str, d_mapping.Germlines]:
+    """D germlines by locus."""
     germlines: dict[str, list] = {}
     if reference.d_germlines is not None and options.map_d and options.seqtype == "nt":
         for r in reference.d_germlines.select("locus", "allele", "sequence").collect():  # tens of rows a locus
             germlines.setdefault(r[0], []).append((r[1], r[2]))
-    return Targets(index, [r[1] for r in rows], [tuple(r[2:]) for r in rows], {k: d_mapping.Germlines(v) for k, v in germlines.items()})
+    return {k: d_mapping.Germlines(v) for k, v in germlines.items()}
 
 
 def place(reads: DataFrame, reference: Reference, options: Options | None = None) -> DataFrame:
@@ -169,10 +165,15 @@ def place(reads: DataFrame, reference: Reference, options: Options | None = None
     options = options or Options(reference.seqtype)
     if options.seqtype not in ("nt", "aa"):
         raise ValueError(f"unknown sequence type {options.seqtype!r}")
-    targets = _targets(reference, options)
-    if targets is None:
-        return _place_by_join(reads, reference, options)
-    known = reads.sparkSession.sparkContext.broadcast(targets)
+    scaffolds = reference.scaffolds.select("scaffold_id", "sequence", *FIELDS)
+    scaffolds = materialised(scaffolds, "scaffolds")  # building them can cost more than the search
+    size = scaffolds.agg(F.sum(F.length("sequence"))).first()[0] or 0
+    lines = _lines(reference, options)
+    if size > BROADCAST_RESIDUES:
+        return _place_by_join(reads, scaffolds, float(size), lines, options)
+    rows = sorted(scaffolds.collect())
+    index = aligner.Index([r[0] for r in rows], [r[1].upper() for r in rows], options.scores())
+    known = reads.sparkSession.sparkContext.broadcast(Targets(index, [r[1] for r in rows], [tuple(r[2:]) for r in rows], lines))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,35 +188,60 @@ def _spread(reads: DataFrame) -> DataFrame:
     return reads.repartition(4 * reads.sparkSession.sparkContext.defaultParallelism)
 
 
-def _place_by_join(reads: DataFrame, reference: Reference, options: Options) -> DataFrame:
-    """For scaffolds too many to broadcast: seeds by a join, and each read with the rows of its best targets only."""
-    k = options.scores().k
-    both = reads.select(F.col("rid").alias("query"), F.upper("sequence").alias("sequence"))
+def _place_by_join(reads: DataFrame, scaffolds: DataFrame, total: float, lines: dict[str, d_mapping.Germlines], options: Options) -> DataFrame:
+    """For scaffolds too many to broadcast: seeds by a join, counted as candidates() does; each pair of a read's strand
+    and a target is scored as a row, and each read gets the row of its best target only."""
+    s = options.scores()
+    query = lambda rev: F.struct("rid", F.lit(rev).alias("rev")).alias("query")
+    both = reads.select(query(False), F.upper("sequence").alias("sequence"))
     if options.seqtype == "nt" and options.both_strands:
-        both = both.unionByName(both.select("query", sq.reverse_complement(F.col("sequence")).alias("sequence")))
-    found = seed_join.seeds(both, reference.scaffolds.select(F.col("scaffold_id").alias("target"), F.upper("sequence").alias("sequence")), k)
-    best = seed_join.top(found.filter(F.col("n") >= options.min_seeds), options.most).select(F.col("query").alias("rid"), F.col("target").alias("scaffold_id"))
-    rows = best.join(reference.scaffolds, "scaffold_id").groupBy("rid").agg(F.collect_list(F.struct("scaffold_id", "sequence", "locus", "v_call", "j_call", "starts", "ends", "v_sequence_end", "j_sequence_start")).alias("targets"))
-    rows = reads.select("rid", "read_id", "sequence").join(rows, "rid", "left")
-    germlines: dict[str, list] = {}
-    if reference.d_germlines is not None and options.map_d and options.seqtype == "nt":
-        for r in reference.d_germlines.select("locus", "allele", "sequence").collect():
-            germlines.setdefault(r[0], []).append((r[1], r[2]))
-    lines = {key: d_mapping.Germlines(v) for key, v in germlines.items()}
+        both = both.unionByName(reads.select(query(True), sq.reverse_complement(F.upper("sequence")).alias("sequence")))
+    found = seed_join.seeds(both, scaffolds.select(F.col("scaffold_id").alias("target"), F.upper("sequence").alias("sequence")), s.k, aligner.LETTERS[s.alphabet])
+    pairs = seed_join.banded(found, options.most, options.min_seeds, aligner.BAND)
+    pairs = pairs.select("query.*", F.col("target").alias("scaffold_id"), F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
+    pairs = pairs.join(reads.select("rid", "sequence"), "rid").join(scaffolds.select("scaffold_id", F.col("sequence").alias("t_sequence")), "scaffold_id")
+
+    def strand(sequence: str, rev: bool) -> np.ndarray:
+        codes = s.codes(sequence.upper())
+        return _COMPLEMENT[codes][::-1] if rev else codes
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            index, place_of = _index({r["scaffold_id"]: r["t_sequence"] for r in rows}, s)
+            queries = {(r["rid"], r["rev"]): r["sequence"] for r in rows}
+            number = {q: i for i, q in enumerate(queries)}
+            columns = zip(*((number[r["rid"], r["rev"]], place_of[r["scaffold_id"]], r["low"], r["high"]) for r in rows))
+            arrays = [np.array(c, np.int64) for c in columns] or [np.zeros(0, np.int64)] * 4
+            scores = aligner.scores(index, [strand(text, rev) for (_, rev), text in queries.items()], *arrays)
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(scores, pa.int32())], [*names, "score"])
+
+    names = ["rid", "rev", "scaffold_id", "low", "high"]
+    scored = pairs.select(*names, "sequence", "t_sequence").mapInArrow(score, "rid long, rev boolean, scaffold_id string, low long, high long, score int")
+    best = F.min_by(F.struct("scaffold_id", "rev", "low", "high"), F.struct(-F.col("score"), F.col("scaffold_id"), F.col("rev"))).alias("best")
+    own = scored.groupBy("rid").agg(best).select("rid", "best.*").join(scaffolds.withColumnRenamed("sequence", "t_sequence"), "scaffold_id")
+    rows = reads.select("rid", "read_id", "sequence").join(own, "rid", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                own = sorted((row["targets"] or []), key=lambda t: t["scaffold_id"])
-                index = aligner.Index([t["scaffold_id"] for t in own], [t["sequence"].upper() for t in own], options.scores())
-                fields = ("locus", "v_call", "j_call", "starts", "ends", "v_sequence_end", "j_sequence_start")
-                out += placed(Targets(index, [t["sequence"] for t in own], [tuple(t[f] for f in fields) for t in own], lines), options, [row])
-            yield pa.RecordBatch.from_pylist(out, schema=OUT)
+            for k in range(0, batch.num_rows, BATCH):
+                rows = batch.slice(k, BATCH).to_pylist()
+                known = {r["scaffold_id"]: r for r in rows if r["scaffold_id"] is not None}
+                index, place_of = _index({i: r["t_sequence"] for i, r in known.items()}, s)
+                hits = [(i + len(rows) * r["rev"], place_of[r["scaffold_id"]], r["low"], r["high"]) for i, r in enumerate(rows) if r["scaffold_id"] is not None]
+                arrays = tuple(np.array(c, np.int64) for c in zip(*hits)) or (np.zeros(0, np.int64),) * 4
+                targets = Targets(index, [known[i]["t_sequence"] for i in index.ids], [tuple(known[i][f] for f in FIELDS) for i in index.ids], lines)
+                yield pa.RecordBatch.from_pylist(placed(targets, options, rows, total, arrays), schema=OUT)
 
     return rows.mapInArrow(run, SPARK_OUT)
 
 
+def _index(sequences: dict[str, str], scoring: aligner.Scoring) -> tuple[aligner.Index, dict[str, int]]:
+    """Targets by name, without seeds, and where each is."""
+    ids = sorted(sequences)
+    return aligner.Index(ids, [sequences[i].upper() for i in ids], scoring, seeds=False), {x: i for i, x in enumerate(ids)}
+
+
 def annotate(reads: DataFrame, reference: Reference, options: Options | None = None) -> DataFrame:
     """reads: rid, read_id, sequence. One record a read, in the columns of the table, with its rid."""
     options = options or Options(reference.seqtype)

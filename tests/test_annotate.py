@@ -154,3 +154,21 @@ def test_targets_that_seeds_do_not_tell_apart_are_all_aligned(spark):
     got = run(spark, own, [V + js[i] for i in wanted] + [annotate.reverse_complement(V + js[i]) for i in wanted])
     assert [x["j_call"] for x in got] == [f"Js{i:03d}" for i in wanted] * 2
     assert {x["rev_comp"] for x in got[:4]} == {"F"} and {x["rev_comp"] for x in got[4:]} == {"T"}
+
+
+def test_both_searches_agree_on_mutated_and_borderline_reads(spark, monkeypatch):
+    r = random.Random(12)
+    nt = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    vs, js = [nt(100) for _ in range(12)], [nt(30) for _ in range(8)]
+    own = scaffold_rows(spark, [(f"s{i:02d}{k}", v, "N" * 9 + j, f"V{i}") for i, v in enumerate(vs) for k, j in enumerate(js)])
+    mutated = lambda x, rate: "".join(c if r.random() > rate else r.choice(["", "A", "C", "G", "T", "N", c + "AC"]) for c in x)
+    reads = [mutated(r.choice(vs) + nt(r.randint(0, 30)) + r.choice(js), r.choice((0.02, 0.08, 0.15))) for _ in range(120)]
+    reads += [nt(40) + r.choice(vs)[k : k + n] + nt(40) for n in range(11, 27) for k in (0, 30, 60)]  # about the threshold
+    reads = [x if r.random() < 0.5 else annotate.reverse_complement(x) for x in reads] + ["", "N" * 50, nt(80)]
+    frame = seqfiles.from_sequences(spark, reads)
+    want = annotate.annotate(frame, own).orderBy("rid").collect()
+    monkeypatch.setattr(annotate, "BROADCAST_RESIDUES", 0)
+    got = annotate.annotate(frame, own).orderBy("rid").collect()
+    assert got == want
+    hits = [x.aln_evalue is not None for x in want[120:168]]
+    assert 5 < sum(hits) < 43 and sum(x.aln_evalue is not None for x in want[:120]) > 100
