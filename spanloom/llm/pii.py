@@ -1,8 +1,8 @@
 """PII by bootstrapped contextual extraction, in DataFrame operations only.
 
 Base patterns find e-mail and IP addresses, card and phone numbers; what they find are seeds. The two words before a
-seed are a lexical pattern. Words with digits or an at sign that no base span touches are instances without a kind;
-they stand behind lexical patterns too. Over the graph of patterns and instances, scores go back and forth: a
+seed are a lexical pattern. Words with digits or an at sign, and runs of words of digits and separators, that no base
+span touches are instances without a kind; they stand behind lexical patterns too. Over the graph of patterns and instances, scores go back and forth: a
 pattern is worth the share of its instances that are of a kind, an instance what the patterns in front of it are
 worth together, and instances that score well count as evidence in the next round. Where a pattern of high
 confidence stands before an instance that has the form of its kind, the instance becomes a span.
@@ -31,10 +31,11 @@ KINDS = ("email", "ip", "card", "phone")
 PATTERNS = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE)))
 #: Words with a digit or an at sign.
 INSTANCE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Two words or more of digits and separators, with blanks between; a mark such as a comma ends the run.
+_MARKS = r"[^\x20\x09-\x0D\p{L}\p{N}]*+(?![^\x20\x09-\x0D])"
+RUN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}\p{N}+(]*+[+(]*+[0-9][0-9().\-/]*+(?:\x20++[0-9().\-/]++(?=" + _MARKS + "))++" + _MARKS
 EDGE = r"^[^\p{L}\p{N}+(]++|[^\p{L}\p{N})]++$"
 OCTETS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
-#: Code points looked at before a match for the words of its context.
-CONTEXT = 64
 ROUNDS = 3
 CONFIDENCE, SUPPORT, SCORE = 0.5, 3, 0.5
 
@@ -67,30 +68,39 @@ def formed(kind: Column, value: Column) -> Column:
     return (
         F.when(kind == "email", value.rlike(r"^[^@]+@[^@]+$"))
         .when(kind == "ip", value.rlike(r"^[0-9]{1,3}(?:[.:\-][0-9]{1,3}){3}$|^[0-9a-fA-F]{0,4}(?::[0-9a-fA-F]{0,4}){3,7}$"))
-        .when(kind == "phone", n.between(6, 15) & value.rlike(r"^[+(]?[0-9][0-9().\-/]*$"))
-        .otherwise(n.between(12, 19) & value.rlike(r"^[0-9][0-9.\-/]*$"))
+        .when(kind == "phone", n.between(6, 15) & value.rlike(r"^[+(]{0,2}[0-9][0-9().\-/\x20]*$"))
+        .otherwise(n.between(12, 19) & value.rlike(r"^[0-9][0-9.\-/\x20]*$"))
     )
 
 
+def _last(text: Column) -> Column:
+    """The end of a text from the fourth blank from its end on, with one blank for each stretch of white space. What is
+    joined to its front can change the first word only, and a context is the last two words and the blank after them."""
+    return F.substring_index(F.regexp_replace(text, r"[\x20\x09-\x0D]++", " "), " ", -4)
+
+
 def _found(text: Column, pattern: str) -> Column:
-    """The matches of a pattern, each with the length of the text between it and the last one and that text's end."""
+    """The matches of a pattern, each with the length of the text between it and the last one and that text's last words."""
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
-    rows = F.transform(pairs, lambda x: F.struct(F.char_length(x["g"]).alias("gap"), x["m"].alias("value"), F.substring(x["g"], -CONTEXT, CONTEXT).alias("left")))
+    rows = F.transform(pairs, lambda x: F.struct(F.char_length(x["g"]).alias("gap"), x["m"].alias("value"), _last(x["g"]).alias("left")))
     return F.filter(rows, lambda x: x["value"].isNotNull())
 
 
 def _placed(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
-    """Matches as rows, with start and end."""
+    """Matches as rows, with start and end; left goes on through the last two matches, which may be words of a context."""
     rows = rows.select(*by, F.posexplode(column).alias("i", "m")).select(*by, "i", "m.*")
     upto = Window.partitionBy(*by).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*by).orderBy("i")
+    whole = _last(F.concat("left", "value"))
+    rows = rows.withColumn("left", _last(F.concat(F.lag(whole, 2, "").over(order), F.lag(whole, 1, "").over(order), "left")))
     end = F.sum(F.col("gap") + F.char_length("value")).over(upto)
     return rows.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - F.char_length("value"))
 
 
 def _context(left: Column) -> Column:
     """The last two words before a match, in lower case; null if there are not two."""
-    words = F.lower(F.regexp_extract(left, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1))
-    return F.nullif(F.regexp_replace(words, r"[\x20\x09-\x0D]+", " "), F.lit(""))
+    words = F.substring_index(left, " ", -3)
+    return F.when(words.rlike(r"^[^\x20]+\x20[^\x20]+\x20$"), F.lower(F.rtrim(words)))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -102,6 +112,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     needs = {"email": sign, "ip": digit & F.contains(text, F.lit(".")), "card": digit, "phone": digit & F.contains(text, F.lit("+"))}
     lists = [F.when(needs[k], _found(text, PATTERNS[k])).otherwise(none).alias(k) for k in KINDS]
     lists.append(F.when(digit | sign, _found(text, INSTANCE)).otherwise(none).alias("words"))
+    lists.append(F.when(digit & F.contains(text, F.lit(" ")), _found(text, RUN)).otherwise(none).alias("runs"))
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), *lists)
     return stored(rows, "pii-scan")
 
@@ -115,8 +126,8 @@ def base_spans(scan: DataFrame) -> DataFrame:
 
 
 def instances(scan: DataFrame, base: DataFrame) -> DataFrame:
-    """row_id, start, end, value, pattern of words with four digits or an at sign that touch no base span."""
-    rows = _placed(scan.filter("size(words) > 0"), "words", ["row_id"])
+    """row_id, start, end, value, pattern of words and runs with four digits or an at sign that touch no base span."""
+    rows = _placed(scan.filter("size(words) > 0"), "words", ["row_id"]).unionByName(_placed(scan.filter("size(runs) > 0"), "runs", ["row_id"]))
     lead = F.char_length(F.regexp_extract("value", r"^[^\p{L}\p{N}+(]++", 0))
     core = F.regexp_replace("value", EDGE, "")
     rows = rows.withColumn("start", F.col("start") + lead).withColumn("value", core).withColumn("end", F.col("start") + F.char_length("value"))
@@ -124,7 +135,7 @@ def instances(scan: DataFrame, base: DataFrame) -> DataFrame:
     rows = rows.select("row_id", "start", "end", F.lower("value").alias("value"), _context(F.col("left")).alias("pattern"))
     spans = base.select(F.col("row_id").alias("b_row"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
     touch = (F.col("row_id") == F.col("b_row")) & (F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end"))
-    return rows.join(spans, touch, "left_anti")
+    return rows.join(spans, touch, "left_anti").distinct()
 
 
 def bootstrapped(base: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -155,7 +166,10 @@ def bootstrapped(base: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> Dat
         scores = stored(votes.filter(F.col("score") >= SCORE), "pii-scores")
     added = words.join(good, F.col("pattern") == F.col("w_pattern")).join(scores, (F.col("value") == F.col("s_value")) & (F.col("kind") == F.col("s_kind")))
     best = F.max(F.struct("score", "confidence", "kind")).alias("best")
-    return added.groupBy("row_id", "start", "end").agg(best).select("row_id", "best.kind", "start", "end", "best.score")
+    added = added.groupBy("row_id", "start", "end").agg(best).select("row_id", "best.kind", "start", "end", "best.score")
+    # Of a run and words in it, the run stays.
+    before = Window.partitionBy("row_id").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    return added.withColumn("upto", F.max("end").over(before)).filter("upto is null or end > upto").drop("upto")
 
 
 def _joined(start: str = "start", end: str = "end") -> Column:

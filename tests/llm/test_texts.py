@@ -195,6 +195,16 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert all(got[i].n_added == 0 for i in range(8))
 
 
+def test_patterns_discover_identifiers_with_spaces(spark):
+    rows = [(i, f"please call me at +1 (555) 555-01{i:02d} today, my card number is 4111 1111 1111 1111 or card number is 5500 0000 0000 0004, card number is 3400 0000 0000 009") for i in range(8)]
+    new = {100: ("call me at ", "(555) 123-4567", " now", "phone"), 101: ("so call me at ", "020 7946 0958", ", or not", "phone"), 102: ("the card number is ", "4111 1111 1111 1112", ".", "card"), 103: ("555 0100 then call   me\tat \n", "(555)  123 4568", "; 555 0101", "phone")}
+    rows += [(k, a + v + b) for k, (a, v, b, _) in new.items()] + [(104, "costs (555) 123-4567 and 12 345 678"), (105, "x" * 100 + " call" + " " * 90 + "me at 555-0199")]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (a, v, _, kind) in new.items():
+        assert got[k] == f"{kind}:{len(a)}:{len(a) + len(v)}"
+    assert got[104] == "" and got[105].startswith("phone:201:")
+
+
 # Chat
 
 
