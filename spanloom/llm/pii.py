@@ -4,7 +4,8 @@ Base patterns find e-mail and IP addresses, card and phone numbers; what they fi
 seed are a lexical pattern. Words with digits or an at sign, and runs of words of digits and separators, that no base
 span touches are instances without a kind; they stand behind lexical patterns too. Over the graph of patterns and instances, scores go back and forth: a
 pattern is worth the share of its instances that are of a kind, an instance what the patterns in front of it are
-worth together, and instances that score well count as evidence in the next round. Where a pattern of high
+worth together, and instances that score well count as evidence and as support of all their patterns in the next
+round, until nothing changes. Where a pattern of high
 confidence stands before an instance that has the form of its kind, the instance becomes a span.
 
 Positions are code points, end exclusive. They come from running sums over the lengths of matches and of what lies
@@ -36,8 +37,9 @@ _MARKS = r"[^\x20\x09-\x0D\p{L}\p{N}]*+(?![^\x20\x09-\x0D])"
 RUN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}\p{N}+(]*+[+(]*+[0-9][0-9().\-/]*+(?:\x20++[0-9().\-/]++(?=" + _MARKS + "))++" + _MARKS
 EDGE = r"^[^\p{L}\p{N}+(]++|[^\p{L}\p{N})]++$"
 OCTETS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
-ROUNDS = 3
 CONFIDENCE, SUPPORT, SCORE = 0.5, 3, 0.5
+#: Rounds end when as many instances count as before and their scores grew by less than this in all.
+SETTLED = 1e-6
 
 
 def _digits(value: Column) -> Column:
@@ -138,32 +140,39 @@ def instances(scan: DataFrame, base: DataFrame) -> DataFrame:
     return rows.join(spans, touch, "left_anti").distinct()
 
 
-def bootstrapped(base: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Added spans: row_id, kind, start, end, score."""
-    seeds = base.filter("pattern is not null").select("pattern", "kind", "value").distinct()
+def bootstrapped(base: DataFrame, words: DataFrame) -> DataFrame:
+    """Added spans: row_id, kind, start, end, score. Rounds go on until they change nothing: scores only grow, as each
+    round has all that the one before it had."""
+    seeds = stored(base.filter("pattern is not null").select("pattern", "kind", "value").distinct(), "pii-seeds")
     loose = stored(words.filter("pattern is not null").select("pattern", "value").distinct(), "pii-loose")
-    seeds = stored(seeds, "pii-seeds")
     members = seeds.select("pattern", "value").union(loose).distinct().groupBy(F.col("pattern").alias("all_pattern")).agg(F.count(F.lit(1)).alias("members"))
-    worth = seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).cast("double").alias("worth"), F.count(F.lit(1)).alias("support"))
-    # Only patterns with enough seeds can ever count; scores change their worth, not their seeds.
-    worth = worth.filter(F.col("support") >= SUPPORT).join(members, F.col("pattern") == F.col("all_pattern"))
-    worth = stored(worth.select(F.col("pattern").alias("w_pattern"), "kind", "worth", "members"), "pii-patterns")
-    edges = loose.join(worth.select("w_pattern", "kind"), F.col("pattern") == F.col("w_pattern")).filter(formed(F.col("kind"), F.col("value")))
+    seeded = seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("support"))
+    kinds = F.explode(F.array(*map(F.lit, KINDS))).alias("kind")
+    edges = loose.select("pattern", "value", kinds).filter(formed(F.col("kind"), F.col("value"))).join(seeds, ["pattern", "kind", "value"], "left_anti")
+    # Only patterns with enough seeds and instances can ever count.
+    able = edges.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n")).join(seeded, ["pattern", "kind"], "left").filter(F.col("n") + F.coalesce("support", F.lit(0)) >= SUPPORT)
+    able = able.join(members, F.col("pattern") == F.col("all_pattern"))
+    able = stored(able.select(F.col("pattern").alias("w_pattern"), "kind", F.coalesce("support", F.lit(0)).alias("support"), "members"), "pii-patterns")
+    edges = edges.join(able.select("w_pattern", F.col("kind").alias("w_kind")), (F.col("pattern") == F.col("w_pattern")) & (F.col("kind") == F.col("w_kind")))
     edges = stored(edges.select("pattern", "value", F.col("kind").alias("e_kind")), "pii-edges")
-    good = scores = None
-    for _ in range(rounds):
-        gained = F.lit(0.0)
-        now = worth
+    scores, last = None, None
+    while True:
+        gained, more, now = F.lit(0.0), F.lit(0), able
         if scores is not None:
             extra = edges.join(scores, (F.col("value") == F.col("s_value")) & (F.col("e_kind") == F.col("s_kind")))
-            extra = extra.groupBy(F.col("pattern").alias("x_pattern"), F.col("e_kind").alias("x_kind")).agg(F.sum("score").alias("gained"))
-            now = worth.join(extra, (F.col("w_pattern") == F.col("x_pattern")) & (F.col("kind") == F.col("x_kind")), "left")
-            gained = F.coalesce("gained", F.lit(0.0))
-        good = now.select("w_pattern", "kind", ((F.col("worth") + gained) / (F.col("members") + 1)).alias("confidence")).filter(F.col("confidence") >= CONFIDENCE)
+            extra = extra.groupBy(F.col("pattern").alias("x_pattern"), F.col("e_kind").alias("x_kind")).agg(F.sum("score").alias("gained"), F.count(F.lit(1)).alias("more"))
+            now = able.join(extra, (F.col("w_pattern") == F.col("x_pattern")) & (F.col("kind") == F.col("x_kind")), "left")
+            gained, more = F.coalesce("gained", F.lit(0.0)), F.coalesce("more", F.lit(0))
+        now = now.filter(F.col("support") + more >= SUPPORT)
+        good = now.select("w_pattern", "kind", ((F.col("support") + gained) / (F.col("members") + 1)).alias("confidence")).filter(F.col("confidence") >= CONFIDENCE)
         good = stored(good, "pii-good")
         votes = edges.join(good, (F.col("pattern") == F.col("w_pattern")) & (F.col("e_kind") == F.col("kind")))
         votes = votes.groupBy(F.col("value").alias("s_value"), F.col("e_kind").alias("s_kind")).agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"))
         scores = stored(votes.filter(F.col("score") >= SCORE), "pii-scores")
+        n, total = scores.agg(F.count(F.lit(1)), F.coalesce(F.sum("score"), F.lit(0.0))).first()
+        if n == 0 or last is not None and n == last[0] and total - last[1] < SETTLED:
+            break
+        last = n, total
     added = words.join(good, F.col("pattern") == F.col("w_pattern")).join(scores, (F.col("value") == F.col("s_value")) & (F.col("kind") == F.col("s_kind")))
     best = F.max(F.struct("score", "confidence", "kind")).alias("best")
     added = added.groupBy("row_id", "start", "end").agg(best).select("row_id", "best.kind", "start", "end", "best.score")

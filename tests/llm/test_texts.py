@@ -205,6 +205,16 @@ def test_patterns_discover_identifiers_with_spaces(spark):
     assert got[104] == "" and got[105].startswith("phone:201:")
 
 
+def test_bootstrap_goes_on_through_discovered_identifiers(spark):
+    rows = [(i, f"please call me at +1 (555) 555-01{i:02d} today") for i in range(40)]
+    chain = ["call me at", "text him on", "ring us via", "fax it to", "dial up number"]
+    for k, c in enumerate(chain):  # each group of new values stands behind its pattern and all later ones
+        rows += [(1000 + 100 * k + 20 * g + i, f"x {c} 77{g}-01{i:02d} now") for g in range(min(k, 3) + 1) for i in range(3 if g else 12)]
+    rows += [(5000, "so dial up number 999-0199 now"), (5001, "we sold about 999-0198 now")]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")).collect()}
+    assert all(got[d] for d, _ in rows if d < 5000) and got[5000] == "phone:18:26" and got[5001] == ""
+
+
 # Chat
 
 
