@@ -1,7 +1,9 @@
 """Operators over whole tables: mixing, dedup, joins, and the pipeline."""
 
 import hashlib
+import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanloom.llm import exact_dedup, graph, mixing, ngram_join, substring_dedup
+from spanloom.llm import exact_dedup, graph, mixing, ngram_join, quality_knn, substring_dedup
+from spanloom.llm.queries import piece_model
 
 DOCS = "doc_id long, text string, source string, n long, key string, hub string"
 SHA = lambda s: hashlib.sha256(s).hexdigest()
@@ -277,3 +280,43 @@ def test_pipeline_stages(spark):
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, folder).collect()) == Counter(ids)
 
 
+
+
+def test_pipeline_keeps_and_encodes_what_plain_code_does(spark):
+    import sentencepiece
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    model = quality_knn.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    want = set()
+    for i, r in rows.items():
+        v = quality_knn.features((r.text or "").encode()) @ model.project
+        cosines = model.vectors @ (v / max(np.linalg.norm(v), 1e-12))
+        near = sorted(range(len(cosines)), key=lambda n: -cosines[n])[: quality_knn.NEIGHBOURS]
+        weights = [max(float(cosines[n]), 1e-6) ** quality_knn.POWER for n in near]
+        if sum(w * model.labels[n] for w, n in zip(weights, near)) / sum(weights) >= quality_knn.THRESHOLD:
+            want.add(i)
+    kept = []
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, folder)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        kept.append([r.doc_id for r in docs.select("doc_id").collect()])
+    quality, _, near_ids, mix = kept
+    assert 0 < len(want) < len(rows) and set(quality) == want and len(quality) == len(want)
+    goals = {r.source: r.target for r in mixing.mix(spark.createDataFrame([rows[i] for i in near_ids])).collect()}
+    by, copies = defaultdict(list), Counter()
+    for i in near_ids:
+        tie = hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()
+        by[rows[i].source].append((len(re.findall("[^\x20\x09-\x0d]+", rows[i].text or "")), tie, i))
+    for source, own in by.items():
+        total, off = sum(x[0] for x in own), mixing.offset(mixing.SEED)
+        rate = goals[source] / total if total else 0.0
+        for k, (_, _, i) in enumerate(sorted(own), 1):
+            copies[i] += min(math.floor(k * rate + off) - math.floor((k - 1) * rate + off), math.ceil(rate))
+    assert Counter(mix) == +copies
+    library = sentencepiece.SentencePieceProcessor(model_proto=piece_model())
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    ids = {i: library.encode(rows[i].text or "") for i in set(mix)}
+    plain = [(i, len(ids[i]), digest(",".join(map(str, ids[i]))), digest(library.decode(ids[i]))) for i in mix]
+    assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(plain)
