@@ -149,9 +149,9 @@ def scaffold_rows(spark, rows):
 def test_targets_that_seeds_do_not_tell_apart_are_all_aligned(spark):
     r = random.Random(11)
     js = sorted({"".join(r.choice("ACGT") for _ in range(10)) for _ in range(120)}, key=lambda _: r.random())
-    own = scaffold_rows(spark, [(f"s{i:03d}", V, j, "V") for i, j in enumerate(js)])
+    own = scaffold_rows(spark, [(f"s{i:03d}", V, "N" + j, "V") for i, j in enumerate(js)])
     wanted = [3, 40, 77, 119]
-    got = run(spark, own, [V + js[i] for i in wanted] + [annotate.reverse_complement(V + js[i]) for i in wanted])
+    got = run(spark, own, [V + "A" + js[i] for i in wanted] + [annotate.reverse_complement(V + "A" + js[i]) for i in wanted])
     assert [x["j_call"] for x in got] == [f"Js{i:03d}" for i in wanted] * 2
     assert {x["rev_comp"] for x in got[:4]} == {"F"} and {x["rev_comp"] for x in got[4:]} == {"T"}
 
