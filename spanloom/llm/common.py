@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Separators of words: space and the ASCII controls 9 to 13, which is what bytes.split() splits at.
@@ -35,7 +37,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share, from spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary one is made and set.
+    Only where the session names none and runs on one machine (tests) a temporary one is made and set; on a cluster a
+    folder of each machine's own would lose rows, so that is an error.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -43,30 +46,111 @@ def shared_dir(spark: SparkSession) -> str:
         found = sc._jsc.sc().getCheckpointDir()
         where = found.get() if found.isDefined() else None
     if not where:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         where = tempfile.mkdtemp(prefix="spanloom-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Tables that the running operator has stored: path to the session and whether its result reads them.
+_MADE: ContextVar[dict[str, tuple[SparkSession, bool]] | None] = ContextVar("made", default=None)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as a table of its own in the shared folder and read it back: this cuts its lineage, and what
-    was computed outlives any executor."""
+    was computed outlives any executor. In a tidy() function `keep` marks tables that its result still reads."""
     spark = df.sparkSession
     lean(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    made = _MADE.get()
+    if made is not None:
+        made[path] = spark, keep
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.spanloom_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a stored() table that nothing reads any more."""
     path = getattr(df, "spanloom_path", None)
     if path:
-        spark = df.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _delete(df.sparkSession, path)
+
+
+def tidy(f: Callable) -> Callable:
+    """f, after which the tables that it stored are deleted, but for those stored with `keep`: they feed its result.
+    Where f runs inside another tidy function, these go when that one ends."""
+
+    @wraps(f)
+    def run(*args, **options):
+        own: dict[str, tuple[SparkSession, bool]] = {}
+        token = _MADE.set(own)
+        try:
+            return f(*args, **options)
+        finally:
+            _MADE.reset(token)
+            outer = _MADE.get()
+            for path, (spark, keep) in own.items():
+                if not keep:
+                    _delete(spark, path)
+                elif outer is not None:
+                    outer[path] = spark, False
+
+    return run
+
+
+#: A key is hot if it holds over a HOT-th of all rows, so at most so many keys are.
+HOT = 4096
+
+
+def joined_apart(rows: DataFrame, table: DataFrame, keys: list[str], counts: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """rows and table, joined on columns of equal names. counts: keys and n, how many rows have them; total: of all rows.
+    The rows of hot keys meet theirs by broadcast, which is at most HOT rows of the table (keys are unique there) however
+    large it is, so that no task gets them all; the others are shuffled. how: inner, or left to keep rows without."""
+    hot = counts.filter(F.col("n") * HOT > F.lit(total)).select(*keys)
+    hot = F.broadcast(table.join(F.broadcast(hot), keys, "left_semi"))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(table, keys, how))
+
+
+def prefix_sums(rows: DataFrame, order: list[Column], sums: list[str], name: str) -> DataFrame:
+    """rows with `nth` (0 for the first in the order) and before_X for each X of sums (its sum over the rows before),
+    without a task that sees all rows: these are range-partitioned, and sums of whole partitions, which are few, are put
+    before the sums within each."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = stored(ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_place")), name, keep=True)
+    upto = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    every = {"nth": F.lit(1), **{f"before_{c}": F.col(c) for c in sums}}
+    parts = ranged.groupBy(F.col("_part").alias("_p")).agg(*(F.sum(c).alias(f"{n}_p") for n, c in every.items()))
+    parts = parts.select("_p", *(F.coalesce(F.sum(f"{n}_p").over(upto), F.lit(0)).alias(f"{n}_p") for n in every))
+    ranged = ranged.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in every.items()})
+    out = ranged.join(F.broadcast(parts), F.col("_part") == F.col("_p"))  # a row for each partition
+    return out.withColumns({n: F.col(n) + F.col(f"{n}_p") for n in every}).drop("_part", "_place", "_p", *(f"{n}_p" for n in every))
+
+
+def text_key() -> Column:
+    """With the doc_id it tells rows apart, but for those that repeat both id and text."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+@tidy
+def one_each(docs: DataFrame, gone: DataFrame, twins: DataFrame) -> DataFrame:
+    """docs, with all their columns, without the rows whose doc_id and text_key() are in gone; of those in twins one row
+    stays. gone, twins: id, text_key; both without repeats."""
+    on = lambda t: F.col("_id").eqNullSafe(t["id"]) & (F.col("_text_key") == t["text_key"])
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), text_key().alias("_text_key"))
+    rows = rows.join(gone, on(gone), "left_anti")
+    if twins.head(1):
+        some = rows.join(twins, on(twins), "left_semi").groupBy("_id", "_text_key").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+        rows = rows.join(twins, on(twins), "left_anti").select("_row").unionByName(some.select("_row"))
+    return rows.select("_row.*")
 
 
 def word_count(text: Column) -> Column:

@@ -7,10 +7,12 @@ random offset give each document as many copies as it crosses integers. Because
 about the same size, the words taken miss the target by about one document.
 
 Prefix sums need no source in one task: rows are range-partitioned over (source, size, hash), each partition's
-counts by source are added up in a small table, and a row's rank is that sum plus its place in its partition.
+counts by source are added up in a small table, and a row's rank is that sum plus its place in its partition. The
+targets come from prefix sums over sources made alike, so there may be many sources.
 
-Defined cases: null text has size 0. A null source is a source of its own, the last in order. Where all sizes of a
-source are 0, its target and its copies are 0. Repeated rows are sampled one by one. Other columns are ignored.
+Defined cases: null text has size 0; texts of any length are counted whole. A null source is a source of its own, the
+last in order. Where all sizes of a source are 0, its target and its copies are 0. Repeated rows are sampled one by
+one, also where they have no doc_id. mix() ignores other columns; mixed() carries them along, whatever they are called.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import small, stored, word_count
+from spanloom.llm.common import prefix_sums, small, stored, text_key, tidy, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -38,18 +40,15 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     The resharing of excess ends where every target is the smaller of its cap and weight times one level; the level
     is found from sums over the sources in order of cap / weight.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    rows = sizes.withColumn("weight", weight).withColumn("most", F.lit(cap) * F.col("source_size"))
-    by_ratio = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    every = Window.partitionBy()
-    rows = rows.withColumn("all_words", F.sum("source_size").over(every)).withColumn("all_weight", F.sum("weight").over(every))
-    rows = rows.withColumn("capped", F.sum("most").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("spent", F.sum("weight").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)))
-    level = (F.lit(share) * F.col("all_words") - F.coalesce("capped", F.lit(0.0))) / (F.col("all_weight") - F.coalesce("spent", F.lit(0.0)))
-    rows = rows.withColumn("ratio", F.col("most") / F.col("weight")).withColumn("level", level)
-    rows = rows.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(every)["level"])
-    target = F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least("most", F.col("weight") * F.col("level")))
+    pick = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("nth") % len(weights) + 1).cast("int"))
+    rows = prefix_sums(sizes.select("source", "source_size"), [F.col("source").asc_nulls_last()], [], "mix-sources")
+    rows = rows.select("source", "source_size", pick.alias("weight"), (F.lit(cap) * F.col("source_size")).alias("most"))
+    rows = rows.withColumn("ratio", F.col("most") / F.col("weight"))
+    rows = prefix_sums(rows, [F.col("ratio"), F.col("source").asc_nulls_last()], ["most", "weight"], "mix-ratios")
+    words, weight = rows.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(share * (words or 0)) - F.col("before_most")) / (F.lit(weight or 1.0) - F.col("before_weight"))
+    fits = rows.select("ratio", level.alias("level")).filter("level <= ratio").agg(F.min(F.struct("ratio", -F.col("level")))).first()[0]  # of equal ratios the first
+    target = F.least("most", F.col("weight") * F.lit(-fits[1])) if fits else F.col("most")
     return rows.select("source", "source_size", target.alias("target"))
 
 
@@ -59,34 +58,48 @@ def crossings(rank: Column, rate: Column, shift: float) -> Column:
     return F.least(upto(rank) - upto(rank - 1), F.ceil(rate)).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """docs: doc_id, source, text. Returns doc_id, source, size, source_size, target, copies and taken words by row."""
+def _ordered(docs: DataFrame, seed: int, *carried: Column) -> DataFrame:
+    """The rows in order of source and size, with their partition and their place in it."""
     tie = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), tie.alias("tie"))
-    rows = rows.repartitionByRange("source", "size", "tie", "doc_id").sortWithinPartitions("source", "size", "tie", "doc_id")
+    rows = docs.select(
+        *carried, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"),
+        tie.alias("tie"), text_key().alias("text_key"), F.monotonically_increasing_id().alias("nth"),
+    )
+    # Rows that repeat id and text do the same whichever comes first; by their number they are spread over tasks.
+    order = ["source", "size", "tie", "doc_id", "text_key", "nth"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie", "text_key", "nth")
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    ranked = stored(rows.select("doc_id", "source", "size", F.spark_partition_id().alias("part"), place.alias("place")), "mix-order")
+    return stored(rows.select("*", F.spark_partition_id().alias("part"), place.alias("place")), "mix-order", keep=True)
 
+
+def _sampled(ranked: DataFrame, weights: tuple[float, ...], share: float, cap: float, seed: int) -> DataFrame:
+    """_ordered() rows with source_size, target and copies."""
     cells = stored(ranked.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), F.sum("size").alias("words")), "mix-cells")
     goals = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
     before = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     cells = cells.select("source", "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("base"))
     cells = cells.join(goals.withColumnRenamed("source", "goal_source"), F.col("source").eqNullSafe(F.col("goal_source")))
-    cells = stored(cells.select(F.col("source").alias("cell_source"), F.col("part").alias("cell_part"), "base", "source_size", "target"), "mix-goals")
+    cells = stored(cells.select(F.col("source").alias("cell_source"), F.col("part").alias("cell_part"), "base", "source_size", "target"), "mix-goals", keep=True)
 
     out = ranked.join(small(cells), F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("part") == F.col("cell_part")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = crossings(F.col("base") + F.col("place") + 1, rate, offset(seed))
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.withColumn("copies", copies)
+
+
+@tidy
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """docs: doc_id, source, text. Returns doc_id, source, size, source_size, target, copies and taken words by row."""
+    rows = _sampled(_ordered(docs, seed), weights, share, cap, seed)
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of docs as often as its copies say, with all its columns. Of rows that share a
-    doc_id, the largest number of copies counts for all."""
-    plan = mix(docs, **options).groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").alias("mix_copies")).filter("mix_copies > 0")
-    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["mix_id"]))
-    nth = rows.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), plan["mix_copies"])).alias("mix_nth"))
-    return nth.drop("mix_nth")
+@tidy
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """The mix itself: every row of docs as often as its own copies say, with all its columns. Rows travel whole, so
+    they need no id."""
+    rows = _sampled(_ordered(docs, seed, F.struct("*").alias("row")), weights, share, cap, seed).filter("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth")).select("row.*")
 
 
 SQL = f"""
@@ -96,7 +109,7 @@ w AS (SELECT *, {CAP}::DOUBLE * source_size AS most, [{', '.join(f'{float(x)}::D
 l AS (SELECT *, most / weight AS ratio,
   ({SHARE}::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM w),
-t AS (SELECT source, source_size, least(most, weight * coalesce((SELECT level FROM l WHERE level <= ratio ORDER BY ratio, level LIMIT 1), 'inf'::DOUBLE)) AS target FROM l),
+t AS (SELECT source, source_size, least(most, weight * coalesce((SELECT level FROM l WHERE level <= ratio ORDER BY ratio, level DESC LIMIT 1), 'inf'::DOUBLE)) AS target FROM l),
 r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
   row_number() OVER (PARTITION BY d.source ORDER BY size, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), doc_id) AS k
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
