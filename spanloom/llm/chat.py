@@ -4,15 +4,18 @@ A visitor walks the parts of a turn in order. Text becomes escaped text; image,
 placeholders numbered within the turn, and each leaves an attachment: its kind, its reference and how many tokens
 the placeholder stands for once expanded. A turn becomes one fragment; the fragments of a conversation, in order of
 turns, are its formatted text. So a conversation of any length is formatted by all machines at once and read back
-as a stream, never as one value.
+as a stream, never as one value. Neighbouring text parts are joined before they are escaped, so that no control string
+arises where they meet; a placeholder begins with a control and ends with none, so none arises there either.
 
 Controls all contain "<|". Inside texts and roles every backslash is doubled and a backslash is put into each
 control string of CONTROLS after its first character; dropping the first backslash of each pair, and every other
 one, gives the text back.
 
-Defined cases: a null text, part list or role is empty; a part of an unknown kind is an error. Turns are ordered by
-turn (null first), then role, then text; repeated rows are turns of their own. Rows with a null conv_id form one
-conversation. Other columns are ignored.
+Defined cases: a null text, part list, part or role is empty, and a part without a kind is text. A part of a kind that no
+method visits becomes a placeholder named "other", and its attachment keeps the kind and counts one token. Sizes that
+are missing, not finite or not positive count one unit. Turns are ordered by turn (null first), then role, then text as
+it was before escaping; repeated rows are turns of their own. Rows with a null conv_id form one conversation. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ LEARNED = ("assistant",)
 PART = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 _CONTROL = re.compile("|".join(re.escape(c) for c in CONTROLS))
 _FRAGMENT = re.compile(f"{re.escape(START)}(.*?){re.escape(MESSAGE)}(.*?){re.escape(END)}", re.S)
-_PLACEHOLDER = re.compile(r"<\|(?:image|audio|document):\d+\|>")
+_PLACEHOLDER = re.compile(r"<\|[a-z]+:(\d+)\|>")
 
 
 def escape(text: str) -> str:
@@ -52,30 +55,33 @@ class Visitor:
         self.patch, self.per_second, self.per_page = patch, per_second, per_page
 
     def visit(self, parts: list[dict]) -> tuple[str, list[dict]]:
-        out, attachments = [], []
-        for part in parts:
-            kind = part.get("kind") or "text"
-            visit = getattr(self, f"visit_{kind}", None)
-            if visit is None:
-                raise ValueError(f"content parts of kind {kind!r} are unknown")
+        out, attachments, said = [], [], []
+        for part in [*(p or {} for p in parts), None]:
+            kind = (part.get("kind") or "text") if part is not None else None
             if kind == "text":
-                out.append(visit(part))
-            else:
-                attachments.append({"place": len(attachments), "kind": kind, "ref": part.get("ref"), "tokens": visit(part)})
-                out.append(f"<|{kind}:{attachments[-1]['place']}|>")
+                said.append(part.get("text") or "")
+                continue
+            out.append(escape("".join(said)))
+            said = []
+            if kind is not None:
+                tokens = getattr(self, f"visit_{kind}", None)
+                attachments.append({"place": len(attachments), "kind": kind, "ref": part.get("ref"), "tokens": tokens(part) if tokens else 1})
+                out.append(f"<|{kind if tokens else 'other'}:{attachments[-1]['place']}|>")
         return "".join(out), attachments
 
-    def visit_text(self, part: dict) -> str:
-        return escape(part.get("text") or "")
+    @staticmethod
+    def _size(part: dict, name: str, none: float = 1) -> float:
+        value = part.get(name)
+        return value if value is not None and math.isfinite(value) and value > 0 else none
 
     def visit_image(self, part: dict) -> int:
-        return math.ceil((part.get("width") or 1) / self.patch) * math.ceil((part.get("height") or 1) / self.patch)
+        return math.ceil(self._size(part, "width") / self.patch) * math.ceil(self._size(part, "height") / self.patch)
 
     def visit_audio(self, part: dict) -> int:
-        return max(1, math.ceil((part.get("seconds") or 0) * self.per_second))
+        return max(1, math.ceil(self._size(part, "seconds", 0) * self.per_second))
 
     def visit_document(self, part: dict) -> int:
-        return (part.get("pages") or 1) * self.per_page
+        return int(self._size(part, "pages")) * self.per_page
 
 
 _TURN = pa.struct([("place", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())])
@@ -114,6 +120,17 @@ def read_back(text: str) -> list[tuple[str, str]]:
     return [(unescape(role), unescape(body)) for role, body in _FRAGMENT.findall(text)]
 
 
+def read_parts(body: str) -> list[str | int]:
+    """The parts of the body of one turn in a formatted text: texts as they were, and the places of attachments."""
+    out: list[str | int] = []
+    for i, piece in enumerate(_PLACEHOLDER.split(body)):
+        if i % 2:
+            out.append(int(piece))
+        elif piece:
+            out.append(unescape(piece))
+    return out
+
+
 def read_digests(fragments: DataFrame) -> DataFrame:
     """Read conversations back from their fragments: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
     formatted_chars. Fragments pass in order and only running digests are held; SHA-256 of a whole conversation is
@@ -146,7 +163,10 @@ def read_digests(fragments: DataFrame) -> DataFrame:
             out.append((at, turns, whole.hexdigest(), learned, loss.hexdigest(), total))
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("fragment").asc()]
+    # loss_start is where the body begins; it is unescaped for the order only after the shuffle.
+    body = F.substring(F.col("fragment"), F.col("loss_start") + 1, F.greatest(F.length("fragment") - F.col("loss_start") - len(END), F.lit(0)))
+    said = F.regexp_replace(body, r"(?s)\\(.?)", "$1")
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")), said, F.col("fragment")]
     rows = fragments.select("conv_id", "turn", "role", "fragment", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions(*order)
     return rows.select("conv_id", "fragment", "loss_start", "loss_end").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
@@ -161,9 +181,9 @@ def _sql_escaped(column: str) -> str:
 SQL = f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum({len(START + MESSAGE + END)} + length({_sql_escaped('role')}) + length({_sql_escaped('text')}))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
 """
