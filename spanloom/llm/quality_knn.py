@@ -9,9 +9,13 @@ labels of the nearest ones are averaged with their similarities (to a power) as
 The labelled rows to fit are a bounded sample: the `per_class` ones of each class that come first by a hash of
 their id. Whole texts are read, and neither ids nor other columns enter a score.
 
+Cosines are computed in double precision and rounded to 9 decimals, so that a score does not depend on how rows are
+batched. Of labelled rows with equal cosines those with the smaller doc_id come first among the nearest.
+
 Defined cases: null text counts as empty. Empty texts have no bigrams and are scored by what is left, which makes
 them alike. With one class only its label is the score; without labels the score is 0.5. Labels other than 0 and 1
-and null ones are ignored; of rows with one doc_id the fit uses one. A null doc_id counts as held out.
+and null ones are ignored before anything else; a doc_id labelled both 0 and 1 counts as 1. Of several texts of one
+doc_id the fit uses the smallest one (null first). A null doc_id counts as held out.
 """
 
 from __future__ import annotations
@@ -71,11 +75,15 @@ class Model:
         """Of a block of feature rows."""
         if not len(self.labels):
             return np.full(len(rows), 0.5)
-        cosines = _unit(rows @ self.project) @ self.vectors.T
-        k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k] if k < len(self.labels) else np.broadcast_to(np.arange(k), (len(rows), k))
-        weights = np.clip(np.take_along_axis(cosines, near, 1), 1e-6, None).astype(np.float64) ** POWER
-        return np.clip((weights * self.labels[near]).sum(1) / weights.sum(1), 0, 1)
+        n = len(self.labels)
+        cosines = np.round(_unit(rows @ self.project) @ self.vectors.T, 9)
+        k = min(NEIGHBOURS, n)
+        # Whole numbers that are larger for larger cosines and, among equals, for the rows that come first.
+        rank = (cosines * 1e9).round().astype(np.int64) * n + np.arange(n - 1, -1, -1)
+        near = np.argpartition(-rank, k - 1, axis=1)[:, :k] if k < n else np.broadcast_to(np.arange(n), rank.shape)
+        near = np.sort(near, axis=1)
+        weights = np.clip(np.take_along_axis(cosines, near, 1), 1e-6, None) ** POWER
+        return np.round(np.clip((weights * self.labels[near]).sum(1) / weights.sum(1), 0, 1), 9)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -85,11 +93,12 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, dimensions: int = DIMENSIONS) -> Model:
     """docs: doc_id, text; labels: doc_id, quality. Only rows that are not held out are used."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    rows = rows.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = rows.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     first = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = rows.filter("quality = 0").orderBy(*first).limit(per_class).unionByName(rows.filter("quality = 1").orderBy(*first).limit(per_class))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "quality", "text")  # 2 * per_class rows at most
+    texts = texts.join(F.broadcast(some), "doc_id")  # 2 * per_class rows at most
+    texts = texts.groupBy("doc_id", "quality").agg(F.min(F.struct("text")).alias("text")).select("doc_id", "quality", "text.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,13 +107,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, dimensio
                 yield pa.record_batch([piece.column(0), piece.column(1), pa.array(found, pa.binary())], names=["doc_id", "quality", "terms"])
 
     sample = sorted(texts.mapInArrow(run, "doc_id long, quality int, terms binary").collect())
-    x = np.array([np.frombuffer(r.terms, np.float32) for r in sample], np.float32).reshape(-1, TERMS)
+    x = np.array([np.frombuffer(r.terms, np.float32) for r in sample], np.float64).reshape(-1, TERMS)
     y = np.array([r.quality for r in sample], np.float64)
     if not len(y):
-        return Model(np.zeros((TERMS, 0), np.float32), np.zeros((0, 0), np.float32), y)
-    rare = np.log1p(len(x) / (1 + (x > 0).sum(0))).astype(np.float32)
-    values, directions = np.linalg.eigh((x * rare).T.astype(np.float64) @ (x * rare))
-    leading = directions[:, np.argsort(values)[::-1][:dimensions]].astype(np.float32)
+        return Model(np.zeros((TERMS, 0)), np.zeros((0, 0)), y)
+    rare = np.log1p(len(x) / (1 + (x > 0).sum(0)))
+    values, directions = np.linalg.eigh((x * rare).T @ (x * rare))
+    leading = directions[:, np.argsort(values)[::-1][:dimensions]]
     project = rare[:, None] * leading
     return Model(project, _unit(x @ project), y)
 
