@@ -16,8 +16,8 @@ inequality; a prefix filter on the differences where there are many). So no entr
 are long within one task are first gathered there under a salted key, so hot entries reach the shuffle reduced.
 
 Defined cases: null and empty texts, and texts without words, have no n-grams and link with nothing: each is its own
-component. Texts with fewer words than n have one, the whole. Rows that repeat a text are one class; if all its
-doc_ids are null so is its component_id. Other columns are ignored.
+component. Texts with fewer words than n have one, the whole; long texts count with all their n-grams. Rows that repeat
+a text are one class; if all its doc_ids are null so is its component_id. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Bitmap, key_bitmap, slices, small, stored, text_bytes
+from spanloom.llm.common import Bitmap, joined_apart, key_bitmap, one_each, slices, small, stored, text_bytes, text_key, tidy
 from spanloom.llm.graph import components
 from spanloom.llm.substring_dedup import _B, Sequences, _mixed
 
@@ -216,7 +216,7 @@ def index_keys(sets: list[np.ndarray], plan: Plan) -> tuple[np.ndarray, np.ndarr
 
 # Passes over texts
 
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("band", pa.int32()), ("id", pa.int64()), ("key", pa.binary()), ("digest", pa.binary())])
+SETS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("band", pa.int32()), ("id", pa.int64()), ("key", pa.binary()), ("digest", pa.binary())])
 
 
 def _sets(words: int, numerator: int) -> object:
@@ -230,6 +230,7 @@ def _sets(words: int, numerator: int) -> object:
                 sizes = np.array([len(x) for x in sets], np.int64)
                 yield pa.record_batch([
                     piece.column(0),
+                    piece.column(2),
                     pa.array(sizes),
                     pa.array((np.searchsorted(edges, sizes, side="right") - 1).astype(np.int32)),
                     pa.array([short(k) for k in keys], pa.int64()),
@@ -403,10 +404,12 @@ def _crossing(mixed: DataFrame, grams: DataFrame, numerator: int) -> DataFrame:
     return few.union(found).distinct().select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
 
 
-def ngram_join(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, n_shingles and component_id for each row."""
+@tidy
+def _labelled(docs: DataFrame, words: int, numerator: int) -> DataFrame:
+    """doc_id, text_key, n, label (of its component; null without n-grams) for each row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stored(docs.mapInArrow(_sets(words, numerator), "doc_id long, n long, band int, id long, key binary, digest binary"), "ngram-sets")
+    sets = docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(_sets(words, numerator), "doc_id long, text_key long, n long, band int, id long, key binary, digest binary")
+    sets = stored(sets, "ngram-sets", keep=True)
     bands = sets.filter("n > 0").groupBy("band").agg(F.count(F.lit(1)).alias("sets"), F.max("n").alias("most")).collect()  # a row for each power of 1 / 0.85
     plan = Plan({r.band: r.sets for r in bands}, max([1, *(r.most for r in bands)]), numerator)
 
@@ -474,19 +477,30 @@ def ngram_join(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR)
         more = stored(compared(crossing, grams, numerator).filter("linked").select("a", "b"), "ngram-more")
         if more.head(1):
             links = links.union(more)
-    labels = components(links)
-
-    rows = sets.join(labels, F.col("key") == F.col("node"), "left")
-    group = F.when(F.col("n") > 0, F.coalesce("label", "key"))
-    rows = rows.select("doc_id", "n", group.alias("label"))
-    lowest = rows.filter("label is not null").groupBy(F.col("label").alias("l_label")).agg(F.min("doc_id").alias("lowest"))
-    lowest = stored(lowest, "ngram-lowest")
-    rows = rows.join(lowest, F.col("label") == F.col("l_label"), "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, with all their columns. Rows that share a doc_id
-    stay together, and rows without one stay."""
-    found = ngram_join(docs, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("other_id")).distinct()
-    return docs.join(found, docs["doc_id"] == found["other_id"], "left_anti")
+    labels = stored(components(links).withColumnRenamed("node", "key"), "ngram-components", keep=True)
+    copies = stored(sets.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "ngram-copies", keep=True)
+    rows = joined_apart(sets.select("doc_id", "text_key", "n", "key"), labels, ["key"], copies, sets.count(), "left")
+    return rows.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.coalesce("label", "key")).alias("label"))
+
+
+@tidy
+def ngram_join(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, n_shingles and component_id for each row."""
+    rows = stored(_labelled(docs, words, numerator), "ngram-rows", keep=True)
+    lowest = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("n"))
+    lowest = stored(lowest, "ngram-lowest", keep=True)
+    rows = joined_apart(rows.withColumnRenamed("n", "n_shingles"), lowest.drop("n"), ["label"], lowest, rows.count(), "left")
+    return rows.select("doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id"))
+
+
+@tidy
+def one_of_each(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR) -> DataFrame:
+    """One row of each component, with all its columns: that with the smallest doc_id (null last), of several of these the
+    one whose text hashes least, of rows that repeat that too any one. Rows without n-grams all stay."""
+    rows = stored(_labelled(docs, words, numerator).filter("label is not null"), "ngram-rows")
+    me = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "text_key")
+    best = stored(rows.groupBy("label").agg(F.min(me).alias("best"), F.count(F.lit(1)).alias("n")), "ngram-best")
+    rows = joined_apart(rows, best.filter("n > 1").select("label", "best"), ["label"], best, rows.count()).select(me.alias("me"), "best")
+    own = rows.groupBy("me.id", "me.text_key").agg(F.max(F.col("me") == F.col("best")).alias("kept"), F.count(F.lit(1)).alias("same"))
+    own = stored(own, "ngram-others", keep=True)
+    return one_each(docs, own.filter("not kept").select("id", "text_key"), own.filter("kept and same > 1").select("id", "text_key"))
