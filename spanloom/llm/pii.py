@@ -12,7 +12,8 @@ Positions are code points, end exclusive. They come from running sums over the l
 between them, by row, so that long texts with many matches take linear time.
 
 Defined cases: null text counts as empty and has no spans. Repeated rows are found alike, each for itself. A value
-that occurs often counts once for a pattern. Other columns are ignored.
+that occurs often counts once for a pattern. Of kinds that score the same for an instance, the more confident pattern
+and then the later kind in the alphabet decides. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import stored
+from spanloom.llm.common import stored, tidy
 
 #: Patterns by kind, in the order of kinds. Possessive repeats and starts only at a run's first character (or where
 #: the last match ended) find the same matches in linear time.
@@ -116,7 +117,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     lists.append(F.when(digit | sign, _found(text, INSTANCE)).otherwise(none).alias("words"))
     lists.append(F.when(digit & F.contains(text, F.lit(" ")), _found(text, RUN)).otherwise(none).alias("runs"))
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), *lists)
-    return stored(rows, "pii-scan")
+    return stored(rows, "pii-scan", keep=True)
 
 
 def base_spans(scan: DataFrame) -> DataFrame:
@@ -187,12 +188,13 @@ def _joined(start: str = "start", end: str = "end") -> Column:
     return F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct(F.col(start), order.alias("o"), text.alias("text")))), lambda x: x["text"]))
 
 
+@tidy
 def find(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_added."""
     scan = scanned(docs)
-    base = stored(base_spans(scan), "pii-base")
+    base = stored(base_spans(scan), "pii-base", keep=True)
     words = stored(instances(scan, base), "pii-words")
-    added = stored(bootstrapped(base, words), "pii-added")
+    added = stored(bootstrapped(base, words), "pii-added", keep=True)
     counts = [F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in KINDS]
     own = base.groupBy(F.col("row_id").alias("own_row")).agg(*counts, _joined().alias("base"))
     every = base.select("row_id", "kind", "start", "end").withColumn("more", F.lit(0)).unionByName(added.select("row_id", "kind", "start", "end").withColumn("more", F.lit(1)))

@@ -8,8 +8,8 @@ Words are maximal runs without space and the controls 9 to 13. Base rules: `shor
 (over half of the words lie in a 3-word window that occurs twice or more in the text).
 
 Defined cases: null text counts as empty: all measurements are 0 and `short` fails. Ratios are compared without
-division, so that no rule of ratios fails for a text without words. Repeated rows are judged alike. Other columns
-are ignored.
+division, so that no rule of ratios fails for a text without words. Texts of any length are measured whole, one at a
+time. Repeated rows are judged alike. Other columns are ignored.
 """
 
 from __future__ import annotations

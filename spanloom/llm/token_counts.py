@@ -5,7 +5,8 @@ below a row answer, for that length as context limit: how many documents fit, al
 there, and the share of documents up to it, whose first row at or over q is the q-quantile. Limits that do not
 occur lie on the line between their neighbours, so the table answers them too (truncated_total).
 
-Defined cases: null and empty texts have length 0; no rows give no rows. Repeated rows count each.
+Defined cases: null and empty texts have length 0; no rows give no rows. Repeated rows count each. Texts of any length
+are encoded whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import piece_bpe
-from spanloom.llm.common import stored
+from spanloom.llm.common import stored, tidy
 
 #: Lengths in one block of running sums.
 BLOCK = 1024
@@ -67,7 +68,8 @@ def quantile(table: DataFrame, q: float) -> int | None:
     return table.filter(F.col("share") >= q).agg(F.min("length")).first()[0]
 
 
+@tidy
 def token_counts(docs: DataFrame, model: bytes) -> DataFrame:
     """docs: doc_id, text. The limits() table of the texts' encoded lengths."""
     counts = histogram(piece_bpe.encoded(docs, model, ids=False, decoded=False).select("n_tokens"))
-    return limits(stored(counts, "token-lengths"))
+    return limits(stored(counts, "token-lengths", keep=True))
