@@ -3,26 +3,31 @@
 Every text gets a 64-bit key. A directory over the leading bits of the keys is doubled until no bucket holds
 more text than one owner task should read. Map tasks collapse equal texts before anything moves, so a text sends
 one entry per map task however often it occurs. An owner task gets whole buckets, that is ranges of keys, in key
-order; entries with one key are chained and told apart by their bytes. What the owners find is written as index
-pages to the shared folder, and documents look their group up there.
-
-Defined cases: null text counts as empty, and empty texts are copies of each other. A null doc_id never beats
-another one; a group of nulls only keeps null. Rows that repeat doc_id and text share one verdict and count
-towards group_size. Other columns are ignored, whatever their names.
+order; entries with one key are chained and told apart by their bytes. Entries of hot keys, of which there are at most
+HOT, are first dealt over several owners by where they come from, so that each reads a share of the copies; what is
+left of them, one entry an owner, is chained once more. What the owners find is written as index pages to the shared
+folder, and documents look their group up there.
+
+Defined cases: null text counts as empty, and empty texts are copies of each other. Texts of any length are compared
+whole. A null doc_id never beats another one; a group of nulls only has keep_id null. Just one row of a group is kept: of
+several with the largest doc_id the one whose text as written hashes least, of rows that repeat that too any one. All
+rows count towards group_size. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import discard, slices, stored, text_bytes
+from spanloom.llm.common import HOT, joined_apart, one_each, slices, stored, text_bytes, text_key, tidy
 
 #: Text that a bucket holds before it is split, and the most bits of a directory (a million buckets).
 BUCKET_BYTES = 8 << 20
@@ -30,9 +35,12 @@ MAX_DEPTH = 20
 #: A map task collapses equal texts within about this much text.
 COLLAPSE_BYTES = 32 << 20
 
-DIGEST = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("sha", pa.binary()), ("n_bytes", pa.int64())])
-ENTRY = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("sha", pa.binary()), ("keep_id", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
-PAGE = pa.schema([("key", pa.int64()), ("sha", pa.binary()), ("keep_id", pa.int64()), ("n", pa.int64())])
+#: Owner tasks; with more buckets each gets several.
+MOST_TASKS = 20_000
+
+DIGEST = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("key", pa.int64()), ("sha", pa.binary()), ("n_bytes", pa.int64())])
+ENTRY = pa.schema([("lane", pa.int32()), ("hot", pa.bool_()), ("key", pa.int64()), ("sha", pa.binary()), ("keep_id", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
+PAGE = pa.schema([("hot", pa.bool_()), ("key", pa.int64()), ("sha", pa.binary()), ("keep_id", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
 
 
 def key_of(body: bytes) -> int:
@@ -81,22 +89,31 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bodies = [x.lower() for x in text_bytes(batch.column(1))]  # bytes.lower() changes A-Z only
         yield pa.record_batch([
             batch.column(0),
+            batch.column(2),
             pa.array([key_of(x) for x in bodies], pa.int64()),
             pa.array([hashlib.sha256(x).digest() for x in bodies], pa.binary()),
             pa.array([len(x) for x in bodies], pa.int64()),
         ], schema=DIGEST)
 
 
-def _entries(directory) -> object:
+def _lane(index: Directory, tasks: int, key: int, hot: bool) -> int:
+    """The owner of a key: buckets are dealt in ranges. Hot keys have about as many owners as the root of all."""
+    if not hot:
+        return index.bucket(key) * tasks // index.buckets
+    return (key + TaskContext.get().partitionId() % math.isqrt(tasks)) % tasks
+
+
+def _entries(known, tasks: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Directory = directory.value
+        index, hot = known.value
         held: dict[bytes, list] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
             keys = [key_of(x) for x in held]
             return pa.record_batch([
-                pa.array([index.bucket(k) for k in keys], pa.int32()),
+                pa.array([_lane(index, tasks, k, k in hot) for k in keys], pa.int32()),
+                pa.array([k in hot for k in keys], pa.bool_()),
                 pa.array(keys, pa.int64()),
                 pa.array([hashlib.sha256(x).digest() for x in held], pa.binary()),
                 pa.array([x[0] for x in held.values()], pa.int64()),
@@ -122,45 +139,56 @@ def _entries(directory) -> object:
     return run
 
 
-def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries come in order of their keys; chain: the different texts of the current key."""
-    at, chain, out = None, [], []
+def _pages(last: bool) -> object:
+    """Entries come in order of their keys; chain: the different texts of the current key. What is left of hot ones goes
+    on with its text, unless this is the last look at them."""
 
-    def close() -> None:
-        out.extend((at, sha, keep, n) for _, sha, keep, n in chain if n > 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, chain, out = None, [], []
 
-    def page() -> pa.RecordBatch:
-        columns = list(zip(*out)) or [[]] * 4
-        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, PAGE)], schema=PAGE)
+        def close() -> None:
+            out.extend((hot and not last, at, sha, keep, n, body if hot and not last else None) for body, sha, keep, n, hot in chain if n > 1 or hot and not last)
 
-    for batch in batches:
-        keys, shas, keeps, counts, bodies = (batch.column(i) for i in range(1, 6))
-        for i, key in enumerate(keys.to_pylist()):
-            if key != at:
-                close()
-                at, chain = key, []
-            body = bodies[i].as_py()
-            for link in chain:
-                if link[0] == body:
-                    link[2], link[3] = larger(link[2], keeps[i].as_py()), link[3] + counts[i].as_py()
-                    break
-            else:
-                chain.append([body, shas[i].as_py(), keeps[i].as_py(), counts[i].as_py()])
-        if len(out) >= 10_000:
-            yield page()
-            out.clear()
-    close()
-    yield page()
+        def page() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [[]] * len(PAGE)
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, PAGE)], schema=PAGE)
 
+        for batch in batches:
+            hots, keys, shas, keeps, counts, bodies = (batch.column(f.name) for f in PAGE)
+            for i, key in enumerate(keys.to_pylist()):
+                if key != at:
+                    close()
+                    at, chain = key, []
+                body = bodies[i].as_py()
+                for link in chain:
+                    if link[0] == body:
+                        link[2], link[3] = larger(link[2], keeps[i].as_py()), link[3] + counts[i].as_py()
+                        break
+                else:
+                    chain.append([body, shas[i].as_py(), keeps[i].as_py(), counts[i].as_py(), hots[i].as_py()])
+            if out:
+                yield page()
+                out.clear()
+        close()
+        yield page()
 
-def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, keep_id, group_size, kept, text_sha256 for each row."""
+    return run
+
+
+_PAGE = "hot boolean, key long, sha binary, keep_id long, n long, body binary"
+
+
+@tidy
+def _judged(docs: DataFrame, bucket_bytes: int, max_depth: int) -> DataFrame:
+    """doc_id, text_key, sha, keep_id, n and kept for each row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    log = stored(docs.mapInArrow(_digests, "doc_id long, key long, sha binary, n_bytes long"), "dedup-log")
+    log = docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(_digests, "doc_id long, text_key long, key long, sha binary, n_bytes long")
+    log = stored(log.withColumn("row_id", F.monotonically_increasing_id()), "dedup-log")
 
-    per_key = log.groupBy("key").agg(F.max("n_bytes").alias("n_bytes"))
-    total, n_keys = per_key.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    per_key = log.groupBy("key").agg(F.max("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n"))
+    per_key = stored(per_key, "dedup-keys")
+    total, n_keys, n_rows = per_key.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     finest = min(max_depth, max(1, (total // bucket_bytes).bit_length() + 4))
     slot = F.shiftrightunsigned("key", 64 - finest).alias("slot")
     weights = np.zeros(1 << finest, np.int64)
@@ -168,33 +196,46 @@ def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, max_depth: in
         by_slot = per_key.groupBy(slot).agg(F.sum("n_bytes").alias("w")).toArrow()  # 2 ** max_depth rows at most, as arrays
         weights[by_slot["slot"].to_numpy()] = by_slot["w"].to_numpy()
     directory = Directory.grown(weights, bucket_bytes)
+    hot = per_key.filter((F.col("n") > 1) & (F.col("n") * HOT > F.lit(n_rows))).select("key").toArrow()  # fewer than HOT rows
+
+    tasks = min(directory.buckets, MOST_TASKS)
+    known = spark.sparkContext.broadcast((directory, frozenset(hot["key"].to_pylist())))  # 4 bytes a slot
+    entries = docs.mapInArrow(_entries(known, tasks), "lane int, hot boolean, key long, sha binary, keep_id long, n long, body binary")
+    owned = entries.repartitionById(tasks, "lane").sortWithinPartitions("key").drop("lane")
+    pages = stored(owned.mapInArrow(_pages(last=False), _PAGE), "dedup-pages")
+    rest = pages.filter("hot").repartition("key").sortWithinPartitions("key").mapInArrow(_pages(last=True), _PAGE)
+    pages = stored(pages.filter("not hot").unionByName(rest).select("key", "sha", "keep_id", "n"), "dedup-groups")
+
+    rows = joined_apart(log.drop("n_bytes"), pages, ["key", "sha"], pages, n_rows, "left")
+    one = F.col("n").isNull()
+    rows = rows.withColumns({"keep_id": F.when(one, F.col("doc_id")).otherwise(F.col("keep_id")), "n": F.coalesce("n", F.lit(1))})
+    rows = stored(rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))), "dedup-rows", keep=True)
+    # Of rows that share text and largest doc_id one is kept.
+    twins = rows.filter("kept and n > 1").groupBy("key", "sha").agg(F.count(F.lit(1)).alias("same"), F.min(F.struct("text_key", "row_id")).alias("first"))
+    twins = stored(twins.filter("same > 1").select("key", "sha", F.col("first.row_id").alias("first_row")), "dedup-twins", keep=True)
+    if twins.head(1):
+        rows = joined_apart(rows, twins, ["key", "sha"], pages, n_rows, "left")
+        rows = stored(rows.withColumn("kept", F.col("kept") & (F.col("row_id") == F.coalesce("first_row", "row_id"))), "dedup-last", keep=True)
+    return rows.select("doc_id", "text_key", "sha", "keep_id", "n", "kept")
 
-    known = spark.sparkContext.broadcast(directory)  # 4 bytes a slot
-    entries = docs.mapInArrow(_entries(known), "bucket int, key long, sha binary, keep_id long, n long, body binary")
-    owned = entries.repartition(min(directory.buckets, 20_000), "bucket").sortWithinPartitions("bucket", "key")
-    pages = stored(owned.mapInArrow(_pages, "key long, sha binary, keep_id long, n long"), "dedup-pages")
 
-    found = pages.select(F.col("key").alias("page_key"), F.col("sha").alias("page_sha"), F.col("keep_id").alias("page_keep"), F.col("n").alias("page_n"))
-    one = F.col("page_n").isNull()
-    keep = F.when(one, F.col("doc_id")).otherwise(F.col("page_keep"))
-    return log.join(found, (F.col("key") == F.col("page_key")) & (F.col("sha") == F.col("page_sha")), "left").select(
-        "doc_id",
-        keep.alias("keep_id"),
-        F.coalesce("page_n", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-    )
+def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, keep_id, group_size, kept, text_sha256 for each row."""
+    rows = _judged(docs, bucket_bytes, max_depth)
+    return rows.select("doc_id", "keep_id", F.col("n").cast("long").alias("group_size"), "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def without_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns. Rows that share a doc_id stay together."""
-    verdicts = exact_dedup(docs, **options)
-    gone = verdicts.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("kept").alias("gone_kept")).filter(~F.col("gone_kept")).select("gone_id")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+@tidy
+def without_copies(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """One row of each group of equal texts, the one that exact_dedup keeps, with all its columns."""
+    own = _judged(docs, bucket_bytes, max_depth).filter("n > 1").groupBy(F.col("doc_id").alias("id"), "text_key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("same"))
+    own = stored(own, "dedup-copies", keep=True)
+    return one_each(docs, own.filter("not kept").select("id", "text_key"), own.filter("kept and same > 1").select("id", "text_key"))
 
 
 SQL = """
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
-g AS (SELECT doc_id, body, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM t)
-SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(body) AS text_sha256 FROM g
+g AS (SELECT doc_id, body, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+  row_number() OVER (PARTITION BY body ORDER BY doc_id DESC NULLS LAST) AS nth FROM t)
+SELECT doc_id, keep_id, group_size, nth = 1 AS kept, sha256(body) AS text_sha256 FROM g
 """

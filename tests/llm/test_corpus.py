@@ -61,9 +61,29 @@ def test_mix_meets_its_targets(spark):
                 want[s] = 2.0 * size[s]
                 free.discard(s)
     assert all(goals[s] == pytest.approx(want[s], abs=1e-6) for s in names)
-    copies = sum(r.copies for r in got if r.doc_id != 5002)
-    assert mixing.mixed(docs.filter("doc_id <> 5002")).count() == copies
-    assert mixing.mix(docs.filter("false")).count() == 0
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
+    assert mixing.mix(docs.filter("false")).count() == 0 and mixing.mixed(docs.filter("false")).count() == 0
+
+
+def test_mixed_samples_rows_one_by_one(spark):
+    rows = [(7, "a b", "s"), (7, "a b", "s"), (7, "c d e", "s"), (None, "x", "s"), (None, "x", "s"), (None, None, None), (8, "y " * 40, "t")] * 9
+    docs = spark.createDataFrame([(*r, k, 1, 2, 3) for k, r in enumerate(rows)], "doc_id long, text string, source string, mix_nth int, copies int, row int, part int").repartition(4)
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.source, r.size] += r.copies
+    got = mixing.mixed(docs).collect()
+    assert Counter((r.doc_id, r.source, len((r.text or "").split())) for r in got) == +want and got[0].asDict().keys() == set(docs.columns)
+    assert max(Counter(r.mix_nth for r in got).values()) <= 2  # a row of its own each, with its own columns
+
+
+def test_many_sources(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('host', id % 1000) AS source", "repeat('w ', cast(1 + id % 17 AS INT)) AS text")
+    goals = {r.source: (r.target, r.source_size) for r in mixing.mix(docs).collect()}
+    total = sum(s for _, s in goals.values())
+    assert len(goals) == 1000 and sum(t for t, _ in goals.values()) == pytest.approx(1.5 * total)
+    level = max(t / (5, 2, 1)[i % 3] for i, (t, s) in enumerate(v for _, v in sorted(goals.items())))
+    assert all(t == pytest.approx(min(2 * s, level * (5, 2, 1)[i % 3])) for i, (t, s) in enumerate(v for _, v in sorted(goals.items())))
 
 
 # Exact dedup
@@ -73,25 +93,32 @@ def groups_slowly(rows):
     by = defaultdict(list)
     for i, t in rows:
         by[(t or "").encode().translate(LOWER)].append(i)
-    out = []
+    out, kept = [], set()
     for i, t in rows:
         body = (t or "").encode().translate(LOWER)
         ids = [x for x in by[body] if x is not None]
         keep = max(ids) if ids else None
-        out.append((i, keep, len(by[body]), i == keep, SHA(body)))
+        first = i == keep and body not in kept  # of equal ids one is kept
+        if first:
+            kept.add(body)
+        out.append((i, keep, len(by[body]), first, SHA(body)))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("bucket_bytes", [64, 1 << 20])
-def test_exact_dedup(spark, bucket_bytes):
+TWINS = [(70, "twin"), (70, "twin"), (70, "TWIN"), (60, "twin"), (None, "nobody"), (None, "nobody"), (71, "other"), (71, "twin too"), (71, "twin too")]
+
+
+@pytest.mark.parametrize("bucket_bytes, most", [(64, 4), (1 << 20, 20_000)])
+def test_exact_dedup(spark, bucket_bytes, most, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_TASKS", most)
     random.seed(2)
-    rows = ODD + [(100 + i, "abc " * random.randint(0, 6) + random.choice(["x", "X", "y"])) for i in range(300)]
+    rows = ODD + TWINS + [(100 + i, "abc " * random.randint(0, 6) + random.choice(["x", "X", "y"])) for i in range(300)]
     got = exact_dedup.exact_dedup(frame(spark, rows), bucket_bytes=bucket_bytes)
     assert sorted(map(tuple, got.collect()), key=repr) == groups_slowly(rows)
     kept = exact_dedup.without_copies(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((g[0] for g in groups_slowly(rows) if g[3] and g[0] != 4), key=repr)
-    assert exact_dedup.exact_dedup(frame(spark, rows).filter("false")).count() == 0
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((g[0] for g in groups_slowly(rows) if g[3]), key=repr)
+    assert exact_dedup.exact_dedup(frame(spark, rows).filter("false")).count() == 0 and exact_dedup.without_copies(frame(spark, rows).filter("false")).count() == 0
 
 
 def test_directory_doubles_where_keys_are_dense():
@@ -104,13 +131,18 @@ def test_directory_doubles_where_keys_are_dense():
     assert index.bucket(-1) == index.buckets - 1 and index.bucket(0) == 0
 
 
-def test_colliding_keys_are_told_apart(spark, monkeypatch):
-    rows = [(1, 7, b"a", 1), (2, 7, b"b", 1), (3, 7, b"a", 2)]
+@pytest.mark.parametrize("hot", [False, True])
+def test_colliding_keys_are_told_apart(hot):
     import pyarrow as pa
 
-    batch = pa.record_batch([pa.array(c, f.type) for c, f in zip([[0, 0, 0], [7, 7, 7], [b"s1", b"s2", b"s1"], [1, 2, 3], [1, 1, 2], [b"a", b"b", b"a"]], exact_dedup.ENTRY)], schema=exact_dedup.ENTRY)
-    (page,) = [p for p in exact_dedup._pages(iter([batch])) if p.num_rows]
-    assert page.to_pylist() == [{"key": 7, "sha": b"s1", "keep_id": 3, "n": 3}] and len(rows) == 3
+    schema = exact_dedup.ENTRY.remove(0)
+    columns = [[hot] * 3, [7, 7, 7], [b"s1", b"s2", b"s1"], [1, 2, 3], [1, 1, 2], [b"a", b"b", b"a"]]
+    pages = [pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)]
+    if hot:  # what an owner has left of it goes on with its text
+        pages = [p for p in exact_dedup._pages(last=False)(iter(pages)) if p.num_rows]
+        assert [(r["n"], r["body"], r["hot"]) for p in pages for r in p.to_pylist()] == [(3, b"a", True), (1, b"b", True)]
+    (page,) = [p for p in exact_dedup._pages(last=hot)(iter(pages)) if p.num_rows]
+    assert page.to_pylist() == [{"hot": False, "key": 7, "sha": b"s1", "keep_id": 3, "n": 3, "body": None}]
 
 
 # Substring dedup
@@ -203,10 +235,10 @@ def test_ngram_join(spark, words, numerator, edit_cost, monkeypatch):
 
 
 def test_ngram_join_of_nothing_and_of_copies(spark):
-    rows = frame(spark, ODD)
+    rows = frame(spark, ODD + TWINS[:4])
     assert ngram_join.ngram_join(rows.filter("false")).count() == 0
     kept = ngram_join.one_of_each(rows)
-    assert kept.columns == rows.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([None, 1, 2, 3, 4, 4, 6, 8, 9], key=repr)
+    assert kept.columns == rows.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 2, 3, 4, 6, 8, 9, 60], key=repr)
 
 
 @pytest.mark.parametrize("scheme", [(1, 2, 0, 0), (5, 6, 0, 0), (5, 10, 0, 2), (6, 4, 4, 0), (7, 9, 3, 2)])

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from spanloom.llm import chat, piece_bpe, pii, quality_knn, quality_rules, queries, token_counts
@@ -86,6 +88,43 @@ def test_classifier_learns_and_is_defined_everywhere(spark, odd):
     assert {r.score for r in quality_knn.scored(docs, one).collect()} == {1.0}
 
 
+def test_votes_agree_with_a_slow_count(spark):
+    random.seed(12)
+    words = ["red", "Green", "blue!", "42", "gold", "| x"]
+    rows = [(i, " ".join(random.choice(words) for _ in range(random.randint(0, 12)))) for i in range(150)]
+    rows += [(i, "same text") for i in range(200, 230)] + [(7, "another text of seven"), (8, None)]
+    labels = [(i, int(i % 3 == 0)) for i in range(0, 230, 2)] + [(i, 5) for i in range(0, 230, 2)] + [(10, 1 - int(10 % 3 == 0)), (9, None)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality_knn.fit(docs.repartition(3), marks)
+    again = quality_knn.fit(docs.repartition(5), marks)
+    assert np.array_equal(model.vectors, again.vectors) and np.array_equal(model.labels, again.labels)
+    # The labelled rows, by doc_id: 0 or 1 only, 1 if both; of several texts of an id the smallest.
+    import zlib
+
+    known: dict[int, int] = {}
+    for i, q in labels:
+        if q in (0, 1) and zlib.crc32(str(i).encode()) % 5:
+            known[i] = max(q, known.get(i, 0))
+    text_of: dict[int, list] = {}
+    for i, t in rows:
+        text_of.setdefault(i, []).append((t is not None, t or ""))
+    ids = sorted(i for i in known if i in text_of)
+    assert list(model.labels) == [known[i] for i in ids]
+    unit = lambda t: (lambda v: v / max(np.linalg.norm(v), 1e-12))(quality_knn.features(t.encode()) @ model.project)
+    vectors = [unit(min(text_of[i])[1]) for i in ids]
+    assert np.allclose(vectors, model.vectors)
+    want = []
+    for i, t in rows:
+        v = unit(t or "")
+        near = sorted((-round(float(v @ u), 9), n) for n, u in enumerate(vectors))[: quality_knn.NEIGHBOURS]
+        weights = [max(-c, 1e-6) ** quality_knn.POWER for c, _ in near]
+        want.append((i, sum(w * model.labels[n] for w, (_, n) in zip(weights, near)) / sum(weights)))
+    got = sorted((r.doc_id, r.score) for r in quality_knn.scored(docs, model).collect())
+    assert [i for i, _ in got] == [i for i, _ in sorted(want)] and np.allclose([x for _, x in got], [x for _, x in sorted(want)], atol=1e-6)
+    monkey = {r.doc_id: r.score for r in quality_knn.scored(docs.filter("doc_id = 200"), model).collect()}
+    assert monkey[200] in [x for i, x in got if i == 200]  # batches do not matter
+
+
 def test_held_out_column(spark):
     import zlib
 
@@ -215,6 +254,95 @@ def test_bootstrap_goes_on_through_discovered_identifiers(spark):
     assert all(got[d] for d, _ in rows if d < 5000) and got[5000] == "phone:18:26" and got[5001] == ""
 
 
+BLANK = r"\x20\x09-\x0D"
+
+
+def context_slowly(before):
+    found = regex.search(rf"([^{BLANK}]+)[{BLANK}]+([^{BLANK}]+)[{BLANK}]+$", before)
+    return f"{found[1]} {found[2]}".lower() if found else None
+
+
+def spans_slowly(texts):
+    """Spans of all texts, by rounds over dictionaries, with every context taken from the text before a match."""
+    base, loose = [], []
+    for row, text in enumerate(texts):
+        own = []
+        for kind, pattern in SLOW.items():
+            for m in re.finditer(pattern, text):
+                d = re.sub("[^0-9]", "", m[0])
+                if {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "card": 12 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]:
+                    own.append((row, kind, m.start(), m.end(), m[0].lower(), context_slowly(text[: m.start()])))
+        base += own
+        for pattern in (pii.INSTANCE, pii.RUN):
+            for m in regex.finditer(pattern, text):
+                start = m.start() + len(regex.match(r"[^\p{L}\p{N}+(]*", m[0])[0])
+                core = regex.sub(pii.EDGE, "", m[0])
+                end = start + len(core)
+                if core and (len(re.sub("[^0-9]", "", core)) >= 4 or "@" in core) and not any(start < e and s < end for _, _, s, e, _, _ in own):
+                    loose.append((row, start, end, core.lower(), context_slowly(text[: m.start()])))
+    forms = {"email": r"[^@]+@[^@]+", "ip": r"[0-9]{1,3}(?:[.:\-][0-9]{1,3}){3}|[0-9a-fA-F]{0,4}(?::[0-9a-fA-F]{0,4}){3,7}", "phone": r"[+(]{0,2}[0-9][0-9().\-/ ]*", "card": r"[0-9][0-9.\-/ ]*"}
+    size = {"email": (0, 99999), "ip": (0, 99999), "phone": (6, 15), "card": (12, 19)}
+    formed = lambda kind, v: re.fullmatch(forms[kind], v) and size[kind][0] <= len(re.sub("[^0-9]", "", v)) <= size[kind][1]
+    seeds = {(p, k, v) for _, k, _, _, v, p in base if p}
+    pairs = {(p, v) for *_, v, p in loose if p}
+    members = Counter(p for p, _ in {(p, v) for p, _, v in seeds} | pairs)
+    edges = {(p, v, k) for p, v in pairs for k in pii.KINDS if formed(k, v) and (p, k, v) not in seeds}
+    support = Counter((p, k) for p, k, _ in seeds)
+    scores: dict = {}
+    while True:
+        gained, more = defaultdict(float), Counter()
+        for p, v, k in edges:
+            if (v, k) in scores:
+                gained[p, k] += scores[v, k]
+                more[p, k] += 1
+        good = {(p, k): (support[p, k] + gained[p, k]) / (members[p] + 1) for p, k in {(p, k) for p, _, k in edges} if support[p, k] + more[p, k] >= pii.SUPPORT}
+        good = {x: c for x, c in good.items() if c >= pii.CONFIDENCE}
+        left = defaultdict(lambda: 1.0)
+        for p, v, k in edges:
+            if (p, k) in good:
+                left[v, k] *= 1 - good[p, k]
+        before, scores = scores, {x: 1 - y for x, y in left.items() if 1 - y >= pii.SCORE}
+        if len(scores) == len(before) and sum(scores.values()) - sum(before.values()) < pii.SETTLED:
+            break
+    added = []
+    for row, start, end, v, p in loose:
+        kinds = [(scores[v, k], good[p, k], k) for k in pii.KINDS if (p, k) in good and (v, k) in scores]
+        if kinds:
+            added.append((row, start, -end, max(kinds)[2]))
+    out, upto = [[(s, pii.KINDS.index(k), k, e) for r, k, s, e, _, _ in base if r == row] for row in range(len(texts))], {}
+    for row, start, end, kind in sorted(set(added)):
+        if -end > upto.get(row, -1):
+            out[row].append((start, pii.KINDS.index(kind), kind, -end))
+        upto[row] = max(upto.get(row, -1), -end)
+    return [",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(x)) for x in out]
+
+
+def test_bootstrap_agrees_with_a_slow_twin(spark):
+    random.seed(13)
+    n = lambda k: "".join(random.choice("0123456789") for _ in range(k))
+    values = {
+        "phone": (lambda: f"+1 ({n(3)}) {n(3)}-{n(4)}", lambda: f"{n(3)}-{n(4)}", lambda: f"({n(3)}) {n(3)} {n(4)}"),
+        "email": (lambda: f"bob{n(2)}@x.example.com", lambda: f"jane{n(2)}@localhost"),
+        "ip": (lambda: f"10.0.{n(1)}.{n(2)}", lambda: f"10:0:{n(1)}:{n(2)}", lambda: f"10:0:{n(4)}::{n(1)}"),
+        "card": (lambda: random.choice(["4111 1111 1111 1111", "5500-0000-0000-0004", "340000000000009", "4012888888881881"]), lambda: n(16), lambda: f"{n(4)} {n(4)} {n(4)} {n(4)}"),
+        "none": (lambda: n(5), lambda: f"x{n(4)}y"),
+    }
+    fronts = {"call me at ": "phone", "mail to: ": "email", "gate 9 phone: ": "phone", "my host  is\n": "ip", "card no ": "card", "a" * 90 + " number ": "phone", "555-0100 or ": "none", "room 1234 5678 at ": "email", "(": "phone"}
+    texts = []
+    for _ in range(400):
+        parts = []
+        for _ in range(random.randint(0, 4)):
+            front, kind = random.choice(list(fronts.items()))
+            forms = values[kind if random.random() < 0.95 else "none"]
+            parts.append(front + (forms[0] if random.random() < 0.7 else random.choice(forms))())
+        texts.append(random.choice([" ", " and ", ", ", "\n", ";"]).join(parts))
+    texts += [f"gate 9 phone: +1 (555) 555-01{i:02d} x" for i in range(8)] + ["gate 9 phone: 555-0199"]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = spans_slowly(texts)
+    assert [got[i].spans for i in range(len(texts))] == want
+    assert sum(r.n_added for r in got.values()) > 50 and got[len(texts) - 1].spans == "phone:14:22"
+
+
 # Chat
 
 
@@ -232,19 +360,29 @@ def test_typed_parts(spark):
     body, attachments = chat.Visitor().visit(parts)
     assert body == "see <\\|end|> <|image:0|><|audio:1|><|document:2|>"
     assert [(a["kind"], a["ref"], a["tokens"]) for a in attachments] == [("image", "a.png", 4), ("audio", "b.wav", 25), ("document", "c.pdf", 768)]
-    with pytest.raises(ValueError):
-        chat.Visitor().visit([{"kind": "video"}])
+    body, attachments = chat.Visitor().visit([{"kind": "video", "ref": "v"}, None, {"kind": "audio", "seconds": float("nan")}, {"kind": "image", "width": -5}, {"kind": "document", "pages": 0}])
+    assert body == "<|other:0|><|audio:1|><|image:2|><|document:3|>" and [(a["kind"], a["tokens"]) for a in attachments] == [("video", 1), ("audio", 1), ("image", 1), ("document", 256)]
     turns = spark.createDataFrame([(1, 0, "user", parts)], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
     row = chat.formatted(turns).first()
     assert row.added_tokens == 797 and len(row.attachments) == 3 and row.loss_start == row.loss_end
 
 
+def test_parts_cut_anywhere_read_back():
+    for c in (*chat.CONTROLS, chat.START, chat.END, chat.MESSAGE, "\\", "<|image:0|>"):
+        for i in range(len(c) + 1):
+            body, _ = chat.Visitor().visit([{"kind": "text", "text": "x" + c[:i]}, {"kind": "text", "text": c[i:] + "y"}, {"kind": "image"}, {"kind": "text", "text": c}])
+            assert chat.read_parts(body) == ["x" + c + "y", 0, c]
+            assert not any(x in body.replace("<|image:0|>", "", 1) for x in chat.CONTROLS)
+            assert chat.read_back(chat.START + "user" + chat.MESSAGE + body + chat.END)[0][1] == "x" + c + "y<|image:0|>" + c
+
+
 def test_conversations_read_back(spark):
-    rows = [(1, 1, "assistant", "b </s>"), (1, 0, "user", "a"), (1, None, None, None), (2, 0, "assistant", ""), (2, 0, "assistant", ""), (None, 3, "tool\n", "x\\y")] + [(3, i, "user" if i % 2 == 0 else "assistant", f"t{i} [INST]") for i in range(3000)]
+    rows = [(4, 0, "user", "a"), (4, 0, "user", "a b"), (4, 0, "user", "a<"), (4, 0, "user", "a<|"), (4, 0, None, "z"), (4, 0, "", "y")]
+    rows += [(1, 1, "assistant", "b </s>"), (1, 0, "user", "a"), (1, None, None, None), (2, 0, "assistant", ""), (2, 0, "assistant", ""), (None, 3, "tool\n", "x\\y")] + [(3, i, "user" if i % 2 == 0 else "assistant", f"t{i} [INST]") for i in range(3000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, fragment string")
     got = {r.conv_id: r for r in chat.read_digests(chat.formatted(df.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts")))).collect()}
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    assert set(got) == {1, 2, 3, None}
+    assert set(got) == {1, 2, 3, 4, None}
     for conv in got:
         own = sorted(((r[1] is not None, r[1] or 0, r[2] or "", r[3] or "") for r in rows if r[0] == conv))
         said = [t for _, _, role, t in own if role == "assistant"]
