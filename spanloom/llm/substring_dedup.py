@@ -9,7 +9,8 @@ windows that agree give how far each side extends. What is covered by matches, o
 its maximal repeats of at least `least` words.
 
 Segments and windows are compared by 128 hash bits. No pairs are formed: every step is an aggregation or a join on
-a key, so a passage that a third of all documents share costs a row for each of them. Texts move only where they
+a key, so a passage that a third of all documents share costs a row for each of them; the rows of the hottest anchors
+and segments are joined by broadcast (common.joined_apart), so no task gets them all. Texts move only where they
 are needed (a bitmap of fixed most size says which may be), keyed by their content, so copies move once a task.
 
 Defined cases: null text counts as empty. Texts under `least` words keep all words. Rows that repeat doc_id, or
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Bitmap, key_bitmap, slices, stored, text_bytes
+from spanloom.llm.common import Bitmap, joined_apart, key_bitmap, slices, stored, text_bytes, tidy
 
 LEAST = 35
 SEED = 8
@@ -224,21 +225,29 @@ def without(words: list, ranges: list[int]) -> list:
     return out + words[at:]
 
 
+def _total(counts: DataFrame) -> int:
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+@tidy
 def substring_dedup(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_words, n_removed, kept_sha256 and ranges (places of the removed words:
     start, end, start, end, ...) for each row."""
     if not 0 < seed <= least <= 62:
         raise ValueError("a seed is at most as long as a window, and a window has at most 62 words")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    index = stored(docs.mapInArrow(_index(least, seed), "row_id long, doc_id long, sha binary, n_words long, anchors array<long>, wholes array<long>, firsts array<int>"), "sub-index")
+    index = stored(docs.mapInArrow(_index(least, seed), "row_id long, doc_id long, sha binary, n_words long, anchors array<long>, wholes array<long>, firsts array<int>"), "sub-index", keep=True)
 
     places = index.select("row_id", F.posexplode(F.arrays_zip("anchors", "wholes"))).select("row_id", F.col("pos").alias("place"), F.col("col.anchors").alias("anchor"), F.col("col.wholes").alias("whole"))
-    often = index.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("anchor").alias("often"))
-    seeds = stored(places.join(often, F.col("anchor") == F.col("often")).drop("often"), "sub-seeds")
+    often = index.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    often = stored(often, "sub-often")
+    total = _total(often)
+    seeds = stored(joined_apart(places, often.select("anchor"), ["anchor"], often, total), "sub-seeds")
 
     kinds = stored(seeds.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_id", "place")).alias("at")), "sub-kinds")
-    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("anchor").alias("several"))
-    apart = stored(kinds.join(several, F.col("anchor") == F.col("several")).select("anchor", "whole", F.col("at.row_id").alias("at_row"), F.col("at.place").alias("at_place")), "sub-apart")
+    several = stored(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sub-several")
+    apart = joined_apart(kinds.select("anchor", "whole", "at"), several.select("anchor"), ["anchor"], several, _total(several))
+    apart = stored(apart.select("anchor", "whole", F.col("at.row_id").alias("at_row"), F.col("at.place").alias("at_place")), "sub-apart")
 
     first = F.element_at("firsts", F.col("at_place") + 1)
     after = F.try_element_at("firsts", F.col("at_place") + 2)
@@ -252,23 +261,23 @@ def substring_dedup(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> Da
     windows = stored(bodies.mapInArrow(_windows(least), "anchor long, whole long, nth int, window long"), "sub-windows")
 
     # Equal windows lie alike around their anchor, so the anchor tells them apart too.
-    agree = windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("anchor").alias("agree_anchor"), F.col("window").alias("agree_window"))
-    reach = windows.join(agree, (F.col("anchor") == F.col("agree_anchor")) & (F.col("window") == F.col("agree_window")))
+    agree = stored(windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sub-agree")
+    reach = joined_apart(windows, agree.select("anchor", "window"), ["anchor", "window"], agree, _total(agree))
     reach = reach.groupBy("anchor", "whole").agg(F.bit_or(F.expr("shiftleft(1L, nth)")).alias("bits"))
     all_bits = F.lit((1 << 62) - 1)
     extent = kinds.filter("n > 1").select("anchor", "whole", all_bits.alias("bits")).unionByName(reach.select("anchor", "whole", "bits"))
-    extent = extent.groupBy(F.col("anchor").alias("e_anchor"), F.col("whole").alias("e_whole")).agg(F.bit_or("bits").alias("bits"))
-    hits = seeds.join(extent, (F.col("anchor") == F.col("e_anchor")) & (F.col("whole") == F.col("e_whole")))
+    extent = stored(extent.groupBy("anchor", "whole").agg(F.bit_or("bits").alias("bits")), "sub-extent")
+    hits = joined_apart(seeds, extent, ["anchor", "whole"], kinds, total)
     hits = hits.groupBy(F.col("row_id").alias("hit_row")).agg(F.collect_list(F.struct("place", "bits")).alias("hits"))
     cover = index.join(hits, F.col("row_id") == F.col("hit_row")).dropDuplicates(["sha"]).select("sha", "n_words", "firsts", "hits")
-    cover = stored(cover.mapInArrow(_covered(least), "sha binary, n_removed long, ranges array<int>"), "sub-cover")
+    cover = stored(cover.mapInArrow(_covered(least), "sha binary, n_removed long, ranges array<int>"), "sub-cover", keep=True)
 
     lengths = index.select(F.col("sha").alias("l_sha"), "n_words").dropDuplicates(["l_sha"])
     partial = cover.join(lengths, F.col("sha") == F.col("l_sha")).filter("n_removed < n_words")
     partial = stored(partial.select(F.col("sha").alias("part_sha"), "ranges"), "sub-partial")
     cut = docs.select("text").mapInArrow(_texts(key_bitmap(partial, "part_sha")), "sha binary, body binary")
     cut = cut.join(partial, F.col("sha") == F.col("part_sha")).dropDuplicates(["sha"]).select("sha", "body", "ranges")
-    cut = stored(cut.mapInArrow(_kept, "sha binary, kept_sha binary"), "sub-kept")
+    cut = stored(cut.mapInArrow(_kept, "sha binary, kept_sha binary"), "sub-kept", keep=True)
 
     outcome = cover.join(cut.withColumnRenamed("sha", "cut_sha"), F.col("sha") == F.col("cut_sha"), "left")
     outcome = outcome.select(F.col("sha").alias("o_sha"), "n_removed", "ranges", F.coalesce("kept_sha", F.lit(EMPTY)).alias("kept_sha"))
