@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import exact_dedup, mixing, ngram_join, piece_bpe, quality_knn
-from spanloom.llm.common import stored, table
+from spanloom.llm.common import discard, stored, table, tidy
 from spanloom.llm.queries import piece_model
 
 
@@ -45,8 +45,16 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@tidy
+def _kept(spark: SparkSession, docs: DataFrame, sf_dir: str, stage) -> DataFrame:
+    """What a stage keeps, as a table; what it stored on the way is deleted."""
+    return stored(stage(spark, docs, sf_dir), "stage", keep=True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, stored(docs, "stage") if i else docs, sf_dir)
-    return docs
+    *first, (_, last) = STAGES
+    for _, stage in first:
+        before, docs = docs, _kept(spark, docs, sf_dir, stage)
+        discard(before)
+    return last(spark, docs, sf_dir)
