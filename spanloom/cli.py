@@ -28,6 +28,10 @@ def parser() -> argparse.ArgumentParser:
     for name in ("v", "j", "v_regions", "j_regions", "output"):
         c.add_argument(name)
     c.add_argument("--d")
+    c.add_argument("--frames", help="J frames: lines of allele and frame")
+    c = commands.add_parser("build-index", help="reference folders ready for search")
+    c.add_argument("folders", nargs="+")
+    c.add_argument("--force", action="store_true")
     c = commands.add_parser("split", help="reads to FASTA shards")
     c.add_argument("input")
     c.add_argument("output")
@@ -52,8 +56,13 @@ def main(arguments: list[str] | None = None) -> None:
         v_regions = regions(a.v_regions)
         v_regions = v_regions.select("allele", *(F.col(c).cast("int").alias(c) for c in v_regions.columns if c != "allele"))
         j_regions = regions(a.j_regions).select("allele", F.col("fwr4_offset").cast("int").alias("fwr4_offset"))
-        built = annotate.build_reference(alleles(a.v), alleles(a.j), v_regions, j_regions, d=alleles(a.d) if a.d else None)
-        annotate.write_reference(built, a.output)
+        v, j, frames = alleles(a.v), alleles(a.j), seqfiles.read_j_frames(spark, a.frames) if a.frames else None
+        reference = annotate.build_reference(v, j, v_regions, j_regions, frames, alleles(a.d) if a.d else None)
+        annotate.write_reference(reference, a.output, germline.scaffolds(v, j, frames))
+        annotate.write_reference(annotate.protein_reference(reference), a.output)
+    elif a.command == "build-index":
+        for folder, seqtype in annotate.build_index(spark, a.folders, a.force):
+            print(folder, seqtype)
     elif a.command == "split":
         sinks.split(seqfiles.read_sequences(spark, a.input), a.n, a.output)
     else:

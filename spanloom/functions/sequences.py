@@ -10,7 +10,7 @@ BASES = "TCAG"
 CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 COMMON_CODONS = {
     "A": "GCC", "C": "TGC", "D": "GAC", "E": "GAG", "F": "TTC", "G": "GGC", "H": "CAC", "I": "ATC", "K": "AAG", "L": "CTG",
-    "M": "ATG", "N": "AAC", "P": "CCC", "Q": "CAG", "R": "CGG", "S": "AGC", "T": "ACC", "V": "GTG", "W": "TGG", "Y": "TAC",
+    "M": "ATG", "N": "AAC", "P": "CCC", "Q": "CAG", "R": "AGG", "S": "AGC", "T": "ACC", "V": "GTG", "W": "TGG", "Y": "TAC",
 }
 
 REGIONS = ("fwr1", "cdr1", "fwr2", "cdr2", "fwr3", "cdr3", "fwr4")

@@ -88,19 +88,54 @@ class Index:
         order = np.argsort(value, kind="stable")
         self.value, first, self.count = np.unique(value[order], return_index=True, return_counts=True)
         self.first, self.target, self.at = first, which[order].astype(np.int32), at[order].astype(np.int32)
-        longest = int(self.lengths.max(initial=1))
-        self.padded = np.full((len(ids), longest), n, np.uint8)
-        for i, c in enumerate(self.codes):
-            self.padded[i, : len(c)] = c
+        # All targets in a row, so that a long one does not make the others longer; one more residue stands for none.
+        self.start = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
+        self.flat = np.concatenate([*self.codes, np.full(1, n, np.uint8)])
+        self._prefixes: tuple[np.ndarray, np.ndarray] | None = None
+
+    def residues(self, target: np.ndarray, at: np.ndarray, other: int) -> np.ndarray:
+        """Codes of targets at 0-based positions, which broadcast against them; `other` outside a target."""
+        lengths = self.lengths[target]
+        inside = (at >= 0) & (at < lengths)
+        return np.where(inside, self.flat[self.start[target] + np.clip(at, 0, np.maximum(lengths - 1, 0))], other).astype(np.uint8)
+
+    def prefixes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the targets' prefixes of BLOCK, 2 * BLOCK, ... residues, and where each target's begin. The last one is
+        of the whole target, told apart by its number."""
+        if self._prefixes is None:
+            counts = -(-np.maximum(self.lengths, 1) // BLOCK)
+            first = np.concatenate([[0], np.cumsum(counts)])
+            out = np.zeros(first[-1], np.uint64)
+            weights = _odd(np.arange(BLOCK))
+            state, done = np.full(len(self.ids), 1, np.uint64), 0
+            while (live := np.flatnonzero(counts > done)).size:
+                at = done * BLOCK + np.arange(BLOCK)
+                block = self.residues(live[:, None], at[None, :], 255).astype(np.uint64) + np.uint64(1)
+                state[live] = state[live] * np.uint64(0x9E3779B97F4A7C15) + (block * weights).sum(1, dtype=np.uint64)
+                state[live] ^= state[live] >> np.uint64(29)
+                done += 1
+                out[first[live] + done - 1] = state[live]
+                end = live[counts[live] == done]
+                out[first[end] + done - 1] = end.astype(np.uint64)
+            self._prefixes = out, first[:-1]
+        return self._prefixes
+
+
+def _odd(x: np.ndarray) -> np.ndarray:
+    """Random odd numbers, the same each time."""
+    y = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    return (y ^ (y >> np.uint64(32))) * np.uint64(0xA24BAED4963EE407) | np.uint64(1)
 
 
 BAND, MARGIN = 16, 12
+#: Residues of a target that are aligned before pairs of one prefix part, and hopeless ones are dropped.
+BLOCK = 32
 
 
 def candidates(index: Index, reads: list[np.ndarray], most: int, least_seeds: int = 1) -> tuple[np.ndarray, ...]:
-    """Of coded reads: arrays of read, target, lowest and highest diagonal of the best targets, by read and target. What
-    counts are the k-mers shared in the densest band of diagonals and the two on either side of it. The `most` targets
-    with the most go on, with all that equal the last of them."""
+    """Of coded reads: arrays of read, target, lowest and highest diagonal and seeds of the best targets, by read and
+    target. What counts are the k-mers shared in the densest band of diagonals and the two on either side of it. The
+    `most` targets with the most go on, with all that equal the last of them."""
     n = len(LETTERS[index.scoring.alphabet])
     out: list[tuple] = []
     for r, codes in enumerate(reads if len(index.value) else []):
@@ -127,8 +162,16 @@ def candidates(index: Index, reads: list[np.ndarray], most: int, least_seeds: in
         keep = near >= bar
         diagonal = (key & 0xFFFFFFFF) - zero
         target = owner[start][keep]
-        out.append((np.full(len(target), r), target, diagonal[left[keep]], diagonal[right[keep] - 1]))
-    return tuple(np.concatenate(c).astype(np.int64) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+        out.append((np.full(len(target), r), target, diagonal[left[keep]], diagonal[right[keep] - 1], near[keep]))
+    return tuple(np.concatenate(c).astype(np.int64) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 5
+
+
+def every_pair(index: Index, reads: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Like candidates(), of all reads with all targets, over all diagonals."""
+    n, m = len(reads), len(index.ids)
+    read, target = np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
+    lengths = np.array([len(r) for r in reads], np.int64)
+    return read, target, -lengths[read], index.lengths[target], np.zeros(n * m, np.int64)
 
 
 def widths(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -148,56 +191,111 @@ def chunks(reads: list[np.ndarray], read: np.ndarray, low: np.ndarray, high: np.
             done -= n
 
 
-def scores(index: Index, reads: list[np.ndarray], read: np.ndarray, target: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """The scores of align(), without paths. Outside a target or read nothing matches, so scores only fall there."""
-    out = np.zeros(len(read), np.int32)
-    for part in chunks(reads, read, low, high, 1 << 28):
-        out[part] = _scores(index, reads, read[part], target[part], low[part] - MARGIN, int(widths(low[part[:1]], high[part[:1]])[0]))
+def scores(index: Index, reads: list[np.ndarray], read: np.ndarray, target: np.ndarray, low: np.ndarray, high: np.ndarray, near: np.ndarray | None = None, group: np.ndarray | None = None) -> np.ndarray:
+    """The scores of align(), without paths. Outside a target or read nothing matches, so scores only fall there.
+
+    group: of pairs that compete. Of each group the one with the most seeds (near) is scored first; what cannot reach its
+    score any more, however the rest of the target goes, is dropped, and gets a score that is too small. The best ones of
+    each group are always exact."""
+    out, bar = np.zeros(len(read), np.int32), np.zeros(len(read), np.int32)
+    todo = np.ones(len(read), bool)
+    if group is not None and len(read):
+        order = np.lexsort((-near, group))
+        first = order[np.diff(group[order], prepend=-1) > 0]
+        _score(index, reads, read, target, low, high, first, bar, out)
+        todo[first] = False
+        reached = np.zeros(int(group.max()) + 1, np.int32)
+        reached[group[first]] = out[first]
+        bar = reached[group]
+    _score(index, reads, read, target, low, high, np.flatnonzero(todo), bar, out)
     return out
 
 
-def _scores(index: Index, reads: list[np.ndarray], read: np.ndarray, target: np.ndarray, base: np.ndarray, width: int) -> np.ndarray:
+def _score(index: Index, reads: list[np.ndarray], read: np.ndarray, target: np.ndarray, low: np.ndarray, high: np.ndarray, some: np.ndarray, bar: np.ndarray, out: np.ndarray) -> None:
+    """Scores of some of the pairs, into out."""
+    wide = widths(low[some], high[some])
+    order = some[np.lexsort((target[some], read[some], wide))]
+    wide = widths(low[order], high[order])
+    cuts = np.flatnonzero(np.diff(wide)) + 1
+    for part in np.split(order, cuts) if len(order) else []:
+        width = int(widths(low[part[:1]], high[part[:1]])[0])
+        step = max(1, min(8192, (1 << 19) // width))
+        for k in range(0, len(part), step):
+            p = part[k : k + step]
+            out[p] = _prefix_scores(index, reads, read[p], target[p], low[p] - MARGIN, width, bar[p])
+
+
+def _prefix_scores(index: Index, reads: list[np.ndarray], read: np.ndarray, target: np.ndarray, base: np.ndarray, width: int, bar: np.ndarray) -> np.ndarray:
+    """Row by row of the targets, in blocks. Pairs of one read, band and prefix of the target are one node until their
+    targets part. h, e, f hold a node's last row over its diagonals; these run backwards, so that read positions rise."""
     s, other = index.scoring, len(LETTERS[index.scoring.alphabet])
+    hashes, start = index.prefixes()
     names, which = np.unique(read, return_inverse=True)
-    rows = max(len(reads[r]) for r in names)
-    q = np.full((len(names), rows), other + 1, np.uint8)
-    for i, r in enumerate(names):
-        q[i, : len(reads[r])] = np.where(reads[r] < other, reads[r], other + 1)
-    q = np.ascontiguousarray(q[which].T)
-    j = base + np.arange(rows + width)[:, None]
-    t = np.where((j >= 0) & (j < index.lengths[target]), index.padded[target, np.clip(j, 0, index.padded.shape[1] - 1)], other).astype(np.uint8)
-    group = None
-    if s.related != s.mismatch:
-        kinds = np.arange(other + 2, dtype=np.uint8) + 100
-        for g, letters in enumerate(GROUPS):
-            kinds[[LETTERS[s.alphabet].index(x) for x in letters]] = g
-        group = kinds[q], kinds[t]
-    kind = np.int16 if (rows + width) * max(s.match, s.gap_extend) < 16_000 else np.int32
-    match, related, mismatch, opening, extend = (kind(x) for x in (s.match, s.related, s.mismatch, s.gap_open, s.gap_extend))
+    lengths = np.array([len(reads[r]) for r in names], np.int64)
+    offset = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    flat = np.concatenate([*(reads[r] for r in names), np.zeros(1, np.uint8)])
+    flat = np.where(flat < other, flat, other + 1).astype(np.uint8)  # letters that are no residue match nothing
+    sizes = index.lengths[target]
+    kind = np.int16 if (int(min(lengths.max(), sizes.max(initial=0))) + width) * max(s.match, s.gap_extend) < 14_000 else np.int32
+    grouped = s.related != s.mismatch
+    kinds = np.arange(other + 2, dtype=np.uint8) + 100
+    for g, letters in enumerate(GROUPS if grouped else ()):
+        kinds[[LETTERS[s.alphabet].index(x) for x in letters]] = g
+    more, opening, extend = kind(s.match - (s.related if grouped else s.mismatch)), kind(s.gap_open), kind(s.gap_extend)
     ext = (np.arange(width) * s.gap_extend).astype(kind)[:, None]
-    shape = (width, len(read))
-    h, best = np.zeros(shape, kind), np.zeros(shape, kind)
-    f = np.full((width + 1, len(read)), -16_000, kind)  # the last row stays
-    above = np.zeros((width + 1, len(read)), kind)
-    for i in range(rows):
-        step = (t[i : i + width] == q[i]) * kind(match - (mismatch if group is None else related))
-        if group is not None:
-            step += (group[1][i : i + width] == group[0][i]) * kind(related - mismatch)
-        step += mismatch
-        step += h
-        above[:-1] = h
-        np.maximum(above[1:] - opening, f[1:] - extend, out=f[:-1])
-        np.maximum(step, f[:-1], out=step)
-        np.maximum(step, 0, out=step)
-        run = step + ext
-        by = 1
-        while by < width:  # running maximum over the diagonals
-            run[by:] = np.maximum(run[by:], run[:-by])
-            by *= 2
-        h = step
-        np.maximum(h[1:], run[:-1] - (ext[:-1] + opening), out=h[1:])
-        np.maximum(best, h, out=best)
-    return best.max(0).astype(np.int32)
+    back = -(base + width - 1)  # a node's read position is the row plus this plus the number of its diagonal
+    out = np.zeros(len(read), np.int32)
+    live = np.arange(len(read))
+    node = np.zeros(len(read), np.int64)  # of each live pair, in the states
+    h, f, best = np.zeros((width, 1), kind), np.full((width + 1, 1), -14_000, kind), np.zeros(1, np.int64)
+    for level in range(int(-(-sizes.max(initial=0) // BLOCK))):
+        key = hashes[start[target[live]] + level]
+        order = np.lexsort((key, base[live], which[live]))
+        a, b = order[1:], order[:-1]
+        new = np.concatenate([[True], (key[a] != key[b]) | (base[live[a]] != base[live[b]]) | (which[live[a]] != which[live[b]])])
+        own = np.empty(len(live), np.int64)
+        own[order] = np.cumsum(new) - 1
+        head = order[new]  # a pair for each node
+        h, f, best = h[:, node[head]], f[:, node[head]], best[node[head]]
+        node = own
+        lead = live[head]
+        rows = min(BLOCK, int(sizes[lead].max()) - level * BLOCK)
+        at = level * BLOCK + np.arange(rows)
+        t = index.residues(target[lead], at[:, None], other)
+        q_at = level * BLOCK + np.arange(rows + width)[:, None] + back[lead]
+        n = lengths[which[lead]]
+        q = np.where((q_at >= 0) & (q_at < n), flat[offset[which[lead]] + np.clip(q_at, 0, np.maximum(n - 1, 0))], other + 1)
+        tk, qk = (kinds[t], kinds[q]) if grouped else (None, None)
+        top = np.zeros(h.shape, kind)
+        above = np.zeros((width + 1, len(lead)), kind)
+        for i in range(rows):
+            step = (q[i : i + width] == t[i]) * more
+            if grouped:
+                step += (qk[i : i + width] == tk[i]) * kind(s.related - s.mismatch)
+            step += kind(s.mismatch)
+            step += h
+            above[:-1] = h
+            np.maximum(above[1:] - opening, f[1:] - extend, out=f[:-1])
+            np.maximum(step, f[:-1], out=step)
+            np.maximum(step, 0, out=step)
+            run = step + ext
+            by = 1
+            while by < width:  # running maximum over the diagonals
+                run[by:] = np.maximum(run[by:], run[:-by])
+                by *= 2
+            h = step
+            np.maximum(h[1:], run[:-1] - (ext[:-1] + opening), out=h[1:])
+            np.maximum(top, h, out=top)
+        best = np.maximum(best, top.max(0))
+        # What a pair can reach: the best so far, or its last row and a match for each residue that is left.
+        left = sizes[live] - (level + 1) * BLOCK
+        reach = np.maximum(best[node], h.max(0).astype(np.int64)[node] + s.match * np.maximum(left, 0))
+        done = (left <= 0) | (reach < bar[live])
+        out[live[done]] = best[node[done]]
+        live, node = live[~done], node[~done]
+        if not len(live):
+            break
+    return out
 
 
 @dataclass
@@ -238,7 +336,7 @@ def align(index: Index, reads: list[np.ndarray], read: np.ndarray, target: np.nd
     for i in range(rows):
         j = base[:, None] + i + cols
         inside = (j >= 0) & (j < t_len[:, None]) & (i < lengths)[:, None]
-        t = index.padded[target[:, None], np.clip(j, 0, index.padded.shape[1] - 1)]
+        t = index.residues(target[:, None], j, other)
         step = h + matrix[q[:, i][:, None], t]
         opened, longer = shift(h, 0) - s.gap_open, shift(f, minus) - s.gap_extend
         f = np.maximum(opened, longer)

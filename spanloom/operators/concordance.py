@@ -50,3 +50,8 @@ def d_calls(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     grp = F.when(F.col("locus").isin("TRB", "TRD"), "clean").when(F.col("locus") == "IGH", "igh")
     rows = rows.withColumn("grp", grp).filter("grp is not null and coalesce(d_call, '') <> '' and coalesce(their_d_call, '') <> ''")
     return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("compared"), F.count(F.when(sq.gene_of_call(F.col("d_call")) == sq.gene_of_call(F.col("their_d_call")), 1)).alias("agree"))
+
+
+def annotated(table: DataFrame) -> DataFrame:
+    """How many reads an annotated table has, and how many of them got a V call."""
+    return table.agg(F.count(F.lit(1)).alias("n_reads"), F.count("v_call").alias("n_annotated"))

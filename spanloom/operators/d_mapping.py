@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.session import small
+
 MIN_SCORE, MIN_SECOND = 6, 7
 FUSION_LOCI = ("IGH", "TRD")
 
@@ -31,6 +33,11 @@ def local_rows(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, F.when(some, F.col("b.cur")).otherwise(0).cast("int").alias("score"), F.when(some, F.col("b.st")).otherwise(-1).cast("int").alias("s"), F.when(some, F.col("b.i")).otherwise(-1).cast("int").alias("e"))
 
 
+def of_locus(reads: DataFrame, germlines: DataFrame) -> DataFrame:
+    """reads: locus; germlines: locus, allele, d. A row for each read and D allele of its locus."""
+    return reads.join(small(germlines.select("locus", "allele", "d")), "locus")
+
+
 def best_rows(scored: DataFrame, read: list[str]) -> DataFrame:
     """scored: read, locus, allele, score, s, e (one row an allele). Returns read with d1 and d2, structs of
     allele, score, s and e: d1 the best of at least MIN_SCORE (longer, then the smaller name, breaks ties); d2 for

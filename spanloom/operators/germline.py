@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import sequences as sq
+from spanloom.session import small
 
 #: Locus, receptor group and whether it has D segments; fixed values.
 LOCI = (("TRA", "TR", False), ("TRB", "TR", True), ("TRG", "TR", False), ("TRD", "TR", True), ("IGH", "IG", True), ("IGK", "IG", False), ("IGL", "IG", False))
@@ -50,8 +51,18 @@ def scaffolds(v: DataFrame, j: DataFrame, frames: DataFrame | None = None, space
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("js")))).alias("j_calls"),
         F.min_by(F.struct("n_pad", F.length("v_seq").alias("v_length")), first).alias("of"),
     )
-    number = F.row_number().over(Window.partitionBy("locus").orderBy("sequence")) - 1
-    return merged.select(F.concat_ws("_", "locus", number.cast("string")).alias("scaffold_id"), "locus", "sequence", "v_calls", "j_calls", F.col("of.n_pad").alias("n_pad"), F.col("of.v_length").alias("v_length"))
+    return merged.select(F.concat_ws("_", "locus", ordinal("locus", "sequence").cast("string")).alias("scaffold_id"), "locus", "sequence", "v_calls", "j_calls", F.col("of.n_pad").alias("n_pad"), F.col("of.v_length").alias("v_length"))
+
+
+def ordinal(group: str, order: str) -> Column:
+    """The place of a row in its group, from 0."""
+    return F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
+
+
+def marked(hits: DataFrame, markup: DataFrame, key: str = "scaffold_id") -> DataFrame:
+    """Hits with the markup of their scaffold; one of a scaffold that is not known stays, with nulls. A small markup is
+    broadcast."""
+    return hits.join(small(markup), key, "left")
 
 
 def complete(markup: DataFrame) -> DataFrame:

@@ -9,6 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.session import materialised, small
+
+#: Postings of the targets up to which they are broadcast to the queries' k-mers; beyond it the join is shuffled.
+BROADCAST_POSTINGS = 2_000_000
+
 
 def postings(rows: DataFrame, key: str, sequence: str, k: int) -> DataFrame:
     """key, pos (1-based), kmer, for sequences of at least k characters."""
@@ -18,12 +23,17 @@ def postings(rows: DataFrame, key: str, sequence: str, k: int) -> DataFrame:
 
 def seeds(queries: DataFrame, targets: DataFrame, k: int, letters: str | None = None) -> DataFrame:
     """queries: query, sequence; targets: target, sequence. Rows of query, target, diagonal (target minus query
-    position) and n, how many k-mers they share on it; with `letters`, only k-mers of these."""
+    position) and n, how many k-mers they share on it; with `letters`, only k-mers of these.
+
+    Few postings are broadcast, so that the queries' k-mers, which are many, stay where they are and are counted there
+    before anything moves."""
     q = postings(queries, "query", "sequence", k)
     if letters is not None:
         q = q.filter(F.col("kmer").rlike(f"^[{letters}]+$"))
     t = postings(targets, "target", "sequence", k).select("target", F.col("pos").alias("t_pos"), F.col("kmer").alias("t_kmer"))
-    pairs = q.join(t, F.col("kmer") == F.col("t_kmer"))
+    if letters is not None:
+        t = t.filter(F.col("t_kmer").rlike(f"^[{letters}]+$"))
+    pairs = q.join(small(materialised(t, "postings"), BROADCAST_POSTINGS), F.col("kmer") == F.col("t_kmer"))
     return pairs.groupBy("query", "target", (F.col("t_pos") - F.col("pos")).alias("diagonal")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -55,6 +65,16 @@ def best_hits(hits: DataFrame, key: str = "rid") -> DataFrame:
     return hits.groupBy(key).agg(F.min_by(F.struct(*fields), order).alias("h")).select(key, "h.*")
 
 
+def every_read(reads: DataFrame, best: DataFrame, key: str = "rid") -> DataFrame:
+    """Reads with what their best hit has; one without a hit stays, with nulls."""
+    return reads.join(best, key, "left")
+
+
+def missed(reads: DataFrame, hits: DataFrame, key: str = "rid") -> DataFrame:
+    """Reads without a hit."""
+    return reads.join(hits.select(key), key, "left_anti")
+
+
 def both_strands(reads: DataFrame, reverse: Column, key: str = "query") -> DataFrame:
     """Each read as it is, and reverse-complemented; the column rev tells which."""
     return reads.select(key, "sequence", F.lit(False).alias("rev")).unionByName(reads.select(key, reverse.alias("sequence"), F.lit(True).alias("rev")))

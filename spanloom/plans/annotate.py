@@ -16,8 +16,11 @@ from spanloom.plans.records import COLUMNS, PLACED, assembled
 from spanloom.session import materialised
 from spanloom.sources import seqfiles, sinks
 
-#: Residues of all scaffolds up to which their index is broadcast; beyond it seeds are found by a shuffled join.
-BROADCAST_RESIDUES = 64_000_000
+#: Residues of all scaffolds up to which their index is broadcast (some 40 bytes each in every worker); beyond it seeds are
+#: found by a shuffled join.
+BROADCAST_RESIDUES = 8_000_000
+#: Most residues of D germlines, which every task holds; all known ones together have some thousands.
+D_RESIDUES = 4_000_000
 BATCH = 1000
 #: What a task needs of a scaffold besides its name and sequence.
 FIELDS = ("locus", "v_call", "j_call", "starts", "ends", "v_sequence_end", "j_sequence_start")
@@ -31,6 +34,29 @@ class Reference:
     scaffolds: DataFrame
     d_germlines: DataFrame | None = None
     seqtype: str = "nt"
+    #: Whether scaffolds is a table that is read as it is; otherwise it is stored first, as building it can cost much.
+    stored: bool = False
+    _size: int | None = field(default=None, repr=False)
+    _known: dict = field(default_factory=dict, repr=False)
+
+    def ready(self) -> Reference:
+        """Stores the scaffolds, once, and looks up how many residues they have."""
+        if not self.stored:
+            self.scaffolds, self.stored = materialised(self.scaffolds.select("scaffold_id", "sequence", *FIELDS), "scaffolds"), True
+        if self._size is None:
+            self._size = self.scaffolds.agg(F.sum(F.length("sequence"))).first()[0] or 0
+        return self
+
+    def targets(self, options: Options) -> object:
+        """A broadcast of Targets, made once for each way of scoring."""
+        key = options.scores(), options.map_d, options.seqtype
+        if key not in self._known:
+            rows = sorted(self.scaffolds.select("scaffold_id", "sequence", *FIELDS).collect())  # BROADCAST_RESIDUES at most
+            index = aligner.Index([r[0] for r in rows], [r[1].upper() for r in rows], options.scores())
+            index.prefixes()
+            targets = Targets(index, [r[1] for r in rows], [tuple(r[2:]) for r in rows], _lines(self, options))
+            self._known[key] = self.scaffolds.sparkSession.sparkContext.broadcast(targets)
+        return self._known[key]
 
     @classmethod
     def from_markup(cls, markup: DataFrame, sequences: DataFrame, d_germlines: DataFrame | None = None, seqtype: str = "nt") -> Reference:
@@ -43,6 +69,7 @@ class Reference:
     def load(cls, spark: SparkSession, folder: str, seqtype: str = "nt") -> Reference:
         """From the files of a reference folder; FileNotFoundError if it has none."""
         tail = ".aa" if seqtype == "aa" else ""
+        indexed = _indexed(spark, folder, seqtype)
         try:
             markup = seqfiles.read_markup(spark, f"{folder}/markup{tail}.tsv")
             sequences = seqfiles.read_fasta(spark, f"{folder}/alleles{tail}.fasta")
@@ -56,6 +83,8 @@ class Reference:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
             d = None
+        if indexed is not None:
+            return cls(indexed, d, seqtype, stored=True)
         return cls.from_markup(markup, sequences, d, seqtype)
 
 
@@ -68,6 +97,8 @@ class Options:
     evalue: float = 1e-3
     min_seeds: int = 3
     scoring: aligner.Scoring | None = None
+    #: Align every read with every target over all diagonals, without seeds: the exact way, for a reference that is broadcast.
+    exhaustive: bool = False
 
     def scores(self) -> aligner.Scoring:
         return self.scoring or (aligner.Scoring.aa() if self.seqtype == "aa" else aligner.Scoring())
@@ -101,6 +132,23 @@ def reverse_complement(s: str) -> str:
     return bytes(c if c in b"ACGT" else 78 for c in raw).decode()
 
 
+def projected(row: tuple, germlines: dict[str, d_mapping.Germlines], options: Options, q: str, qpos: np.ndarray, tpos: np.ndarray, tstart: int) -> dict:
+    """What the scaffold of a hit tells of a read: its calls, extents of regions, points, coding start and D segments. row:
+    FIELDS; q: the read as oriented; qpos, tpos: 1-based positions of the aligned pairs."""
+    locus, v_call, j_call, starts, ends, v_last, j_first = row
+    spans = projection.extents(qpos, tpos, starts, ends)
+    point = lambda x: projection.project_point(qpos, tpos, x) or None
+    v_end, j_start = point(v_last or 0), point(j_first or 0)
+    new = {
+        "locus": locus, "v_call": v_call, "j_call": j_call, "starts": [x and x[0] for x in spans], "ends": [x and x[1] for x in spans],
+        "v_end": v_end, "j_start": j_start, "frame_point": point(tstart + (starts[0] - tstart) % 3), "d": [],
+    }
+    if options.map_d and options.seqtype == "nt" and locus in germlines and v_end and j_start and j_start > v_end + 1:
+        found = germlines[locus].best(q[v_end : j_start - 1], locus in d_mapping.FUSION_LOCI)
+        new["d"] = [{"allele": x, "s": int(y), "e": int(z)} for x, y, z in found]
+    return new
+
+
 def placed(targets: Targets, options: Options, rows: list[dict], total: float | None = None, found: tuple[np.ndarray, ...] | None = None) -> list[dict]:
     """Best hits of reads, with everything projected. The bits decide, then the target's name, then the forward strand.
     Where the targets are a part of the reference only: total, the residues of all of it, and found, as candidates()."""
@@ -109,8 +157,10 @@ def placed(targets: Targets, options: Options, rows: list[dict], total: float |
     n = len(rows)
     if options.seqtype == "nt" and options.both_strands:
         codes = codes + [_COMPLEMENT[c][::-1] for c in codes]
-    read, target, low, high = aligner.candidates(index, codes, options.most, options.min_seeds) if found is None else found
-    score = aligner.scores(index, codes, read, target, low, high)
+    if found is None:
+        found = aligner.every_pair(index, codes) if options.exhaustive else aligner.candidates(index, codes, options.most, options.min_seeds)
+    read, target, low, high = found[:4]
+    score = aligner.scores(index, codes, *found, group=read % n if n else None)
     order = np.lexsort((read >= n, target, -score, read % n)) if n else read  # targets are in the order of their names
     order = order[np.diff(read[order] % n, prepend=-1) > 0] if n else read
     total = float(index.lengths.sum()) if total is None else total
@@ -129,33 +179,56 @@ def placed(targets: Targets, options: Options, rows: list[dict], total: float |
             a, i, p = best[k]
             rev, t = bool(read[p] >= n), int(target[p])
             q = reverse_complement(new["sequence"]) if rev else new["sequence"]
-            locus, v_call, j_call, starts, ends, v_last, j_first = targets.rows[t]
             qaln, taln, cigar = aligner.strings(a, i, q, targets.sequences[t])
             qpos, tpos = aligner.positions(a, i)
-            spans = projection.extents(qpos, tpos, starts, ends)
-            point = lambda x, qpos=qpos, tpos=tpos: projection.project_point(qpos, tpos, x) or None
-            v_end, j_start = point(v_last or 0), point(j_first or 0)
             tstart = int(a.tstart[i])
             same = sum(x == y for x, y in zip(qaln.upper(), taln.upper()))
             new |= {
-                "sequence": q, "locus": locus, "v_call": v_call, "j_call": j_call, "target": index.ids[t], "rev": rev,
-                "score": int(a.score[i]), "bits": float(bits[p]), "evalue": float(evalue[p]), "pident": 100.0 * same / len(qaln),
+                "sequence": q, "target": index.ids[t], "rev": rev, "score": int(a.score[i]), "bits": float(bits[p]), "evalue": float(evalue[p]), "pident": 100.0 * same / len(qaln),
                 "qstart": int(a.qstart[i]), "qend": int(a.qend[i]), "tstart": tstart, "tend": int(a.tend[i]), "cigar": cigar, "qaln": qaln, "taln": taln,
-                "starts": [x and x[0] for x in spans], "ends": [x and x[1] for x in spans], "v_end": v_end, "j_start": j_start,
-                "frame_point": point(tstart + (starts[0] - tstart) % 3), "d": [],
+                **projected(targets.rows[t], targets.germlines, options, q, qpos, tpos, tstart),
             }
-            if options.map_d and options.seqtype == "nt" and locus in targets.germlines and v_end and j_start and j_start > v_end + 1:
-                found = targets.germlines[locus].best(q[v_end : j_start - 1], locus in d_mapping.FUSION_LOCI)
-                new["d"] = [{"allele": x, "s": int(y), "e": int(z)} for x, y, z in found]
         out.append(new)
     return out
 
 
+def from_hits(reads: DataFrame, hits: DataFrame, reference: Reference, options: Options | None = None) -> DataFrame:
+    """Records from the hits of another aligner, as read_hits gives them: the best hit of each read id, turned round if it
+    is on the other strand, with the markup of its scaffold. One of a scaffold that is not known counts as none."""
+    options = options or Options(reference.seqtype)
+    fields = ("target", "qstart", "qend", "tstart", "tend", "cigar", "qaln", "taln", "evalue", "bits", "pident")
+    best = seed_join.best_hits(hits.select(F.col("query").alias("read_id"), *fields), "read_id")
+    rows = seed_join.every_read(reads.select("rid", "read_id", "sequence"), best, "read_id").withColumnRenamed("target", "scaffold_id")
+    rows = germline.marked(rows, reference.scaffolds.select("scaffold_id", *FIELDS))
+    rev, start, end = seed_join.remapped(F.col("qstart"), F.col("qend"), F.length("sequence"))
+    turned = F.when(rev, sq.reverse_complement(F.col("sequence"))).otherwise(F.coalesce("sequence", F.lit("")))
+    rows = rows.select("rid", "read_id", "scaffold_id", turned.alias("sequence"), rev.alias("rev"), start.alias("qstart"), end.alias("qend"), *(c for c in fields if c not in ("target", "qstart", "qend")), *FIELDS)
+    lines = _lines(reference, options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                new = {"rid": row["rid"], "read_id": row["read_id"], "sequence": row["sequence"]}
+                if row["starts"] is not None and row["qaln"]:
+                    scaffold = tuple(row[f] for f in FIELDS)
+                    qpos, tpos = projection.aligned_pairs(row["qaln"], row["taln"], row["qstart"], row["tstart"])
+                    new |= {f: row[f] for f in fields if f in row} | {"target": row["scaffold_id"], "rev": row["rev"]}
+                    new |= projected(scaffold, lines, options, row["sequence"], qpos, tpos, row["tstart"])
+                out.append(new)
+            yield pa.RecordBatch.from_pylist(out, schema=OUT)
+
+    return assembled(rows.mapInArrow(run, SPARK_OUT), options.seqtype)
+
+
 def _lines(reference: Reference, options: Options) -> dict[str, d_mapping.Germlines]:
     """D germlines by locus."""
     germlines: dict[str, list] = {}
     if reference.d_germlines is not None and options.map_d and options.seqtype == "nt":
-        for r in reference.d_germlines.select("locus", "allele", "sequence").collect():  # tens of rows a locus
+        rows = reference.d_germlines.select("locus", "allele", "sequence")
+        if (rows.agg(F.sum(F.length("sequence"))).first()[0] or 0) > D_RESIDUES:
+            raise ValueError(f"D germlines of over {D_RESIDUES} residues")
+        for r in rows.collect():  # tens of rows a locus
             germlines.setdefault(r[0], []).append((r[1], r[2]))
     return {k: d_mapping.Germlines(v) for k, v in germlines.items()}
 
@@ -165,15 +238,12 @@ def place(reads: DataFrame, reference: Reference, options: Options | None = None
     options = options or Options(reference.seqtype)
     if options.seqtype not in ("nt", "aa"):
         raise ValueError(f"unknown sequence type {options.seqtype!r}")
-    scaffolds = reference.scaffolds.select("scaffold_id", "sequence", *FIELDS)
-    scaffolds = materialised(scaffolds, "scaffolds")  # building them can cost more than the search
-    size = scaffolds.agg(F.sum(F.length("sequence"))).first()[0] or 0
-    lines = _lines(reference, options)
-    if size > BROADCAST_RESIDUES:
-        return _place_by_join(reads, scaffolds, float(size), lines, options)
-    rows = sorted(scaffolds.collect())
-    index = aligner.Index([r[0] for r in rows], [r[1].upper() for r in rows], options.scores())
-    known = reads.sparkSession.sparkContext.broadcast(Targets(index, [r[1] for r in rows], [tuple(r[2:]) for r in rows], lines))
+    reference.ready()
+    if reference._size > BROADCAST_RESIDUES:
+        if options.exhaustive:
+            raise ValueError("an exhaustive search is for a reference that is broadcast")
+        return _place_by_join(reads, reference.scaffolds, float(reference._size), _lines(reference, options), options)
+    known = reference.targets(options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,9 +253,15 @@ def place(reads: DataFrame, reference: Reference, options: Options | None = None
     return _spread(reads.select("rid", "read_id", "sequence")).mapInArrow(run, SPARK_OUT)
 
 
+#: Reads that a task aligns, about, where there are more of them than the cores can share out.
+TASK_BYTES = 64 << 20
+
+
 def _spread(reads: DataFrame) -> DataFrame:
-    """Reads dealt out evenly: aligning them costs far more than moving them, and a small file is one partition."""
-    return reads.repartition(4 * reads.sparkSession.sparkContext.defaultParallelism)
+    """Reads dealt out evenly: aligning them costs far more than moving them, and a small file is one partition. There are
+    four partitions a core, or, where that would make them large by the planner's estimate, one for each TASK_BYTES."""
+    size = int(reads._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return reads.repartition(max(4 * reads.sparkSession.sparkContext.defaultParallelism, min(size // TASK_BYTES, 1_000_000)))
 
 
 def _place_by_join(reads: DataFrame, scaffolds: DataFrame, total: float, lines: dict[str, d_mapping.Germlines], options: Options) -> DataFrame:
@@ -198,7 +274,7 @@ def _place_by_join(reads: DataFrame, scaffolds: DataFrame, total: float, lines:
         both = both.unionByName(reads.select(query(True), sq.reverse_complement(F.upper("sequence")).alias("sequence")))
     found = seed_join.seeds(both, scaffolds.select(F.col("scaffold_id").alias("target"), F.upper("sequence").alias("sequence")), s.k, aligner.LETTERS[s.alphabet])
     pairs = seed_join.banded(found, options.most, options.min_seeds, aligner.BAND)
-    pairs = pairs.select("query.*", F.col("target").alias("scaffold_id"), F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
+    pairs = pairs.select("query.*", F.col("target").alias("scaffold_id"), F.col("n").cast("long").alias("near"), F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
     pairs = pairs.join(reads.select("rid", "sequence"), "rid").join(scaffolds.select("scaffold_id", F.col("sequence").alias("t_sequence")), "scaffold_id")
 
     def strand(sequence: str, rev: bool) -> np.ndarray:
@@ -212,15 +288,16 @@ def _place_by_join(reads: DataFrame, scaffolds: DataFrame, total: float, lines:
             queries = {(r["rid"], r["rev"]): r["sequence"] for r in rows}
             number = {q: i for i, q in enumerate(queries)}
             columns = zip(*((number[r["rid"], r["rev"]], place_of[r["scaffold_id"]], r["low"], r["high"]) for r in rows))
-            arrays = [np.array(c, np.int64) for c in columns] or [np.zeros(0, np.int64)] * 4
+            arrays = [np.array(c, np.int64) for c in columns] or [np.zeros(0, np.int64)] * 4  # a read's pairs may lie in several batches
             scores = aligner.scores(index, [strand(text, rev) for (_, rev), text in queries.items()], *arrays)
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(scores, pa.int32())], [*names, "score"])
 
-    names = ["rid", "rev", "scaffold_id", "low", "high"]
-    scored = pairs.select(*names, "sequence", "t_sequence").mapInArrow(score, "rid long, rev boolean, scaffold_id string, low long, high long, score int")
+    names = ["rid", "rev", "scaffold_id", "low", "high", "near"]
+    scored = pairs.select(*names, "sequence", "t_sequence").mapInArrow(score, "rid long, rev boolean, scaffold_id string, low long, high long, near long, score int")
     best = F.min_by(F.struct("scaffold_id", "rev", "low", "high"), F.struct(-F.col("score"), F.col("scaffold_id"), F.col("rev"))).alias("best")
-    own = scored.groupBy("rid").agg(best).select("rid", "best.*").join(scaffolds.withColumnRenamed("sequence", "t_sequence"), "scaffold_id")
-    rows = reads.select("rid", "read_id", "sequence").join(own, "rid", "left")
+    own = scored.groupBy("rid").agg(best).select("rid", "best.*")
+    rows = seed_join.every_read(reads.select("rid", "read_id", "sequence"), own)
+    rows = germline.marked(rows, scaffolds.withColumnRenamed("sequence", "t_sequence"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,7 +306,7 @@ def _place_by_join(reads: DataFrame, scaffolds: DataFrame, total: float, lines:
                 known = {r["scaffold_id"]: r for r in rows if r["scaffold_id"] is not None}
                 index, place_of = _index({i: r["t_sequence"] for i, r in known.items()}, s)
                 hits = [(i + len(rows) * r["rev"], place_of[r["scaffold_id"]], r["low"], r["high"]) for i, r in enumerate(rows) if r["scaffold_id"] is not None]
-                arrays = tuple(np.array(c, np.int64) for c in zip(*hits)) or (np.zeros(0, np.int64),) * 4
+                arrays = (*(tuple(np.array(c, np.int64) for c in zip(*hits)) or (np.zeros(0, np.int64),) * 4), np.zeros(len(hits), np.int64))
                 targets = Targets(index, [known[i]["t_sequence"] for i in index.ids], [tuple(known[i][f] for f in FIELDS) for i in index.ids], lines)
                 yield pa.RecordBatch.from_pylist(placed(targets, options, rows, total, arrays), schema=OUT)
 
@@ -260,6 +337,45 @@ def annotate_path(spark: SparkSession, source: str, target: str, reference: Refe
     sinks.write_airr(annotate(reads, reference, options).repartitionByRange("rid").sortWithinPartitions("rid").select(*COLUMNS), target)
 
 
+#: Marks how an index is laid out; a folder with another mark is built anew.
+INDEX_VERSION = "2"
+
+
+def _index_folder(folder: str, seqtype: str) -> str:
+    return f"{folder}/index-{seqtype}"
+
+
+def _indexed(spark: SparkSession, folder: str, seqtype: str) -> DataFrame | None:
+    """The scaffolds of an index of this version."""
+    try:
+        mark = spark.read.text(f"{_index_folder(folder, seqtype)}/version").first()
+    except Exception as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return None
+        raise
+    return spark.read.parquet(f"{_index_folder(folder, seqtype)}/scaffolds") if mark is not None and mark[0] == INDEX_VERSION else None
+
+
+def build_index(spark: SparkSession, folders: Iterable[str], force: bool = False) -> list[tuple[str, str]]:
+    """For each reference folder and each type that it has: the joined scaffolds as one table, so that a search needs
+    neither to read and join the text files nor to store them again. What has this version stays, unless force. Returns
+    the folders and types that were built."""
+    done = []
+    for folder in folders:
+        for seqtype in ("nt", "aa"):
+            if not force and _indexed(spark, folder, seqtype) is not None:
+                continue
+            try:
+                reference = Reference.load(spark, folder, seqtype)
+            except FileNotFoundError:
+                continue
+            rows, place = materialised(reference.scaffolds.select("scaffold_id", "sequence", *FIELDS), "index"), _index_folder(folder, seqtype)
+            rows.write.mode("overwrite").parquet(f"{place}/scaffolds")
+            spark.createDataFrame([(INDEX_VERSION,)], "value string").coalesce(1).write.mode("overwrite").text(f"{place}/version")
+            done.append((folder, seqtype))
+    return done
+
+
 def markup_of(scaffolds: DataFrame, v_regions: DataFrame, j_regions: DataFrame) -> DataFrame:
     """Scaffolds with region coordinates: v_regions (allele, then start and end of the first five regions in the V allele
     from its coding frame on) and j_regions (allele, fwr4_offset: where FR4 starts in the J allele). CDR3 is between."""
@@ -279,15 +395,48 @@ def markup_of(scaffolds: DataFrame, v_regions: DataFrame, j_regions: DataFrame)
 def build_reference(v: DataFrame, j: DataFrame, v_regions: DataFrame, j_regions: DataFrame, frames: DataFrame | None = None, d: DataFrame | None = None) -> Reference:
     """Scaffolds of V and J alleles, marked up from the regions of their alleles; incomplete ones are left out."""
     marked = germline.complete(markup_of(germline.scaffolds(v, j, frames), v_regions, j_regions))
-    return Reference(marked.select("scaffold_id", "locus", "v_call", "j_call", "sequence", "starts", "ends", "v_sequence_end", "j_sequence_start"), d)
-
-
-def write_reference(reference: Reference, folder: str) -> None:
-    """The files that Reference.load reads."""
-    rows = reference.scaffolds
-    flat = [F.get(x, F.lit(i)).alias(f"{r}_{x[:-1]}") for i, r in enumerate(sq.REGIONS) for x in ("starts", "ends")]
+    return Reference(marked.select("scaffold_id", "sequence", *FIELDS), d)
+
+
+def protein_reference(reference: Reference) -> Reference:
+    """The amino-acid side of a nucleotide reference: scaffolds read from where FR1 starts, their regions as residues. V
+    and J bounds have no meaning there."""
+    rows = reference.ready().scaffolds
+    flat = [F.get(f"{x}s", F.lit(i)).alias(f"{r}_{x}") for i, r in enumerate(sq.REGIONS) for x in ("start", "end")]
+    marked = germline.aa_markup(rows.select("scaffold_id", "locus", "v_call", "j_call", "sequence", *flat))
+    starts, ends = (F.array(*(F.greatest(F.col(f"{r}_{x}"), F.lit(0)) for r in sq.REGIONS)).alias(f"{x}s") for x in ("start", "end"))
+    none = [F.lit(0).alias(c) for c in ("v_sequence_end", "j_sequence_start")]
+    return Reference(marked.select("scaffold_id", "sequence", "locus", "v_call", "j_call", starts, ends, *none), None, "aa")
+
+
+def markup_table(reference: Reference) -> DataFrame:
+    """The markup of a reference as its table has it: calls, bounds, junction, and each region's start, end and residues."""
+    rows, s = reference.scaffolds, F.col("sequence")
+    at = lambda r, x: F.get(f"{x}s", F.lit(sq.REGIONS.index(r)))
+    parts = [c for r in sq.REGIONS for c in (at(r, "start").alias(f"{r}_start"), at(r, "end").alias(f"{r}_end"), F.when(at(r, "start") > 0, sq.sliced(s, at(r, "start"), at(r, "end"))).alias(r))]
+    if reference.seqtype == "aa":
+        own = [F.lit(1).alias("coding_start"), sq.sliced(s, at("cdr3", "start") - 1, at("fwr4", "start")).alias("junction_aa")]
+    else:
+        junction = sq.sliced(s, at("cdr3", "start") - 3, at("fwr4", "start") + 2)
+        coding = sq.sliced(s, at("fwr1", "start"), at("fwr4", "end"))
+        free = ~F.contains(sq.translate(coding), F.lit("*")) & (F.pmod(at("fwr4", "start") - at("fwr1", "start"), F.lit(3)) == 0)
+        own = [free.alias("productive"), "v_sequence_end", "j_sequence_start", junction.alias("junction"), sq.translate(junction).alias("junction_aa")]
+    return rows.select("scaffold_id", "locus", "v_call", "j_call", *own, *parts)
+
+
+def write_reference(reference: Reference, folder: str, built: DataFrame | None = None) -> None:
+    """The files that Reference.load reads. built: all scaffolds with their n_pad, also those that were left out; they
+    become combinations.tsv, and their counts by locus build_log.tsv."""
+    reference.ready()
     tail = ".aa" if reference.seqtype == "aa" else ""
-    sinks.write_airr(rows.select("scaffold_id", "locus", "v_call", "j_call", "v_sequence_end", "j_sequence_start", *flat), f"{folder}/markup{tail}.tsv")
-    sinks.write_fasta(rows, f"{folder}/alleles{tail}.fasta", "scaffold_id")
+    sinks.write_airr(markup_table(reference), f"{folder}/markup{tail}.tsv")
+    sinks.write_fasta(reference.scaffolds, f"{folder}/alleles{tail}.fasta", "scaffold_id")
     if reference.d_germlines is not None:
         sinks.write_fasta(reference.d_germlines.withColumn("name", F.concat_ws("|", "locus", "allele")), f"{folder}/d_germlines.fasta", "name")
+    if built is not None:
+        calls = [F.array_join(c, ",").alias(c) for c in ("v_calls", "j_calls")]
+        sinks.write_airr(built.select("scaffold_id", "locus", *calls, "n_pad"), f"{folder}/combinations.tsv")
+        counts = built.groupBy("locus").agg(F.count(F.lit(1)).alias("n_scaffolds"))
+        kept = reference.scaffolds.groupBy("locus").agg(F.count(F.lit(1)).alias("n_annotated"))
+        n = F.coalesce("n_annotated", F.lit(0))
+        sinks.write_airr(counts.join(kept, "locus", "left").select("locus", "n_scaffolds", n.alias("n_annotated"), (F.col("n_scaffolds") - n).alias("n_dropped")).orderBy("locus"), f"{folder}/build_log.tsv", 1)

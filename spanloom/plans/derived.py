@@ -82,11 +82,23 @@ def in_frame_sql(sequence: str) -> str:
     return f"substr({sequence}, 1 + {frame_sql(sequence)})"
 
 
+#: For DuckDB, written out apart from the tables of the package: codons by residue, and the commonest of each.
+CODONS_SQL = """CASE WHEN c IN ('GCA', 'GCC', 'GCG', 'GCT') THEN 'A' WHEN c IN ('TGC', 'TGT') THEN 'C' WHEN c IN ('GAC', 'GAT') THEN 'D'
+WHEN c IN ('GAA', 'GAG') THEN 'E' WHEN c IN ('TTC', 'TTT') THEN 'F' WHEN c IN ('GGA', 'GGC', 'GGG', 'GGT') THEN 'G'
+WHEN c IN ('CAC', 'CAT') THEN 'H' WHEN c IN ('ATA', 'ATC', 'ATT') THEN 'I' WHEN c IN ('AAA', 'AAG') THEN 'K'
+WHEN c IN ('CTA', 'CTC', 'CTG', 'CTT', 'TTA', 'TTG') THEN 'L' WHEN c = 'ATG' THEN 'M' WHEN c IN ('AAC', 'AAT') THEN 'N'
+WHEN c IN ('CCA', 'CCC', 'CCG', 'CCT') THEN 'P' WHEN c IN ('CAA', 'CAG') THEN 'Q'
+WHEN c IN ('AGA', 'AGG', 'CGA', 'CGC', 'CGG', 'CGT') THEN 'R' WHEN c IN ('AGC', 'AGT', 'TCA', 'TCC', 'TCG', 'TCT') THEN 'S'
+WHEN c IN ('ACA', 'ACC', 'ACG', 'ACT') THEN 'T' WHEN c IN ('GTA', 'GTC', 'GTG', 'GTT') THEN 'V' WHEN c = 'TGG' THEN 'W'
+WHEN c IN ('TAC', 'TAT') THEN 'Y' WHEN c IN ('TAA', 'TAG', 'TGA') THEN '*' ELSE 'X' END"""
+COMMON_SQL = """CASE c WHEN 'A' THEN 'GCC' WHEN 'C' THEN 'TGC' WHEN 'D' THEN 'GAC' WHEN 'E' THEN 'GAG' WHEN 'F' THEN 'TTC' WHEN 'G' THEN 'GGC'
+WHEN 'H' THEN 'CAC' WHEN 'I' THEN 'ATC' WHEN 'K' THEN 'AAG' WHEN 'L' THEN 'CTG' WHEN 'M' THEN 'ATG' WHEN 'N' THEN 'AAC' WHEN 'P' THEN 'CCC'
+WHEN 'Q' THEN 'CAG' WHEN 'R' THEN 'AGG' WHEN 'S' THEN 'AGC' WHEN 'T' THEN 'ACC' WHEN 'V' THEN 'GTG' WHEN 'W' THEN 'TGG' WHEN 'Y' THEN 'TAC' ELSE 'NNN' END"""
+
+
 def translate_sql(sequence: str, frame: str) -> str:
     """DuckDB: codons of a sequence from an offset."""
-    base = lambda k: f"instr('{sq.BASES}', substr(upper({sequence}), ({frame}) + 3 * i + {k}, 1))"
-    known = f"{base(1)} > 0 AND {base(2)} > 0 AND {base(3)} > 0"
-    return f"array_to_string([CASE WHEN {known} THEN substr('{sq.CODE}', 16 * ({base(1)} - 1) + 4 * ({base(2)} - 1) + {base(3)}, 1) ELSE 'X' END FOR i IN range(0, greatest(0, (length({sequence}) - ({frame})) // 3))], '')"
+    return f"array_to_string([{CODONS_SQL} FOR c IN regexp_extract_all(upper(substr({sequence}, 1 + ({frame}))), '...')], '')"
 
 
 def frame_sql(sequence: str) -> str:

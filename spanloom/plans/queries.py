@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import sequences as sq
 from spanloom.operators import concordance, d_mapping, germline, projection, seed_join
-from spanloom.plans import annotate, derived
+from spanloom.plans import annotate, derived, records_sql
 from spanloom.plans.records import COLUMNS
-from spanloom.session import shared_dir, table
+from spanloom.session import materialised, shared_dir, table
 from spanloom.sources import seqfiles, sinks
+from spanloom.streaming.annotate import annotate_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,10 +61,7 @@ def f3_reverse_complement(spark, folder):
     return _part(spark, folder).select("p_partkey", sq.reverse_complement(F.replace("nt", F.lit("CC"), F.lit("nr"))).alias("rc"))
 
 
-_CODON = "CASE c " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sq.COMMON_CODONS.items()) + " ELSE 'NNN' END"
-
-
-@query(f"SELECT p_partkey, array_to_string([{_CODON} FOR c IN string_split({derived.translate_sql('nt', 'frame')}, '')], '') AS nt FROM {_PART}")
+@query(f"SELECT p_partkey, array_to_string([{derived.COMMON_SQL} FOR c IN string_split({derived.translate_sql('nt', 'frame')}, '')], '') AS nt FROM {_PART}")
 def f4_back_translate(spark, folder):
     return _part(spark, folder).select("p_partkey", sq.back_translate(sq.translate(F.col("nt"), F.col("frame"))).alias("nt"))
 
@@ -74,7 +72,7 @@ def f5_aa_coordinate(spark, folder):
     return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", at.alias("aa_start"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{a}')" for c, a in sq.codon_table().items()) + ") t(codon, aa)")
+@query(f"SELECT c AS codon, {derived.CODONS_SQL} AS aa FROM (SELECT x || y || z AS c FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS x), (SELECT unnest(['A', 'C', 'G', 'T']) AS y), (SELECT unnest(['A', 'C', 'G', 'T']) AS z))")
 def f7_codon_table(spark, folder):
     bases = spark.createDataFrame([(b,) for b in sq.BASES], "b string")
     triples = bases.select(F.explode(F.array(*map(F.lit, sq.BASES))).alias("c"), "b").select(F.explode(F.array(*map(F.lit, sq.BASES))).alias("d"), "b", "c")
@@ -291,14 +289,16 @@ def u4_distinct(spark, folder):
 
 @query(f"SELECT locus, allele, sequence FROM ({derived.V_SQL}) x UNION ALL SELECT locus, allele, sequence FROM ({derived.J_SQL}) y")
 def u1_union(spark, folder):
-    columns = ["locus", "allele", "sequence"]
-    return derived.v_alleles(spark, folder).select(*columns).unionByName(derived.j_alleles(spark, folder).select(*columns))
+    """Tables of two runs, read as one."""
+    path, columns = _place(spark, "union"), ["locus", "allele", "sequence"]
+    for name, rows in (("v", derived.v_alleles(spark, folder)), ("j", derived.j_alleles(spark, folder))):
+        sinks.write_airr(rows.select(*columns), f"{path}/out_{name}")
+    return sinks.merged(spark, f"{path}/out_*").select(*columns)
 
 
 @query("SELECT c_custkey, c_nationkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) - 1)::INTEGER AS ordinal FROM customer")
 def w1_ordinal(spark, folder):
-    number = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_name")) - 1
-    return table(spark, folder, "customer").select("c_custkey", "c_nationkey", number.cast("int").alias("ordinal"))
+    return table(spark, folder, "customer").select("c_custkey", "c_nationkey", germline.ordinal("c_nationkey", "c_name").cast("int").alias("ordinal"))
 
 
 # Hits
@@ -319,25 +319,25 @@ def a1_best_hit(spark, folder):
 @query(f"SELECT o_orderkey AS rid, target, bits FROM orders LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY bits DESC NULLS LAST, target) AS r FROM ({_HITS}) WHERE bits > 40) WHERE r = 1) h ON o_orderkey = rid")
 def j4_every_read(spark, folder):
     best = seed_join.best_hits(_hits(spark, folder).filter("bits > 40"))
-    return table(spark, folder, "orders").select(F.col("o_orderkey").alias("rid")).join(best, "rid", "left")
+    return seed_join.every_read(table(spark, folder, "orders").select(F.col("o_orderkey").alias("rid")), best)
 
 
 @query("SELECT l_orderkey, l_linenumber, p_brand, p_type FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 10) p ON l_partkey = p_partkey")
 def j5_markup(spark, folder):
-    p = table(spark, folder, "part").filter("p_size > 10").select("p_partkey", "p_brand", "p_type")
-    return table(spark, folder, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"), "left").select("l_orderkey", "l_linenumber", "p_brand", "p_type")
+    p = table(spark, folder, "part").filter("p_size > 10").select(F.col("p_partkey").alias("scaffold_id"), "p_brand", "p_type")
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("scaffold_id"))
+    return germline.marked(rows, p).drop("scaffold_id")
 
 
 @query(f"SELECT r.rid, d.allele FROM ({derived.READS_SQL}) r JOIN ({derived.D_SQL}) d USING (locus)")
 def j6_d_of_locus(spark, folder):
-    d = F.broadcast(derived.d_alleles(spark, folder).select("locus", "allele"))  # at most a row for each nation
-    return derived.reads(spark, folder).select("rid", "locus").join(d, "locus").select("rid", "allele")
+    return d_mapping.of_locus(derived.reads(spark, folder).select("rid", "locus"), derived.d_alleles(spark, folder).withColumnRenamed("sequence", "d")).select("rid", "allele")
 
 
 @query("SELECT o_orderkey FROM orders ANTI JOIN (SELECT * FROM lineitem WHERE l_quantity > 45) ON l_orderkey = o_orderkey")
 def j4_reads_that_miss(spark, folder):
-    hits = table(spark, folder, "lineitem").filter("l_quantity > 45").select("l_orderkey")
-    return table(spark, folder, "orders").select("o_orderkey").join(hits, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
+    hits = table(spark, folder, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return seed_join.missed(table(spark, folder, "orders").select("o_orderkey"), hits, "o_orderkey")
 
 
 _K = 13
@@ -399,7 +399,7 @@ l AS (SELECT rid, locus, allele, CASE WHEN cur > 0 THEN cur ELSE 0 END::INTEGER
 
 def _local(spark: SparkSession, folder: str) -> DataFrame:
     inside = derived.view(spark, folder, _INTERIOR, "supplier")
-    pairs = inside.join(F.broadcast(derived.d_alleles(spark, folder).select("locus", "allele", F.col("sequence").alias("d"))), "locus")
+    pairs = d_mapping.of_locus(inside, derived.d_alleles(spark, folder).withColumnRenamed("sequence", "d"))
     return d_mapping.local_rows(pairs.select("rid", "locus", "allele", "interior", "d"), ["rid", "locus", "allele"])
 
 
@@ -432,11 +432,69 @@ def annotated_locus(spark, folder):
     return flagship(spark, folder).select("sequence_id", "locus", "rev_comp")
 
 
+def _junk(spark: SparkSession, folder: str) -> DataFrame:
+    return derived.view(spark, folder, f"SELECT event_id AS rid, concat('junk', event_id) AS read_id, {derived.EVENT_NT} AS sequence FROM events", "events")
+
+
 @query(f"SELECT concat('junk', event_id) AS sequence_id, {derived.EVENT_NT} AS sequence, NULL::VARCHAR AS v_call, NULL::INTEGER AS fwr1_start FROM events")
 def f22_misses(spark, folder):
     """Reads like nothing in the reference: a record each, with id and sequence only."""
-    junk = derived.view(spark, folder, f"SELECT event_id AS rid, concat('junk', event_id) AS read_id, {derived.EVENT_NT} AS sequence FROM events", "events")
-    return annotate.annotate(junk, derived.reference(spark, folder)).select("sequence_id", "sequence", "v_call", "fwr1_start")
+    return annotate.annotate(_junk(spark, folder), derived.reference(spark, folder)).select("sequence_id", "sequence", "v_call", "fwr1_start")
+
+
+# Records from given hits: every field against SQL that follows its definition
+
+
+def _given(spark: SparkSession, folder: str, reads: str = records_sql.READS, hits: str = records_sql.HITS) -> tuple[DataFrame, DataFrame, annotate.Reference]:
+    reads, hits, markup = (derived.view(spark, folder, x, "customer") for x in (reads, hits, records_sql.MARKUP))
+    starts, ends = (F.array(*(F.col(f"{r}_{x}") for r in sq.REGIONS)).alias(f"{x}s") for x in ("start", "end"))
+    scaffolds = markup.select("scaffold_id", "locus", "v_call", "j_call", F.lit("").alias("sequence"), starts, ends, "v_sequence_end", "j_sequence_start")
+    return reads, hits, annotate.Reference(scaffolds, derived.d_alleles(spark, folder).select("locus", "allele", "sequence"))
+
+
+def _record_query(name: str, *columns: str) -> None:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return annotate.from_hits(*_given(spark, folder)).select(*columns)
+
+    QUERIES[name], SQL[name] = run, records_sql.record_sql(*columns)
+
+
+_record_query("record", *COLUMNS)
+_record_query("f10_points", "sequence_id", "v_sequence_start", "v_sequence_end", "j_sequence_start")
+_record_query("f11_coding_start", "sequence_id", *(f"{r}_aa" for r in sq.REGIONS[:6]))
+_record_query("f13_junction", "sequence_id", "junction", "junction_aa", "cdr3_aa", "cdr3_start", "cdr3_end")
+_record_query("f15_np", "sequence_id", "np1", "np2", "np3")
+_record_query("f16_productive", "sequence_id", "productive", "rev_comp")
+_record_query("o4_d_order", "sequence_id", "d_call", "d2_call", "d_sequence_start", "d_sequence_end", "d2_sequence_start", "d2_sequence_end")
+
+
+@query(records_sql.RECORD_AA)
+def record_aa(spark, folder):
+    """Amino-acid records, from alignments taken as such."""
+    rows = annotate.from_hits(*_given(spark, folder, records_sql.READS_AA, records_sql.HITS_AA), annotate.Options("aa"))
+    return rows.select(*records_sql.FIELDS_AA)
+
+
+@query(_SCAFFOLDS + "SELECT concat(locus, '_', row_number() OVER (PARTITION BY locus ORDER BY sequence) - 1) AS sequence_id, locus, v_calls AS v_call, NULL::BOOLEAN AS rev_comp_t FROM g")
+def annotated_protein(spark, folder):
+    """Proteins of all scaffolds with a residue of every 17 replaced, annotated as amino acids: each finds its own V."""
+    reference = annotate.protein_reference(derived.reference(spark, folder))
+    reads = reference.scaffolds.select(F.col("scaffold_id").alias("read_id"), F.regexp_replace("sequence", "(.{16})[^W]", "$1W").alias("sequence"))
+    reads = materialised(reads.withColumn("rid", F.monotonically_increasing_id()), "proteins")
+    rows = annotate.annotate(reads, reference)
+    return rows.select("sequence_id", "locus", "v_call", F.when(F.col("rev_comp"), True).alias("rev_comp_t"))
+
+
+@query(records_sql.record_sql("sequence_id", "aln_score", "aln_identity", "rev_comp", "fwr3_start", "fwr3_end", "junction"))
+def s8_hits(spark, folder):
+    """Hits of another aligner, written as its table and read back."""
+    reads, hits, reference = _given(spark, folder)
+    path = _place(spark, "hits")
+    fill = lambda c: F.col(c) if c in hits.columns else F.lit(0).alias(c)
+    lines = hits.select(*(F.coalesce(fill(c).cast("string"), F.lit("n/a")) for c in seqfiles.HIT))
+    lines.select(F.concat_ws("\t", *lines.columns)).write.text(path)
+    table_ = annotate.from_hits(reads, seqfiles.read_hits(spark, path), reference)
+    return table_.select("sequence_id", "aln_score", "aln_identity", "rev_comp", "fwr3_start", "fwr3_end", "junction")
 
 
 # Concordance of two tables
@@ -465,22 +523,23 @@ def a11_d_concordance(spark, folder):
     return concordance.d_calls(*_tables(spark, folder))
 
 
-@query("SELECT count(*) AS n_reads, count(*) FILTER (bits > 25) AS n_annotated FROM (" + _HITS + ")")
+@query("SELECT (SELECT count(*) FROM orders) + (SELECT count(*) FROM events) AS n_reads, (SELECT count(*) FROM orders) AS n_annotated")
 def a12_annotated(spark, folder):
-    return _hits(spark, folder).agg(F.count(F.lit(1)).alias("n_reads"), F.count(F.when(F.col("bits") > 25, 1)).alias("n_annotated"))
+    """Reads of the reference's loci and reads like nothing in it, annotated together: just the former get a call."""
+    columns = ("rid", "read_id", "sequence")
+    every = derived.reads(spark, folder).select(*columns).unionByName(_junk(spark, folder).select(*columns))
+    return concordance.annotated(annotate.annotate(every, derived.reference(spark, folder)))
 
 
 # Streaming
 
 
-@query(f"SELECT event_id, reverse(translate({derived.EVENT_NT}, 'ACGT', 'TGCA')) AS rc FROM events")
+@query(f"SELECT concat('junk', event_id) AS sequence_id, {derived.EVENT_NT} AS sequence, NULL::VARCHAR AS locus FROM events UNION ALL SELECT read_id, CASE WHEN rid % 5 = 0 THEN reverse(translate(sequence, 'ACGT', 'TGCA')) ELSE sequence END, locus FROM ({derived.READS_SQL}) x ")
 def t1_stream(spark, folder):
-    """Events as a stream of files, each mapped without state, written in micro-batches until none is left."""
+    """Events as FASTA files and reads as FASTQ files that arrive, annotated in micro-batches until none is left: events
+    are like nothing in the reference, reads come out as they were made, with their locus."""
     source, target, state = (_place(spark, n) for n in ("in", "out", "state"))
-    events = table(spark, folder, "events").select("event_id")
-    events.repartition(4).write.parquet(source)
-    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    rows = rows.select("event_id", sq.reverse_complement(F.expr(derived.EVENT_NT)).alias("rc"))
-    run = rows.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(target)
-    run.awaitTermination()
-    return spark.read.schema("event_id long, rc string").parquet(target)
+    sinks.write_fasta(_junk(spark, folder).repartition(3), f"{source}/fasta")
+    derived.reads(spark, folder).select(F.concat(F.lit("@"), "read_id", F.lit("\n"), "sequence", F.lit("\n+\n"), "sequence")).repartition(2).write.text(f"{source}/fastq")
+    annotate_stream(spark, f"{source}/*", target, state, derived.reference(spark, folder), files=2).awaitTermination()
+    return seqfiles.read_airr(spark, f"{target}/*", ["sequence_id", "sequence", "locus"])

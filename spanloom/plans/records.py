@@ -59,7 +59,7 @@ def assembled(rows: DataFrame, seqtype: str = "nt") -> DataFrame:
         rows = rows.withColumn("protein", sq.translate(q, F.col("coding") - 1))
         coded = F.col("coding").isNotNull()
         for r in R[:6]:
-            out[f"{r}_aa"] = F.when(coded, sq.aa_slice(F.col("protein"), F.col(f"{r}_s"), F.col(f"{r}_e"), F.col("coding")))
+            out[f"{r}_aa"] = F.when(coded & F.col(f"{r}_s").isNotNull(), sq.aa_slice(F.col("protein"), F.col(f"{r}_s"), F.col(f"{r}_e"), F.col("coding")))
         out["fwr4_aa"] = F.when(coded, sq.translate(out["fwr4"]))
         j = junction(q, F.col("cdr3_s"), F.col("fwr4_s"), F.col("coding"), F.col("v_end"))
         rows = rows.withColumns({"j_nt": F.when(coded & both, j["nt"]), "j_aa": empty(F.when(coded & both, j["aa"])), "phase": F.when(coded & both, j["phase"])})

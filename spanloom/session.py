@@ -22,12 +22,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that all machines share: spark.checkpoint.dir. Where that is unset, a temporary one on one machine; on a
+    cluster a folder of each machine's own would lose rows, so that is an error."""
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not where:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = sc._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         where = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="spanloom-")
-        spark.sparkContext.setCheckpointDir(where)
+        sc.setCheckpointDir(where)
     return where.rstrip("/")
 
 

@@ -15,12 +15,23 @@ from spanloom.functions import sequences as sq
 from spanloom.session import small
 
 _POSITION = F.monotonically_increasing_id
+#: Tables are tab-separated without quoting: a quotation mark is a character like any other.
+TSV = {"sep": "\t", "header": True, "quote": "\u0000", "escape": "\u0000"}
+
+
+def _mark(spark: SparkSession, path: str) -> str:
+    """The first character that is not blank, or nothing."""
+    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+    return first[0].value.strip()[:1] if first else ""
+
+
+def blank(spark: SparkSession, path: str) -> bool:
+    return not _mark(spark, path)
 
 
 def sniff(spark: SparkSession, path: str) -> str:
     """'fasta' or 'fastq' by the first character that is not blank; a ValueError otherwise, or if there is none."""
-    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-    mark = first[0].value.strip()[:1] if first else ""
+    mark = _mark(spark, path)
     if mark not in (">", "@"):
         raise ValueError(f"{path} is neither FASTA nor FASTQ" if mark else f"{path} is empty")
     return "fasta" if mark == ">" else "fastq"
@@ -50,7 +61,8 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     blocks = blocks.select("b_file", "b_block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("base"))
     lines = lines.join(small(blocks), (F.col("file") == F.col("b_file")) & (F.col("block") == F.col("b_block")))
     number = F.col("base") + F.col("at")
-    lines = lines.select("file", F.floor(number / 4).alias("group"), (number % 4).alias("part"), "value", "at")
+    # Only headers and sequences move on; the third and fourth lines of a group are not looked at.
+    lines = lines.select("file", F.floor(number / 4).alias("group"), (number % 4).alias("part"), "value", "at").filter("part < 2")
     part = lambda k: F.max(F.when(F.col("part") == k, F.col("value")))
     groups = lines.groupBy("file", "group").agg(F.min("at").alias("rid"), part(0).alias("head"), part(1).alias("sequence"))
     groups = groups.filter(F.col("head").startswith("@"))
@@ -75,12 +87,25 @@ def from_table(df: DataFrame, read_id: Column, sequence: Column) -> DataFrame:
     return df.select(_POSITION().alias("rid"), read_id.cast("string").alias("read_id"), sequence.cast("string").alias("sequence"))
 
 
+# Hits of another aligner
+
+#: Columns of a table of hits, in order; fixed values.
+HIT = ("query", "target", "qstart", "qend", "tstart", "tend", "qlen", "tlen", "alnlen", "mismatch", "gapopen", "cigar", "qaln", "taln", "evalue", "bits", "pident")
+_NUMBERS = {"evalue": "double", "bits": "double", "pident": "double", **dict.fromkeys(("qstart", "qend", "tstart", "tend", "qlen", "tlen", "alnlen", "mismatch", "gapopen"), "int")}
+
+
+def read_hits(spark: SparkSession, path: str) -> DataFrame:
+    """HIT from tab-separated files without a header; numbers that cannot be read are null, an empty file has no hits."""
+    rows = spark.read.csv(path, **{**TSV, "header": False}, schema=", ".join(f"{c} string" for c in HIT))
+    return rows.select(*(F.col(c).try_cast(_NUMBERS[c]).alias(c) if c in _NUMBERS else F.col(c) for c in HIT))
+
+
 # Reference tables
 
 
 def read_markup(spark: SparkSession, path: str) -> DataFrame:
     """Scaffold markup from a TSV file with a header; numbers that cannot be read, and missing V and J bounds, are 0."""
-    rows = spark.read.csv(path, sep="\t", header=True)
+    rows = spark.read.csv(path, **TSV)
     number = lambda c: F.coalesce(F.col(c).try_cast("int"), F.lit(0)) if c in rows.columns else F.lit(0)
     text = [c for c in ("scaffold_id", "locus", "v_call", "j_call", "productive", "junction", "junction_aa", "sequence") if c in rows.columns]
     ends = [number(c).alias(c) for c in ("v_sequence_end", "j_sequence_start")]
@@ -112,5 +137,5 @@ def read_functionality(spark: SparkSession, path: str) -> DataFrame:
 
 def read_airr(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """An AIRR table, all strings; of the columns asked for, those that it has."""
-    rows = spark.read.csv(path, sep="\t", header=True)
+    rows = spark.read.csv(path, **TSV)
     return rows.select(*(c for c in columns if c in rows.columns)) if columns else rows

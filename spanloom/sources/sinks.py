@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.session import materialised, small
+from spanloom.sources.seqfiles import TSV
 
 
 def python_float(value: Column) -> Column:
@@ -29,7 +30,7 @@ def write_airr(df: DataFrame, path: str, files: int | None = None) -> None:
     """TSV with a header, columns in the order of df; no rows give the header only."""
     rows = rendered(df)
     rows = rows.coalesce(files) if files else rows
-    rows.write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", nullValue="", quote="\u0000", escape="\u0000")
+    rows.write.mode("overwrite").csv(path, emptyValue="", nullValue="", **TSV)
 
 
 def airr_lines(df: DataFrame) -> DataFrame:
@@ -65,16 +66,22 @@ def split(df: DataFrame, n: int, path: str, order: str = "rid") -> None:
     rows.repartition(n, "shard").write.mode("overwrite").partitionBy("shard").text(path)
 
 
-def merge(spark: SparkSession, pattern: str, path: str) -> None:
-    """TSV files that match a pattern as one table, in the order of their names; none is a FileNotFoundError."""
+def merged(spark: SparkSession, pattern: str) -> DataFrame:
+    """All rows of the TSV files that match a pattern, as strings, with `_file` and `_at` for their order: by the names of
+    files, then as they stand. No file is a FileNotFoundError."""
     try:
-        rows = spark.read.csv(pattern, sep="\t", header=True)
+        rows = spark.read.csv(pattern, **TSV)
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(pattern) from error
         raise
     if not rows.columns:
         raise FileNotFoundError(pattern)
-    names = rows.columns
-    place = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
-    place.repartitionByRange("_file", "_at").sortWithinPartitions("_file", "_at").select(*names).na.fill("").coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", nullValue="")
+    return rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+
+
+def merge(spark: SparkSession, pattern: str, path: str, files: int | None = None) -> None:
+    """merged() as one table: part files in order, written side by side, each with the header; with files=1 one file."""
+    rows = merged(spark, pattern)
+    rows = rows.repartitionByRange(*([files] if files else []), "_file", "_at").sortWithinPartitions("_file", "_at").drop("_file", "_at").na.fill("")
+    rows.write.mode("overwrite").csv(path, emptyValue="", nullValue="", **TSV)

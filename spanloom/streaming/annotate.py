@@ -8,21 +8,30 @@ from pyspark.sql.streaming import StreamingQuery
 
 from spanloom.plans.annotate import Options, Reference, annotate
 from spanloom.plans.records import COLUMNS
-from spanloom.sources.sinks import rendered
+from spanloom.session import materialised
+from spanloom.sources import seqfiles, sinks
 
 
-def fasta_stream(spark: SparkSession, folder: str, files: int = 16) -> DataFrame:
-    """FASTA files of a folder, some at a time: rid, read_id, sequence."""
-    rows = spark.readStream.option("lineSep", "\n>").option("maxFilesPerTrigger", files).text(folder)
-    record = F.regexp_replace("value", r"^\s*>", "")
-    name = F.regexp_extract(F.regexp_extract(record, r"^[^\r\n]*", 0), r"^\s*(\S*)", 1)
-    sequence = F.regexp_replace(F.regexp_replace(record, r"^[^\r\n]*", ""), r"\s+", "")
-    return rows.select(F.lit(0).cast("long").alias("rid"), name.alias("read_id"), sequence.alias("sequence")).filter("read_id <> ''")
+def file_stream(spark: SparkSession, folder: str, files: int = 16) -> DataFrame:
+    """The files of a folder, some at a time: their path only, so that none is read here."""
+    rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    return rows.option("maxFilesPerTrigger", files).load(folder).select("path")
 
 
 def annotate_stream(spark: SparkSession, folder: str, target: str, checkpoint: str, reference: Reference, options: Options | None = None, files: int = 16) -> StreamingQuery:
-    """What the folder holds now, as an AIRR table by micro-batches; a later start goes on with new files. A file
-    that cannot be read fails the query."""
-    rows = rendered(annotate(fasta_stream(spark, folder, files), reference, options).select(*COLUMNS))
-    writer = rows.writeStream.format("csv").option("sep", "\t").option("header", True).option("emptyValue", "").option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start(target)
+    """The FASTA and FASTQ files that the folder holds now, plain or gzipped, as an AIRR table by micro-batches; a later
+    start goes on with new files. The stream is one of file names; each micro-batch reads its files as annotate_path does,
+    so that what a file holds is read alike by both, and writes a folder of its own, anew if the batch has to be repeated.
+    A file that cannot be read fails the query; one without any character but blanks has no reads."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        paths = sorted(r.path for r in batch.select("path").distinct().collect())  # at most `files`
+        reads = [seqfiles.read_sequences(spark, p) for p in paths if not seqfiles.blank(spark, p)]
+        if reads:
+            every = reads[0]
+            for more in reads[1:]:
+                every = every.unionByName(more)
+            every = materialised(every.withColumn("rid", F.monotonically_increasing_id()), "stream-reads")
+            sinks.write_airr(annotate(every, reference, options).select(*COLUMNS), f"{target}/batch-{number}")
+
+    return file_stream(spark, folder, files).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

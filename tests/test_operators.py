@@ -96,7 +96,7 @@ def test_banded_alignment_agrees_with_the_full_one(scoring):
         reads.append("".join(x))
         source.append(k)
     codes = [scoring.codes(r) for r in reads]
-    read, target, low, high = aligner.candidates(index, codes, 1)
+    read, target, low, high, _ = aligner.candidates(index, codes, 1)
     a = aligner.align(index, codes, read, target, low, high)
     for i in range(len(read)):
         q, t, _ = aligner.strings(a, i, reads[read[i]], targets[target[i]])
@@ -118,7 +118,7 @@ def test_scores_without_paths_are_those_of_alignments(scoring):
     index = aligner.Index([f"t{i:02d}" for i in range(24)], targets, scoring)
     reads = ["".join(c if random.random() > 0.06 else random.choice([*letters, "", "X", "AC"]) for c in random.choice(targets)) for _ in range(60)]
     codes = [scoring.codes(r) for r in reads]
-    pairs = aligner.candidates(index, codes, 50)
+    pairs = aligner.candidates(index, codes, 50)[:4]
     assert len(pairs[0]) > 60
     got = aligner.scores(index, codes, *pairs)
     for i in range(len(got)):
@@ -129,6 +129,6 @@ def test_all_ties_with_the_last_target_are_candidates():
     random.seed(4)
     v, w = ("".join(random.choice("ACGT") for _ in range(40)) for _ in range(2))
     index = aligner.Index([f"t{i:02d}" for i in range(90)], [v] * 30 + [w] * 60, aligner.Scoring())
-    read, target, _, _ = aligner.candidates(index, [aligner.Scoring().codes(v + w[:30])], 50)
+    read, target, *_ = aligner.candidates(index, [aligner.Scoring().codes(v + w[:30])], 50)
     assert list(target) == list(range(90)) and set(read) == {0}
     assert list(aligner.candidates(index, [aligner.Scoring().codes(v + w[:30])], 1)[1]) == list(range(30))
