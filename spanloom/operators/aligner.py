@@ -166,12 +166,13 @@ def candidates(index: Index, reads: list[np.ndarray], most: int, least_seeds: in
     return tuple(np.concatenate(c).astype(np.int64) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 5
 
 
-def every_pair(index: Index, reads: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Like candidates(), of all reads with all targets, over all diagonals."""
+def every_pair(index: Index, reads: list[np.ndarray], found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Like candidates(), which gave `found`, of all reads with all targets, over all diagonals."""
     n, m = len(reads), len(index.ids)
     read, target = np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
-    lengths = np.array([len(r) for r in reads], np.int64)
-    return read, target, -lengths[read], index.lengths[target], np.zeros(n * m, np.int64)
+    near = np.zeros(n * m, np.int64)
+    near[found[0] * m + found[1]] = found[4]
+    return read, target, -np.array([len(r) for r in reads], np.int64)[read], index.lengths[target], near
 
 
 def widths(low: np.ndarray, high: np.ndarray) -> np.ndarray:

@@ -158,7 +158,8 @@ def placed(targets: Targets, options: Options, rows: list[dict], total: float |
     if options.seqtype == "nt" and options.both_strands:
         codes = codes + [_COMPLEMENT[c][::-1] for c in codes]
     if found is None:
-        found = aligner.every_pair(index, codes) if options.exhaustive else aligner.candidates(index, codes, options.most, options.min_seeds)
+        found = aligner.candidates(index, codes, options.most, options.min_seeds)
+        found = aligner.every_pair(index, codes, found) if options.exhaustive else found
     read, target, low, high = found[:4]
     score = aligner.scores(index, codes, *found, group=read % n if n else None)
     order = np.lexsort((read >= n, target, -score, read % n)) if n else read  # targets are in the order of their names
@@ -259,9 +260,11 @@ TASK_BYTES = 64 << 20
 
 def _spread(reads: DataFrame) -> DataFrame:
     """Reads dealt out evenly: aligning them costs far more than moving them, and a small file is one partition. There are
-    four partitions a core, or, where that would make them large by the planner's estimate, one for each TASK_BYTES."""
-    size = int(reads._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return reads.repartition(max(4 * reads.sparkSession.sparkContext.defaultParallelism, min(size // TASK_BYTES, 1_000_000)))
+    four partitions a core, or, where the files behind the reads are large, one for each TASK_BYTES of them."""
+    leaves = reads._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    size = sum(n for n in sizes if n < 1 << 60)  # rows that are in no file have no known size
+    return reads.repartition(max(4 * reads.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES))
 
 
 def _place_by_join(reads: DataFrame, scaffolds: DataFrame, total: float, lines: dict[str, d_mapping.Germlines], options: Options) -> DataFrame:

@@ -534,12 +534,13 @@ def a12_annotated(spark, folder):
 # Streaming
 
 
-@query(f"SELECT concat('junk', event_id) AS sequence_id, {derived.EVENT_NT} AS sequence, NULL::VARCHAR AS locus FROM events UNION ALL SELECT read_id, CASE WHEN rid % 5 = 0 THEN reverse(translate(sequence, 'ACGT', 'TGCA')) ELSE sequence END, locus FROM ({derived.READS_SQL}) x ")
+@query(f"SELECT concat('junk', event_id) AS sequence_id, {derived.EVENT_NT} AS sequence, NULL::VARCHAR AS locus FROM events UNION ALL SELECT allele, sequence, locus FROM ({derived.V_SQL}) x")
 def t1_stream(spark, folder):
-    """Events as FASTA files and reads as FASTQ files that arrive, annotated in micro-batches until none is left: events
-    are like nothing in the reference, reads come out as they were made, with their locus."""
+    """Events as FASTA files and V alleles as FASTQ files that arrive, annotated in micro-batches until none is left:
+    events are like nothing in the reference, alleles are of their locus."""
     source, target, state = (_place(spark, n) for n in ("in", "out", "state"))
-    sinks.write_fasta(_junk(spark, folder).repartition(3), f"{source}/fasta")
-    derived.reads(spark, folder).select(F.concat(F.lit("@"), "read_id", F.lit("\n"), "sequence", F.lit("\n+\n"), "sequence")).repartition(2).write.text(f"{source}/fastq")
+    sinks.write_fasta(_junk(spark, folder).repartition(2), f"{source}/fasta")
+    v = derived.v_alleles(spark, folder)
+    v.select(F.concat(F.lit("@"), "allele", F.lit("\n"), "sequence", F.lit("\n+\n"), "sequence")).repartition(2).write.text(f"{source}/fastq")
     annotate_stream(spark, f"{source}/*", target, state, derived.reference(spark, folder), files=2).awaitTermination()
     return seqfiles.read_airr(spark, f"{target}/*", ["sequence_id", "sequence", "locus"])

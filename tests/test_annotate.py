@@ -86,19 +86,114 @@ def test_files_and_stream(spark, reference, tmp_path):
     assert tuple(rows.columns) == COLUMNS and sorted(r.sequence_id for r in rows.collect()) == [r for r, _ in reads]
     query = annotate_stream(spark, str(tmp_path / "in"), str(tmp_path / "live"), str(tmp_path / "state"), again)
     query.awaitTermination()
-    live = spark.read.csv(str(tmp_path / "live"), sep="\t", header=True)
+    live = seqfiles.read_airr(spark, str(tmp_path / "live" / "*"))
     assert sorted(map(tuple, live.collect())) == sorted(map(tuple, rows.collect()))
     with pytest.raises(FileNotFoundError):
         annotate.Reference.load(spark, str(tmp_path / "nothing"))
 
 
-def test_join_search_agrees_with_broadcast(spark, reference, monkeypatch):
-    reads = seqfiles.from_sequences(spark, [V + CDR3 + D + "ACC" + J, "ACGT" * 20])
-    want = annotate.annotate(reads, reference).orderBy("rid").collect()
-    monkeypatch.setattr(annotate, "BROADCAST_RESIDUES", 0)
-    got = annotate.annotate(reads, reference).orderBy("rid").collect()
-    skip = ("aln_evalue",)  # the search space is the read's own targets
-    assert [{k: v for k, v in r.asDict().items() if k not in skip} for r in got] == [{k: v for k, v in r.asDict().items() if k not in skip} for r in want]
+def test_stream_reads_files_as_batches_do(spark, reference, tmp_path):
+    import gzip
+
+    read = V + CDR3 + D + "ACC" + J
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.fasta").write_text(f"\n \n>r1 more\n{read[:50]}\n{read[50:]}\n>r2\nACGT\n")
+    (tmp_path / "in" / "b.fastq").write_text(f"@r3\n{read}\n+\n{'@' * len(read)}\nbroken\nAA\n+\nII\n")
+    (tmp_path / "in" / "empty.fasta").write_text("\n")
+    with gzip.open(tmp_path / "in" / "c.fasta.gz", "wt") as f:
+        f.write(f">r4\n{read}\n")
+    start = lambda: annotate_stream(spark, str(tmp_path / "in"), str(tmp_path / "live"), str(tmp_path / "state"), reference, files=2).awaitTermination()
+    rows = lambda: sorted((r.sequence_id, r.v_call) for r in seqfiles.read_airr(spark, str(tmp_path / "live" / "*")).collect())
+    start()
+    assert rows() == [("r1", "IGHV1*01"), ("r2", None), ("r3", "IGHV1*01"), ("r4", "IGHV1*01")]
+    (tmp_path / "in" / "d.fasta").write_text(">r5\nACGT\n")
+    start()  # goes on with what is new
+    assert [i for i, _ in rows()] == ["r1", "r2", "r3", "r4", "r5"]
+
+
+def test_tables_keep_quotation_marks(spark, tmp_path):
+    rows = spark.createDataFrame([('"a"', "b"), ('c"d', '"e"'), ("x", '"')], "p string, q string")
+    sinks.write_airr(rows, str(tmp_path / "out_0"), 1)
+    sinks.write_airr(rows.filter("p = 'x'"), str(tmp_path / "out_1"), 1)
+    want = sorted(map(tuple, rows.collect()))
+    assert sorted(map(tuple, seqfiles.read_airr(spark, str(tmp_path / "out_0")).collect())) == want
+    sinks.merge(spark, str(tmp_path / "out_*"), str(tmp_path / "all"))
+    sinks.merge(spark, str(tmp_path / "out_*"), str(tmp_path / "one"), 1)
+    for name in ("all", "one"):
+        assert sorted(map(tuple, seqfiles.read_airr(spark, str(tmp_path / name)).collect())) == sorted([*want, ("x", '"')])
+    assert len(list((tmp_path / "one").glob("part-*"))) == 1
+
+
+def test_reference_files_and_index(spark, reference, tmp_path):
+    built = reference.ready().scaffolds.selectExpr("scaffold_id", "locus", "array(v_call) AS v_calls", "array(j_call) AS j_calls", "0 AS n_pad")
+    extra = spark.createDataFrame([("IGH_9", "IGH", ["V"], ["J"], 3)], built.schema)
+    folder = str(tmp_path / "human")
+    annotate.write_reference(reference, folder, built.unionByName(extra))
+    annotate.write_reference(annotate.protein_reference(reference), folder)
+    assert {(r.locus, r.n_scaffolds, r.n_annotated, r.n_dropped) for r in seqfiles.read_airr(spark, folder + "/build_log.tsv").collect()} == {("IGH", "2", "1", "1"), ("IGK", "1", "1", "0")}
+    assert seqfiles.read_airr(spark, folder + "/combinations.tsv").count() == 3
+    row = seqfiles.read_airr(spark, folder + "/markup.tsv").filter("locus = 'IGH'").first()
+    assert row.junction_aa[0] == "C" and row.junction[-3:] == "TGG" and row.fwr1 == V[:24]
+    assert annotate.build_index(spark, [folder, str(tmp_path / "none")]) == [(folder, "nt"), (folder, "aa")]
+    assert annotate.build_index(spark, [folder]) == [] and annotate.build_index(spark, [folder], force=True) == [(folder, "nt"), (folder, "aa")]
+    read = V + CDR3 + D + "ACC" + J
+    loaded = annotate.Reference.load(spark, folder)
+    assert loaded.stored and run(spark, loaded, [read]) == run(spark, reference, [read])
+    (r,) = annotate.annotate_sequences(spark, [("p", protein(read))], annotate.Reference.load(spark, folder, "aa"))
+    assert r["locus"] == "IGH" and r["fwr1_aa"] == protein(V[:24]) and r["junction"][0] == "C" and r["productive"] == "T" and r["d_call"] == ""
+    (stop,) = annotate.annotate_sequences(spark, [("p", protein(read)[:40] + "*" + protein(read)[41:])], annotate.Reference.load(spark, folder, "aa"))
+    assert stop["productive"] == "F"
+
+
+def protein(nt):
+    return "".join(sq.codon_table()[nt[i : i + 3]] for i in range(0, len(nt) - 2, 3))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from spanloom import cli
+
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args([])
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["annotate", "in", "out"])  # a reference is required
+    fasta = lambda name, rows: (tmp_path / name).write_text("".join(f">{n}\n{s}\n" for n, s in rows)) and str(tmp_path / name)
+    v, j = fasta("v.fa", [("IGH|IGHV1*01", V)]), fasta("j.fa", [("IGH|IGHJ1*01", "CC" + J)])
+    d, reads = fasta("d.fa", [("IGH|IGHD1*01", D)]), fasta("reads.fa", [("r1", V + CDR3 + D + "ACC" + J), ("r2", "ACGT" * 20)])
+    bounds = (1, 24, 25, 36, 37, 57, 58, 69, 70, 93)
+    (tmp_path / "v.tsv").write_text("allele\t" + "\t".join(f"{r}_{x}" for r in sq.REGIONS[:5] for x in ("start", "end")) + "\nIGHV1*01\t" + "\t".join(map(str, bounds)) + "\n")
+    (tmp_path / "j.tsv").write_text("allele\tfwr4_offset\nIGHJ1*01\t3\n")
+    (tmp_path / "frames").write_text("# frames\nIGHJ1*01 1 JH\n")
+    ref, out = str(tmp_path / "ref"), str(tmp_path / "out")
+    call = lambda *a: cli.main(list(map(str, a)))
+    call("info")
+    call("build-db", v, j, tmp_path / "v.tsv", tmp_path / "j.tsv", ref, "--d", d, "--frames", tmp_path / "frames")
+    call("build-index", ref)
+    assert f"{ref} nt" in capsys.readouterr().out
+    call("annotate", reads, out, "--reference", ref)
+    got = {r.sequence_id: r for r in seqfiles.read_airr(spark, out).collect()}
+    assert got["r1"].v_call == "IGHV1*01" and got["r1"].d_call == "IGHD1*01" and got["r2"].v_call is None
+    call("annotate", reads, out + "2", "--reference", ref, "--no-d", "--forward-only")
+    assert {r.d_call for r in seqfiles.read_airr(spark, out + "2").collect()} == {None}
+    call("split", reads, out + "_shards", "-n", 2)
+    assert seqfiles.read_fasta(spark, out + "_shards/*").count() == 2
+    call("merge", out + "*/part-*", out + "_merged")
+    assert seqfiles.read_airr(spark, out + "_merged").count() == 4
+    with pytest.raises(FileNotFoundError):
+        call("annotate", reads, out + "3", "--reference", tmp_path / "nothing")
+
+
+def test_hits_of_another_aligner(spark, reference, tmp_path):
+    read = V + CDR3 + D + "ACC" + J
+    target = next(r for r in reference.ready().scaffolds.collect() if r.locus == "IGH")
+    n = len(V) - 10
+    line = lambda q, t, a, b, bits: "\t".join(map(str, [q, t, a, b, 1, n, len(read), len(target.sequence), n, 0, 0, f"{n}M", V[:n], V[:n], "1e-9", bits, 100.0]))
+    (tmp_path / "hits.tsv").write_text("\n".join([line("r", target.scaffold_id, 1, n, 200), line("r", "other", 1, n, "n/a"), line("back", target.scaffold_id, len(read), len(read) - n + 1, 150), line("lost", "other", 1, n, 90)]) + "\n")
+    (tmp_path / "none.tsv").write_text("")
+    reads = seqfiles.from_sequences(spark, [("r", read), ("back", annotate.reverse_complement(read)), ("lost", read), ("r", read)])
+    got = annotate.from_hits(reads, seqfiles.read_hits(spark, str(tmp_path / "hits.tsv")), reference).orderBy("rid").collect()
+    assert [r.locus for r in got] == ["IGH", "IGH", None, "IGH"] and [r.rev_comp for r in got] == [False, True, None, False]
+    assert {r.sequence for r in got} == {read} and {r.fwr2 for r in got} == {V[36:57], None} and got[0].aln_score == 200.0
+    assert {r.v_call for r in annotate.from_hits(reads, seqfiles.read_hits(spark, str(tmp_path / "none.tsv")), reference).collect()} == {None}
 
 
 def test_concordance_with_itself(spark, reference):
@@ -156,6 +251,39 @@ def test_targets_that_seeds_do_not_tell_apart_are_all_aligned(spark):
     assert {x["rev_comp"] for x in got[:4]} == {"F"} and {x["rev_comp"] for x in got[4:]} == {"T"}
 
 
+def kernel(rows, options):
+    """Targets of a reference for the kernel alone."""
+    from spanloom.operators import aligner
+
+    index = aligner.Index([r[0] for r in rows], [r[4] for r in rows], options.scores())
+    return annotate.Targets(index, [r[4] for r in rows], [(r[1], r[2], r[3], *r[5:]) for r in rows])
+
+
+def test_best_scores_are_those_of_all_pairs_and_long_reads_are_bounded():
+    import tracemalloc
+
+    r = random.Random(13)
+    nt = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    swap = lambda x, k: "".join(r.choice("ACGT") if i in at else c for at in [set(r.sample(range(len(x)), k))] for i, c in enumerate(x))
+    v, j = nt(96), nt(32)
+    vs, js = [swap(v, r.randint(0, 6)) for _ in range(20)], [swap(j, r.randint(0, 5)) for _ in range(10)]
+    starts, ends = [1, 25, 37, 58, 70, 94, 100], [24, 36, 57, 69, 93, 99, 104]
+    rows = [(f"s{i:02d}{k}", "IGH", f"V{i}", f"J{k}", a + "N" * 9 + b, starts, ends, 96, 106) for i, a in enumerate(vs) for k, b in enumerate(js)]
+    mutated = lambda x, rate: "".join(c if r.random() > rate else r.choice(["", "A", "C", "G", "T", c + "AC"]) for c in x)
+    reads = [{"rid": i, "read_id": str(i), "sequence": mutated(r.choice(vs) + nt(r.randint(0, 25)) + r.choice(js), r.choice((0.01, 0.04, 0.1)))} for i in range(500)]
+    near, every = annotate.Options(both_strands=False), annotate.Options(both_strands=False, exhaustive=True)
+    got, want = ([x.get("score", 0) for x in annotate.placed(kernel(rows, o), o, reads)] for o in (near, every))
+    assert sum(a == b for a, b in zip(got, want)) >= 0.99 * len(reads) and all(a <= b for a, b in zip(got, want))
+    long = [*reads[:100], {"rid": 999, "read_id": "long", "sequence": nt(4_000) + vs[0] + nt(12) + js[0] + nt(6_000)}]
+    targets = kernel([*rows, ("zz", "IGH", "V", "J", nt(5_000), starts, ends, 96, 106)], near)
+    tracemalloc.start()
+    out = annotate.placed(targets, annotate.Options(), long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x.get("score", 0) for x in out[:100]] == got[:100] and out[-1]["qstart"] in range(3_990, 4_011) and out[-1]["v_call"]
+    assert peak < 300 << 20
+
+
 def test_both_searches_agree_on_mutated_and_borderline_reads(spark, monkeypatch):
     r = random.Random(12)
     nt = lambda n: "".join(r.choice("ACGT") for _ in range(n))
