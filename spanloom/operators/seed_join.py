@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.session import materialised, small
+from spanloom.session import materialised, small, spread
 
 #: Postings of the targets up to which they are broadcast to the queries' k-mers; beyond it the join is shuffled.
 BROADCAST_POSTINGS = 2_000_000
@@ -27,7 +27,7 @@ def seeds(queries: DataFrame, targets: DataFrame, k: int, letters: str | None =
 
     Few postings are broadcast, so that the queries' k-mers, which are many, stay where they are and are counted there
     before anything moves."""
-    q = postings(queries, "query", "sequence", k)
+    q = postings(spread(queries.select("query", "sequence")), "query", "sequence", k)
     if letters is not None:
         q = q.filter(F.col("kmer").rlike(f"^[{letters}]+$"))
     t = postings(targets, "target", "sequence", k).select("target", F.col("pos").alias("t_pos"), F.col("kmer").alias("t_kmer"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import sequences as sq
 from spanloom.operators import aligner, d_mapping, germline, projection, seed_join
 from spanloom.plans.records import COLUMNS, PLACED, assembled
-from spanloom.session import materialised
+from spanloom.session import materialised, spread
 from spanloom.sources import seqfiles, sinks
 
 #: Residues of all scaffolds up to which their index is broadcast (some 40 bytes each in every worker); beyond it seeds are
@@ -251,20 +251,7 @@ def place(reads: DataFrame, reference: Reference, options: Options | None = None
             for k in range(0, batch.num_rows, BATCH):
                 yield pa.RecordBatch.from_pylist(placed(known.value, options, batch.slice(k, BATCH).to_pylist()), schema=OUT)
 
-    return _spread(reads.select("rid", "read_id", "sequence")).mapInArrow(run, SPARK_OUT)
-
-
-#: Reads that a task aligns, about, where there are more of them than the cores can share out.
-TASK_BYTES = 64 << 20
-
-
-def _spread(reads: DataFrame) -> DataFrame:
-    """Reads dealt out evenly: aligning them costs far more than moving them, and a small file is one partition. There are
-    four partitions a core, or, where the files behind the reads are large, one for each TASK_BYTES of them."""
-    leaves = reads._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
-    size = sum(n for n in sizes if n < 1 << 60)  # rows that are in no file have no known size
-    return reads.repartition(max(4 * reads.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES))
+    return spread(reads.select("rid", "read_id", "sequence")).mapInArrow(run, SPARK_OUT)
 
 
 def _place_by_join(reads: DataFrame, scaffolds: DataFrame, total: float, lines: dict[str, d_mapping.Germlines], options: Options) -> DataFrame:

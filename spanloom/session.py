@@ -45,3 +45,16 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
     """df marked for broadcast if it has at most so many rows; otherwise as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+#: What a task handles, about, of the files behind rows that are dealt out.
+TASK_BYTES = 64 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out evenly before work that costs far more than moving them, since a small file is one partition. There
+    are four partitions a core, or, where the files behind the rows are large, one for each TASK_BYTES of them."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    size = sum(n for n in sizes if n < 1 << 60)  # rows that are in no file have no known size
+    return rows.repartition(max(4 * rows.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES))

@@ -59,3 +59,25 @@ def test_small_ones(spark):
     assert one(spark, sq.ungapped(F.lit("ac..gt"))) == "ACGT"
     assert [one(spark, sq.n_padding(F.lit(v), F.lit(f), F.lit(d))) for v, f, d in ((9, 0, False), (10, 0, False), (10, 1, True))] == [0, 2, 10]
     assert [one(spark, sq.canonical_junction(F.lit(j))) for j in ("CAF", "CW", "C", "CA_F", "AAF", "")] == [True, True, False, False, False, False]
+
+
+def test_files_are_located(spark, tmp_path):
+    from spanloom.sources import locate
+
+    (tmp_path / "wrap" / "Mus_musculus" / "TR").mkdir(parents=True)
+    (tmp_path / "wrap" / "Mus_musculus" / "TR" / "TRBV.fasta").write_text(">a\nAC\n")
+    assert locate.gene_file(spark, str(tmp_path), "Mus_musculus", "TR", "TRBV").endswith("/wrap/Mus_musculus/TR/TRBV.fasta")
+    (tmp_path / "Mus_musculus" / "TR").mkdir(parents=True)
+    (tmp_path / "Mus_musculus" / "TR" / "TRBV.fasta").write_text(">a\nAC\n")
+    assert "wrap" not in locate.gene_file(spark, str(tmp_path), "Mus_musculus", "TR", "TRBV")
+    with pytest.raises(FileNotFoundError):
+        locate.gene_file(spark, str(tmp_path), "Mus_musculus", "TR", "TRBJ")
+    with pytest.raises(RuntimeError):
+        locate.reference_folder(spark, "mouse")
+    spark.conf.set(locate.REFERENCES, str(tmp_path))
+    try:
+        assert locate.reference_folder(spark, "wrap").endswith("/wrap")
+        with pytest.raises(FileNotFoundError):
+            locate.reference_folder(spark, "mouse")
+    finally:
+        spark.conf.unset(locate.REFERENCES)
