@@ -91,6 +91,7 @@ class Index:
         # All targets in a row, so that a long one does not make the others longer; one more residue stands for none.
         self.start = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
         self.flat = np.concatenate([*self.codes, np.full(1, n, np.uint8)])
+        self.letters = np.concatenate([[0], np.cumsum(self.flat < n)])  # residues before each place that can match
         self._prefixes: tuple[np.ndarray, np.ndarray] | None = None
 
     def residues(self, target: np.ndarray, at: np.ndarray, other: int) -> np.ndarray:
@@ -129,7 +130,7 @@ def _odd(x: np.ndarray) -> np.ndarray:
 
 BAND, MARGIN = 16, 12
 #: Residues of a target that are aligned before pairs of one prefix part, and hopeless ones are dropped.
-BLOCK = 32
+BLOCK = 16
 
 
 def candidates(index: Index, reads: list[np.ndarray], most: int, least_seeds: int = 1) -> tuple[np.ndarray, ...]:
@@ -220,7 +221,7 @@ def _score(index: Index, reads: list[np.ndarray], read: np.ndarray, target: np.n
     cuts = np.flatnonzero(np.diff(wide)) + 1
     for part in np.split(order, cuts) if len(order) else []:
         width = int(widths(low[part[:1]], high[part[:1]])[0])
-        step = max(1, min(8192, (1 << 19) // width))
+        step = max(1, min(8192, (1 << 18) // width))
         for k in range(0, len(part), step):
             p = part[k : k + step]
             out[p] = _prefix_scores(index, reads, read[p], target[p], low[p] - MARGIN, width, bar[p])
@@ -288,9 +289,10 @@ def _prefix_scores(index: Index, reads: list[np.ndarray], read: np.ndarray, targ
             np.maximum(h[1:], run[:-1] - (ext[:-1] + opening), out=h[1:])
             np.maximum(top, h, out=top)
         best = np.maximum(best, top.max(0))
-        # What a pair can reach: the best so far, or its last row and a match for each residue that is left.
-        left = sizes[live] - (level + 1) * BLOCK
-        reach = np.maximum(best[node], h.max(0).astype(np.int64)[node] + s.match * np.maximum(left, 0))
+        # What a pair can reach: the best so far, or its last row and a match for each residue that is left and can match.
+        left, end = sizes[live] - (level + 1) * BLOCK, index.start[target[live]] + sizes[live]
+        matches = index.letters[end] - index.letters[end - np.maximum(left, 0)]
+        reach = np.maximum(best[node], h.max(0).astype(np.int64)[node] + s.match * matches)
         done = (left <= 0) | (reach < bar[live])
         out[live[done]] = best[node[done]]
         live, node = live[~done], node[~done]
