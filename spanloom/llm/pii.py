@@ -3,8 +3,8 @@
 Base patterns find e-mail and IP addresses, card and phone numbers; what they find are seeds. The two words before a
 seed are a lexical pattern. Words with digits or an at sign, and runs of words of digits and separators, that no base
 span touches are instances without a kind; they stand behind lexical patterns too. Over the graph of patterns and instances, scores go back and forth: a
-pattern is worth the share of its instances that are of a kind, an instance what the patterns in front of it are
-worth together, and instances that score well count as evidence and as support of all their patterns in the next
+pattern is worth the share of its instances that are of a kind, where those that have the form of the kind but no score
+yet do not count for or against it, an instance what the patterns in front of it are worth together, and instances that score well count as evidence and as support of all their patterns in the next
 round, until nothing changes. Where a pattern of high
 confidence stands before an instance that has the form of its kind, the instance becomes a span.
 
@@ -153,7 +153,7 @@ def bootstrapped(base: DataFrame, words: DataFrame) -> DataFrame:
     # Only patterns with enough seeds and instances can ever count.
     able = edges.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n")).join(seeded, ["pattern", "kind"], "left").filter(F.col("n") + F.coalesce("support", F.lit(0)) >= SUPPORT)
     able = able.join(members, F.col("pattern") == F.col("all_pattern"))
-    able = stored(able.select(F.col("pattern").alias("w_pattern"), "kind", F.coalesce("support", F.lit(0)).alias("support"), "members"), "pii-patterns")
+    able = stored(able.select(F.col("pattern").alias("w_pattern"), "kind", F.coalesce("support", F.lit(0)).alias("support"), (F.col("members") - F.col("n")).alias("known")), "pii-patterns")
     edges = edges.join(able.select("w_pattern", F.col("kind").alias("w_kind")), (F.col("pattern") == F.col("w_pattern")) & (F.col("kind") == F.col("w_kind")))
     edges = stored(edges.select("pattern", "value", F.col("kind").alias("e_kind")), "pii-edges")
     scores, last = None, None
@@ -165,7 +165,7 @@ def bootstrapped(base: DataFrame, words: DataFrame) -> DataFrame:
             now = able.join(extra, (F.col("w_pattern") == F.col("x_pattern")) & (F.col("kind") == F.col("x_kind")), "left")
             gained, more = F.coalesce("gained", F.lit(0.0)), F.coalesce("more", F.lit(0))
         now = now.filter(F.col("support") + more >= SUPPORT)
-        good = now.select("w_pattern", "kind", ((F.col("support") + gained) / (F.col("members") + 1)).alias("confidence")).filter(F.col("confidence") >= CONFIDENCE)
+        good = now.select("w_pattern", "kind", ((F.col("support") + gained) / (F.col("known") + more + 1)).alias("confidence")).filter(F.col("confidence") >= CONFIDENCE)
         good = stored(good, "pii-good")
         votes = edges.join(good, (F.col("pattern") == F.col("w_pattern")) & (F.col("e_kind") == F.col("kind")))
         votes = votes.groupBy(F.col("value").alias("s_value"), F.col("e_kind").alias("s_kind")).agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"))

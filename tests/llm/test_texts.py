@@ -287,7 +287,7 @@ def spans_slowly(texts):
     pairs = {(p, v) for *_, v, p in loose if p}
     members = Counter(p for p, _ in {(p, v) for p, _, v in seeds} | pairs)
     edges = {(p, v, k) for p, v in pairs for k in pii.KINDS if formed(k, v) and (p, k, v) not in seeds}
-    support = Counter((p, k) for p, k, _ in seeds)
+    support, forms_of = Counter((p, k) for p, k, _ in seeds), Counter((p, k) for p, _, k in edges)
     scores: dict = {}
     while True:
         gained, more = defaultdict(float), Counter()
@@ -295,7 +295,7 @@ def spans_slowly(texts):
             if (v, k) in scores:
                 gained[p, k] += scores[v, k]
                 more[p, k] += 1
-        good = {(p, k): (support[p, k] + gained[p, k]) / (members[p] + 1) for p, k in {(p, k) for p, _, k in edges} if support[p, k] + more[p, k] >= pii.SUPPORT}
+        good = {(p, k): (support[p, k] + gained[p, k]) / (members[p] - forms_of[p, k] + more[p, k] + 1) for p, k in {(p, k) for p, _, k in edges} if support[p, k] + more[p, k] >= pii.SUPPORT}
         good = {x: c for x, c in good.items() if c >= pii.CONFIDENCE}
         left = defaultdict(lambda: 1.0)
         for p, v, k in edges:
