@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat, exact_dedup, mixing, ngram_join, pii, piece_bpe, quality_knn, quality_rules, substring_dedup, token_counts
+from spanloom.llm import ball_tree, chat, exact_dedup, mixing, ngram_join, pii, piece_bpe, quality_knn, quality_rules, substring_dedup, token_counts, url_filters, vector_codes
 from spanloom.llm.common import table
 
 
@@ -62,7 +62,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_mixing, op2_quality_rules, op3_quality_classifier, op4_sentencepiece, op5_pii, op6_token_counts, op7_chat_formatting, op8_substring_dedup, op9_ngram_join, op10_exact_dedup)
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judged(table(spark, sf_dir, "pages"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = (op1_mixing, op2_quality_rules, op3_quality_classifier, op4_sentencepiece, op5_pii, op6_token_counts, op7_chat_formatting, op8_substring_dedup, op9_ngram_join, op10_exact_dedup, op11_ball_tree, op12_url_filters, op13_vector_codes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -70,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL, "op2_quality_rules": quality_rules.SQL, "op7_chat_formatting": chat.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op1_mixing": mixing.SQL, "op2_quality_rules": quality_rules.SQL, "op7_chat_formatting": chat.SQL, "op10_exact_dedup": exact_dedup.SQL, "op11_ball_tree": ball_tree.SQL, "op12_url_filters": url_filters.SQL, "op13_vector_codes": vector_codes.SQL}
