@@ -6,10 +6,10 @@ import argparse
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import germline
+from spanloom.operators import aligner, germline, substitution
 from spanloom.plans import annotate
 from spanloom.session import session
-from spanloom.sources import seqfiles, sinks
+from spanloom.sources import locate, seqfiles, sinks
 
 
 def parser() -> argparse.ArgumentParser:
@@ -20,8 +20,12 @@ def parser() -> argparse.ArgumentParser:
     c = commands.add_parser("annotate", help="reads to an AIRR table")
     c.add_argument("input")
     c.add_argument("output")
-    c.add_argument("--reference", required=True)
+    where = c.add_mutually_exclusive_group(required=True)
+    where.add_argument("--reference", help="a reference folder")
+    where.add_argument("--organism", help="its reference in the folder that the setting spark.spanloom.references names")
+    c.add_argument("--sensitivity", choices=("fast", "normal", "exact"), default="normal")
     c.add_argument("--seqtype", choices=("nt", "aa"), default="nt")
+    c.add_argument("--scores", help="amino acids: a file with a square table of scores")
     c.add_argument("--forward-only", action="store_true")
     c.add_argument("--no-d", action="store_true")
     c = commands.add_parser("build-db", help="germline FASTA and region tables to a reference folder")
@@ -48,8 +52,12 @@ def main(arguments: list[str] | None = None) -> None:
     if a.command == "info":
         germline.loci(spark).show()
     elif a.command == "annotate":
-        options = annotate.Options(a.seqtype, both_strands=not a.forward_only, map_d=not a.no_d)
-        annotate.annotate_path(spark, a.input, a.output, annotate.Reference.load(spark, a.reference, a.seqtype), options)
+        options = annotate.Options(a.seqtype, both_strands=not a.forward_only, map_d=not a.no_d, sensitivity=a.sensitivity)
+        if a.scores:
+            lines = [r.value for r in spark.read.text(a.scores).collect()]  # a row for each residue
+            options.scoring = aligner.Scoring.aa(substitution.parsed(lines))
+        folder = a.reference or locate.reference_folder(spark, a.organism)
+        annotate.annotate_path(spark, a.input, a.output, annotate.Reference.load(spark, folder, a.seqtype), options)
     elif a.command == "build-db":
         alleles = lambda path: seqfiles.read_d_germlines(spark, path)  # noqa: E731  headers locus|allele
         regions = lambda path: spark.read.csv(path, sep="\t", header=True, inferSchema=False)

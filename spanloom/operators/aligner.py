@@ -1,8 +1,9 @@
 """Search and gapped alignment of batches of reads against a bounded set of targets.
 
-The targets' k-mers are an index of sorted arrays that is broadcast; its size is checked first. A batch of reads is
-looked up at once: shared k-mers are counted by read, strand, target and band of diagonals, and the best
-targets of each read and strand go on, with all ties. These are scored together, row by row of a banded local alignment
+The targets' seeds are an index of sorted arrays that is broadcast; its size is checked first. Seeds are spaced: some of
+their places may differ, and several patterns stand in for each other. A batch of reads is looked up at once: shared seeds
+are counted by read, strand, target and band of diagonals, and the best targets of each read and strand go on, with all
+ties. These are scored together, row by row of a banded local alignment
 with affine gaps, many pairs in one array; the best pair of each read is aligned again with its path, and the traceback
 steps through many of them at once.
 
@@ -17,37 +18,52 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Letters by alphabet; amino acids are grouped by kind for scores of replacements.
-LETTERS = {"nt": "ACGT", "aa": "ACDEFGHIKLMNPQRSTVWY"}
-GROUPS = ("AST", "C", "DENQ", "FWY", "G", "H", "ILMV", "KR", "P")
+from spanloom.operators import substitution
+
+#: Letters by alphabet.
+LETTERS = {"nt": "ACGT", "aa": substitution.RESIDUES}
 
 
 @dataclass(frozen=True)
 class Scoring:
+    """match and mismatch, or a table of scores over the letters. seeds: patterns of places that have to agree (1) and that
+    may differ (0); least: how many of them a target needs on its diagonals. Of amino acids words that score `similar`
+    against each other are seeds, too."""
+
     alphabet: str = "nt"
     match: int = 2
     mismatch: int = -3
-    related: int = -3
     gap_open: int = 5
     gap_extend: int = 2
     lam: float = 0.625
     kappa: float = 0.41
-    k: int = 11
+    #: Chosen by simulation so that reads of 60 bases with 12 % of them replaced, and of 96 with 20 %, nearly always have three.
+    seeds: tuple[str, ...] = ("11001011110101", "11010000111010011", "1110001010011011")
+    least: int = 3
+    table: tuple[tuple[int, ...], ...] | None = None
+    similar: int | None = None
+
+    @classmethod
+    def fast(cls) -> Scoring:
+        """Runs of eleven equal bases, three of them: for reads that are close to a scaffold."""
+        return cls(seeds=("1" * 11,), least=3)
 
     @classmethod
-    def aa(cls) -> Scoring:
-        return cls("aa", 5, -2, 1, 11, 1, 0.267, 0.041, 4)
+    def aa(cls, table: tuple[tuple[int, ...], ...] | None = None) -> Scoring:
+        """With lambda and kappa of the table, by default the one that the genetic code makes."""
+        table = table or substitution.codon_scores()
+        scores = np.array(table)
+        lam, kappa = substitution.solved(scores, substitution.background())
+        return cls("aa", int(scores.max()), int(scores.min()), 11, 1, lam, kappa, ("111",), 2, table, SIMILAR)
 
     def matrix(self) -> np.ndarray:
         """Scores of two codes; the last code is any other letter."""
-        letters = LETTERS[self.alphabet]
-        n = len(letters)
+        n = len(LETTERS[self.alphabet])
         out = np.full((n + 1, n + 1), self.mismatch, np.int32)
-        if self.alphabet == "aa":
-            for group in GROUPS:
-                at = [letters.index(x) for x in group]
-                out[np.ix_(at, at)] = self.related
-        out[np.arange(n), np.arange(n)] = self.match
+        if self.table is not None:
+            out[:n, :n] = self.table
+        else:
+            out[np.arange(n), np.arange(n)] = self.match
         return out
 
     def codes(self, sequence: str) -> np.ndarray:
@@ -59,14 +75,23 @@ class Scoring:
     def bits(self, score: np.ndarray) -> np.ndarray:
         return (self.lam * score - np.log(self.kappa)) / np.log(2)
 
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of similar seeds, as numbers; patterns of amino acids have one length."""
+        (weight,) = {p.count("1") for p in self.seeds}
+        return substitution.similar_words(np.array(self.table), weight, self.similar)
+
+
+#: Least score of two words of three residues that are seeds of each other.
+SIMILAR = 14
 
-def packed_kmers(codes: np.ndarray, k: int, n_letters: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and numbers of the k-mers without another letter."""
-    n = len(codes) - k + 1
+
+def packed_seeds(codes: np.ndarray, pattern: str, n_letters: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and numbers of the seeds of a pattern whose letters are all known."""
+    n = len(codes) - len(pattern) + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     value, ok = np.zeros(n, np.int64), np.ones(n, bool)
-    for i in range(k):
+    for i in (i for i, c in enumerate(pattern) if c == "1"):
         part = codes[i : n + i]
         value = value * n_letters + part
         ok &= part < n_letters
@@ -74,24 +99,55 @@ def packed_kmers(codes: np.ndarray, k: int, n_letters: int) -> tuple[np.ndarray,
     return at, value[at]
 
 
+class Postings:
+    """Where the seeds of one pattern are in the targets: for each seed a range of targets and places."""
+
+    def __init__(self, codes: list[np.ndarray], pattern: str, scoring: Scoring):
+        n = len(LETTERS[scoring.alphabet])
+        self.pattern, self.n_letters = pattern, n
+        parts = [packed_seeds(c, pattern, n) for c in codes]
+        which = np.repeat(np.arange(len(parts)), [len(p) for p, _ in parts])
+        at, value = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in (0, 1))
+        order = np.argsort(value, kind="stable")
+        self.target, self.at = which[order].astype(np.int32), at[order].astype(np.int32)
+        size = n ** pattern.count("1")
+        self.first = np.searchsorted(value[order], np.arange(size + 1)).astype(np.int64)  # a number for each possible seed
+        self.like: tuple[np.ndarray, np.ndarray] | None = None
+        if scoring.similar is not None:
+            word, other = scoring.words()
+            self.like = np.searchsorted(word, np.arange(size + 1)), other
+
+    def found(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of coded reads in a row: places of seeds that targets have, and the ranges of these."""
+        at, value = packed_seeds(codes, self.pattern, self.n_letters)
+        if self.like is not None:
+            first, other = self.like
+            count = first[value + 1] - first[value]
+            at, value = np.repeat(at, count), other[_runs(first[value], count)]
+        first, count = self.first[value], self.first[value + 1] - self.first[value]
+        some = count > 0
+        return at[some], first[some], count[some]
+
+
+def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each range, one range after the other."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
 class Index:
-    """k-mers of the targets, sorted; none without `seeds`, where candidates are known."""
+    """The targets and their seeds; none of these without `seeds`, where candidates are known."""
 
     def __init__(self, ids: list[str], sequences: list[str], scoring: Scoring, seeds: bool = True):
         self.ids, self.scoring = ids, scoring
         self.codes = [scoring.codes(s) for s in sequences]
         self.lengths = np.array([len(c) for c in self.codes], np.int64)
         n = len(LETTERS[scoring.alphabet])
-        parts = [packed_kmers(c, scoring.k, n) for c in self.codes] if seeds else []
-        which = np.repeat(np.arange(len(parts)), [len(p) for p, _ in parts])
-        at, value = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in (0, 1))
-        order = np.argsort(value, kind="stable")
-        self.value, first, self.count = np.unique(value[order], return_index=True, return_counts=True)
-        self.first, self.target, self.at = first, which[order].astype(np.int32), at[order].astype(np.int32)
+        self.postings = [Postings(self.codes, p, scoring) for p in scoring.seeds] if seeds and ids else []
         # All targets in a row, so that a long one does not make the others longer; one more residue stands for none.
         self.start = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
         self.flat = np.concatenate([*self.codes, np.full(1, n, np.uint8)])
-        self.letters = np.concatenate([[0], np.cumsum(self.flat < n)])  # residues before each place that can match
+        most = np.append(np.maximum(scoring.matrix().max(1)[:n], 0), 0)
+        self.most = np.concatenate([[0], np.cumsum(most[self.flat])])  # what the residues before each place can add to a score
         self._prefixes: tuple[np.ndarray, np.ndarray] | None = None
 
     def residues(self, target: np.ndarray, at: np.ndarray, other: int) -> np.ndarray:
@@ -133,40 +189,78 @@ BAND, MARGIN = 16, 12
 BLOCK = 16
 
 
+#: Strands that are looked up together, and about the most postings that are sorted at once.
+STRANDS, POSTINGS = 2048, 1 << 22
+
+
 def candidates(index: Index, reads: list[np.ndarray], most: int, least_seeds: int = 1) -> tuple[np.ndarray, ...]:
     """Of coded reads: arrays of read, target, lowest and highest diagonal and seeds of the best targets, by read and
-    target. What counts are the k-mers shared in the densest band of diagonals and the two on either side of it. The
-    `most` targets with the most go on, with all that equal the last of them."""
-    n = len(LETTERS[index.scoring.alphabet])
+    target. What counts are the seeds of all patterns that are shared in the densest band of diagonals and the two on either
+    side of it. The `most` targets with the most go on, with all that equal the last of them."""
     out: list[tuple] = []
-    for r, codes in enumerate(reads if len(index.value) else []):
-        at, value = packed_kmers(codes, index.scoring.k, n)
-        slot = np.minimum(np.searchsorted(index.value, value), len(index.value) - 1)
-        hit = index.value[slot] == value
-        at, slot = at[hit], slot[hit]
-        count = index.count[slot]
-        total = int(count.sum())
-        if total < max(least_seeds, 1):
-            continue
-        post = np.repeat(index.first[slot] - (np.cumsum(count) - count), count) + np.arange(total)
-        zero = -(-len(codes) // BAND) * BAND  # no diagonal is below minus this
-        key = np.sort((index.target[post].astype(np.int64) << 32) + (index.at[post] - np.repeat(at, count) + zero))
-        cell = key // BAND
-        first = np.flatnonzero(np.diff(cell, prepend=-1))
-        size, owner = np.diff(first, append=total), key[first] >> 32
-        start = np.flatnonzero(np.diff(owner, prepend=-1))
-        full = np.flatnonzero(size == np.repeat(np.maximum.reduceat(size, start), np.diff(start, append=len(owner))))
-        dense = cell[first[full[np.searchsorted(full, start)]]]
-        left, right = np.searchsorted(cell, dense - 2), np.searchsorted(cell, dense + 3)
-        near = right - left
-        bar = max(least_seeds, np.partition(near, -most)[-most] if len(near) > most else 0)
-        keep = near >= bar
-        diagonal = (key & 0xFFFFFFFF) - zero
-        target = owner[start][keep]
-        out.append((np.full(len(target), r), target, diagonal[left[keep]], diagonal[right[keep] - 1], near[keep]))
+    other = len(LETTERS[index.scoring.alphabet])
+    gap = np.full(max((len(p) for p in index.scoring.seeds), default=0), other, np.uint8)  # no seed reaches over it
+    for begin in range(0, len(reads) if index.postings else 0, STRANDS):
+        some = reads[begin : begin + STRANDS]
+        lengths = np.array([len(c) for c in some], np.int64)
+        start = np.cumsum(lengths + len(gap)) - lengths - len(gap)
+        flat = np.concatenate([x for c in some for x in (c, gap)])
+        found = [p.found(flat) for p in index.postings]
+        at, first, count = (np.concatenate(c) for c in zip(*found))
+        kind = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+        owner = np.searchsorted(start, at, "right") - 1
+        order = np.argsort(owner, kind="stable")
+        at, first, count, kind, owner = (x[order] for x in (at, first, count, kind, owner))
+        below = np.concatenate([[0], np.cumsum(np.bincount(owner, count, len(some)).astype(np.int64))])
+        a = 0
+        while a < len(some):
+            b = max(a + 1, int(np.searchsorted(below, below[a] + POSTINGS, "right")) - 1)
+            part = slice(*np.searchsorted(owner, [a, b]))
+            out.append(_densest(index, owner[part] + begin, at[part] - start[owner[part]], first[part], count[part], kind[part], -(-int(lengths[a:b].max()) // BAND) * BAND, most, max(least_seeds, 1)))
+            a = b
     return tuple(np.concatenate(c).astype(np.int64) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 5
 
 
+def _densest(index: Index, read: np.ndarray, at: np.ndarray, first: np.ndarray, count: np.ndarray, kind: np.ndarray, zero: int, most: int, least: int) -> tuple[np.ndarray, ...]:
+    """candidates() of seeds that are in the order of their reads. No diagonal is below minus zero."""
+    total = int(count.sum())
+    if not total:
+        return (np.zeros(0, np.int64),) * 5
+    key = np.empty(total, np.int64)
+    base = int(read[0])
+    post = _runs(first, count)
+    kinds = np.repeat(kind, count)
+    shift = np.repeat(((read - base) << 52) + zero - at, count)
+    for k, p in enumerate(index.postings):
+        own = slice(None) if len(index.postings) == 1 else np.flatnonzero(kinds == k)
+        key[own] = shift[own] + (p.target[post[own]].astype(np.int64) << 26) + p.at[post[own]]
+    key.sort()
+    cell = key // BAND
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    size, owner = np.diff(first, append=total), key[first] >> 26
+    start = np.flatnonzero(np.diff(owner, prepend=-1))
+    # Most targets share one cell or two with a read by chance; those that cannot have enough seeds are left out early.
+    enough = np.add.reduceat(size, start) >= least
+    start, length = start[enough], np.diff(start, append=len(owner))[enough]
+    if not len(start):
+        return (np.zeros(0, np.int64),) * 5
+    cells = _runs(start, length)
+    ahead = np.cumsum(length) - length
+    full = np.flatnonzero(size[cells] == np.repeat(np.maximum.reduceat(size[cells], ahead), length))
+    dense = cell[first[cells[full[np.searchsorted(full, ahead)]]]]
+    left, right = np.searchsorted(cell, dense - 2), np.searchsorted(cell, dense + 3)
+    near, name = right - left, owner[start]
+    whose = name >> 26
+    order = np.lexsort((-near, whose))
+    rank = np.arange(len(order)) - np.searchsorted(whose[order], whose[order])
+    bar = np.full(int(whose[-1]) + 1, least)
+    last = order[rank == most - 1]
+    bar[whose[last]] = np.maximum(near[last], least)
+    keep = near >= bar[whose]
+    diagonal = (key & (1 << 26) - 1) - zero
+    return whose[keep] + base, name[keep] & (1 << 26) - 1, diagonal[left[keep]], diagonal[right[keep] - 1], near[keep]
+
+
 def every_pair(index: Index, reads: list[np.ndarray], found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
     """Like candidates(), which gave `found`, of all reads with all targets, over all diagonals."""
     n, m = len(reads), len(index.ids)
@@ -193,14 +287,15 @@ def chunks(reads: list[np.ndarray], read: np.ndarray, low: np.ndarray, high: np.
             done -= n
 
 
-def scores(index: Index, reads: list[np.ndarray], read: np.ndarray, target: np.ndarray, low: np.ndarray, high: np.ndarray, near: np.ndarray | None = None, group: np.ndarray | None = None) -> np.ndarray:
+def scores(index: Index, reads: list[np.ndarray], read: np.ndarray, target: np.ndarray, low: np.ndarray, high: np.ndarray, near: np.ndarray | None = None, group: np.ndarray | None = None, bar: np.ndarray | None = None) -> np.ndarray:
     """The scores of align(), without paths. Outside a target or read nothing matches, so scores only fall there.
 
     group: of pairs that compete. Of each group the one with the most seeds (near) is scored first; what cannot reach its
     score any more, however the rest of the target goes, is dropped, and gets a score that is too small. The best ones of
-    each group are always exact."""
-    out, bar = np.zeros(len(read), np.int32), np.zeros(len(read), np.int32)
-    todo = np.ones(len(read), bool)
+    each group are always exact. bar: for each group a score that has to be exceeded; what cannot is dropped, too."""
+    out = np.zeros(len(read), np.int32)
+    least = np.zeros(len(read), np.int32) if bar is None else bar[group] + 1
+    todo, bar = np.ones(len(read), bool), least
     if group is not None and len(read):
         order = np.lexsort((-near, group))
         first = order[np.diff(group[order], prepend=-1) > 0]
@@ -208,7 +303,7 @@ def scores(index: Index, reads: list[np.ndarray], read: np.ndarray, target: np.n
         todo[first] = False
         reached = np.zeros(int(group.max()) + 1, np.int32)
         reached[group[first]] = out[first]
-        bar = reached[group]
+        bar = np.maximum(reached[group], least)
     _score(index, reads, read, target, low, high, np.flatnonzero(todo), bar, out)
     return out
 
@@ -239,11 +334,12 @@ def _prefix_scores(index: Index, reads: list[np.ndarray], read: np.ndarray, targ
     flat = np.where(flat < other, flat, other + 1).astype(np.uint8)  # letters that are no residue match nothing
     sizes = index.lengths[target]
     kind = np.int16 if (int(min(lengths.max(), sizes.max(initial=0))) + width) * max(s.match, s.gap_extend) < 14_000 else np.int32
-    grouped = s.related != s.mismatch
-    kinds = np.arange(other + 2, dtype=np.uint8) + 100
-    for g, letters in enumerate(GROUPS if grouped else ()):
-        kinds[[LETTERS[s.alphabet].index(x) for x in letters]] = g
-    more, opening, extend = kind(s.match - (s.related if grouped else s.mismatch)), kind(s.gap_open), kind(s.gap_extend)
+    more, opening, extend = kind(s.match - s.mismatch), kind(s.gap_open), kind(s.gap_extend)
+    table = None
+    if s.table is not None:  # letters that are no residue score as the worst do
+        table = np.full((other + 1, other + 2), s.mismatch, kind)
+        table[: other + 1, : other + 1] = s.matrix()
+        table = table.ravel()
     ext = (np.arange(width) * s.gap_extend).astype(kind)[:, None]
     back = -(base + width - 1)  # a node's read position is the row plus this plus the number of its diagonal
     out = np.zeros(len(read), np.int32)
@@ -267,14 +363,15 @@ def _prefix_scores(index: Index, reads: list[np.ndarray], read: np.ndarray, targ
         q_at = level * BLOCK + np.arange(rows + width)[:, None] + back[lead]
         n = lengths[which[lead]]
         q = np.where((q_at >= 0) & (q_at < n), flat[offset[which[lead]] + np.clip(q_at, 0, np.maximum(n - 1, 0))], other + 1)
-        tk, qk = (kinds[t], kinds[q]) if grouped else (None, None)
+        rows_of = t.astype(np.int32) * (other + 2) if table is not None else None
         top = np.zeros(h.shape, kind)
         above = np.zeros((width + 1, len(lead)), kind)
         for i in range(rows):
-            step = (q[i : i + width] == t[i]) * more
-            if grouped:
-                step += (qk[i : i + width] == tk[i]) * kind(s.related - s.mismatch)
-            step += kind(s.mismatch)
+            if table is None:
+                step = (q[i : i + width] == t[i]) * more
+                step += kind(s.mismatch)
+            else:
+                step = table[rows_of[i] + q[i : i + width]]
             step += h
             above[:-1] = h
             np.maximum(above[1:] - opening, f[1:] - extend, out=f[:-1])
@@ -291,8 +388,8 @@ def _prefix_scores(index: Index, reads: list[np.ndarray], read: np.ndarray, targ
         best = np.maximum(best, top.max(0))
         # What a pair can reach: the best so far, or its last row and a match for each residue that is left and can match.
         left, end = sizes[live] - (level + 1) * BLOCK, index.start[target[live]] + sizes[live]
-        matches = index.letters[end] - index.letters[end - np.maximum(left, 0)]
-        reach = np.maximum(best[node], h.max(0).astype(np.int64)[node] + s.match * matches)
+        rest = index.most[end] - index.most[end - np.maximum(left, 0)]
+        reach = np.maximum(best[node], h.max(0).astype(np.int64)[node] + rest)
         done = (left <= 0) | (reach < bar[live])
         out[live[done]] = best[node[done]]
         live, node = live[~done], node[~done]

@@ -6,9 +6,12 @@ the one with the most seeds on a diagonal. Only seed rows move, keyed by k-mer,
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.aligner import LETTERS, Scoring
 from spanloom.session import materialised, small, spread
 
 #: Postings of the targets up to which they are broadcast to the queries' k-mers; beyond it the join is shuffled.
@@ -44,11 +47,40 @@ def top(found: DataFrame, most: int) -> DataFrame:
     return one.withColumn("rank", rank).filter(F.col("rank") <= most).select("query", "target", "best.n", "best.diagonal", "rank")
 
 
-def banded(found: DataFrame, most: int, least: int, band: int) -> DataFrame:
-    """query, target, n, low, high: how many k-mers each query and target share in the densest band of diagonals (the
+def spaced(rows: DataFrame, key: str, patterns: tuple[str, ...], letters: str) -> DataFrame:
+    """key, pos (1-based) and seed, the pattern's number and the letters at its places, for each pattern and place."""
+    which = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(len(p)).alias("span")) for i, p in enumerate(patterns))))
+    rows = rows.select(key, "sequence", which.alias("p")).filter(F.length("sequence") >= F.col("p.span"))
+    rows = rows.select(key, "sequence", "p.i", F.explode(F.sequence(F.lit(1), F.length("sequence") - F.col("p.span") + 1)).alias("pos"))
+    seed = F.lit(None)
+    for i, p in enumerate(patterns):
+        runs = [F.substring(F.col("sequence"), F.col("pos") + m.start(), F.lit(len(m[0]))) for m in re.finditer("1+", p)]
+        seed = F.when(F.col("i") == i, F.concat(F.lit(str(i)), *runs)).otherwise(seed)
+    return rows.select(key, "pos", seed.alias("seed")).filter(F.col("seed").rlike(f"^[0-9]+[{letters}]+$"))
+
+
+def spaced_cells(queries: DataFrame, targets: DataFrame, scoring: Scoring, band: int) -> DataFrame:
+    """queries: query, sequence; targets: target, sequence. Rows of query, target, band of diagonals, n, how many seeds of
+    all patterns they share in it, and the lowest and highest of their diagonals there (target minus query position)."""
+    letters = LETTERS[scoring.alphabet]
+    q = spaced(spread(queries.select("query", "sequence")), "query", scoring.seeds, letters)
+    t = spaced(targets, "target", scoring.seeds, letters).select("target", F.col("pos").alias("t_pos"), F.col("seed").alias("t_seed"))
+    if scoring.similar is not None:
+        word, other = scoring.words()
+        name = lambda x: "".join(letters[x // len(letters) ** i % len(letters)] for i in range(scoring.seeds[0].count("1") - 1, -1, -1))
+        pairs = [(f"{i}{name(a)}", f"{i}{name(b)}") for i in range(len(scoring.seeds)) for a, b in zip(word.tolist(), other.tolist())]
+        like = q.sparkSession.createDataFrame(pairs, "seed string, similar string")  # words of three residues
+        q = q.join(F.broadcast(like), "seed").select("query", "pos", F.col("similar").alias("seed"))
+    found = q.join(small(materialised(t, "postings"), BROADCAST_POSTINGS), F.col("seed") == F.col("t_seed"))
+    diagonal = F.col("t_pos") - F.col("pos")
+    cell = F.floor(diagonal / band).alias("band")
+    return found.groupBy("query", "target", cell).agg(F.count(F.lit(1)).alias("n"), F.min(diagonal).alias("low"), F.max(diagonal).alias("high"))
+
+
+def densest(cells: DataFrame, most: int, least: int) -> DataFrame:
+    """query, target, n, low, high: how many seeds each query and target share in the densest band of diagonals (the
     first of equals) and the two on either side of it, and the lowest and highest diagonal of these. For each query the
     `most` targets with the most, if `least` at least, and all that tie with the last of them."""
-    cells = found.groupBy("query", "target", F.floor(F.col("diagonal") / band).alias("band")).agg(F.sum("n").alias("n"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
     dense = F.max_by("band", F.struct(F.col("n"), -F.col("band"))).alias("dense")
     rows = cells.groupBy("query", "target").agg(dense, F.collect_list(F.struct("band", "n", "low", "high")).alias("cells"))
     near = F.filter("cells", lambda c: F.abs(c["band"] - F.col("dense")) <= 2)

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spanloom.functions import sequences as sq
 from spanloom.operators import aligner, d_mapping, germline, projection, seed_join
@@ -95,13 +96,14 @@ class Options:
     map_d: bool = True
     most: int = 50  # targets of a read that are aligned, on each strand, besides ties with the last of them
     evalue: float = 1e-3
-    min_seeds: int = 3
     scoring: aligner.Scoring | None = None
-    #: Align every read with every target over all diagonals, without seeds: the exact way, for a reference that is broadcast.
-    exhaustive: bool = False
+    #: normal; fast: seeds for close reads only (nucleotides); exact: every read is aligned with every target over all
+    #: diagonals, whatever the size of the reference.
+    sensitivity: str = "normal"
 
     def scores(self) -> aligner.Scoring:
-        return self.scoring or (aligner.Scoring.aa() if self.seqtype == "aa" else aligner.Scoring())
+        own = aligner.Scoring.aa if self.seqtype == "aa" else aligner.Scoring.fast if self.sensitivity == "fast" else aligner.Scoring
+        return self.scoring or own()
 
 
 @dataclass
@@ -149,19 +151,23 @@ def projected(row: tuple, germlines: dict[str, d_mapping.Germlines], options: Op
     return new
 
 
-def placed(targets: Targets, options: Options, rows: list[dict], total: float | None = None, found: tuple[np.ndarray, ...] | None = None) -> list[dict]:
+def placed(targets: Targets, options: Options, rows: list[dict], total: float | None = None, found: tuple[np.ndarray, ...] | None = None, beaten: list[int] | None = None) -> list[dict]:
     """Best hits of reads, with everything projected. The bits decide, then the target's name, then the forward strand.
-    Where the targets are a part of the reference only: total, the residues of all of it, and found, as candidates()."""
+    Where the targets are a part of the reference only: total, the residues of all of it, and found, as candidates(), or
+    beaten, the scores that a hit has to exceed."""
     s, index = targets.index.scoring, targets.index
     codes = [s.codes((r["sequence"] or "").upper()) for r in rows]
     n = len(rows)
     if options.seqtype == "nt" and options.both_strands:
         codes = codes + [_COMPLEMENT[c][::-1] for c in codes]
     if found is None:
-        found = aligner.candidates(index, codes, options.most, options.min_seeds)
-        found = aligner.every_pair(index, codes, found) if options.exhaustive else found
+        found = aligner.candidates(index, codes, options.most, s.least)
+        found = aligner.every_pair(index, codes, found) if options.sensitivity == "exact" else found
     read, target, low, high = found[:4]
-    score = aligner.scores(index, codes, *found, group=read % n if n else None)
+    bar = None if beaten is None else np.array(beaten, np.int32)
+    score = aligner.scores(index, codes, *found, group=read % n if n else None, bar=bar)
+    if bar is not None:
+        score[score <= bar[read % n]] = 0
     order = np.lexsort((read >= n, target, -score, read % n)) if n else read  # targets are in the order of their names
     order = order[np.diff(read[order] % n, prepend=-1) > 0] if n else read
     total = float(index.lengths.sum()) if total is None else total
@@ -239,10 +245,12 @@ def place(reads: DataFrame, reference: Reference, options: Options | None = None
     options = options or Options(reference.seqtype)
     if options.seqtype not in ("nt", "aa"):
         raise ValueError(f"unknown sequence type {options.seqtype!r}")
+    if options.sensitivity not in ("fast", "normal", "exact"):
+        raise ValueError(f"unknown sensitivity {options.sensitivity!r}")
     reference.ready()
+    if options.sensitivity == "exact":
+        return _place_exactly(reads, reference, options)
     if reference._size > BROADCAST_RESIDUES:
-        if options.exhaustive:
-            raise ValueError("an exhaustive search is for a reference that is broadcast")
         return _place_by_join(reads, reference.scaffolds, float(reference._size), _lines(reference, options), options)
     known = reference.targets(options)
 
@@ -254,6 +262,63 @@ def place(reads: DataFrame, reference: Reference, options: Options | None = None
     return spread(reads.select("rid", "read_id", "sequence")).mapInArrow(run, SPARK_OUT)
 
 
+#: Pairs that an exact search scores at once, about.
+EXACT_PAIRS = 1 << 19
+
+
+def _place_exactly(reads: DataFrame, reference: Reference, options: Options) -> DataFrame:
+    """Every read with every target: the scaffolds, in the order of their names, come in blocks that can be broadcast, one
+    after the other. What a read has got is stored from block to block, and its score is the bar for the next one."""
+    lines, total, spark = _lines(reference, options), float(reference._size), reads.sparkSession
+    n = -(-reference._size // max(1, BROADCAST_RESIDUES))
+    if n > 1:
+        parts = reference.scaffolds.repartitionByRange(4 * min(n, 10_000), "scaffold_id").withColumn("part", F.spark_partition_id())
+        parts = materialised(parts, "blocks")
+        sizes = sorted(map(tuple, parts.groupBy("part").agg(F.sum(F.length("sequence"))).collect()))  # a few for each block
+    else:
+        parts, sizes = reference.scaffolds.withColumn("part", F.lit(0)), [(0, reference._size)]
+    blocks: list[list[int]] = []
+    held = 0
+    for part, size in sizes:
+        if not blocks or held + size > BROADCAST_RESIDUES:
+            blocks.append([])
+            held = 0
+        blocks[-1].append(part)
+        held += size
+
+    def searched(known: object) -> object:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step = max(1, EXACT_PAIRS // (2 * len(known.value.index.ids)))
+            for batch in batches:
+                for k in range(0, batch.num_rows, step):
+                    rows = batch.slice(k, step).to_pylist()
+                    best = placed(known.value, options, rows, total, beaten=[(r["hit"] or {}).get("score") or 0 for r in rows])
+                    for row, new in zip(rows, best):
+                        row["hit"] = new if new.get("target") is not None or row["hit"] is None else row["hit"]
+                    yield pa.RecordBatch.from_pylist(rows, schema=carried)
+
+        return run
+
+    carried = pa.schema([("rid", pa.int64()), ("read_id", pa.string()), ("sequence", pa.string()), ("hit", pa.struct(list(OUT)))])
+    as_spark = f"rid long, read_id string, sequence string, hit struct<{_struct(SPARK_OUT)}>"
+    rows = spread(reads.select("rid", "read_id", "sequence")).select("*", F.lit(None).cast(as_spark.split("hit ")[1]).alias("hit"))
+    for k, block in enumerate(blocks):
+        some = sorted(parts.filter(F.col("part").between(block[0], block[-1])).select("scaffold_id", "sequence", *FIELDS).collect())  # BROADCAST_RESIDUES, about
+        index = aligner.Index([r[0] for r in some], [r[1].upper() for r in some], options.scores())
+        index.prefixes()
+        known = spark.sparkContext.broadcast(Targets(index, [r[1] for r in some], [tuple(r[2:]) for r in some], lines))
+        rows = rows.mapInArrow(searched(known), as_spark)
+        rows = materialised(rows, "searched") if k < len(blocks) - 1 else rows
+    if not blocks:
+        return _place_by_join(reads, reference.scaffolds, total, lines, options)
+    return rows.select("hit.*")
+
+
+def _struct(columns: str) -> str:
+    """Fields of a struct from columns of a schema; both as text."""
+    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in StructType.fromDDL(columns))
+
+
 def _place_by_join(reads: DataFrame, scaffolds: DataFrame, total: float, lines: dict[str, d_mapping.Germlines], options: Options) -> DataFrame:
     """For scaffolds too many to broadcast: seeds by a join, counted as candidates() does; each pair of a read's strand
     and a target is scored as a row, and each read gets the row of its best target only."""
@@ -262,8 +327,8 @@ def _place_by_join(reads: DataFrame, scaffolds: DataFrame, total: float, lines:
     both = reads.select(query(False), F.upper("sequence").alias("sequence"))
     if options.seqtype == "nt" and options.both_strands:
         both = both.unionByName(reads.select(query(True), sq.reverse_complement(F.upper("sequence")).alias("sequence")))
-    found = seed_join.seeds(both, scaffolds.select(F.col("scaffold_id").alias("target"), F.upper("sequence").alias("sequence")), s.k, aligner.LETTERS[s.alphabet])
-    pairs = seed_join.banded(found, options.most, options.min_seeds, aligner.BAND)
+    targets = scaffolds.select(F.col("scaffold_id").alias("target"), F.upper("sequence").alias("sequence"))
+    pairs = seed_join.densest(seed_join.spaced_cells(both, targets, s, aligner.BAND), options.most, s.least)
     pairs = pairs.select("query.*", F.col("target").alias("scaffold_id"), F.col("n").cast("long").alias("near"), F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
     pairs = pairs.join(reads.select("rid", "sequence"), "rid").join(scaffolds.select("scaffold_id", F.col("sequence").alias("t_sequence")), "scaffold_id")
 

@@ -1,22 +1,28 @@
 """FASTA and FASTQ files, plain or gzipped (by suffix), as DataFrames. Only Spark's readers open them.
 
-Rows are read_id, sequence and rid, which numbers them in input order. Plain FASTA files are split at records, so
-one large file is read by many tasks; FASTQ lines are numbered over the splits of their file and grouped by four.
+Rows are read_id, sequence and rid, which grows in input order: by file name, then by place in the file. Plain files are
+split at records, so one large file is read by many tasks and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import sequences as sq
-from spanloom.session import small
 
 _POSITION = F.monotonically_increasing_id
 #: Tables are tab-separated without quoting: a quotation mark is a character like any other.
 TSV = {"sep": "\t", "header": True, "quote": "\u0000", "escape": "\u0000"}
+#: A rid is the rank of its file, then the byte where its split begins (of a file of up to 2 ** FILE_BITS bytes) plus its
+#: number in the partition. Full splits have a partition of their own; what is packed together are last splits.
+FILE_BITS = 42
+_FORMS = {">": "fasta", "@": "fastq"}
 
 
 def _mark(spark: SparkSession, path: str) -> str:
@@ -30,22 +36,47 @@ def blank(spark: SparkSession, path: str) -> bool:
 
 
 def sniff(spark: SparkSession, path: str) -> str:
-    """'fasta' or 'fastq' by the first character that is not blank; a ValueError otherwise, or if there is none."""
+    """'fasta' or 'fastq' by the first character of a file that is not blank; a ValueError otherwise, or if there is none."""
     mark = _mark(spark, path)
-    if mark not in (">", "@"):
+    if mark not in _FORMS:
         raise ValueError(f"{path} is neither FASTA nor FASTQ" if mark else f"{path} is empty")
-    return "fasta" if mark == ">" else "fastq"
+    return _FORMS[mark]
 
 
-def read_fasta(spark: SparkSession, path: str, full_header: bool = False) -> DataFrame:
-    """Ids are the first word of a header, or all of it; sequence lines are joined, blank ones skipped, and what
-    comes before the first header is left out."""
-    rows = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), _POSITION().alias("rid"))
+def _pieces(spark: SparkSession, path: str | list[str], start: str, files: list[str] | None = None) -> DataFrame:
+    """Texts between line breaks that `start` follows, with file, block and rid. files: all, in order, for their ranks."""
+    rows = spark.read.option("lineSep", f"\n{start}").text(path)
+    ranks = spark.createDataFrame([(f, i) for i, f in enumerate(sorted(map(_plain, files or rows.inputFiles()), key=unquote))], "of string, rank long")
+    number = _POSITION().bitwiseAND((1 << 33) - 1)
+    rows = rows.select("value", F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("file"), F.col("_metadata.file_block_start").alias("block"), number.alias("number"))
+    rows = rows.join(F.broadcast(ranks), F.col("file") == F.col("of"), "left")  # names that the driver has listed
+    rank = F.coalesce("rank", F.raise_error(F.concat(F.lit("not listed: "), "file")).cast("long"))
+    return rows.select("value", "file", (F.shiftleft(rank, FILE_BITS) + F.col("block") + F.col("number")).alias("rid"))
+
+
+def _plain(name: str) -> str:
+    return re.sub("^file:/+", "file:/", name)
+
+
+def _path(name: str) -> str:
+    """What Spark opens, from the name of a file as it lists it."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(name))
+
+
+def _heads(pieces: DataFrame) -> dict[str, tuple[int, str]]:
+    """For each file that is not empty the rid of its first piece, and its first character that is not blank, if any. What
+    comes after a blank first piece begins with the mark that pieces are parted at."""
+    mark = F.substring(F.regexp_replace("value", r"^\s+", ""), 1, 1)
+    first = pieces.groupBy("file").agg(F.min("rid").alias("rid"), F.min_by(mark, "rid").alias("mark"), F.count(F.lit(1)).alias("n"))
+    return {r.file: (r.rid, r.mark or (">" if r.n > 1 else "")) for r in first.collect()}  # a row for each file
+
+
+def _fasta(pieces: DataFrame, heads: dict[str, tuple[int, str]], full_header: bool) -> DataFrame:
     # The first record of a file still has its mark; a first piece without one is text before any record.
-    first = rows.filter("block = 0").groupBy(F.col("file").alias("f_file")).agg(F.min("rid").alias("f_rid"))
-    rows = rows.join(small(first), (F.col("file") == F.col("f_file")) & (F.col("rid") == F.col("f_rid")), "left")
+    first = pieces.sparkSession.createDataFrame([(r,) for r, _ in heads.values()], "first long")
+    rows = pieces.join(F.broadcast(first), F.col("rid") == F.col("first"), "left")
     body = F.regexp_replace("value", r"^\s*>", "")
-    record = F.when(F.col("f_rid").isNull(), F.col("value")).when(F.col("value").rlike(r"^\s*>"), body)
+    record = F.when(F.col("first").isNull(), F.col("value")).when(F.col("value").rlike(r"^\s*>"), body)
     rows = rows.select("rid", record.alias("record")).filter("record is not null")
     header = F.regexp_extract("record", r"^[^\r\n]*", 0)
     sequence = F.regexp_replace(F.regexp_replace("record", r"^[^\r\n]*", ""), r"\s+", "")
@@ -53,28 +84,54 @@ def read_fasta(spark: SparkSession, path: str, full_header: bool = False) -> Dat
     return rows.select("rid", name.alias("read_id"), sequence.alias("sequence"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """Groups of four lines; quality is not kept, and a group whose first line does not start with @ is left out."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), _POSITION().alias("at"))
-    blocks = lines.groupBy(F.col("file").alias("b_file"), F.col("block").alias("b_block")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
-    before = F.sum("n").over(Window.partitionBy("b_file").orderBy("b_block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = blocks.select("b_file", "b_block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("base"))
-    lines = lines.join(small(blocks), (F.col("file") == F.col("b_file")) & (F.col("block") == F.col("b_block")))
-    number = F.col("base") + F.col("at")
-    # Only headers and sequences move on; the third and fourth lines of a group are not looked at.
-    lines = lines.select("file", F.floor(number / 4).alias("group"), (number % 4).alias("part"), "value", "at").filter("part < 2")
-    part = lambda k: F.max(F.when(F.col("part") == k, F.col("value")))
-    groups = lines.groupBy("file", "group").agg(F.min("at").alias("rid"), part(0).alias("head"), part(1).alias("sequence"))
-    groups = groups.filter(F.col("head").startswith("@"))
-    return groups.select("rid", F.regexp_extract("head", r"^@\s*(\S*)", 1).alias("read_id"), F.coalesce(F.trim("sequence"), F.lit("")).alias("sequence"))
+def _fastq(pieces: DataFrame) -> DataFrame:
+    # What follows a line break and @ is a record if a line with + comes after its sequence; else it is a piece of a
+    # quality line that begins with @, which has no line break.
+    record = F.regexp_replace("value", r"^\s*@+", "")
+    line = lambda k: F.regexp_extract(record, r"^([^\n]*)\n([^\n]*)\n\+", k)
+    rows = pieces.filter(F.col("value").rlike(r"^\s*[^\n]*\n[^\n]*\n\+"))
+    return rows.select("rid", F.regexp_extract(line(1), r"^\s*(\S*)", 1).alias("read_id"), F.regexp_replace(line(2), r"^\s+|\s+$", "").alias("sequence"))
+
+
+def read_fasta(spark: SparkSession, path: str | list[str], full_header: bool = False) -> DataFrame:
+    """Ids are the first word of a header, or all of it; sequence lines are joined, blank ones skipped, and what
+    comes before the first header is left out."""
+    pieces = _pieces(spark, path, ">")
+    return _fasta(pieces, _heads(pieces), full_header)
+
+
+def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Records of four lines. Quality is not kept; lines that belong to no record are left out, and leading @ signs are no
+    part of an id."""
+    return _fastq(_pieces(spark, path, "@"))
 
 
 def read_sequences(spark: SparkSession, path: str, form: str = "auto") -> DataFrame:
-    form = sniff(spark, path) if form == "auto" else form
-    readers = {"fasta": read_fasta, "fastq": read_fastq}
-    if form not in readers:
-        raise ValueError(f"unknown format {form}")
-    return readers[form](spark, path)
+    """Of a folder each file by its own first character, with rids in the order of all files. Files without text are left
+    out; a ValueError names those that are of neither kind, or the path if there is nothing else."""
+    if form != "auto":
+        readers = {"fasta": read_fasta, "fastq": read_fastq}
+        if form not in readers:
+            raise ValueError(f"unknown format {form}")
+        return readers[form](spark, path)
+    pieces = _pieces(spark, path, ">")
+    heads = {f: h for f, h in _heads(pieces).items() if h[1]}
+    if bad := sorted(f for f, (_, mark) in heads.items() if mark not in _FORMS):
+        raise ValueError(f"neither FASTA nor FASTQ: {', '.join(bad[:10])}")
+    if not heads:
+        raise ValueError(f"{path} is empty")
+    files = spark.read.text(path).inputFiles()
+    of = {form: [f for f in files if _FORMS.get(heads.get(_plain(f), (0, ""))[1]) == form] for form in ("fasta", "fastq")}
+    some = lambda form: [*map(_path, of[form])]
+    parts = []
+    if len(of["fasta"]) == len(files):
+        parts.append(_fasta(pieces, heads, False))
+    elif of["fasta"]:  # these alone are dealt out in another way, so their first pieces are looked up anew
+        own = _pieces(spark, some("fasta"), ">", files)
+        parts.append(_fasta(own, _heads(own), False))
+    if of["fastq"]:
+        parts.append(_fastq(_pieces(spark, some("fastq"), "@", files)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def from_sequences(spark: SparkSession, sequences: Iterable) -> DataFrame:

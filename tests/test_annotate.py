@@ -271,7 +271,7 @@ def test_best_scores_are_those_of_all_pairs_and_long_reads_are_bounded():
     rows = [(f"s{i:02d}{k}", "IGH", f"V{i}", f"J{k}", a + "N" * 9 + b, starts, ends, 96, 106) for i, a in enumerate(vs) for k, b in enumerate(js)]
     mutated = lambda x, rate: "".join(c if r.random() > rate else r.choice(["", "A", "C", "G", "T", c + "AC"]) for c in x)
     reads = [{"rid": i, "read_id": str(i), "sequence": mutated(r.choice(vs) + nt(r.randint(0, 25)) + r.choice(js), r.choice((0.01, 0.04, 0.1)))} for i in range(500)]
-    near, every = annotate.Options(both_strands=False), annotate.Options(both_strands=False, exhaustive=True)
+    near, every = annotate.Options(both_strands=False), annotate.Options(both_strands=False, sensitivity="exact")
     got, want = ([x.get("score", 0) for x in annotate.placed(kernel(rows, o), o, reads)] for o in (near, every))
     assert sum(a == b for a, b in zip(got, want)) >= 0.99 * len(reads) and all(a <= b for a, b in zip(got, want))
     long = [*reads[:100], {"rid": 999, "read_id": "long", "sequence": nt(4_000) + vs[0] + nt(12) + js[0] + nt(6_000)}]
@@ -300,3 +300,78 @@ def test_both_searches_agree_on_mutated_and_borderline_reads(spark, monkeypatch)
     assert got == want
     hits = [x.aln_evalue is not None for x in want[120:168]]
     assert 5 < sum(hits) < 43 and sum(x.aln_evalue is not None for x in want[:120]) > 100
+    # The exact search, with all scaffolds at once and in blocks.
+    exact = annotate.Options(sensitivity="exact")
+    some = frame.filter("rid % 4 = 0 OR rid > 165")
+    parted = annotate.annotate(some, own, exact).orderBy("rid").collect()
+    monkeypatch.setattr(annotate, "BROADCAST_RESIDUES", 4000)
+    blocks = annotate.annotate(some, own, exact).orderBy("rid").collect()
+    monkeypatch.setattr(annotate, "BROADCAST_RESIDUES", 8_000_000)
+    whole = annotate.annotate(some, own, exact).orderBy("rid").collect()
+    assert parted == whole and blocks == whole
+    found = {r.rid: r.aln_score or 0 for r in want}
+    assert all((r.aln_score or 0) >= found[r.rid] for r in whole)
+
+
+@pytest.mark.parametrize("length,share", [(60, 0.12), (96, 0.2)])
+def test_seeds_find_what_the_exact_search_finds(length, share):
+    r = random.Random(21)
+    nt = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    other = {c: [x for x in "ACGT" if x != c] for c in "ACGT"}
+    vs, js = [nt(96) for _ in range(25)], [nt(32) for _ in range(6)]
+    starts, ends = [1, 25, 37, 58, 70, 94, 100], [24, 36, 57, 69, 93, 99, 104]
+    rows = [(f"s{i:02d}{k}", "IGH", f"V{i}", f"J{k}", a + "N" * 9 + b, starts, ends, 96, 106) for i, a in enumerate(vs) for k, b in enumerate(js)]
+    reads = []
+    for i in range(300):
+        whole = r.choice(vs) + nt(9) + r.choice(js)
+        at = r.randrange(len(whole) - length + 1) if length == 60 else 0
+        x = "".join(r.choice(other[c]) if r.random() < share else c for c in whole[at : at + length])
+        x = x[: length // 2] + "ACG" + x[length // 2 :] if i % 4 == 0 else x
+        reads.append({"rid": i, "read_id": str(i), "sequence": x if i % 2 else annotate.reverse_complement(x)})
+    found = {}
+    for name in ("fast", "normal", "exact"):
+        options = annotate.Options(sensitivity=name)
+        found[name] = [x.get("score") or 0 for x in annotate.placed(kernel(rows, options), options, reads)]
+    hits = sum(x > 0 for x in found["exact"])
+    assert hits > 270 and sum(x > 0 for x in found["normal"]) >= 0.99 * hits
+    assert sum(a == b > 0 for a, b in zip(found["normal"], found["exact"])) >= 0.99 * hits
+    assert all(a <= b for name in ("fast", "normal") for a, b in zip(found[name], found["exact"]))
+
+
+def test_folders_of_both_kinds_and_splits(spark, tmp_path, monkeypatch):
+    import gzip
+
+    r = random.Random(5)
+    folder = tmp_path / "mixed files"
+    folder.mkdir()
+    read = lambda: "".join(r.choice("ACGT") for _ in range(r.randint(0, 60)))
+    quality = lambda n: "".join(r.choice("@>+I") for _ in range(n))
+    fasta = [(f"a{i}", read()) for i in range(300)]
+    fastq = [(f"q{i}", read()) for i in range(400)]
+    (folder / "b.fasta").write_text("".join(f">{n} x\n{s[:20]}\n{s[20:]}\n" for n, s in fasta))
+    (folder / "a.fastq").write_text("".join(f"@{n} x\n{s}\n+{n * (i % 2)}\n{quality(len(s))}\n" for i, (n, s) in enumerate(fastq)))
+    (folder / "c[1].txt").write_text("\n\n>z last\r\nAC\r\nGT\r\n")
+    (folder / "d.fasta").write_text("\n")
+    with gzip.open(folder / "c.gz", "wt") as f:
+        f.write("@g1\nACGT\n+\n@@@@\n@g2 x\r\nGG\r\n+\r\n@I")
+    want = fastq + [("g1", "ACGT"), ("g2", "GG"), ("z", "ACGT")]
+    want[400:400] = fasta
+    for size in ("100b", "1k", "1m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0" if size == "1k" else "4m")
+        rows = seqfiles.read_sequences(spark, str(folder))
+        found = rows.collect()
+        assert len({x.rid for x in found}) == len(found)
+        # gzipped by its suffix only: c.gz comes before c[1].txt
+        assert [(x.read_id, x.sequence) for x in sorted(found, key=lambda x: x.rid)] == want, size
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan and "SinglePartition" not in plan
+        one = seqfiles.read_fastq(spark, str(folder / "a.fastq"))
+        assert [(x.read_id, x.sequence) for x in one.orderBy("rid").collect()] == fastq
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        spark.conf.unset(name)
+    (folder / "e.txt").write_text("hello\n")
+    with pytest.raises(ValueError, match="e.txt"):
+        seqfiles.read_sequences(spark, str(folder))
+    with pytest.raises(ValueError):
+        seqfiles.read_sequences(spark, str(folder / "d.fasta"))
