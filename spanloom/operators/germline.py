@@ -21,6 +21,12 @@ def loci(spark, organism: str | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "locus string, receptor string, has_d boolean")
 
 
+def gated(rows: DataFrame) -> DataFrame:
+    """rows: organism, locus and others. Those whose locus can be annotated for their organism; unknown loci cannot."""
+    receptor = F.element_at(F.create_map(*(F.lit(x) for name, group, _ in LOCI for x in (name, group))), F.col("locus"))
+    return rows.filter((receptor == "IG") | ((receptor == "TR") & F.col("organism").isin(*TR_ORGANISMS)))
+
+
 def functional(alleles: DataFrame, functionality: DataFrame) -> DataFrame:
     """alleles: allele, sequence; functionality: allele, functionality. Those that are F or ORF and not empty,
     without dots and in upper case."""

@@ -6,9 +6,10 @@ the one with the most seeds on a diagonal. Only seed rows move, keyed by k-mer,
 
 from __future__ import annotations
 
+import hashlib
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.aligner import LETTERS, Scoring
@@ -59,21 +60,49 @@ def spaced(rows: DataFrame, key: str, patterns: tuple[str, ...], letters: str) -
     return rows.select(key, "pos", seed.alias("seed")).filter(F.col("seed").rlike(f"^[0-9]+[{letters}]+$"))
 
 
-def spaced_cells(queries: DataFrame, targets: DataFrame, scoring: Scoring, band: int) -> DataFrame:
-    """queries: query, sequence; targets: target, sequence. Rows of query, target, band of diagonals, n, how many seeds of
-    all patterns they share in it, and the lowest and highest of their diagonals there (target minus query position)."""
+def write_postings(targets: DataFrame, patterns: tuple[str, ...], letters: str, path: str, buckets: int) -> None:
+    """targets: target, sequence. Their seeds as Parquet files in buckets by seed, each sorted by it."""
+    rows = spaced(targets, "target", patterns, letters).select("target", F.col("pos").alias("t_pos"), F.col("seed").alias("t_seed"))
+    name = _table(path)
+    rows.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    dealt = rows.repartition(buckets, "t_seed")  # a file for each bucket
+    dealt.write.format("parquet").bucketBy(buckets, "t_seed").sortBy("t_seed").option("path", path).mode("overwrite").saveAsTable(name)
+
+
+def read_postings(spark: SparkSession, path: str, target: str, buckets: int) -> DataFrame:
+    """What write_postings has written, in any session: a join by t_seed leaves it where it is. target: the type of names."""
+    name, place = _table(path), path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (target {target}, t_pos INT, t_seed STRING) USING parquet CLUSTERED BY (t_seed) SORTED BY (t_seed) INTO {buckets} BUCKETS LOCATION '{place}'")
+    return spark.table(name)
+
+
+def _table(path: str) -> str:
+    return f"spanloom_postings_{hashlib.md5(path.encode()).hexdigest()}"
+
+
+def shared_seeds(queries: DataFrame, targets: DataFrame | None, scoring: Scoring, kept: DataFrame | None = None) -> DataFrame:
+    """queries: query, sequence; targets: target, sequence, or kept: their postings as read_postings() has them. Rows of
+    query, pos, target and t_pos, one for each seed that they share."""
     letters = LETTERS[scoring.alphabet]
     q = spaced(spread(queries.select("query", "sequence")), "query", scoring.seeds, letters)
-    t = spaced(targets, "target", scoring.seeds, letters).select("target", F.col("pos").alias("t_pos"), F.col("seed").alias("t_seed"))
     if scoring.similar is not None:
         word, other = scoring.words()
         name = lambda x: "".join(letters[x // len(letters) ** i % len(letters)] for i in range(scoring.seeds[0].count("1") - 1, -1, -1))
         pairs = [(f"{i}{name(a)}", f"{i}{name(b)}") for i in range(len(scoring.seeds)) for a, b in zip(word.tolist(), other.tolist())]
         like = q.sparkSession.createDataFrame(pairs, "seed string, similar string")  # words of three residues
         q = q.join(F.broadcast(like), "seed").select("query", "pos", F.col("similar").alias("seed"))
-    found = q.join(small(materialised(t, "postings"), BROADCAST_POSTINGS), F.col("seed") == F.col("t_seed"))
+    if kept is None:
+        t = spaced(targets, "target", scoring.seeds, letters).select("target", F.col("pos").alias("t_pos"), F.col("seed").alias("t_seed"))
+        kept = small(materialised(t, "postings"), BROADCAST_POSTINGS)
+    return q.join(kept, F.col("seed") == F.col("t_seed")).select("query", "pos", "target", "t_pos")
+
+
+def spaced_cells(queries: DataFrame, targets: DataFrame | None, scoring: Scoring, band: int, kept: DataFrame | None = None) -> DataFrame:
+    """As shared_seeds(), by query, target and band of diagonals: n, how many seeds they share in it, and the lowest and
+    highest of their diagonals there (target minus query position)."""
     diagonal = F.col("t_pos") - F.col("pos")
     cell = F.floor(diagonal / band).alias("band")
+    found = shared_seeds(queries, targets, scoring, kept)
     return found.groupBy("query", "target", cell).agg(F.count(F.lit(1)).alias("n"), F.min(diagonal).alias("low"), F.max(diagonal).alias("high"))
 
 

@@ -37,6 +37,8 @@ class Reference:
     seqtype: str = "nt"
     #: Whether scaffolds is a table that is read as it is; otherwise it is stored first, as building it can cost much.
     stored: bool = False
+    #: Of an index: the patterns that its postings are made of, and these.
+    postings: tuple[tuple[str, ...], DataFrame] | None = None
     _size: int | None = field(default=None, repr=False)
     _known: dict = field(default_factory=dict, repr=False)
 
@@ -85,7 +87,7 @@ class Reference:
                 raise
             d = None
         if indexed is not None:
-            return cls(indexed, d, seqtype, stored=True)
+            return cls(indexed[0], d, seqtype, stored=True, postings=indexed[1])
         return cls.from_markup(markup, sequences, d, seqtype)
 
 
@@ -225,7 +227,7 @@ def from_hits(reads: DataFrame, hits: DataFrame, reference: Reference, options:
                 out.append(new)
             yield pa.RecordBatch.from_pylist(out, schema=OUT)
 
-    return assembled(rows.mapInArrow(run, SPARK_OUT), options.seqtype)
+    return assembled(spread(rows).mapInArrow(run, SPARK_OUT), options.seqtype)
 
 
 def _lines(reference: Reference, options: Options) -> dict[str, d_mapping.Germlines]:
@@ -251,7 +253,9 @@ def place(reads: DataFrame, reference: Reference, options: Options | None = None
     if options.sensitivity == "exact":
         return _place_exactly(reads, reference, options)
     if reference._size > BROADCAST_RESIDUES:
-        return _place_by_join(reads, reference.scaffolds, float(reference._size), _lines(reference, options), options)
+        kept = reference.postings
+        kept = kept[1] if kept is not None and kept[0] == options.scores().seeds else None
+        return _place_by_join(reads, reference.scaffolds, float(reference._size), _lines(reference, options), options, kept)
     known = reference.targets(options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +323,7 @@ def _struct(columns: str) -> str:
     return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in StructType.fromDDL(columns))
 
 
-def _place_by_join(reads: DataFrame, scaffolds: DataFrame, total: float, lines: dict[str, d_mapping.Germlines], options: Options) -> DataFrame:
+def _place_by_join(reads: DataFrame, scaffolds: DataFrame, total: float, lines: dict[str, d_mapping.Germlines], options: Options, kept: DataFrame | None = None) -> DataFrame:
     """For scaffolds too many to broadcast: seeds by a join, counted as candidates() does; each pair of a read's strand
     and a target is scored as a row, and each read gets the row of its best target only."""
     s = options.scores()
@@ -328,7 +332,7 @@ def _place_by_join(reads: DataFrame, scaffolds: DataFrame, total: float, lines:
     if options.seqtype == "nt" and options.both_strands:
         both = both.unionByName(reads.select(query(True), sq.reverse_complement(F.upper("sequence")).alias("sequence")))
     targets = scaffolds.select(F.col("scaffold_id").alias("target"), F.upper("sequence").alias("sequence"))
-    pairs = seed_join.densest(seed_join.spaced_cells(both, targets, s, aligner.BAND), options.most, s.least)
+    pairs = seed_join.densest(seed_join.spaced_cells(both, targets, s, aligner.BAND, kept), options.most, s.least)
     pairs = pairs.select("query.*", F.col("target").alias("scaffold_id"), F.col("n").cast("long").alias("near"), F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
     pairs = pairs.join(reads.select("rid", "sequence"), "rid").join(scaffolds.select("scaffold_id", F.col("sequence").alias("t_sequence")), "scaffold_id")
 
@@ -393,28 +397,34 @@ def annotate_path(spark: SparkSession, source: str, target: str, reference: Refe
 
 
 #: Marks how an index is laid out; a folder with another mark is built anew.
-INDEX_VERSION = "2"
+INDEX_VERSION = "3"
+#: Residues of scaffolds for each bucket of postings, about.
+BUCKET_RESIDUES = 1_000_000
 
 
 def _index_folder(folder: str, seqtype: str) -> str:
     return f"{folder}/index-{seqtype}"
 
 
-def _indexed(spark: SparkSession, folder: str, seqtype: str) -> DataFrame | None:
-    """The scaffolds of an index of this version."""
+def _indexed(spark: SparkSession, folder: str, seqtype: str) -> tuple[DataFrame, tuple[tuple[str, ...], DataFrame]] | None:
+    """The scaffolds and the postings of an index of this version."""
+    place = _index_folder(folder, seqtype)
     try:
-        mark = spark.read.text(f"{_index_folder(folder, seqtype)}/version").first()
+        mark = spark.read.text(f"{place}/version").first()
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             return None
         raise
-    return spark.read.parquet(f"{_index_folder(folder, seqtype)}/scaffolds") if mark is not None and mark[0] == INDEX_VERSION else None
+    version, *rest = mark[0].split(" ") if mark is not None else [""]
+    if version != INDEX_VERSION:
+        return None
+    return spark.read.parquet(f"{place}/scaffolds"), (tuple(rest[1:]), seed_join.read_postings(spark, f"{place}/postings", "STRING", int(rest[0])))
 
 
 def build_index(spark: SparkSession, folders: Iterable[str], force: bool = False) -> list[tuple[str, str]]:
     """For each reference folder and each type that it has: the joined scaffolds as one table, so that a search needs
-    neither to read and join the text files nor to store them again. What has this version stays, unless force. Returns
-    the folders and types that were built."""
+    neither to read and join the text files nor to store them again, and their postings by seed, for references that are
+    searched by a join. What has this version stays, unless force. Returns the folders and types that were built."""
     done = []
     for folder in folders:
         for seqtype in ("nt", "aa"):
@@ -426,7 +436,12 @@ def build_index(spark: SparkSession, folders: Iterable[str], force: bool = False
                 continue
             rows, place = materialised(reference.scaffolds.select("scaffold_id", "sequence", *FIELDS), "index"), _index_folder(folder, seqtype)
             rows.write.mode("overwrite").parquet(f"{place}/scaffolds")
-            spark.createDataFrame([(INDEX_VERSION,)], "value string").coalesce(1).write.mode("overwrite").text(f"{place}/version")
+            size, scoring = rows.agg(F.coalesce(F.sum(F.length("sequence")), F.lit(0))).first()[0], Options(seqtype).scores()
+            buckets = max(1, -(-size // BUCKET_RESIDUES))
+            targets = rows.select(F.col("scaffold_id").alias("target"), F.upper("sequence").alias("sequence"))
+            seed_join.write_postings(targets, scoring.seeds, aligner.LETTERS[scoring.alphabet], f"{place}/postings", buckets)
+            mark = " ".join([INDEX_VERSION, str(buckets), *scoring.seeds])
+            spark.createDataFrame([(mark,)], "value string").coalesce(1).write.mode("overwrite").text(f"{place}/version")
             done.append((folder, seqtype))
     return done
 

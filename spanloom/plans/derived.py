@@ -30,11 +30,14 @@ J_SQL = f"SELECT s_suppkey AS k, locus, concat(locus, 'J', s_suppkey, '*01') AS
 D_SQL = f"SELECT n_nationkey AS k, CASE n_nationkey % 2 WHEN 0 THEN 'IGH' ELSE 'TRB' END AS locus, concat('D', n_nationkey, '*01') AS allele, substring({nt('n_nationkey', 'd')}, 1, cast(8 + n_nationkey % 24 AS INT)) AS sequence FROM nation"
 #: A read: a V and a J of its locus with a D and random bases between, one substitution; every fifth one reversed.
 _INS = f"concat(substring({nt('o_orderkey', 'n')}, 1, cast(o_orderkey % 7 AS INT)), substring({nt('o_custkey % 25', 'd')}, 1, cast(8 + o_custkey % 25 % 24 AS INT)), substring({nt('o_orderkey', 'm')}, 1, cast(o_orderkey % 5 AS INT)))"
-READS_SQL = f"""SELECT o_orderkey AS rid, concat('read', o_orderkey) AS read_id, locus,
+#: With what it was made of: its V and J, how many bases lie between, and the read as it was before it was reversed.
+MADE_SQL = f"""SELECT o_orderkey AS rid, concat('read', o_orderkey) AS read_id, locus, made_v, made_j, length(between_them) AS n_between, mutated,
   CASE WHEN o_orderkey % 5 = 0 THEN reverse(translate(mutated, 'ACGT', 'TGCA')) ELSE mutated END AS sequence
 FROM (SELECT *, concat(substring(whole, 1, spot - 1), translate(substring(whole, spot, 1), 'ACGT', 'CATG'), substring(whole, spot + 1)) AS mutated
-FROM (SELECT *, concat({_v('locus', 'o_orderkey % 97')}, {_INS}, {_J.format(locus='locus', key='o_custkey % 41')}) AS whole, cast(20 + o_orderkey % 50 AS INT) AS spot
-FROM (SELECT *, {_LOCUS.format('o_orderkey')} AS locus FROM orders) t) u) v"""
+FROM (SELECT *, concat(made_v, between_them, made_j) AS whole, cast(20 + o_orderkey % 50 AS INT) AS spot
+FROM (SELECT *, {_v('locus', 'o_orderkey % 97')} AS made_v, {_INS} AS between_them, {_J.format(locus='locus', key='o_custkey % 41')} AS made_j
+FROM (SELECT *, {_LOCUS.format('o_orderkey')} AS locus FROM orders) t) u) v) w"""
+READS_SQL = f"SELECT rid, read_id, locus, sequence FROM ({MADE_SQL}) made"
 EVENT_NT = nt("event_id", "e")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import sequences as sq
 from spanloom.operators import concordance, d_mapping, germline, projection, seed_join
+from spanloom.operators.aligner import Scoring
 from spanloom.plans import annotate, derived, records_sql
 from spanloom.plans.records import COLUMNS
 from spanloom.session import materialised, shared_dir, table
@@ -72,12 +74,11 @@ def f5_aa_coordinate(spark, folder):
     return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", at.alias("aa_start"))
 
 
-@query(f"SELECT c AS codon, {derived.CODONS_SQL} AS aa FROM (SELECT x || y || z AS c FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS x), (SELECT unnest(['A', 'C', 'G', 'T']) AS y), (SELECT unnest(['A', 'C', 'G', 'T']) AS z))")
+@query(f"SELECT c AS codon, {derived.CODONS_SQL} AS aa, count(*) AS n FROM (SELECT unnest(regexp_extract_all(nt, '...')) AS c FROM {_PART}) x GROUP BY c")
 def f7_codon_table(spark, folder):
-    bases = spark.createDataFrame([(b,) for b in sq.BASES], "b string")
-    triples = bases.select(F.explode(F.array(*map(F.lit, sq.BASES))).alias("c"), "b").select(F.explode(F.array(*map(F.lit, sq.BASES))).alias("d"), "b", "c")
-    codon = F.concat("b", "c", "d")
-    return triples.select(codon.alias("codon"), sq.translate(codon).alias("aa"))
+    """The codons that sequences have, with their residues and how often they occur."""
+    codons = _part(spark, folder).select(F.explode(F.regexp_extract_all("nt", F.lit("(...)"))).alias("codon"))
+    return codons.groupBy("codon").agg(F.count(F.lit(1)).alias("n")).select("codon", sq.translate(F.col("codon")).alias("aa"), "n")
 
 
 @query(f"SELECT p_partkey, substr(nt, p_partkey % 11 + 1, p_partkey % 9 + 1) AS part FROM {_PART}")
@@ -148,6 +149,16 @@ def s4_fastq(spark, folder):
     return seqfiles.read_sequences(spark, path).select("read_id", "sequence")
 
 
+@query("SELECT read_id, sequence FROM (" + derived.READS_SQL + ") x UNION ALL SELECT allele, sequence FROM (" + derived.V_SQL + ") y")
+def s5_mixed_folder(spark, folder):
+    """A folder of FASTQ and FASTA files, each read by its own kind."""
+    path = _place(spark, "mixed")
+    quality = F.repeat(F.lit("@>"), F.length("sequence"))
+    derived.reads(spark, folder).select(F.concat(F.lit("@"), "read_id", F.lit("\n"), "sequence", F.lit("\n+\n"), F.substring(quality, F.lit(1), F.length("sequence")))).write.text(f"{path}/a")
+    sinks.write_fasta(derived.v_alleles(spark, folder).select(F.col("allele").alias("read_id"), "sequence"), f"{path}/b")
+    return seqfiles.read_sequences(spark, f"{path}/*").select("read_id", "sequence")
+
+
 @query("SELECT concat('seq', row_number() OVER (ORDER BY r_regionkey) - 1) AS read_id, r_name AS sequence FROM region")
 def s6_in_memory(spark, folder):
     names = [r.r_name for r in table(spark, folder, "region").orderBy("r_regionkey").collect()]  # five regions
@@ -266,9 +277,14 @@ def p6_complete(spark, folder):
     return germline.complete(rows.select("*", *(v.alias(c) for c, v in value.items()))).select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{r}', {d})" for n, r, d in germline.LOCI if r == "IG") + ") t(locus, receptor, has_d)")
+_LOCUS_GATE = "SELECT x.k, x.locus, CASE k % 3 WHEN 0 THEN 'human' WHEN 1 THEN 'rat' ELSE 'rabbit' END AS organism FROM (" + derived.V_SQL + ") x"
+
+
+@query(f"SELECT k, organism, locus FROM ({_LOCUS_GATE}) WHERE organism = 'human' OR starts_with(locus, 'IG')")
 def p11_locus_gate(spark, folder):
-    return germline.loci(spark, "rat")
+    """Alleles of loci that can be annotated for their organism."""
+    organism = F.element_at(F.array(*map(F.lit, ("human", "rat", "rabbit"))), (F.col("k") % 3 + 1).cast("int"))
+    return germline.gated(derived.v_alleles(spark, folder).select("k", "locus", organism.alias("organism"))).select("k", "organism", "locus")
 
 
 @query(f"{_SCAFFOLDS} SELECT locus, nv AS n_v, nj AS n_j, nv * nj AS n_combinations, n_scaffolds, n_scaffolds AS n_annotated, 0::BIGINT AS n_dropped FROM (SELECT locus, count(*) AS nv FROM v GROUP BY locus) JOIN (SELECT locus, count(*) AS nj FROM j GROUP BY locus) USING (locus) JOIN (SELECT locus, count(*) AS n_scaffolds FROM g GROUP BY locus) USING (locus)")
@@ -426,6 +442,43 @@ def flagship(spark, folder):
     return annotate.annotate(derived.reads(spark, folder).select("rid", "read_id", "sequence"), derived.reference(spark, folder)).select(*COLUMNS)
 
 
+#: What annotation must find of a read, by how it was made: the alleles of its V, and the regions that lie in it; where its J
+#: is in the reference and not more than 20 bases lie between, also FR4, CDR3 and the alleles of J. Reads whose V no
+#: allele has are left out.
+_TRUTH = f"""WITH v AS (SELECT locus, in_frame, array_to_string(list_sort(list_distinct(list(allele))), ',') AS v_call FROM (SELECT *, {derived.in_frame_sql('sequence')} AS in_frame FROM ({derived.V_SQL}) x) y GROUP BY locus, in_frame),
+j AS (SELECT locus, sequence AS made_j, array_to_string(list_sort(list_distinct(list(allele))), ',') AS j_call FROM ({derived.J_SQL}) x GROUP BY locus, sequence),
+t AS (SELECT r.*, v_call, CASE WHEN n_between <= 20 THEN j_call END AS j_call, length(made_v) - length(in_frame) AS o FROM (SELECT *, {derived.in_frame_sql('made_v')} AS in_frame FROM ({derived.MADE_SQL}) m) r JOIN v USING (locus, in_frame) LEFT JOIN j USING (locus, made_j))
+SELECT read_id AS sequence_id, locus, rid % 5 = 0 AS rev_comp, v_call, {", ".join(f"substr(mutated, o + {a}, {b - a + 1}) AS {r}" for r, (a, b) in derived.V_REGIONS.items())},
+j_call, CASE WHEN j_call IS NOT NULL THEN substr(mutated, o + {derived.V_REGIONS["fwr3"][1] + 1}, length(made_v) + n_between + {derived.FWR4_OFFSET - 1} - o - {derived.V_REGIONS["fwr3"][1]}) END AS cdr3,
+CASE WHEN j_call IS NOT NULL THEN substr(made_j, {derived.FWR4_OFFSET}) END AS fwr4 FROM t"""
+
+
+@query(_TRUTH)
+def searched_records(spark, folder):
+    """Calls and regions that the search gives to reads of known origin."""
+    made = derived.view(spark, folder, derived.MADE_SQL, "orders")
+    v, j = (f(spark, folder).select("locus", F.col("sequence").alias(n)).distinct() for f, n in ((derived.v_alleles, "made_v"), (derived.j_alleles, "made_j")))
+    made = made.join(v, ["locus", "made_v"], "left_semi").join(j.withColumn("has_j", F.lit(True)), ["locus", "made_j"], "left")
+    made = materialised(made.select("rid", "read_id", "sequence", (F.col("has_j") & (F.col("n_between") <= 20)).alias("sure")), "made")
+    rows = annotate.annotate(made.select("rid", "read_id", "sequence"), derived.reference(spark, folder))
+    rows = rows.join(made.select("rid", "sure"), "rid")
+    return rows.select("sequence_id", "locus", "rev_comp", "v_call", *derived.V_REGIONS, *(F.when(F.col("sure"), F.col(c)).alias(c) for c in ("j_call", "cdr3", "fwr4")))
+
+
+_SEEDS = " UNION ALL ".join(f"SELECT {{key}}, s, concat('{i}', {', '.join(f'substr(sequence, s + {m.start()}, {len(m[0])})' for m in re.finditer('1+', p))}) AS seed FROM (SELECT *, unnest(range(1, length(sequence) - {len(p) - 2})) AS s FROM ({{rows}}) x)" for i, p in enumerate(Scoring().seeds))
+
+
+@query(f"WITH d AS ({_SEEDS.format(key='allele', rows=derived.D_SQL)}), r AS ({_SEEDS.format(key='rid', rows=derived.READS_SQL)}) SELECT allele, count(*) AS n, count(DISTINCT rid) AS reads FROM r JOIN d USING (seed) GROUP BY allele")
+def k9_postings(spark, folder):
+    """How many seeds reads share with D germlines, whose postings are in buckets on disk."""
+    path, scoring = _place(spark, "postings"), Scoring()
+    targets = derived.d_alleles(spark, folder).select(F.col("allele").alias("target"), "sequence")
+    seed_join.write_postings(targets, scoring.seeds, "ACGT", path, 4)
+    kept = seed_join.read_postings(spark, path, "STRING", 4)
+    found = seed_join.shared_seeds(derived.reads(spark, folder).select(F.col("rid").alias("query"), "sequence"), None, scoring, kept)
+    return found.groupBy(F.col("target").alias("allele")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("query").alias("reads"))
+
+
 @query("SELECT read_id AS sequence_id, locus, (rid % 5 = 0) AS rev_comp FROM (" + derived.READS_SQL + ") x")
 def annotated_locus(spark, folder):
     """The locus and strand that annotation finds are those a read was made from."""

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import sequences as sq
-from spanloom.operators import concordance
+from spanloom.operators import concordance, seed_join
 from spanloom.plans import annotate
 from spanloom.plans.records import COLUMNS
 from spanloom.sources import seqfiles, sinks
@@ -124,7 +124,7 @@ def test_tables_keep_quotation_marks(spark, tmp_path):
     assert len(list((tmp_path / "one").glob("part-*"))) == 1
 
 
-def test_reference_files_and_index(spark, reference, tmp_path):
+def test_reference_files_and_index(spark, reference, tmp_path, monkeypatch):
     built = reference.ready().scaffolds.selectExpr("scaffold_id", "locus", "array(v_call) AS v_calls", "array(j_call) AS j_calls", "0 AS n_pad")
     extra = spark.createDataFrame([("IGH_9", "IGH", ["V"], ["J"], 3)], built.schema)
     folder = str(tmp_path / "human")
@@ -139,6 +139,19 @@ def test_reference_files_and_index(spark, reference, tmp_path):
     read = V + CDR3 + D + "ACC" + J
     loaded = annotate.Reference.load(spark, folder)
     assert loaded.stored and run(spark, loaded, [read]) == run(spark, reference, [read])
+    # Postings on disk: joined where they are, by another session too, with the same result as the index in memory.
+    monkeypatch.setattr(annotate, "BROADCAST_RESIDUES", 0)
+    spark.sql(f"DROP TABLE {loaded.postings[1]._jdf.queryExecution().analyzed().collectLeaves().head().catalogTable().get().identifier().table()}")
+    loaded = annotate.Reference.load(spark, folder)
+    mutated = [("r", read[:40] + "A" + read[42:]), ("s", annotate.reverse_complement(read)), ("none", "ACGT" * 20)]
+    assert run(spark, loaded, mutated) == run(spark, reference, mutated)
+    queries = spark.createDataFrame([(1, read)], "query long, sequence string")
+    found = seed_join.shared_seeds(queries, None, annotate.Options().scores(), loaded.postings[1].hint("merge"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    side = plan[plan.rindex("Exchange hashpartitioning") :]
+    assert plan.count("Exchange hashpartitioning") == 1 and "t_seed" not in side.split("\n")[0] and "Bucketed: true" in plan, plan
+    assert found.count() > 300
+    monkeypatch.undo()
     (r,) = annotate.annotate_sequences(spark, [("p", protein(read))], annotate.Reference.load(spark, folder, "aa"))
     assert r["locus"] == "IGH" and r["fwr1_aa"] == protein(V[:24]) and r["junction"][0] == "C" and r["productive"] == "T" and r["d_call"] == ""
     (stop,) = annotate.annotate_sequences(spark, [("p", protein(read)[:40] + "*" + protein(read)[41:])], annotate.Reference.load(spark, folder, "aa"))
