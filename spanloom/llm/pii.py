@@ -4,7 +4,7 @@ Base patterns find e-mail and IP addresses, card and phone numbers; what they fi
 seed are a lexical pattern. Words with digits or an at sign, and runs of words of digits and separators, that no base
 span touches are instances without a kind; they stand behind lexical patterns too. Over the graph of patterns and instances, scores go back and forth: a
 pattern is worth the share of its instances that are of a kind, where those that have the form of the kind but no score
-yet do not count for or against it, an instance what the patterns in front of it are worth together, and instances that score well count as evidence and as support of all their patterns in the next
+yet do not count for or against it, nor do words of a run that has a form, an instance what the patterns in front of it are worth together, and instances that score well count as evidence and as support of all their patterns in the next
 round, until nothing changes. Where a pattern of high
 confidence stands before an instance that has the form of its kind, the instance becomes a span.
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import stored, tidy
+from spanloom.llm.common import joined_apart, stored, tidy
 
 #: Patterns by kind, in the order of kinds. Possessive repeats and starts only at a run's first character (or where
 #: the last match ended) find the same matches in linear time.
@@ -76,6 +76,12 @@ def formed(kind: Column, value: Column) -> Column:
     )
 
 
+def shaped(kind: Column, value: Column) -> Column:
+    """formed(), but a run whose first word has the form on its own ends there: what follows is another number."""
+    first = F.substring_index(value, " ", 1)
+    return formed(kind, value) & ~((first != value) & formed(kind, first))
+
+
 def _last(text: Column) -> Column:
     """The end of a text from the fourth blank from its end on, with one blank for each stretch of white space. What is
     joined to its front can change the first word only, and a context is the last two words and the blank after them."""
@@ -129,52 +135,66 @@ def base_spans(scan: DataFrame) -> DataFrame:
 
 
 def instances(scan: DataFrame, base: DataFrame) -> DataFrame:
-    """row_id, start, end, value, pattern of words and runs with four digits or an at sign that touch no base span."""
-    rows = _placed(scan.filter("size(words) > 0"), "words", ["row_id"]).unionByName(_placed(scan.filter("size(runs) > 0"), "runs", ["row_id"]))
+    """row_id, start, end, value, pattern of words and runs with four digits or an at sign that touch no base span; inner:
+    whether it is a word of a run that has the form of a kind."""
+    part = lambda name, run: _placed(scan.filter(f"size({name}) > 0"), name, ["row_id"]).withColumn("run", F.lit(run))
+    rows = part("words", False).unionByName(part("runs", True))
     lead = F.char_length(F.regexp_extract("value", r"^[^\p{L}\p{N}+(]++", 0))
     core = F.regexp_replace("value", EDGE, "")
     rows = rows.withColumn("start", F.col("start") + lead).withColumn("value", core).withColumn("end", F.col("start") + F.char_length("value"))
     rows = rows.filter((F.length(_digits(F.col("value"))) >= 4) | F.contains("value", F.lit("@"))).filter("start < end")
-    rows = rows.select("row_id", "start", "end", F.lower("value").alias("value"), _context(F.col("left")).alias("pattern"))
+    rows = rows.select("row_id", "start", "end", F.lower("value").alias("value"), _context(F.col("left")).alias("pattern"), "run")
     spans = base.select(F.col("row_id").alias("b_row"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
     touch = (F.col("row_id") == F.col("b_row")) & (F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end"))
-    return rows.join(spans, touch, "left_anti").distinct()
+    rows = rows.join(spans, touch, "left_anti").distinct()
+    some = lambda has, value: F.exists(F.array(*map(F.lit, KINDS)), lambda k: has(k, value))
+    whole = some(shaped, F.col("value"))
+    # A run of a number and what merely follows it is no instance, its first word is.
+    rows = rows.filter(~(F.col("run") & ~whole & some(formed, F.substring_index("value", " ", 1))))
+    before = Window.partitionBy("row_id").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.when(F.col("run") & whole, F.col("end"))).over(before)
+    return rows.withColumn("inner", ~F.col("run") & F.coalesce(reach >= F.col("end"), F.lit(False))).drop("run")
 
 
 def bootstrapped(base: DataFrame, words: DataFrame) -> DataFrame:
     """Added spans: row_id, kind, start, end, score. Rounds go on until they change nothing: scores only grow, as each
     round has all that the one before it had."""
     seeds = stored(base.filter("pattern is not null").select("pattern", "kind", "value").distinct(), "pii-seeds")
-    loose = stored(words.filter("pattern is not null").select("pattern", "value").distinct(), "pii-loose")
-    members = seeds.select("pattern", "value").union(loose).distinct().groupBy(F.col("pattern").alias("all_pattern")).agg(F.count(F.lit(1)).alias("members"))
+    loose = stored(words.filter("pattern is not null").groupBy("pattern", "value").agg(F.min("inner").alias("inner"), F.count(F.lit(1)).alias("n")), "pii-loose")
+    # The words of a run count with it, not as members of their own.
+    members = seeds.select("pattern", "value").union(loose.filter("not inner").select("pattern", "value")).distinct()
+    members = members.groupBy(F.col("pattern").alias("all_pattern")).agg(F.count(F.lit(1)).alias("members"))
     seeded = seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("support"))
     kinds = F.explode(F.array(*map(F.lit, KINDS))).alias("kind")
-    edges = loose.select("pattern", "value", kinds).filter(formed(F.col("kind"), F.col("value"))).join(seeds, ["pattern", "kind", "value"], "left_anti")
+    edges = loose.select("pattern", "value", "inner", kinds).filter(shaped(F.col("kind"), F.col("value"))).join(seeds, ["pattern", "kind", "value"], "left_anti")
+    edges = stored(edges, "pii-forms")
+    counts = stored(edges.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("inner")).alias("outer_n")), "pii-counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # Only patterns with enough seeds and instances can ever count.
-    able = edges.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n")).join(seeded, ["pattern", "kind"], "left").filter(F.col("n") + F.coalesce("support", F.lit(0)) >= SUPPORT)
-    able = able.join(members, F.col("pattern") == F.col("all_pattern"))
-    able = stored(able.select(F.col("pattern").alias("w_pattern"), "kind", F.coalesce("support", F.lit(0)).alias("support"), (F.col("members") - F.col("n")).alias("known")), "pii-patterns")
-    edges = edges.join(able.select("w_pattern", F.col("kind").alias("w_kind")), (F.col("pattern") == F.col("w_pattern")) & (F.col("kind") == F.col("w_kind")))
-    edges = stored(edges.select("pattern", "value", F.col("kind").alias("e_kind")), "pii-edges")
+    able = counts.join(seeded, ["pattern", "kind"], "left").filter(F.col("n") + F.coalesce("support", F.lit(0)) >= SUPPORT)
+    able = able.join(members, F.col("pattern") == F.col("all_pattern"), "left")
+    able = stored(able.select("pattern", "kind", F.coalesce("support", F.lit(0)).alias("support"), (F.coalesce("members", F.lit(0)) - F.col("outer_n")).alias("known")), "pii-patterns")
+    edges = stored(joined_apart(edges.drop("inner"), able.select("pattern", "kind"), ["pattern", "kind"], counts, total), "pii-edges")
     scores, last = None, None
     while True:
         gained, more, now = F.lit(0.0), F.lit(0), able
         if scores is not None:
-            extra = edges.join(scores, (F.col("value") == F.col("s_value")) & (F.col("e_kind") == F.col("s_kind")))
-            extra = extra.groupBy(F.col("pattern").alias("x_pattern"), F.col("e_kind").alias("x_kind")).agg(F.sum("score").alias("gained"), F.count(F.lit(1)).alias("more"))
-            now = able.join(extra, (F.col("w_pattern") == F.col("x_pattern")) & (F.col("kind") == F.col("x_kind")), "left")
+            extra = edges.join(scores, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum("score").alias("gained"), F.count(F.lit(1)).alias("more"))
+            now = able.join(extra, ["pattern", "kind"], "left")
             gained, more = F.coalesce("gained", F.lit(0.0)), F.coalesce("more", F.lit(0))
         now = now.filter(F.col("support") + more >= SUPPORT)
-        good = now.select("w_pattern", "kind", ((F.col("support") + gained) / (F.col("known") + more + 1)).alias("confidence")).filter(F.col("confidence") >= CONFIDENCE)
+        good = now.select("pattern", "kind", ((F.col("support") + gained) / (F.col("known") + more + 1)).alias("confidence")).filter(F.col("confidence") >= CONFIDENCE)
         good = stored(good, "pii-good")
-        votes = edges.join(good, (F.col("pattern") == F.col("w_pattern")) & (F.col("e_kind") == F.col("kind")))
-        votes = votes.groupBy(F.col("value").alias("s_value"), F.col("e_kind").alias("s_kind")).agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"))
+        votes = joined_apart(edges, good, ["pattern", "kind"], counts, total)
+        votes = votes.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"))
         scores = stored(votes.filter(F.col("score") >= SCORE), "pii-scores")
-        n, total = scores.agg(F.count(F.lit(1)), F.coalesce(F.sum("score"), F.lit(0.0))).first()
-        if n == 0 or last is not None and n == last[0] and total - last[1] < SETTLED:
+        n, grown = scores.agg(F.count(F.lit(1)), F.coalesce(F.sum("score"), F.lit(0.0))).first()
+        if n == 0 or last is not None and n == last[0] and grown - last[1] < SETTLED:
             break
-        last = n, total
-    added = words.join(good, F.col("pattern") == F.col("w_pattern")).join(scores, (F.col("value") == F.col("s_value")) & (F.col("kind") == F.col("s_kind")))
+        last = n, grown
+    often = stored(loose.groupBy("pattern").agg(F.sum("n").alias("n")), "pii-often")
+    every = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    added = joined_apart(words.filter("pattern is not null").drop("inner"), good, ["pattern"], often, every).join(scores, ["value", "kind"])
     best = F.max(F.struct("score", "confidence", "kind")).alias("best")
     added = added.groupBy("row_id", "start", "end").agg(best).select("row_id", "best.kind", "start", "end", "best.score")
     # Of a run and words in it, the run stays.
