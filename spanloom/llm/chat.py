@@ -47,9 +47,13 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.?)", r"\1", text, flags=re.S)
 
 
+#: The most that a size of an attachment counts as.
+MOST = 1_000_000_000
+
+
 class Visitor:
     """Flattens the parts of one turn. patch: pixels on a side of what one token of an image covers; per_second and
-    per_page: tokens of audio and documents. Parts without a size count one unit."""
+    per_page: tokens of audio and documents. Parts without a size count one unit, and no size counts as more than MOST."""
 
     def __init__(self, patch: int = 28, per_second: float = 12.5, per_page: int = 256):
         self.patch, self.per_second, self.per_page = patch, per_second, per_page
@@ -72,7 +76,7 @@ class Visitor:
     @staticmethod
     def _size(part: dict, name: str, none: float = 1) -> float:
         value = part.get(name)
-        return value if value is not None and math.isfinite(value) and value > 0 else none
+        return min(value, MOST) if value is not None and math.isfinite(value) and value > 0 else none
 
     def visit_image(self, part: dict) -> int:
         return math.ceil(self._size(part, "width") / self.patch) * math.ceil(self._size(part, "height") / self.patch)
