@@ -92,8 +92,8 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, dimensions: int = DIMENSIONS) -> Model:
     """docs: doc_id, text; labels: doc_id, quality. Only rows that are not held out are used."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    rows = rows.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = labels.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("quality").try_cast("double").alias("quality"))
+    rows = rows.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0.0, 1.0) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     first = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = rows.filter("quality = 0").orderBy(*first).limit(per_class).unionByName(rows.filter("quality = 1").orderBy(*first).limit(per_class))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
