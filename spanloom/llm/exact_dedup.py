@@ -212,9 +212,10 @@ def _judged(docs: DataFrame, bucket_bytes: int, max_depth: int) -> DataFrame:
     rows = stored(rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))), "dedup-rows", keep=True)
     # Of rows that share text and largest doc_id one is kept.
     twins = rows.filter("kept and n > 1").groupBy("key", "sha").agg(F.count(F.lit(1)).alias("same"), F.min(F.struct("text_key", "row_id")).alias("first"))
-    twins = stored(twins.filter("same > 1").select("key", "sha", F.col("first.row_id").alias("first_row")), "dedup-twins", keep=True)
-    if twins.head(1):
-        rows = joined_apart(rows, twins, ["key", "sha"], pages, n_rows, "left")
+    twins = stored(twins.filter("same > 1").select("key", "sha", "same", F.col("first.row_id").alias("first_row")), "dedup-twins", keep=True)
+    if twins.head(1):  # only rows that have the largest doc_id of their text are looked at again
+        last = joined_apart(rows.filter("kept and n > 1"), twins.drop("same"), ["key", "sha"], twins.withColumnRenamed("same", "n"), n_rows, "left")
+        rows = last.unionByName(rows.filter("not (kept and n > 1)"), allowMissingColumns=True)
         rows = stored(rows.withColumn("kept", F.col("kept") & (F.col("row_id") == F.coalesce("first_row", "row_id"))), "dedup-last", keep=True)
     return rows.select("doc_id", "text_key", "sha", "keep_id", "n", "kept")
 
