@@ -352,3 +352,30 @@ def test_pipeline_keeps_and_encodes_what_plain_code_does(spark):
     ids = {i: library.encode(rows[i].text or "") for i in set(mix)}
     plain = [(i, len(ids[i]), digest(",".join(map(str, ids[i]))), digest(library.decode(ids[i]))) for i in mix]
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(plain)
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    texts = [None, "", " \n", "a b", "A B", *(f"one two three four five six seven eight nine {w}" for w in "aab"), *("some quite ordinary words of prose come here " + w for w in "xyz")]
+    clash = "row long, nth long, _id string, text_key string, id long, kept string, size long"
+    rows = [(i, t, None if i % 3 else "en", (None, "s", "t")[i % 3], None, 1, 2, "x", "y", 3, "z", 4) for i, t in enumerate(texts)]
+    rows += rows[:4] + [(None, "a b", None, None, *[None] * 8), (7, texts[3], "en", "s", *[None] * 8)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {clash}")
+    labels = spark.createDataFrame([(i, i % 2, None) for i in range(8)] + [(None, 1, 1), (3, None, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
+    docs.write.parquet(str(tmp_path / "odd/documents.parquet"))
+    labels.write.parquet(str(tmp_path / "odd/labels.parquet"))
+    before = docs
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, before, str(tmp_path / "odd"))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert after.columns == docs.columns
+            after.write.parquet(str(tmp_path / name.replace(" ", "-")))
+            before = spark.read.parquet(str(tmp_path / name.replace(" ", "-")))
+    left = [r.doc_id for r in before.collect()]
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert sorted(map(repr, left)) == sorted(repr(r.doc_id) for r in got)
+    near = [r.text for r in before.select("text").distinct().collect()]
+    assert len({(t or "").lower() for t in near}) == len(near)  # no two equal texts are left
+    docs.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    labels.limit(0).write.parquet(str(tmp_path / "none/labels.parquet"))
+    none = corpus_pipeline.run(spark, str(tmp_path / "none"))
+    assert none.collect() == [] and "doc_id" in none.columns

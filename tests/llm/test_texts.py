@@ -226,6 +226,16 @@ def test_base_spans_agree_with_a_plain_search(spark, odd):
     assert pii.find(empty(odd)).count() == 0
 
 
+def test_labels_of_any_type(spark):
+    docs = spark.createDataFrame([(i, "word " * (i % 7)) for i in range(40)], "doc_id long, text string")
+    plain = quality_knn.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int"))
+    odd = [(i, str(i % 2)) for i in range(30)] + [(30, "0.9"), (31, "good"), (32, None), (33, "2"), (34, "NaN")]
+    for kind in ("string", "double"):
+        labels = spark.createDataFrame(odd, "doc_id long, quality string").selectExpr("doc_id", f"try_cast(quality AS {kind}) AS quality")
+        model = quality_knn.fit(docs, labels)
+        assert (model.labels == plain.labels).all() and (model.vectors == plain.vectors).all()
+
+
 def test_patterns_discover_unseen_identifiers(spark):
     rows = [(i, f"please call me at +1 (555) 555-01{i:02d} today, my mail address bob{i}@x.example.com works") for i in range(8)]
     rows += [(100, "then call me at 555-0199 now"), (101, "it is my mail address jane@localhost too"), (102, "costs 555-0198 and 12345"), (103, "call me at noon")]
@@ -244,6 +254,26 @@ def test_patterns_discover_identifiers_with_spaces(spark):
     assert got[104] == "" and got[105].startswith("phone:201:")
 
 
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_cards_in_blocks_and_numbers_that_follow(spark, share):
+    random.seed(21)
+    block = lambda: f"{random.randint(1000, 9999)}"
+    rows, want = [], {}
+    for i in range(60):
+        seed = i < 60 * share
+        while True:
+            number = " ".join(block() for _ in range(4))
+            if luhn(number.replace(" ", "")) == seed:
+                break
+        rows.append((i, f"so the card number is {number}, or"))
+        want[i] = f"card:22:{22 + len(number)}"
+        phone = f"+1 (555) 555-{i:04d}" if seed else f"555-{i:04d}"
+        rows.append((1000 + i, f"please call me at {phone} {7 if not seed else 'all'} days a week"))
+        want[1000 + i] = f"phone:18:{18 + len(phone)}"
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_bootstrap_goes_on_through_discovered_identifiers(spark):
     rows = [(i, f"please call me at +1 (555) 555-01{i:02d} today") for i in range(40)]
     chain = ["call me at", "text him on", "ring us via", "fax it to", "dial up number"]
@@ -264,6 +294,10 @@ def context_slowly(before):
 
 def spans_slowly(texts):
     """Spans of all texts, by rounds over dictionaries, with every context taken from the text before a match."""
+    forms = {"email": r"[^@]+@[^@]+", "ip": r"[0-9]{1,3}(?:[.:\-][0-9]{1,3}){3}|[0-9a-fA-F]{0,4}(?::[0-9a-fA-F]{0,4}){3,7}", "phone": r"[+(]{0,2}[0-9][0-9().\-/ ]*", "card": r"[0-9][0-9.\-/ ]*"}
+    size = {"email": (0, 99999), "ip": (0, 99999), "phone": (6, 15), "card": (12, 19)}
+    formed = lambda kind, v: re.fullmatch(forms[kind], v) and size[kind][0] <= len(re.sub("[^0-9]", "", v)) <= size[kind][1]
+    shaped = lambda kind, v: formed(kind, v) and not (" " in v and formed(kind, v.split(" ")[0]))
     base, loose = [], []
     for row, text in enumerate(texts):
         own = []
@@ -273,21 +307,26 @@ def spans_slowly(texts):
                 if {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "card": 12 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]:
                     own.append((row, kind, m.start(), m.end(), m[0].lower(), context_slowly(text[: m.start()])))
         base += own
-        for pattern in (pii.INSTANCE, pii.RUN):
+        runs = []
+        for pattern in (pii.RUN, pii.INSTANCE):
             for m in regex.finditer(pattern, text):
                 start = m.start() + len(regex.match(r"[^\p{L}\p{N}+(]*", m[0])[0])
                 core = regex.sub(pii.EDGE, "", m[0])
                 end = start + len(core)
                 if core and (len(re.sub("[^0-9]", "", core)) >= 4 or "@" in core) and not any(start < e and s < end for _, _, s, e, _, _ in own):
-                    loose.append((row, start, end, core.lower(), context_slowly(text[: m.start()])))
-    forms = {"email": r"[^@]+@[^@]+", "ip": r"[0-9]{1,3}(?:[.:\-][0-9]{1,3}){3}|[0-9a-fA-F]{0,4}(?::[0-9a-fA-F]{0,4}){3,7}", "phone": r"[+(]{0,2}[0-9][0-9().\-/ ]*", "card": r"[0-9][0-9.\-/ ]*"}
-    size = {"email": (0, 99999), "ip": (0, 99999), "phone": (6, 15), "card": (12, 19)}
-    formed = lambda kind, v: re.fullmatch(forms[kind], v) and size[kind][0] <= len(re.sub("[^0-9]", "", v)) <= size[kind][1]
+                    whole = any(shaped(k, core.lower()) for k in pii.KINDS)
+                    if pattern == pii.RUN and not whole and any(formed(k, core.lower().split(" ")[0]) for k in pii.KINDS):
+                        continue
+                    inner = pattern == pii.INSTANCE and any(a <= start and end <= b for a, b in runs)
+                    if pattern == pii.RUN and whole:
+                        runs.append((start, end))
+                    loose.append((row, start, end, core.lower(), context_slowly(text[: m.start()]), inner))
     seeds = {(p, k, v) for _, k, _, _, v, p in base if p}
-    pairs = {(p, v) for *_, v, p in loose if p}
-    members = Counter(p for p, _ in {(p, v) for p, _, v in seeds} | pairs)
-    edges = {(p, v, k) for p, v in pairs for k in pii.KINDS if formed(k, v) and (p, k, v) not in seeds}
-    support, forms_of = Counter((p, k) for p, k, _ in seeds), Counter((p, k) for p, _, k in edges)
+    pairs = {(p, v) for *_, v, p, _ in loose if p}
+    outer = {(p, v) for *_, v, p, inner in loose if p and not inner}
+    members = Counter(p for p, _ in {(p, v) for p, _, v in seeds} | outer)
+    edges = {(p, v, k) for p, v in pairs for k in pii.KINDS if shaped(k, v) and (p, k, v) not in seeds}
+    support, forms_of = Counter((p, k) for p, k, _ in seeds), Counter((p, k) for p, v, k in edges if (p, v) in outer)
     scores: dict = {}
     while True:
         gained, more = defaultdict(float), Counter()
@@ -305,7 +344,7 @@ def spans_slowly(texts):
         if len(scores) == len(before) and sum(scores.values()) - sum(before.values()) < pii.SETTLED:
             break
     added = []
-    for row, start, end, v, p in loose:
+    for row, start, end, v, p, _ in loose:
         kinds = [(scores[v, k], good[p, k], k) for k in pii.KINDS if (p, k) in good and (v, k) in scores]
         if kinds:
             added.append((row, start, -end, max(kinds)[2]))
@@ -360,6 +399,8 @@ def test_typed_parts(spark):
     body, attachments = chat.Visitor().visit(parts)
     assert body == "see <\\|end|> <|image:0|><|audio:1|><|document:2|>"
     assert [(a["kind"], a["ref"], a["tokens"]) for a in attachments] == [("image", "a.png", 4), ("audio", "b.wav", 25), ("document", "c.pdf", 768)]
+    _, attachments = chat.Visitor().visit([{"kind": "audio", "seconds": 1e308}, {"kind": "audio", "seconds": 1e300}, {"kind": "image", "width": 2**31 - 1, "height": 2**31 - 1}, {"kind": "document", "pages": 2**31 - 1}])
+    assert [a["tokens"] for a in attachments[:2]] == [12_500_000_000] * 2 and all(0 < a["tokens"] < 2**62 for a in attachments)
     body, attachments = chat.Visitor().visit([{"kind": "video", "ref": "v"}, None, {"kind": "audio", "seconds": float("nan")}, {"kind": "image", "width": -5}, {"kind": "document", "pages": 0}])
     assert body == "<|other:0|><|audio:1|><|image:2|><|document:3|>" and [(a["kind"], a["tokens"]) for a in attachments] == [("video", 1), ("audio", 1), ("image", 1), ("document", 256)]
     turns = spark.createDataFrame([(1, 0, "user", parts)], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
