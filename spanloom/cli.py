@@ -33,6 +33,10 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument(name)
     c.add_argument("--d")
     c.add_argument("--frames", help="J frames: lines of allele and frame")
+    c = commands.add_parser("build-germline", help="gapped V and plain J germlines, headers locus|allele, to a reference folder")
+    for name in ("v", "j", "output"):
+        c.add_argument(name)
+    c.add_argument("--d")
     c = commands.add_parser("build-index", help="reference folders ready for search")
     c.add_argument("folders", nargs="+")
     c.add_argument("--force", action="store_true")
@@ -58,6 +62,10 @@ def main(arguments: list[str] | None = None) -> None:
             options.scoring = aligner.Scoring.aa(substitution.parsed(lines))
         folder = a.reference or locate.reference_folder(spark, a.organism)
         annotate.annotate_path(spark, a.input, a.output, annotate.Reference.load(spark, folder, a.seqtype), options)
+    elif a.command == "build-germline":
+        alleles = lambda path: seqfiles.read_d_germlines(spark, path)
+        reference, built = annotate.germline_reference(alleles(a.v), alleles(a.j), alleles(a.d) if a.d else None)
+        annotate.write_reference(reference, a.output, built)
     elif a.command == "build-db":
         alleles = lambda path: seqfiles.read_d_germlines(spark, path)  # noqa: E731  headers locus|allele
         regions = lambda path: spark.read.csv(path, sep="\t", header=True, inferSchema=False)

@@ -34,6 +34,12 @@ def functional(alleles: DataFrame, functionality: DataFrame) -> DataFrame:
     return alleles.join(ok, "allele", "left_semi").select("allele", sq.ungapped(F.col("sequence")).alias("sequence")).filter("sequence <> ''")
 
 
+def framed(j: DataFrame, frames: DataFrame) -> DataFrame:
+    """J alleles with their reading frame; frames: allele, frame. One that has none reads from its first base."""
+    frames = frames.select(F.col("allele").alias("f_allele"), F.col("frame").alias("f_frame"))
+    return j.join(frames, F.col("allele") == F.col("f_allele"), "left").drop("f_allele").withColumn("frame", F.coalesce("f_frame", F.lit(0))).drop("f_frame")
+
+
 def scaffolds(v: DataFrame, j: DataFrame, frames: DataFrame | None = None, spacer: int = 9) -> DataFrame:
     """v, j: locus, allele, sequence; frames: allele, frame (0 if absent). Returns scaffold_id, locus, sequence,
     v_calls, j_calls (sorted arrays), n_pad, v_length.
@@ -42,11 +48,9 @@ def scaffolds(v: DataFrame, j: DataFrame, frames: DataFrame | None = None, space
     is over distinct sequences. Equal results of different pairs are merged; their n_pad is that of the pair with the
     smallest names."""
     v = v.select("locus", "allele", sq.in_frame(F.col("sequence")).alias("v_seq")).groupBy("locus", "v_seq").agg(F.array_sort(F.collect_set("allele")).alias("vs"))
-    frame = F.lit(0)
-    if frames is not None:
-        j = j.select("locus", "allele", "sequence").join(frames.select(F.col("allele").alias("f_allele"), F.col("frame").alias("f_frame")), F.col("allele") == F.col("f_allele"), "left")
-        frame = F.coalesce("f_frame", F.lit(0))
-    j = j.select(F.col("locus").alias("j_locus"), F.col("sequence").alias("j_seq"), frame.alias("frame"), "allele")
+    j = j.select("locus", "allele", "sequence")
+    j = j.withColumn("frame", F.lit(0)) if frames is None else framed(j, frames)
+    j = j.select(F.col("locus").alias("j_locus"), F.col("sequence").alias("j_seq"), "frame", "allele")
     j = j.groupBy("j_locus", "j_seq", "frame").agg(F.array_sort(F.collect_set("allele")).alias("js"))
     pairs = v.join(j, F.col("locus") == F.col("j_locus"))
     pad = sq.n_padding(F.length("v_seq"), F.col("frame"), F.col("locus").isin(*D_LOCI), spacer)
@@ -60,6 +64,43 @@ def scaffolds(v: DataFrame, j: DataFrame, frames: DataFrame | None = None, space
     return merged.select(F.concat_ws("_", "locus", ordinal("locus", "sequence").cast("string")).alias("scaffold_id"), "locus", "sequence", "v_calls", "j_calls", F.col("of.n_pad").alias("n_pad"), F.col("of.v_length").alias("v_length"))
 
 
+#: The residues of each region of a V in the unique numbering, in which gapped alleles are written; fixed values.
+V_COLUMNS = {"fwr1": (1, 26), "cdr1": (27, 38), "fwr2": (39, 55), "cdr2": (56, 65), "fwr3": (66, 104)}
+
+
+def v_regions(alleles: DataFrame) -> DataFrame:
+    """alleles: allele, sequence with dots for the residues that it lacks. Where each region starts and ends without them;
+    both are 0 where the allele has none of a region."""
+    s = F.col("sequence")
+    upto = lambda column: F.length(F.replace(F.substring(s, 1, column), F.lit("."), F.lit("")))
+    columns = []
+    for r, (a, b) in V_COLUMNS.items():
+        start, end = upto(3 * (a - 1)) + 1 if a > 1 else F.lit(1), upto(3 * b)
+        columns += [F.when(start <= end, x).otherwise(0).alias(f"{r}_{n}") for n, x in (("start", start), ("end", end))]
+    return alleles.select("allele", *columns)
+
+
+def j_anchors(alleles: DataFrame) -> DataFrame:
+    """alleles: allele, sequence of J. Of the first tryptophan or phenylalanine that glycine, any residue and glycine
+    follow: its reading frame and the base where FR4 starts; an allele without one is left out."""
+    s = sq.ungapped(F.col("sequence"))
+    at = lambda k: F.regexp_instr(sq.translate(s, k), F.lit("[FW]G.G"))
+    found = F.array_min(F.array(*(F.when(at(k) > 0, F.struct((3 * (at(k) - 1) + k + 1).alias("fwr4_offset"), F.lit(k).alias("frame"))) for k in range(3))))
+    return alleles.select("allele", found.alias("f")).filter("f is not null").select("allele", "f.frame", "f.fwr4_offset")
+
+
+def annotated(scaffolds: DataFrame, records: DataFrame) -> DataFrame:
+    """scaffolds: scaffold_id, locus, sequence, v_calls, j_calls, n_pad, v_length; records: an annotator's AIRR rows of them,
+    by sequence_id, as text. Scaffolds with the starts and ends of their regions; incomplete ones are left out. Of several
+    rows of one scaffold the first that is complete counts, in the order of its coordinates."""
+    names = [f"{r}_{x}" for r in sq.REGIONS for x in ("start", "end")]
+    has = set(records.columns)
+    known = complete(records.select(F.col("sequence_id").alias("scaffold_id"), *((F.col(n) if n in has else F.lit(None)).alias(n) for n in names)))
+    numbers = [F.col(n).try_cast("int").alias(n) for n in names]
+    known = known.select("scaffold_id", *numbers).dropna().groupBy("scaffold_id").agg(F.min(F.struct(*names)).alias("r")).select("scaffold_id", "r.*")
+    return scaffolds.join(known, "scaffold_id")
+
+
 def ordinal(group: str, order: str) -> Column:
     """The place of a row in its group, from 0."""
     return F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1

@@ -468,6 +468,48 @@ def build_reference(v: DataFrame, j: DataFrame, v_regions: DataFrame, j_regions:
     return Reference(marked.select("scaffold_id", "sequence", *FIELDS), d)
 
 
+def germline_reference(v: DataFrame, j: DataFrame, d: DataFrame | None = None) -> tuple[Reference, DataFrame]:
+    """From germlines alone. v: locus, allele, sequence with gaps; j: locus, allele, sequence. Regions follow from the
+    numbering of V and from the motif that FR4 of J begins with. Also all scaffolds that were built."""
+    anchors = germline.j_anchors(j)
+    whole = v.withColumn("sequence", sq.ungapped(F.col("sequence")))
+    built = germline.scaffolds(whole, j, anchors.select("allele", "frame"))
+    marked = germline.complete(markup_of(built, germline.v_regions(v), anchors.select("allele", "fwr4_offset")))
+    return Reference(marked.select("scaffold_id", "sequence", *FIELDS), d), built
+
+
+def annotated_reference(built: DataFrame, records: DataFrame, d: DataFrame | None = None) -> tuple[Reference, DataFrame]:
+    """From scaffolds and an annotator's AIRR rows of them. Also how many scaffolds of each locus were annotated and dropped."""
+    marked = germline.annotated(built, records)
+    starts, ends = (F.array(*(F.col(f"{r}_{x}") for r in sq.REGIONS)).alias(f"{x}s") for x in ("start", "end"))
+    rows = marked.select(
+        "scaffold_id", "sequence", "locus", F.array_join("v_calls", ",").alias("v_call"), F.array_join("j_calls", ",").alias("j_call"), starts, ends,
+        F.col("v_length").alias("v_sequence_end"), (F.col("v_length") + F.col("n_pad") + 1).alias("j_sequence_start"),
+    )
+    return Reference(rows, d), coverage(built, rows)
+
+
+def coverage(built: DataFrame, kept: DataFrame) -> DataFrame:
+    """By locus: scaffolds, annotated and dropped ones."""
+    counts = built.groupBy("locus").agg(F.count(F.lit(1)).alias("n_scaffolds"))
+    n = F.coalesce("n_annotated", F.lit(0))
+    counts = counts.join(kept.groupBy("locus").agg(F.count(F.lit(1)).alias("n_annotated")), "locus", "left")
+    return counts.select("locus", "n_scaffolds", n.alias("n_annotated"), (F.col("n_scaffolds") - n).alias("n_dropped"))
+
+
+def write_tables(reference: Reference, root: str, organism: str) -> None:
+    """The scaffolds as Parquet by organism and locus; what is written replaces these partitions only."""
+    rows = reference.ready().scaffolds.withColumn("organism", F.lit(organism)).repartition("locus")
+    rows.write.partitionBy("organism", "locus").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(root)
+
+
+def read_tables(spark: SparkSession, root: str, organism: str, loci: Iterable[str] | None = None, d: DataFrame | None = None) -> Reference:
+    """What write_tables has written of an organism; of some loci only these partitions are read."""
+    rows = spark.read.parquet(root).filter(F.col("organism") == organism)
+    rows = rows if loci is None else rows.filter(F.col("locus").isin(*loci))
+    return Reference(rows.select("scaffold_id", "sequence", *FIELDS), d)
+
+
 def protein_reference(reference: Reference) -> Reference:
     """The amino-acid side of a nucleotide reference: scaffolds read from where FR1 starts, their regions as residues. V
     and J bounds have no meaning there."""
@@ -506,7 +548,4 @@ def write_reference(reference: Reference, folder: str, built: DataFrame | None =
     if built is not None:
         calls = [F.array_join(c, ",").alias(c) for c in ("v_calls", "j_calls")]
         sinks.write_airr(built.select("scaffold_id", "locus", *calls, "n_pad"), f"{folder}/combinations.tsv")
-        counts = built.groupBy("locus").agg(F.count(F.lit(1)).alias("n_scaffolds"))
-        kept = reference.scaffolds.groupBy("locus").agg(F.count(F.lit(1)).alias("n_annotated"))
-        n = F.coalesce("n_annotated", F.lit(0))
-        sinks.write_airr(counts.join(kept, "locus", "left").select("locus", "n_scaffolds", n.alias("n_annotated"), (F.col("n_scaffolds") - n).alias("n_dropped")).orderBy("locus"), f"{folder}/build_log.tsv", 1)
+        sinks.write_airr(coverage(built, reference.scaffolds).orderBy("locus"), f"{folder}/build_log.tsv", 1)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import sequences as sq
-from spanloom.operators import concordance, d_mapping, germline, projection, seed_join
+from spanloom.operators import concordance, d_mapping, germline, mutation, projection, seed_join
 from spanloom.operators.aligner import Scoring
 from spanloom.plans import annotate, derived, records_sql
 from spanloom.plans.records import COLUMNS
@@ -127,7 +127,7 @@ def p13_canonical_junction(spark, folder):
 
 @query("SELECT p_partkey, TRY_CAST(split_part(p_name, ' ', 1) AS INTEGER) AS number, coalesce(TRY_CAST(p_size::VARCHAR AS INTEGER), 0) AS size FROM part")
 def p4_lenient_numbers(spark, folder):
-    return table(spark, folder, "part").select("p_partkey", F.substring_index("p_name", " ", 1).try_cast("int").alias("number"), F.coalesce(F.col("p_size").cast("string").try_cast("int"), F.lit(0)).alias("size"))
+    return table(spark, folder, "part").select("p_partkey", F.substring_index("p_name", " ", 1).try_cast("int").alias("number"), seqfiles.lenient(F.col("p_size").cast("string")).alias("size"))
 
 
 # Sources and sinks: written to the shared folder, and read back
@@ -246,15 +246,15 @@ def a3_scaffolds(spark, folder):
 
 @query(f"SELECT v.locus, count(*) AS n_pairs, count(DISTINCT v.allele) AS n_v, count(DISTINCT j.allele) AS n_j FROM ({derived.V_SQL}) v JOIN ({derived.J_SQL}) j USING (locus) GROUP BY v.locus")
 def j8_v_by_j(spark, folder):
-    v, j = (f(spark, folder).groupBy("locus").agg(F.count(F.lit(1)).alias(n)) for f, n in ((derived.v_alleles, "n_v"), (derived.j_alleles, "n_j")))
-    return v.join(j, "locus").select("locus", (F.col("n_v") * F.col("n_j")).alias("n_pairs"), "n_v", "n_j")
+    v, j = derived.v_alleles(spark, folder), derived.j_alleles(spark, folder)
+    return germline.build_counts(v, j, v, v).select("locus", F.col("n_combinations").alias("n_pairs"), "n_v", "n_j")
 
 
 @query(f"SELECT j.allele, coalesce(f.frame, 0) AS frame FROM ({derived.J_SQL}) j LEFT JOIN (SELECT * FROM ({derived.J_SQL}) z WHERE k % 2 = 0) f USING (allele)")
 def j9_j_frames(spark, folder):
     j = derived.j_alleles(spark, folder)
     frames = j.filter("k % 2 = 0").select("allele", "frame")
-    return j.select("allele").join(frames, "allele", "left").select("allele", F.coalesce("frame", F.lit(0)).alias("frame"))
+    return germline.framed(j.select("locus", "allele", "sequence"), frames).select("allele", "frame")
 
 
 @query(f"SELECT allele, upper(sequence) AS sequence FROM ({derived.V_SQL}) x WHERE k % 3 < 2")
@@ -584,6 +584,80 @@ def a12_annotated(spark, folder):
     return concordance.annotated(annotate.annotate(every, derived.reference(spark, folder)))
 
 
+# In SQL
+
+
+@query(SQL["j7_projection"])
+def sql_projection(spark, folder):
+    sq.register(spark)
+    values = ", ".join(f"('{n}', {s}, {e})" for n, s, e in _INTERVALS)
+    return spark.sql(f"SELECT rid, name, p.qs, p.qe FROM (SELECT rid, name, aln_project(qaln, taln, qstart, tstart, rs, re) AS p FROM {{hits}} CROSS JOIN (VALUES {values}) AS v(name, rs, re))", hits=derived.view(spark, folder, _ALN, "orders"))
+
+
+@query(SQL["f12_d_alignment"])
+def sql_d_alignment(spark, folder):
+    sq.register(spark)
+    i, d = derived.view(spark, folder, _INTERIOR, "supplier"), derived.d_alleles(spark, folder)
+    return spark.sql("SELECT rid, locus, allele, b.score, b.s, b.e FROM (SELECT rid, i.locus, allele, d_align(interior, sequence) AS b FROM {i} i JOIN {d} d ON i.locus = d.locus)", i=i, d=d)
+
+
+@query(f"SELECT substr(sequence, i, 6) AS kmer, count(*) AS n, min(i)::INTEGER AS first FROM (SELECT sequence, unnest(range(1, length(sequence) - 4)) AS i FROM ({derived.V_SQL}) x) y GROUP BY kmer")
+def sql_kmers(spark, folder):
+    sq.register(spark)
+    return spark.sql("SELECT kmer, count(*) AS n, min(pos) AS first FROM {v} v, LATERAL seq_kmers(v.sequence, 6) GROUP BY kmer", v=derived.v_alleles(spark, folder))
+
+
+# Builds and mutators
+
+_GAPPED = f"SELECT k, locus, allele, concat(substring(sequence, 1, 30), '...', substring(sequence, 31, cast(20 + k % 5 AS INT)), repeat('.', cast(3 + k % 7 AS INT)), substring(sequence, cast(51 + k % 5 AS INT), 200), repeat('A', 220)) AS sequence FROM ({derived.V_SQL}) g"
+_COLUMN = "length(replace(substr(sequence, 1, {0}), '.', ''))"
+_V_BOUNDS = [(r, f"({_COLUMN.format(3 * (a - 1))} + 1)", f"({_COLUMN.format(3 * b)})") for r, (a, b) in germline.V_COLUMNS.items()]
+
+
+@query("SELECT k, " + ", ".join(f"(CASE WHEN {a} <= {b} THEN {x} ELSE 0 END)::INTEGER AS {r}_{n}" for r, a, b in _V_BOUNDS for n, x in (("start", a), ("end", b))) + f" FROM ({_GAPPED}) x")
+def r1_v_regions(spark, folder):
+    v = derived.view(spark, folder, _GAPPED, "part")
+    return v.select("k", F.col("k").cast("string").alias("allele"), "sequence").join(germline.v_regions(v.select(F.col("k").cast("string").alias("allele"), "sequence")), "allele").select("k", *(f"{r}_{n}" for r, *_ in _V_BOUNDS for n in ("start", "end")))
+
+
+_J_MOTIF = f"SELECT k, concat(substring(sequence, 1, cast(k % 11 AS INT)), CASE k % 4 WHEN 0 THEN 'TGGGGCCAAGGC' WHEN 1 THEN 'TTTGGAACTGGG' WHEN 2 THEN '' ELSE 'TTCGGC' END, substring(sequence, 1, 20)) AS sequence FROM ({derived.J_SQL}) g"
+_J_AT = [f"(CASE WHEN regexp_matches({derived.translate_sql('sequence', str(f))}, '[FW]G.G') THEN {{'o': 3 * length(regexp_extract({derived.translate_sql('sequence', str(f))}, '^(.*?)[FW]G.G', 1)) + {f + 1}, 'f': {f}}} END)" for f in range(3)]
+
+
+@query(f"SELECT k, a.f::INTEGER AS frame, a.o::INTEGER AS fwr4_offset FROM (SELECT k, list_min([{', '.join(_J_AT)}]) AS a FROM ({_J_MOTIF}) x) y WHERE a IS NOT NULL")
+def r2_j_anchors(spark, folder):
+    j = derived.view(spark, folder, _J_MOTIF, "supplier").select(F.col("k").cast("string").alias("allele"), "sequence")
+    return germline.j_anchors(j).select(F.col("allele").cast("long").alias("k"), "frame", "fwr4_offset")
+
+
+@query(_SCAFFOLDS + ", n AS (SELECT locus, row_number() OVER (PARTITION BY locus ORDER BY sequence) - 1 AS i FROM g) SELECT locus, count(*) AS n_scaffolds, count(*) FILTER (i % 7 <> 0) AS n_annotated, count(*) FILTER (i % 7 = 0) AS n_dropped FROM n GROUP BY locus")
+def j10_annotated_reference(spark, folder):
+    """Scaffolds joined with the rows of an annotator, read from its table; every seventh lacks a region or its row."""
+    path, built = _place(spark, "annotator"), materialised(derived.scaffolds(spark, folder), "built")
+    i = F.substring_index("scaffold_id", "_", -1).cast("int")
+    bounds = [F.lit(str(x)).alias(f"{r}_{n}") for r, b in {**derived.V_REGIONS, "cdr3": (88, 120)}.items() for n, x in zip(("start", "end"), b)]
+    rows = built.filter(i % 14 != 7).select(F.col("scaffold_id").alias("sequence_id"), *bounds, F.when(i % 7 == 0, "").otherwise("121").alias("fwr4_start"), F.length("sequence").cast("string").alias("fwr4_end"))
+    sinks.write_airr(rows, path)
+    return annotate.annotated_reference(built, seqfiles.read_airr(spark, path))[1]
+
+
+_RANDOM = "md5(concat_ws('|', {key}, '{name}'{place}))"
+_AT = "(('0x' || substr({0}, 1, 7))::BIGINT % greatest({1}, 1))"
+_CHANCE = _RANDOM.format(key="k", name="replace", place=", i - 1")
+_REPLACED = f"array_to_string([CASE WHEN substr({_CHANCE}, 1, 4) < '1eb8' AND contains('ACGT', s[i]) THEN substr(replace('ACGT', s[i], ''), strpos('{mutation.HEX}', substr({_CHANCE}, 5, 1)) % 3 + 1, 1) ELSE s[i] END FOR i IN range(1, length(s) + 1)], '')"
+_SHIFT, _WINDOW = (_RANDOM.format(key="k", name=n, place="") for n in ("shift", "window"))
+_READ = "concat(" + ", ".join(f"translate({_RANDOM.format(key='k', name='read', place=f', {i}')}, '{mutation.HEX}', '{'ACGT' * 4}')" for i in range(3)) + ")"
+
+
+@query(f"""SELECT k, {_REPLACED} AS replaced, concat(substr(s, 1, spot), CASE WHEN fewer THEN '' ELSE translate(substr(h, 8, 3), '{mutation.HEX}', '{'ACGT' * 4}') END, substr(s, spot + 1 + CASE WHEN fewer THEN 3 ELSE 0 END)) AS shifted,
+substr(s, {_AT.format(_WINDOW, 'length(s) - 59')} + 1, 60) AS part, substr({_READ}, 1, 75) AS random
+FROM (SELECT *, {_AT.format('h', 'length(s) - 2')} AS spot, substr(h, 11, 1) < '8' AND length(s) > 3 AS fewer FROM (SELECT k, sequence AS s, {_SHIFT} AS h FROM ({derived.V_SQL}) x) y) z""")
+def f24_mutators(spark, folder):
+    k, s = F.col("k"), F.col("sequence")
+    rows = derived.v_alleles(spark, folder)
+    return rows.select("k", mutation.replaced(s, k, 0.12).alias("replaced"), mutation.codon_shift(s, k).alias("shifted"), mutation.window(s, k, 60).alias("part"), mutation.random_read(k, 75).alias("random"))
+
+
 # Streaming
 
 

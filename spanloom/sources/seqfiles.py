@@ -160,10 +160,15 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
 # Reference tables
 
 
+def lenient(text: Column) -> Column:
+    """A whole number, or 0 for what cannot be read as one."""
+    return F.coalesce(text.try_cast("int"), F.lit(0))
+
+
 def read_markup(spark: SparkSession, path: str) -> DataFrame:
     """Scaffold markup from a TSV file with a header; numbers that cannot be read, and missing V and J bounds, are 0."""
     rows = spark.read.csv(path, **TSV)
-    number = lambda c: F.coalesce(F.col(c).try_cast("int"), F.lit(0)) if c in rows.columns else F.lit(0)
+    number = lambda c: lenient(F.col(c)) if c in rows.columns else F.lit(0)
     text = [c for c in ("scaffold_id", "locus", "v_call", "j_call", "productive", "junction", "junction_aa", "sequence") if c in rows.columns]
     ends = [number(c).alias(c) for c in ("v_sequence_end", "j_sequence_start")]
     return rows.select(*text, *ends, *(number(f"{r}_{x}").alias(f"{r}_{x}") for r in sq.REGIONS for x in ("start", "end")))
