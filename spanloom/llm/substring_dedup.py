@@ -5,8 +5,9 @@ its anchor, the first of equals. A window fixes its anchor, so equal windows mee
 the windows of one anchor form a segment around it. Documents are joined on anchors; those that occur once are done.
 A match is extended both ways in two steps: occurrences whose whole segments agree match in all windows of the
 segment; where an anchor has different segments, one document for each hashes the windows around the anchor, and
-windows that agree give how far each side extends. What is covered by matches, over all anchors of a document, are
-its maximal repeats of at least `least` words.
+windows that agree give how far a match extends to the left and to the right of the anchor: each run of them is an extent,
+from the first to the last window. Extents of one document that touch, over all of its anchors, are joined to its maximal
+repeats of at least `least` words. A window may have any number of words.
 
 Segments and windows are compared by 128 hash bits. No pairs are formed: every step is an aggregation or a join on
 a key, so a passage that a third of all documents share costs a row for each of them; the rows of the hottest anchors
@@ -105,7 +106,7 @@ def segments(words: list[bytes], offsets: np.ndarray, least: int, seed: int) ->
     new = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
     first, last = windows[new], windows[np.concatenate([new[1:], [len(windows)]]) - 1]
     anchor = anchors[new]
-    shape = ((anchor - first) * 4096 + last - first).astype(np.uint64)
+    shape = ((anchor - first << 32) + last - first).astype(np.uint64)
     whole = _mixed(hashes.of(first, last + least) ^ (shape * _A))
     return seeds[anchor].view(np.int64), whole.view(np.int64), first, last + 1
 
@@ -185,7 +186,7 @@ COVER = pa.schema([("sha", pa.binary()), ("n_removed", pa.int64()), ("ranges", p
 
 
 def _covered(least: int) -> object:
-    """Rows of sha, n_words, firsts, hits (place of a segment, bits of its windows that repeat)."""
+    """Rows of sha, n_words, firsts, hits (place of a segment, its extents: lowest and highest window that repeat)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,14 +194,13 @@ def _covered(least: int) -> object:
             for row in batch.to_pylist():
                 n, firsts = row["n_words"], row["firsts"]
                 ranges: list[int] = []
-                for place, bits in sorted((h["place"], h["bits"]) for h in row["hits"]):
+                for place, low, high in sorted((h["place"], e["low"], e["high"]) for h in row["hits"] for e in h["extents"]):
                     end = firsts[place + 1] if place + 1 < len(firsts) else n - least + 1
-                    for s in range(firsts[place], end):
-                        if bits >> (s - firsts[place]) & 1:
-                            if ranges and s <= ranges[-1]:
-                                ranges[-1] = s + least
-                            else:
-                                ranges += [s, s + least]
+                    start, stop = firsts[place] + low, min(firsts[place] + high, end - 1) + least
+                    if ranges and start <= ranges[-1]:
+                        ranges[-1] = max(ranges[-1], stop)
+                    else:
+                        ranges += [start, stop]
                 out.append((row["sha"], sum(ranges[1::2]) - sum(ranges[::2]), ranges))
             columns = list(zip(*out)) or [[]] * 3
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, COVER)], schema=COVER)
@@ -233,8 +233,8 @@ def _total(counts: DataFrame) -> int:
 def substring_dedup(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_words, n_removed, kept_sha256 and ranges (places of the removed words:
     start, end, start, end, ...) for each row."""
-    if not 0 < seed <= least <= 62:
-        raise ValueError("a seed is at most as long as a window, and a window has at most 62 words")
+    if not 0 < seed <= least:
+        raise ValueError("a seed has a word or more and is at most as long as a window")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     index = stored(docs.mapInArrow(_index(least, seed), "row_id long, doc_id long, sha binary, n_words long, anchors array<long>, wholes array<long>, firsts array<int>"), "sub-index", keep=True)
 
@@ -262,13 +262,16 @@ def substring_dedup(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> Da
 
     # Equal windows lie alike around their anchor, so the anchor tells them apart too.
     agree = stored(windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sub-agree")
+    whole = kinds.filter("n > 1").select("anchor", "whole")
     reach = joined_apart(windows, agree.select("anchor", "window"), ["anchor", "window"], agree, _total(agree))
-    reach = reach.groupBy("anchor", "whole").agg(F.bit_or(F.expr("shiftleft(1L, nth)")).alias("bits"))
-    all_bits = F.lit((1 << 62) - 1)
-    extent = kinds.filter("n > 1").select("anchor", "whole", all_bits.alias("bits")).unionByName(reach.select("anchor", "whole", "bits"))
-    extent = stored(extent.groupBy("anchor", "whole").agg(F.bit_or("bits").alias("bits")), "sub-extent")
+    reach = reach.groupBy("anchor", "whole").agg(F.array_sort(F.collect_set("nth")).alias("nths")).join(whole, ["anchor", "whole"], "left_anti")
+    edge = lambda by: F.filter("nths", lambda x, i: ~F.coalesce(F.get("nths", i + by) == x + by, F.lit(False)))
+    extents = F.zip_with(edge(-1), edge(1), lambda low, high: F.struct(low.alias("low"), high.alias("high")))
+    every = F.array(F.struct(F.lit(0).alias("low"), F.lit(least).alias("high")))  # more windows than any segment has
+    extent = whole.select("anchor", "whole", every.alias("extents")).unionByName(reach.select("anchor", "whole", extents.alias("extents")))
+    extent = stored(extent, "sub-extent")
     hits = joined_apart(seeds, extent, ["anchor", "whole"], kinds, total)
-    hits = hits.groupBy(F.col("row_id").alias("hit_row")).agg(F.collect_list(F.struct("place", "bits")).alias("hits"))
+    hits = hits.groupBy(F.col("row_id").alias("hit_row")).agg(F.collect_list(F.struct("place", "extents")).alias("hits"))
     cover = index.join(hits, F.col("row_id") == F.col("hit_row")).dropDuplicates(["sha"]).select("sha", "n_words", "firsts", "hits")
     cover = stored(cover.mapInArrow(_covered(least), "sha binary, n_removed long, ranges array<int>"), "sub-cover", keep=True)
 

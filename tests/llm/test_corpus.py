@@ -162,7 +162,7 @@ def removed_slowly(rows, least):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("least, seed", [(35, 8), (12, 4), (5, 5)])
+@pytest.mark.parametrize("least, seed", [(35, 8), (12, 4), (5, 5), (100, 8)])
 def test_substring_dedup(spark, least, seed):
     random.seed(least)
     words = [f"w{i}" for i in range(400)]
