@@ -100,18 +100,27 @@ def packed_seeds(codes: np.ndarray, pattern: str, n_letters: int) -> tuple[np.nd
 
 
 class Postings:
-    """Where the seeds of one pattern are in the targets: for each seed a range of targets and places."""
+    """Where the seeds of one pattern are in the targets: for each seed a range of places, each in a set of targets.
 
-    def __init__(self, codes: list[np.ndarray], pattern: str, scoring: Scoring):
+    Targets that begin or end alike have the same seeds at the same distance from their start or end; these are one place of
+    a set of targets. Each seed of a target takes the end that more targets share with it."""
+
+    def __init__(self, codes: list[np.ndarray], pattern: str, scoring: Scoring, longest: int):
         n = len(LETTERS[scoring.alphabet])
         self.pattern, self.n_letters = pattern, n
         parts = [packed_seeds(c, pattern, n) for c in codes]
         which = np.repeat(np.arange(len(parts)), [len(p) for p, _ in parts])
         at, value = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in (0, 1))
-        order = np.argsort(value, kind="stable")
-        self.target, self.at = which[order].astype(np.int32), at[order].astype(np.int32)
+        ahead = at + (longest - np.array([len(c) for c in codes], np.int64))[which]  # as if all targets had one end
+        begin, end = (_alike(value * (longest + 1) + x) for x in (at, ahead))
+        name = 2 * (value * (longest + 1) + np.where(end > begin, ahead, at)) + (end > begin)
+        order = np.argsort(name, kind="stable")
+        first = np.flatnonzero(np.diff(name[order], prepend=-1))
+        name = name[order[first]]
+        self.target, self.members, self.by_end = which[order].astype(np.int32), np.append(first, len(order)), name % 2
+        self.at, value = name // 2 % (longest + 1), name // 2 // (longest + 1)
         size = n ** pattern.count("1")
-        self.first = np.searchsorted(value[order], np.arange(size + 1)).astype(np.int64)  # a number for each possible seed
+        self.first = np.searchsorted(value, np.arange(size + 1)).astype(np.int64)  # a number for each possible seed
         self.like: tuple[np.ndarray, np.ndarray] | None = None
         if scoring.similar is not None:
             word, other = scoring.words()
@@ -129,6 +138,40 @@ class Postings:
         return at[some], first[some], count[some]
 
 
+class Sets:
+    """The sets of targets that the postings of all patterns name. place: for each posting its set and its place, as a
+    number; a posting of the k-th pattern comes start[k] after its own number."""
+
+    def __init__(self, postings: list[Postings]):
+        self.start = np.cumsum([0, *(len(p.at) for p in postings)])
+        below = np.cumsum([0, *(len(p.target) for p in postings)])
+        target = np.concatenate([np.zeros(0, np.int32), *(p.target for p in postings)])
+        first = np.concatenate([np.zeros(0, np.int64), *(p.members[:-1] + b for p, b in zip(postings, below))])
+        count = np.concatenate([np.zeros(0, np.int64), *(np.diff(p.members) for p in postings)])
+        by_end = np.concatenate([np.zeros(0, np.int64), *(p.by_end for p in postings)])
+        # Equal sets have equal sums of random numbers; two sums, as one of them might agree by chance.
+        sums = [np.add.reduceat(_odd(target.astype(np.int64) * 2 + k), first) if len(first) else np.zeros(0, np.uint64) for k in (0, 1)]
+        order = np.lexsort((*sums, count, by_end))
+        new = np.zeros(len(order), bool)
+        for x in (*sums, count, by_end):
+            new |= np.concatenate([[True], np.diff(x[order]) != 0])[: len(order)]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        one = order[new]  # a posting for each set
+        self.count, self.by_end = count[one], by_end[one]
+        self.first = np.cumsum(self.count) - self.count
+        self.target = target[_runs(first[one], self.count)]
+        self.place = (number << 26) + np.concatenate([np.zeros(0, np.int64), *(p.at for p in postings)])
+        for p in postings:
+            del p.target, p.members, p.by_end, p.at
+
+
+def _alike(x: np.ndarray) -> np.ndarray:
+    """How often each number occurs."""
+    _, which, count = np.unique(x, return_inverse=True, return_counts=True)
+    return count[which]
+
+
 def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """first, first + 1, ... of each range, one range after the other."""
     return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
@@ -142,7 +185,9 @@ class Index:
         self.codes = [scoring.codes(s) for s in sequences]
         self.lengths = np.array([len(c) for c in self.codes], np.int64)
         n = len(LETTERS[scoring.alphabet])
-        self.postings = [Postings(self.codes, p, scoring) for p in scoring.seeds] if seeds and ids else []
+        self.longest = int(self.lengths.max(initial=0))
+        self.postings = [Postings(self.codes, p, scoring, self.longest) for p in scoring.seeds] if seeds and ids else []
+        self.sets = Sets(self.postings)
         # All targets in a row, so that a long one does not make the others longer; one more residue stands for none.
         self.start = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
         self.flat = np.concatenate([*self.codes, np.full(1, n, np.uint8)])
@@ -206,38 +251,42 @@ def candidates(index: Index, reads: list[np.ndarray], most: int, least_seeds: in
         start = np.cumsum(lengths + len(gap)) - lengths - len(gap)
         flat = np.concatenate([x for c in some for x in (c, gap)])
         found = [p.found(flat) for p in index.postings]
-        at, first, count = (np.concatenate(c) for c in zip(*found))
-        kind = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+        at, first, count = (np.concatenate(c) for c in zip(*((x, y + k, z) for (x, y, z), k in zip(found, index.sets.start))))
         owner = np.searchsorted(start, at, "right") - 1
         order = np.argsort(owner, kind="stable")
-        at, first, count, kind, owner = (x[order] for x in (at, first, count, kind, owner))
+        at, first, count, owner = (x[order] for x in (at, first, count, owner))
         below = np.concatenate([[0], np.cumsum(np.bincount(owner, count, len(some)).astype(np.int64))])
         a = 0
         while a < len(some):
             b = max(a + 1, int(np.searchsorted(below, below[a] + POSTINGS, "right")) - 1)
             part = slice(*np.searchsorted(owner, [a, b]))
-            out.append(_densest(index, owner[part] + begin, at[part] - start[owner[part]], first[part], count[part], kind[part], -(-int(lengths[a:b].max()) // BAND) * BAND, most, max(least_seeds, 1)))
+            out.append(_densest(index, owner[part] + begin, at[part] - start[owner[part]], first[part], count[part], -(-int(lengths[a:b].max()) // BAND) * BAND, most, max(least_seeds, 1)))
             a = b
     return tuple(np.concatenate(c).astype(np.int64) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 5
 
 
-def _densest(index: Index, read: np.ndarray, at: np.ndarray, first: np.ndarray, count: np.ndarray, kind: np.ndarray, zero: int, most: int, least: int) -> tuple[np.ndarray, ...]:
+def _densest(index: Index, read: np.ndarray, at: np.ndarray, first: np.ndarray, count: np.ndarray, zero: int, most: int, least: int) -> tuple[np.ndarray, ...]:
     """candidates() of seeds that are in the order of their reads. No diagonal is below minus zero."""
     total = int(count.sum())
     if not total:
         return (np.zeros(0, np.int64),) * 5
-    key = np.empty(total, np.int64)
-    base = int(read[0])
-    post = _runs(first, count)
-    kinds = np.repeat(kind, count)
-    shift = np.repeat(((read - base) << 52) + zero - at, count)
-    for k, p in enumerate(index.postings):
-        own = slice(None) if len(index.postings) == 1 else np.flatnonzero(kinds == k)
-        key[own] = shift[own] + (p.target[post[own]].astype(np.int64) << 26) + p.at[post[own]]
+    base, sets, low = int(read[0]), index.sets, (1 << 26) - 1
+    key = np.repeat(((read - base) << 52) + zero - at, count)
+    key += sets.place[_runs(first, count)]
     key.sort()
+    # Seeds on one diagonal of a set are counted before the set becomes its targets.
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    seeds, key = np.diff(first, append=total), key[first]
+    which = key >> 26 & low
+    n = sets.count[which]
+    target = sets.target[_runs(sets.first[which], n)].astype(np.int64)
+    key = np.repeat(key - (which << 26) - sets.by_end[which] * index.longest, n)
+    key += (target << 26) + np.repeat(sets.by_end[which], n) * index.lengths[target]
+    order = np.argsort(key)
+    key, below = key[order], np.concatenate([[0], np.cumsum(np.repeat(seeds, n)[order])])
     cell = key // BAND
     first = np.flatnonzero(np.diff(cell, prepend=-1))
-    size, owner = np.diff(first, append=total), key[first] >> 26
+    size, owner = np.diff(below[np.append(first, len(key))]), key[first] >> 26
     start = np.flatnonzero(np.diff(owner, prepend=-1))
     # Most targets share one cell or two with a read by chance; those that cannot have enough seeds are left out early.
     enough = np.add.reduceat(size, start) >= least
@@ -249,7 +298,7 @@ def _densest(index: Index, read: np.ndarray, at: np.ndarray, first: np.ndarray,
     full = np.flatnonzero(size[cells] == np.repeat(np.maximum.reduceat(size[cells], ahead), length))
     dense = cell[first[cells[full[np.searchsorted(full, ahead)]]]]
     left, right = np.searchsorted(cell, dense - 2), np.searchsorted(cell, dense + 3)
-    near, name = right - left, owner[start]
+    near, name = below[right] - below[left], owner[start]
     whose = name >> 26
     order = np.lexsort((-near, whose))
     rank = np.arange(len(order)) - np.searchsorted(whose[order], whose[order])
@@ -257,8 +306,8 @@ def _densest(index: Index, read: np.ndarray, at: np.ndarray, first: np.ndarray,
     last = order[rank == most - 1]
     bar[whose[last]] = np.maximum(near[last], least)
     keep = near >= bar[whose]
-    diagonal = (key & (1 << 26) - 1) - zero
-    return whose[keep] + base, name[keep] & (1 << 26) - 1, diagonal[left[keep]], diagonal[right[keep] - 1], near[keep]
+    lowest, highest = ((key[x] & low) - zero for x in (left[keep], right[keep] - 1))
+    return whose[keep] + base, name[keep] & low, lowest, highest, near[keep]
 
 
 def every_pair(index: Index, reads: list[np.ndarray], found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:

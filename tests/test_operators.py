@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -132,3 +133,40 @@ def test_all_ties_with_the_last_target_are_candidates():
     read, target, *_ = aligner.candidates(index, [aligner.Scoring().codes(v + w[:30])], 50)
     assert list(target) == list(range(90)) and set(read) == {0}
     assert list(aligner.candidates(index, [aligner.Scoring().codes(v + w[:30])], 1)[1]) == list(range(30))
+
+
+@pytest.mark.parametrize("seqtype", ["nt", "aa"])
+def test_counted_seeds_are_those_of_a_plain_count(seqtype):
+    """Targets that begin or end alike, of several lengths, one twice and one too short for a seed, and reads with unknown
+    letters: seeds of the densest band, its diagonals and ties at the bar, counted one by one."""
+    rng = np.random.default_rng(11)
+    s = aligner.Scoring() if seqtype == "nt" else aligner.Scoring.aa()
+    letters = aligner.LETTERS[seqtype][: 4 if seqtype == "nt" else 20]
+    make = lambda n: "".join(rng.choice(list(letters), n))
+    vs, js = [make(n) for n in (40, 40, 47, 61)], [make(n) for n in (20, 23, 30)]
+    targets = [v + j for v in vs for j in js] + [vs[0] + js[0], "A", make(90)]
+    reads = [vs[0] + make(3) + js[1], vs[3][9:] + js[2], make(5) + vs[2][:30] + "XN" + vs[2][31:] + js[0], make(50), "", js[0] + vs[1]]
+    index, codes = aligner.Index([str(i) for i in range(len(targets))], targets, s), [s.codes(r) for r in reads]
+    like: dict[int, set] = {}
+    for a, b in zip(*s.words()) if seqtype == "aa" else ():
+        like.setdefault(int(a), set()).add(int(b))
+    n = len(aligner.LETTERS[seqtype])
+    zero = -(-max(map(len, reads)) // aligner.BAND) * aligner.BAND
+    for most in (1, 4, 50):
+        expected = []
+        for r, q in enumerate(codes):
+            rows = []
+            for t, c in enumerate(map(s.codes, targets)):
+                found = []
+                for pattern in s.seeds:
+                    (qa, qv), (ta, tv) = aligner.packed_seeds(q, pattern, n), aligner.packed_seeds(c, pattern, n)
+                    found += [int(y - x) for x, v in zip(qa, qv) for y, w in zip(ta, tv) if (w in like.get(int(v), ()) if like else v == w)]
+                cells = Counter((d + zero) // aligner.BAND for d in found)
+                if len(found) >= s.least:
+                    dense = min(c for c, k in cells.items() if k == max(cells.values()))
+                    near = [d for d in found if abs((d + zero) // aligner.BAND - dense) <= 2]
+                    rows.append((r, t, min(near), max(near), len(near)))
+            bar = max([s.least, *sorted((x[4] for x in rows), reverse=True)[most - 1 : most]])
+            expected += [x for x in rows if x[4] >= bar]
+        assert list(zip(*(x.tolist() for x in aligner.candidates(index, codes, most, s.least)))) == expected
+        assert len(expected) > 5
