@@ -164,13 +164,13 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x if x is not None else b"" for x in column.cast(kind).to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """A batch in pieces of about SLICE_BYTES of text, in order; one long text makes a piece of its own."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about `most` bytes of text, in order; one long text makes a piece of its own."""
     sizes = batch.column(column).cast(pa.large_binary() if pa.types.is_large_string(batch.column(column).type) else pa.binary())
     lengths = [0 if x is None else x for x in pa.compute.binary_length(sizes).to_pylist()]
     start = total = 0
     for i, n in enumerate(lengths):
-        if i > start and total + n > SLICE_BYTES:
+        if i > start and total + n > most:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n
@@ -178,6 +178,19 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A pass over batches after which its worker, which Spark keeps for later tasks, does not hold on to freed buffers."""
+
+    @wraps(run)
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return passed
+
+
 def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     """A stored() table, marked for broadcast only if it has at most so many rows; else joins shuffle it."""
     return F.broadcast(df) if df.count() <= most else df

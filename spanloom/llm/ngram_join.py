@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Bitmap, joined_apart, key_bitmap, one_each, slices, small, stored, text_bytes, text_key, tidy
+from spanloom.llm.common import Bitmap, giving_back, joined_apart, key_bitmap, one_each, slices, small, stored, text_bytes, text_key, tidy
 from spanloom.llm.graph import components
 from spanloom.llm.substring_dedup import _B, Sequences, _mixed
 
@@ -43,6 +43,10 @@ NUMERATOR = 85
 SALT = (1 << 12) - 1
 #: A task gathers its index in pieces of so many rows; entries of so many rows get a salt.
 PIECE, LONG_ENTRY = 500_000, 8
+#: Bytes of text that a pass takes at once: its arrays have many times the size.
+TEXT_BYTES = 512 << 10
+#: A task sorts about so many rows of the index, however much of it there is for the session's shuffle partitions.
+INDEX_ROWS = 500_000
 #: Numbers of segments that a set may leave out.
 LEFT_OUT = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
 #: Hubs that the sets of an entry are compared with, one after the other, before pairs are.
@@ -168,6 +172,12 @@ class Plan:
             schemes.append(allocated(differ, counts.get(i, 0) + counts.get(i + 1, 0), float(self.edges[i])))
         self.differ, self.m, self.doubled, self.left_out = (np.array([getattr(s, f) for s in schemes], np.int64) for f in ("differ", "segments", "doubled", "left_out"))
 
+    def rows(self, counts: dict[int, int]) -> int:
+        """About how many index rows so many sets of each band have: those of its own scheme and of the next smaller."""
+        loads = self.edges[:-1] / np.maximum(self.m, 1)
+        each = np.where(self.differ > 0, self.m - self.left_out + self.doubled * loads, 0)
+        return int(sum(n * (each[i] + (each[i - 1] if i else 0)) for i, n in counts.items()))
+
     def band(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, sizes, side="right") - 1
 
@@ -220,10 +230,11 @@ SETS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int
 
 
 def _sets(words: int, numerator: int) -> object:
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array(band_edges(1 << 40, numerator))
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", TEXT_BYTES):
                 bodies = [x.lower() for x in text_bytes(piece.column(1))]
                 sets = shingle_sets(bodies, words)
                 keys = [set_key(x) for x in sets]
@@ -256,6 +267,7 @@ def gathered(keys: np.ndarray, owners: np.ndarray, salt: int) -> tuple[np.ndarra
 
 
 def _index(words: int, plan: Plan) -> object:
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -266,7 +278,7 @@ def _index(words: int, plan: Plan) -> object:
             return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(owners)], names=["entry", "id"])
 
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", TEXT_BYTES):
                 fresh = []
                 for x in shingle_sets([x.lower() for x in text_bytes(piece.column(0))], words):
                     if len(x) and (key := set_key(x)) not in seen:
@@ -286,10 +298,11 @@ def _index(words: int, plan: Plan) -> object:
 
 
 def _grams(words: int, bitmap: Bitmap) -> object:
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", TEXT_BYTES):
                 bodies = [x.lower() for x in text_bytes(piece.column(0))]
                 sets = shingle_sets([x for x in bodies if bitmap.may_have(xxhash.xxh3_64_digest(x))], words)
                 keys = [set_key(x) for x in sets]
@@ -312,6 +325,12 @@ def _grams(words: int, bitmap: Bitmap) -> object:
 # The join
 
 
+def _dealt(entries: DataFrame, rows: int) -> DataFrame:
+    """The index by entry, in as many partitions as its rows need if the session's shuffle has fewer."""
+    parts = -(-rows // INDEX_ROWS)
+    return entries.repartition(parts, "entry") if parts > int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")) else entries
+
+
 def _halved(words: Column) -> Column:
     half = F.size(words) / 2
     return F.zip_with(F.slice(words, F.lit(1), half.cast("int")), F.slice(words, half.cast("int") + 1, half.cast("int")), lambda x, y: x.bitwiseXOR(y))
@@ -411,9 +430,10 @@ def _labelled(docs: DataFrame, words: int, numerator: int) -> DataFrame:
     sets = docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(_sets(words, numerator), "doc_id long, text_key long, n long, band int, id long, key binary, digest binary")
     sets = stored(sets, "ngram-sets", keep=True)
     bands = sets.filter("n > 0").groupBy("band").agg(F.count(F.lit(1)).alias("sets"), F.max("n").alias("most")).collect()  # a row for each power of 1 / 0.85
-    plan = Plan({r.band: r.sets for r in bands}, max([1, *(r.most for r in bands)]), numerator)
+    counts = {r.band: r.sets for r in bands}
+    plan = Plan(counts, max([1, *(r.most for r in bands)]), numerator)
 
-    entries = docs.select("text").mapInArrow(_index(words, plan), "entry long, id long")
+    entries = _dealt(docs.select("text").mapInArrow(_index(words, plan), "entry long, id long"), plan.rows(counts))
     stars = entries.withColumn("head", F.min("id").over(Window.partitionBy("entry"))).filter("id <> head")
     stars = stars.select(F.col("entry").bitwiseAND(F.lit(~SALT)).alias("entry"), F.array("id", "head").alias("ids"))
     members = stored(stars.select("entry", F.explode("ids").alias("id")).distinct(), "ngram-members")

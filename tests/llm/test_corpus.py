@@ -4,9 +4,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,6 +280,36 @@ def test_long_entries_are_salted_but_stay_connected():
     assert sorted(zip(k.tolist(), o.tolist())) == sorted([(4096 | 5, i) for i in range(10)] + [(4096, 0), (8192, 10), (8192, 11)])
 
 
+def test_passes_of_the_join_take_little_memory():
+    rng = random.Random(6)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(300)) for _ in range(1500)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts), pa.array(range(len(texts)))], names=["doc_id", "text", "text_key"])
+    every = SimpleNamespace(may_have=lambda key: True)
+    for run, given, most in ((ngram_join._sets(5, 80), batch, 43), (ngram_join._grams(5, every), batch.select(["text"]), 37)):  # MB; 51 and 41 with pieces of 2 MB
+        tracemalloc.start()
+        assert sum(x.num_rows for x in run(iter([given]))) == len(texts)
+        peak = tracemalloc.get_traced_memory()[1] >> 20
+        tracemalloc.stop()
+        assert peak < most, (peak, most)
+
+
+def test_index_has_partitions_for_its_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in range(1, 400)]
+    for numerator in (80, 85):
+        edges = np.array(ngram_join.band_edges(400, numerator))
+        counts = Counter((np.searchsorted(edges, [len(x) for x in sets], side="right") - 1).tolist())
+        plan = ngram_join.Plan(counts, 399, numerator)
+        made = len(ngram_join.index_keys(sets, plan)[0])
+        assert made / 1.5 < plan.rows(counts) < made * 1.5
+    entries, session = spark.createDataFrame([], "entry long, id long"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ngram_join._dealt(entries, (session + 3) * ngram_join.INDEX_ROWS).rdd.getNumPartitions() == session + 3
+    assert ngram_join._dealt(entries, ngram_join.INDEX_ROWS).rdd.getNumPartitions() == entries.rdd.getNumPartitions()
+    monkeypatch.setattr(ngram_join, "INDEX_ROWS", 20)
+    rows = ODD + edited(3)
+    assert sorted(map(tuple, ngram_join.ngram_join(frame(spark, rows)).collect()), key=repr) == components_slowly(rows, 4, 85)
+
+
 def test_components(spark):
     random.seed(4)
     links = [(random.randrange(300), random.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(1, 50)]
