@@ -43,6 +43,8 @@ NUMERATOR = 85
 SALT = (1 << 12) - 1
 #: A task gathers its index in pieces of so many rows; entries of so many rows get a salt.
 PIECE, LONG_ENTRY = 500_000, 8
+#: Index rows of a batch that goes back to Spark.
+BATCH_ROWS = 1 << 16
 #: Bytes of text that a pass takes at once: its arrays have many times the size.
 TEXT_BYTES = 512 << 10
 #: A task sorts about so many rows of the index, however much of it there is for the session's shuffle partitions.
@@ -273,9 +275,10 @@ def _index(words: int, plan: Plan) -> object:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size, part = 0, TaskContext.get().partitionId()
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             keys, owners = gathered(np.concatenate([k for k, _ in held]), np.concatenate([o for _, o in held]), 1 + part * 2654435761 % SALT)
-            return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(owners)], names=["entry", "id"])
+            for i in range(0, len(keys), BATCH_ROWS):  # the JVM holds each batch as one buffer
+                yield pa.record_batch([pa.array(keys[i : i + BATCH_ROWS].view(np.int64)), pa.array(owners[i : i + BATCH_ROWS])], names=["entry", "id"])
 
         for batch in batches:
             for piece in slices(batch, "text", TEXT_BYTES):
@@ -289,10 +292,10 @@ def _index(words: int, plan: Plan) -> object:
                     held.append((keys & np.uint64(~SALT & (1 << 64) - 1), np.array([i for i, _ in fresh], np.int64)[owners]))
                     size += len(keys)
                 if size >= PIECE:
-                    yield flush()
+                    yield from flush()
                     held, size = [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 

@@ -293,6 +293,14 @@ def test_passes_of_the_join_take_little_memory():
         assert peak < most, (peak, most)
 
 
+def test_index_comes_in_small_batches(monkeypatch):
+    monkeypatch.setattr(ngram_join, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = random.Random(7)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(300)) for _ in range(1000)]
+    sizes = [x.num_rows for x in ngram_join._index(5, ngram_join.Plan({i: 1000 for i in range(40)}, 1000, 80))(iter([pa.record_batch([pa.array(texts)], names=["text"])]))]
+    assert sum(sizes) > 2 * max(sizes) and max(sizes) <= 1 << 16
+
+
 def test_index_has_partitions_for_its_rows(spark, monkeypatch):
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in range(1, 400)]
