@@ -388,3 +388,20 @@ def test_folders_of_both_kinds_and_splits(spark, tmp_path, monkeypatch):
         seqfiles.read_sequences(spark, str(folder))
     with pytest.raises(ValueError):
         seqfiles.read_sequences(spark, str(folder / "d.fasta"))
+
+
+def test_long_calls_stay_out_of_the_search(spark, monkeypatch):
+    r = random.Random(21)
+    nt = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    vs, js = [nt(100) for _ in range(5)], [nt(30) for _ in range(3)]
+    rows = [(f"s{i}{k}", v, "N" * 9 + j, None if i == 4 else ",".join(f"V{i}*{n}" for n in range(200))) for i, v in enumerate(vs) for k, j in enumerate(js)]
+    reads = [v + nt(9) + j for v in vs for j in js] + [nt(80), ""]
+    frame, own = seqfiles.from_sequences(spark, reads), scaffold_rows(spark, rows)
+    want = annotate.annotate(frame, own).orderBy("rid").collect()
+    assert [x.v_call for x in want] == [row[3] for row in rows] + [None, None] and [x.j_call for x in want[:-2]] == [f"Js{i}{k}" for i in range(5) for k in range(3)]
+    (held,) = own._known.values()
+    assert all(x[1] is None and x[2] is None for x in held.value.rows)
+    monkeypatch.setattr(annotate, "CALLS", 0)
+    for most in (1 << 20, 0):  # the different calls broadcast, and joined
+        monkeypatch.setattr(annotate, "DIFFERENT_CALLS", most)
+        assert annotate.annotate(frame, scaffold_rows(spark, rows)).orderBy("rid").collect() == want
