@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import aligner, d_mapping, germline, projection, seed_join
+from spanloom.sources import seqfiles
 
 
 @pytest.mark.parametrize(
@@ -170,3 +171,20 @@ def test_counted_seeds_are_those_of_a_plain_count(seqtype):
             expected += [x for x in rows if x[4] >= bar]
         assert list(zip(*(x.tolist() for x in aligner.candidates(index, codes, most, s.least)))) == expected
         assert len(expected) > 5
+
+
+def test_a_file_is_never_one_piece(spark, tmp_path):
+    """No row that is read is longer than a few records, whatever kind the file is of."""
+    reads = [(f"r{i}", "ACGT" * 30) for i in range(400)]
+    (tmp_path / "a.fastq").write_text("\n".join(f"@{n}\n{s}\n+\n{'@>' * 60}" for n, s in reads) + "\n")
+    (tmp_path / "b.fasta").write_text("\n \n" + "".join(f">x{n}\n{s}\n" for n, s in reads))
+    (tmp_path / "c.txt").write_text("\n\n")
+    conf, key = spark.sparkContext._jsc.hadoopConfiguration(), "mapreduce.input.linerecordreader.line.maxlength"
+    conf.set(key, "2000")  # longer ones are left out
+    try:
+        rows = seqfiles.read_sequences(spark, str(tmp_path)).orderBy("rid").collect()
+        alone = seqfiles.read_sequences(spark, str(tmp_path / "a.fastq")).orderBy("rid").collect()
+    finally:
+        conf.unset(key)
+    assert [(r.read_id, r.sequence) for r in rows] == reads + [(f"x{n}", s) for n, s in reads]
+    assert [(r.read_id, r.sequence) for r in alone] == reads
