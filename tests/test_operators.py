@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.functions import sequences as sq
 from spanloom.operators import aligner, d_mapping, germline, projection, seed_join
 from spanloom.sources import seqfiles
 
@@ -50,6 +51,31 @@ def test_d_alignment_agrees_with_a_scan(spark):
         assert d_mapping.Germlines([("x", d)]).align(q) == [want[i]]
 
 
+def test_d_alignment_of_odd_pairs(spark):
+    """Each row for itself, also where keys repeat, texts are null or empty, or letters are no bases; a batch may hold long ones."""
+    r = random.Random(5)
+    text = lambda most, letters: "".join(r.choice(letters) for _ in range(r.randint(0, most)))
+    pairs = [(i % 7, text(40, x), text(25, x)) for i in range(140) for x in ("ACGT", "A\u00fe\u00ff\u65e5\U0001f600", "\x00A")]
+    pairs += [(1, None, "ACGT"), (2, "ACGT", None), (None, "ACGT", "CGT"), (3, "", "A"), (4, text(3000, "ACGT") + "A" * 50, "C" + "A" * 40)]
+    want = sorted((i or 0, *kadane(q or "", d or "")) for i, q, d in pairs)
+    rows = spark.createDataFrame(pairs, "rid int, interior string, d string")
+    for cells in (d_mapping.CELLS, 60):
+        found = zip(*(x.tolist() for x in best_runs_in(cells, pairs)))
+        assert sorted((i or 0, *x) for (i, *_), x in zip(pairs, found)) == want
+    assert sorted((x.rid or 0, x.score, x.s, x.e) for x in d_mapping.local_rows(rows, ["rid"]).collect()) == want
+    sq.register(spark)
+    sql = spark.sql("SELECT rid, b.score, b.s, b.e FROM (SELECT rid, d_align(interior, d) AS b FROM {rows})", rows=rows)
+    assert sorted((x.rid or 0, x.score, x.s, x.e) for x in sql.collect()) == want
+
+
+def best_runs_in(cells, pairs):
+    before, d_mapping.CELLS = d_mapping.CELLS, cells
+    try:
+        return d_mapping.best_runs([p[1] for p in pairs], [p[2] for p in pairs])
+    finally:
+        d_mapping.CELLS = before
+
+
 def test_second_d_does_not_overlap():
     lines = d_mapping.Germlines([("D1", "ACGTACGTAC"), ("D2", "TTTTGGGGTT")])
     assert lines.best("CCACGTACGTACCCTTTTGGGGTTCC", True) == [("D1", 2, 11), ("D2", 14, 23)]
