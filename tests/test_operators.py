@@ -214,3 +214,23 @@ def test_a_file_is_never_one_piece(spark, tmp_path):
         conf.unset(key)
     assert [(r.read_id, r.sequence) for r in rows] == reads + [(f"x{n}", s) for n, s in reads]
     assert [(r.read_id, r.sequence) for r in alone] == reads
+
+
+def test_only_seeds_that_targets_have_become_rows(spark, monkeypatch):
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("ACGT" * 9 + "Nac") for _ in range(n))
+    patterns, texts = aligner.Scoring().seeds, [text(r.randint(0, 120)) for _ in range(80)] + [None, "", text(900), "\u65e5" + text(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "query long, sequence string")
+    every = sorted(map(tuple, seed_join.spaced(rows, "query", patterns, "ACGT").collect()))
+    seeds = sorted({x[2] for x in every})[::3]
+    want = [x for x in every if x[2] in set(seeds)]
+    for size in (seed_join.SLICE, 50):  # long texts in pieces
+        monkeypatch.setattr(seed_join, "SLICE", size)
+        assert sorted(map(tuple, seed_join.known(rows, "query", patterns, "ACGT", seeds).collect())) == want
+    targets = spark.createDataFrame([("t", texts[-2][100:180])], "target string, sequence string")
+    made = []
+    monkeypatch.setattr(seed_join, "known", lambda *a, f=seed_join.known: made.append(f(*a)) or made[0])
+    few = sorted(map(tuple, seed_join.shared_seeds(rows, targets, aligner.Scoring()).collect()))
+    monkeypatch.setattr(seed_join, "KNOWN_SEEDS", 0)
+    assert few == sorted(map(tuple, seed_join.shared_seeds(rows, targets, aligner.Scoring()).collect())) and len(made) == 1
+    assert len(few) >= made[0].count() > 60 and made[0].count() < len(every) / 5
