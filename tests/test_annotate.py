@@ -405,3 +405,13 @@ def test_long_calls_stay_out_of_the_search(spark, monkeypatch):
     for most in (1 << 20, 0):  # the different calls broadcast, and joined
         monkeypatch.setattr(annotate, "DIFFERENT_CALLS", most)
         assert annotate.annotate(frame, scaffold_rows(spark, rows)).orderBy("rid").collect() == want
+
+
+def test_of_equal_alignments_a_gap_goes_between_v_and_j():
+    """What repeats the end of V, or the start of J, after it is no insertion into V or J."""
+    r = random.Random(4)
+    v, j = "".join(r.choice("ACGT") for _ in range(84)) + "GTCAGCAGC", "TGGAAGGCATCGGGCCATGAAATATGATAGCC"
+    for pad, middle in ((9, "AGCTTTCCTTGA"), (0, "AGC"), (9, "CAT"), (0, ""), (9, "ACTATTTCCTGG")):
+        row = ("s0", "IGH", "V", "J", v + "N" * pad + j, [1, 25, 37, 58, 70, 94, 94 + pad + 12], [24, 36, 57, 69, 93, 93 + pad + 12, 125 + pad], 93, 94 + pad)
+        (x,) = annotate.placed(kernel([row], annotate.Options()), annotate.Options(), [{"rid": 0, "read_id": "r", "sequence": v + middle + j}])
+        assert (x["v_end"], x["j_start"], x["ends"][4]) == (93, 94 + len(middle), 93), (pad, middle, x["cigar"])
